@@ -100,7 +100,7 @@ def encode(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
 
     def each(batch):
         weights = spread.value
-        ids = batch.column("doc_id")
+        ids, keys = batch.column("doc_id"), batch.column("text_key")
         out = [[], [], [], [], [], []]
         for _, own in shingle_sets(batch.column("text"), k):
             n = len(own)
@@ -119,6 +119,7 @@ def encode(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays(
             [
                 ids,
+                keys,
                 pa.array(sizes),
                 pa.array(np.array(out[1], np.uint64).view(np.int64)),
                 pa.array(np.array(out[2], np.uint64).view(np.int64)),
@@ -126,11 +127,11 @@ def encode(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
                 list_array(flat[1].astype(np.uint32).view(np.int32), lengths, pa.int32()),
                 list_array(flat[2].astype(np.uint32).view(np.int32), lengths, pa.int32()),
             ],
-            names=["doc_id", "n", "d1", "d2", "prefix", "second", "third"],
+            names=["doc_id", "text_key", "n", "d1", "d2", "prefix", "second", "third"],
         )
 
-    schema = "doc_id long, n long, d1 long, d2 long, prefix array<long>, second array<int>, third array<int>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = "doc_id long, text_key long, n long, d1 long, d2 long, prefix array<long>, second array<int>, third array<int>"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "text_key")
     return map_arrow(rows, each, schema)
 
 
@@ -183,11 +184,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return one
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) among candidate pairs, after the filters of the other orders."""
-    side = lambda x: classes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "second", "third")))
+def _meeting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The candidate pairs (a, b) whose prefixes also meet under the other orders."""
+    side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "second", "third")))
     near = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-    near = near.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+    return near.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """(a, b, linked) of the candidate pairs that pass all filters, on their whole sets."""
+    near = scratch.table(_meeting(pairs, nodes), f"{name}-near")
+    wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
+    wanted = scratch.table(nodes.join(wanted, "node", "left_semi").select("node", "d1", "d2"), f"{name}-wanted")
+    sets = scratch.table(_sets(docs, wanted, k), f"{name}-sets")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     both = near.join(left, "a").join(right, "b")
@@ -203,11 +212,13 @@ def _verify(pairs: DataFrame, classes: DataFrame, sets: DataFrame, percent: int)
             keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep)], names=["a", "b", "linked"])
 
-    return map_arrow(both, check, "a long, b long, linked boolean")
+    out = scratch.table(map_arrow(both, check, "a long, b long, linked boolean"), name)
+    scratch.drop(f"{name}-near", f"{name}-wanted", f"{name}-sets")
+    return out
 
 
-def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n, component (a node, null if alone), component_id of every row; docs has a text_key."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = encode(docs, bucket_counts(docs, k), k, percent).withColumn("row", F.monotonically_increasing_id())
@@ -225,14 +236,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
 
     cand = nodes.join(shared.select("node").distinct(), "node", "left_semi")
     cand = scratch.table(cand.select("node", "n", "d1", "d2", "second", "third"), "cand")
-    sets = scratch.table(_sets(docs, cand.select("node", "d1", "d2"), k), "sets")
 
     # Hubs: sets whose sizes are within a band can be similar.
     banded = shared.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))))
     in_band = Window.partitionBy("token", "band")
     hubs = banded.withColumn("a", F.min("node").over(in_band)).where("a != node")
-    checked = _verify(hubs.select("a", F.col("node").alias("b")).distinct(), cand, sets, percent)
-    checked = scratch.table(checked, "hubs")
+    checked = _verify(hubs.select("a", F.col("node").alias("b")).distinct(), docs, cand, k, percent, scratch, "hubs")
     links = checked.where("linked").select("a", "b")
     found = scratch.table(components(links, scratch, "first"), "first")
 
@@ -251,15 +260,44 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     )
     cross = cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     cross = cross.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = scratch.table(_verify(cross, cand, sets, percent).where("linked").select("a", "b"), "cross")
-    scratch.drop("shared", "mixed", "cand", "sets")
+    more = _verify(cross, docs, cand, k, percent, scratch, "cross").where("linked").select("a", "b")
+    scratch.drop("shared", "mixed", "cand")
 
     whole = components(links.union(more), scratch, "whole")
     labels = classes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = labels.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.table(labels.join(names, "component").select("d1", "d2", "component_id"), "named")
-    out = rows.select("doc_id", "n", "d1", "d2").join(named.withColumn("n", F.lit(1)).drop("n"), ["d1", "d2"], "left")
+    named = scratch.table(labels.join(names, "component").select("d1", "d2", "component", "component_id"), "named")
+    out = rows.select("doc_id", "text_key", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
     alone = F.col("n") == 0
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
+        "doc_id", "text_key", "n", F.when(~alone, F.col("component")).alias("component"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
+
+
+def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    return _components(_keyed(docs), k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """All columns of the documents that stay: of each component the one of least doc_id (nulls first), once; all without words."""
+    columns = docs.columns
+    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.col("text").cast("string")))
+    scratch = Scratch(docs.sparkSession, "keep")
+    found = scratch.table(_components(_keyed(docs.select("doc_id", "text")), k, percent), "rows")
+    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
+    keep = first.select("r.*").union(found.where("component is null").select("doc_id", "text_key")).distinct()
+    keep = keep.select(F.col("doc_id").alias("_keep"), F.col("text_key").alias("_text"))
+    out = keyed.join(keep, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_key") == F.col("_text")), "left_semi")
+    # Only where the same row stands twice are rows with words made distinct.
+    repeats = found.where("component is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
+    if repeats:
+        words = found.where("component is null").select("doc_id", "text_key").distinct()
+        words = words.select(F.col("doc_id").alias("_keep"), F.col("text_key").alias("_text"))
+        match = F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_key") == F.col("_text"))
+        out = out.join(words, match, "left_anti").dropDuplicates(["_id", "_key"]).union(out.join(words, match, "left_semi"))
+    return out.select(*columns)
