@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import packing, toxicity
+from lexloom.llm import license_scan, packing, piece_viterbi, toxicity
+from lexloom.llm.binary_codes import near_duplicates
 from lexloom.llm.jaccard_join import jaccard_components
+from lexloom.llm.order_minhash import fingerprints
 from lexloom.llm.sharding import shard
 from lexloom.llm.suffix_dedup import cut_digests
+from lexloom.llm.wordpiece_counts import count_tokens
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,6 +37,31 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), k=4, percent=85)
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir))
+
+
+def op4_piece_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded texts, told by their count, checksums, and whether the text came back."""
+    model = tokenizer_path("piece_bpe_32k.model")
+    out = piece_viterbi.decode(piece_viterbi.encode(documents(spark, sf_dir), model), model)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.crc32(F.array_join("ids", ",").cast("binary")).cast("long").alias("ids_crc32"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
+def op5_wordpiece_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut_digests(documents(spark, sf_dir), length=400)
 
@@ -47,11 +75,20 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op10_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_license_scan": op3_license_scan,
+    "op4_piece_viterbi": op4_piece_viterbi,
+    "op5_wordpiece_counts": op5_wordpiece_counts,
+    "op6_order_minhash": op6_order_minhash,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
+    "op10_binary_codes": op10_binary_codes,
 }
 ORACLE_SQL: dict[str, str] = {}
