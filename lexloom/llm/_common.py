@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.llm._words import mix
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
@@ -119,3 +121,52 @@ def numbered(df: DataFrame, keys: list, scratch: Scratch, name: str) -> tuple[Da
     bounds = spark.createDataFrame(starts or [(-1, 0)], "_part bigint, _start bigint")
     out = placed.join(F.broadcast(bounds), "_part").withColumn("row_number", F.col("_start") + F.col("_place"))
     return out.drop("_part", "_place", "_start"), total
+
+class KeyFilter:
+    """A Bloom filter of 2^24 bits over 64-bit keys: what it leaves out surely isn't among them.
+
+    It is of one size whatever the corpus, and only lessens what a later join is sent; results don't
+    depend on it.
+    """
+
+    BITS = 24
+
+    def __init__(self, keys: DataFrame):
+        places = self.places
+
+        def build(batches):
+            bits = np.zeros(1 << KeyFilter.BITS, bool)
+            for batch in batches:
+                bits[places(batch.column(0).to_numpy())] = True
+            if bits.any():
+                yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+
+        got = np.zeros(1 << (self.BITS - 3), np.uint8)
+        for row in keys.coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
+            got |= np.frombuffer(row["bits"], np.uint8)
+        self.spread = keys.sparkSession.sparkContext.broadcast(got)
+
+    @staticmethod
+    def places(keys: np.ndarray) -> np.ndarray:
+        h = mix(keys.view(np.uint64))
+        return np.stack([(h >> np.uint64(i * 20)) & np.uint64((1 << KeyFilter.BITS) - 1) for i in (0, 1)]).astype(np.int64)
+
+    def tester(self) -> Callable[[np.ndarray], np.ndarray]:
+        """A picklable maker of the test, for use within a task."""
+        spread, places = self.spread, self.places
+
+        def make():
+            have = np.unpackbits(spread.value).view(bool)
+            return lambda keys: have[places(keys)].all(axis=0)
+
+        return make
+
+    def keep(self, df: DataFrame, column: str, inside: bool = True) -> DataFrame:
+        make, at = self.tester(), df.columns.index(column)
+
+        def run(batches):
+            test = make()
+            for batch in batches:
+                yield batch.filter(pa.array(test(batch.column(at).to_numpy()) == inside))
+
+        return df.mapInArrow(run, df.schema)

@@ -1,7 +1,7 @@
 """Exact Jaccard similarity join of documents on word shingles, with several global token orders.
 
 A document's set is its distinct k-word shingles (64-bit hashes of ASCII-lower-cased words).
-Documents with equal sets form one class; only classes are joined.  Two sets with Jaccard
+Documents with equal sets (64-bit digest) are one node; only nodes are joined.  Two sets with Jaccard
 similarity of t or more must share a token among the first n - ceil(t n) + 1 of their n tokens
 under any order of all tokens.  Three orders are used:
 
@@ -27,17 +27,18 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.llm import _words as W
-from lexloom.llm._common import Scratch, blocks_by_bytes, list_array, map_arrow, text_buffers
+from lexloom.llm._common import KeyFilter, Scratch, blocks_by_bytes, list_array, map_arrow, text_buffers
 from lexloom.llm.components import components
 
 BLOCK, BUCKET_BITS = 1 << 21, 16
 _WORD = [W.U(x) for x in W.mix(np.arange(11, 11 + 64, dtype=np.uint64)) | W.U(1)]
 _ORDER2, _ORDER3, _DIGEST = W.U(0x51ED270B7A9F3C11), W.U(0xA24BAED4963EE407), W.U(0x9FB21C651E98DF25)
-_BLOOM_BITS = 23
+MET = 500_000
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -95,107 +96,87 @@ def _prefix(own: np.ndarray, order: np.ndarray, p: int) -> np.ndarray:
 
 
 def encode(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), prefix under order 1, 32-bit prefixes under 2 and 3."""
-    spread = docs.sparkSession.sparkContext.broadcast(counts)
-
-    def each(batch):
-        weights = spread.value
-        ids, keys = batch.column("doc_id"), batch.column("text_key")
-        out = [[], [], [], [], [], []]
-        for _, own in shingle_sets(batch.column("text"), k):
-            n = len(own)
-            p = n - need(n, percent) + 1 if n else 0
-            out[0].append(n)
-            out[1].append(own.sum(dtype=np.uint64) if n else W.U(0))
-            out[2].append(np.bitwise_xor.reduce(W.mix(own + _DIGEST)) if n else W.U(0))
-            if n:
-                out[3].append(_prefix(own, weights[own >> W.U(64 - BUCKET_BITS)], p))
-                for j, salt in ((4, _ORDER2), (5, _ORDER3)):
-                    order = W.mix(own ^ salt)
-                    out[j].append(np.sort(np.partition(order, p - 1)[:p]) >> W.U(32) if p < n else order >> W.U(32))
-        sizes = np.array(out[0], np.int64)
-        lengths = np.where(sizes > 0, sizes - need(sizes, percent) + 1, 0)
-        flat = [np.concatenate(x) if x else np.empty(0, np.uint64) for x in out[3:]]
-        yield pa.RecordBatch.from_arrays(
-            [
-                ids,
-                keys,
-                pa.array(sizes),
-                pa.array(np.array(out[1], np.uint64).view(np.int64)),
-                pa.array(np.array(out[2], np.uint64).view(np.int64)),
-                list_array(flat[0].view(np.int64), lengths, pa.int64()),
-                list_array(flat[1].astype(np.uint32).view(np.int32), lengths, pa.int32()),
-                list_array(flat[2].astype(np.uint32).view(np.int32), lengths, pa.int32()),
-            ],
-            names=["doc_id", "text_key", "n", "d1", "d2", "prefix", "second", "third"],
-        )
-
-    schema = "doc_id long, text_key long, n long, d1 long, d2 long, prefix array<long>, second array<int>, third array<int>"
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "text_key")
-    return map_arrow(rows, each, schema)
-
-
-def _bloom_places(d1: np.ndarray, d2: np.ndarray) -> np.ndarray:
-    h = W.mix(d1.view(np.uint64) ^ W.mix(d2.view(np.uint64)))
-    return np.stack([(h >> W.U(i * 21)) & W.U((1 << _BLOOM_BITS) - 1) for i in (0, 1)])
+    """doc_id, text_key, n, node (64-bit digest of the set), prefix under order 1, 32-bit prefixes under 2 and 3.
 
+    Prefixes are null for an empty set and for one that the task has met already.
+    """
+    spread = docs.sparkSession.sparkContext.broadcast(counts)
 
-def _bloom(keys: DataFrame) -> np.ndarray:
-    """A filter of 2^23 bits over the digests that are candidates; it only lessens what is sent."""
-
-    def build(batches):
-        bits = np.zeros(1 << _BLOOM_BITS, bool)
+    def run(batches):
+        weights, met = spread.value, set()
         for batch in batches:
-            bits[_bloom_places(batch.column(0).to_numpy(), batch.column(1).to_numpy())] = True
-        if bits.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
-    out = np.zeros(1 << (_BLOOM_BITS - 3), np.uint8)
-    for row in keys.coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
-        out |= np.frombuffer(row["bits"], np.uint8)
-    return out
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, tokens of the wanted classes (node, d1, d2), from one more pass over the texts."""
-    bits = docs.sparkSession.sparkContext.broadcast(_bloom(wanted.select("d1", "d2")))
-
-    def each(batch):
-        have = np.unpackbits(bits.value).view(bool)
-        d1, d2, sets = [], [], []
-        for _, own in shingle_sets(batch.column("text"), k):
-            if len(own):
-                a, b = own.sum(dtype=np.uint64), np.bitwise_xor.reduce(W.mix(own + _DIGEST))
-                if have[_bloom_places(np.array([a]), np.array([b]))].all():
-                    d1.append(a), d2.append(b), sets.append(own)
-        if sets:
+            if not batch.num_rows:
+                continue
+            if len(met) > MET:
+                met.clear()
+            n, nodes, fresh, out = [], [], [], [[], [], []]
+            for _, own in shingle_sets(batch.column("text"), k):
+                size, node = len(own), digest(own)
+                n.append(size)
+                nodes.append(node)
+                fresh.append(size > 0 and node not in met)
+                if fresh[-1]:
+                    met.add(node)
+                    p = size - need(size, percent) + 1
+                    out[0].append(_prefix(own, weights[own >> W.U(64 - BUCKET_BITS)], p))
+                    for j, salt in ((1, _ORDER2), (2, _ORDER3)):
+                        order = W.mix(own ^ salt)
+                        out[j].append((np.partition(order, p - 1)[:p] if p < size else order) >> W.U(32))
+            n, fresh = np.array(n, np.int64), np.array(fresh, bool)
+            lengths = np.where(fresh, n - need(n, percent) + 1, 0)
+            flat = [np.concatenate(x) if x else np.empty(0, np.uint64) for x in out]
+            lists = [list_array(flat[0].view(np.int64), lengths, pa.int64())]
+            lists += [list_array(x.astype(np.uint32).view(np.int32), lengths, pa.int32()) for x in flat[1:]]
+            kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            lists = [pc.if_else(pa.array(fresh), x, pa.scalar(None, kind)) for x, kind in zip(lists, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.array(d1, np.uint64).view(np.int64)),
-                    pa.array(np.array(d2, np.uint64).view(np.int64)),
-                    list_array(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]), pa.int64()),
-                ],
-                names=["d1", "d2", "tokens"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.array(np.array(nodes, np.int64)), *lists],
+                names=["doc_id", "text_key", "n", "node", "prefix", "second", "third"],
             )
 
-    made = map_arrow(docs.select(F.col("text").cast("string").alias("text")), each, "d1 long, d2 long, tokens array<long>")
-    # One text of each digest: duplicates meet map-side first.
-    one = made.join(wanted, ["d1", "d2"]).groupBy("node").agg(F.first("tokens").alias("tokens"))
-    return one
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "text_key")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, prefix array<long>, second array<int>, third array<int>")
 
 
-def _meeting(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The candidate pairs (a, b) whose prefixes also meet under the other orders."""
-    side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("node", "second", "third")))
-    near = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-    return near.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+def digest(own: np.ndarray) -> int:
+    """64 bits that stand for a set, as a signed number."""
+    return int(W.mix(np.array([own.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(W.mix(own + _DIGEST))], np.uint64)).view(np.int64)[0]) if len(own) else 0
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
+def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """node, tokens of the wanted nodes, from one more pass over the texts."""
+    make = KeyFilter(wanted).tester()
+
+    def run(batches):
+        test, met = make(), set()
+        for batch in batches:
+            if len(met) > MET:
+                met.clear()
+            found = [(digest(own), own) for _, own in shingle_sets(batch.column("text"), k) if len(own)]
+            hits = test(np.array([d for d, _ in found], np.int64)) if found else []
+            kept = {d: own for (d, own), hit in zip(found, hits, strict=True) if hit and d not in met}
+            met.update(kept)
+            if kept:
+                sets = list(kept.values())
+                tokens = list_array(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(kept), np.int64)), tokens], names=["node", "tokens"])
+
+    made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, tokens array<long>")
+    return made.join(wanted, "node", "left_semi").dropDuplicates(["node"])
+
+
+def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """(a, b, linked) of the candidate pairs that pass all filters, on their whole sets."""
-    near = scratch.table(_meeting(pairs, nodes), f"{name}-near")
-    wanted = near.select(F.col("a").alias("node")).union(near.select(F.col("b").alias("node"))).distinct()
-    wanted = scratch.table(nodes.join(wanted, "node", "left_semi").select("node", "d1", "d2"), f"{name}-wanted")
+    both_ends = lambda df: df.select(F.col("a").alias("node")).union(df.select(F.col("b").alias("node"))).distinct()
+    pairs = scratch.table(pairs, f"{name}-pairs")
+    ends = scratch.table(both_ends(pairs), f"{name}-ends")
+    nodes = KeyFilter(ends).keep(rows.where("prefix is not null").select("node", "second", "third"), "node")
+    nodes = scratch.table(nodes.join(ends, "node", "left_semi").dropDuplicates(["node"]), f"{name}-nodes")
+    side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in nodes.columns))
+    near = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
+    near = near.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
+    near = scratch.table(near, f"{name}-near")
+    wanted = scratch.table(both_ends(near), f"{name}-wanted")
     sets = scratch.table(_sets(docs, wanted, k), f"{name}-sets")
     left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
@@ -213,35 +194,24 @@ def _verify(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep)], names=["a", "b", "linked"])
 
     out = scratch.table(map_arrow(both, check, "a long, b long, linked boolean"), name)
-    scratch.drop(f"{name}-near", f"{name}-wanted", f"{name}-sets")
+    scratch.drop(*(f"{name}-{x}" for x in ("pairs", "ends", "nodes", "near", "wanted", "sets")))
     return out
 
 
 def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n, component (a node, null if alone), component_id of every row; docs has a text_key."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "jaccard")
-    rows = encode(docs, bucket_counts(docs, k), k, percent).withColumn("row", F.monotonically_increasing_id())
-    rows = scratch.table(rows, "rows")
-    # A hot digest (a third of all rows may be copies) is pre-aggregated before the shuffle.
-    classes = rows.where("n > 0").groupBy("d1", "d2").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
-    classes = scratch.table(classes, "classes")
-    nodes = rows.join(classes.select(F.col("node").alias("row")), "row", "left_semi")
-    nodes = nodes.select(F.col("row").alias("node"), "n", "d1", "d2", "prefix", "second", "third")
-
-    tokens = nodes.select("node", "n", F.posexplode("prefix").alias("place", "token"))
+    """doc_id, text_key, n, component (a node, null without words), component_id of every row; docs has a text_key."""
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    rows = scratch.table(encode(docs, bucket_counts(docs, k), k, percent), "rows")
+    tokens = rows.where("prefix is not null").select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
     group = Window.partitionBy("token")
     shared = tokens.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
-    shared = scratch.table(shared.where("low != high").select("token", "node", "n", "place"), "shared")
-
-    cand = nodes.join(shared.select("node").distinct(), "node", "left_semi")
-    cand = scratch.table(cand.select("node", "n", "d1", "d2", "second", "third"), "cand")
+    shared = scratch.table(shared.where("low != high").select("token", "node", "n", "place").distinct(), "shared")
 
     # Hubs: sets whose sizes are within a band can be similar.
     banded = shared.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))))
     in_band = Window.partitionBy("token", "band")
     hubs = banded.withColumn("a", F.min("node").over(in_band)).where("a != node")
-    checked = _verify(hubs.select("a", F.col("node").alias("b")).distinct(), docs, cand, k, percent, scratch, "hubs")
+    checked = _verify(hubs.select("a", F.col("node").alias("b")).distinct(), docs, rows, k, percent, scratch, "hubs")
     links = checked.where("linked").select("a", "b")
     found = scratch.table(components(links, scratch, "first"), "first")
 
@@ -260,14 +230,16 @@ def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
     )
     cross = cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
     cross = cross.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verify(cross, docs, cand, k, percent, scratch, "cross").where("linked").select("a", "b")
-    scratch.drop("shared", "mixed", "cand")
+    more = _verify(cross, docs, rows, k, percent, scratch, "cross").where("linked").select("a", "b")
+    scratch.drop("shared", "mixed")
 
     whole = components(links.union(more), scratch, "whole")
-    labels = classes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    names = labels.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.table(labels.join(names, "component").select("d1", "d2", "component", "component_id"), "named")
-    out = rows.select("doc_id", "text_key", "n", "d1", "d2").join(named, ["d1", "d2"], "left")
+    # Least doc_ids of equal sets first: copies are folded before the shuffle.
+    least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(whole, "node", "left")
+    least = least.withColumn("component", F.coalesce("component", "node"))
+    names = least.groupBy("component").agg(F.min("least").alias("component_id"))
+    named = scratch.table(least.join(names, "component").select("node", "component", "component_id"), "named")
+    out = rows.select("doc_id", "text_key", "n", "node").join(named, "node", "left")
     alone = F.col("n") == 0
     return out.select(
         "doc_id", "text_key", "n", F.when(~alone, F.col("component")).alias("component"), F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
