@@ -123,41 +123,45 @@ def numbered(df: DataFrame, keys: list, scratch: Scratch, name: str) -> tuple[Da
     return out.drop("_part", "_place", "_start"), total
 
 class KeyFilter:
-    """A Bloom filter of 2^24 bits over 64-bit keys: what it leaves out surely isn't among them.
+    """A Bloom filter of 2^bits bits over 64-bit keys: what it leaves out surely isn't among them.
 
     It is of one size whatever the corpus, and only lessens what a later join is sent; results don't
     depend on it.
     """
 
-    BITS = 24
-
-    def __init__(self, keys: DataFrame):
+    def __init__(self, keys: DataFrame, bits: int = 24):
+        self.bits = bits
         places = self.places
 
         def build(batches):
-            bits = np.zeros(1 << KeyFilter.BITS, bool)
+            got = np.zeros(1 << bits, bool)
             for batch in batches:
-                bits[places(batch.column(0).to_numpy())] = True
-            if bits.any():
-                yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
+                got[places(batch.column(0).to_numpy(), bits)] = True
+            if got.any():
+                yield pa.RecordBatch.from_arrays([pa.array([np.packbits(got, bitorder="little").tobytes()], pa.binary())], names=["bits"])
 
-        got = np.zeros(1 << (self.BITS - 3), np.uint8)
+        whole = np.zeros(1 << (bits - 3), np.uint8)
         for row in keys.coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
-            got |= np.frombuffer(row["bits"], np.uint8)
-        self.spread = keys.sparkSession.sparkContext.broadcast(got)
+            whole |= np.frombuffer(row["bits"], np.uint8)
+        self.spread = keys.sparkSession.sparkContext.broadcast(whole)
 
     @staticmethod
-    def places(keys: np.ndarray) -> np.ndarray:
+    def places(keys: np.ndarray, bits: int) -> np.ndarray:
         h = mix(keys.view(np.uint64))
-        return np.stack([(h >> np.uint64(i * 20)) & np.uint64((1 << KeyFilter.BITS) - 1) for i in (0, 1)]).astype(np.int64)
+        return np.stack([(h >> np.uint64(i * 32)) & np.uint64((1 << bits) - 1) for i in (0, 1)]).astype(np.int64)
 
-    def tester(self) -> Callable[[np.ndarray], np.ndarray]:
+    def tester(self) -> Callable[[], Callable[[np.ndarray], np.ndarray]]:
         """A picklable maker of the test, for use within a task."""
-        spread, places = self.spread, self.places
+        spread, places, bits = self.spread, self.places, self.bits
 
         def make():
-            have = np.unpackbits(spread.value).view(bool)
-            return lambda keys: have[places(keys)].all(axis=0)
+            have = spread.value
+
+            def test(keys: np.ndarray) -> np.ndarray:
+                at = places(keys, bits)
+                return ((have[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=0)
+
+            return test
 
         return make
 

@@ -46,20 +46,19 @@ def range_min(values: np.ndarray, n: int, low: np.ndarray, high: np.ndarray) ->
 
 
 def build(data: np.ndarray, offsets: np.ndarray, folder: str | None = None):
-    """(transform, common prefixes) of the strings data[offsets[i] : offsets[i + 1]].
+    """(transform, common prefixes) of the strings data[offsets[i] : offsets[i + 1]] of unsigned numbers.
 
-    Symbols are ranks of the bytes that occur, from 1; 0 ends a string, string i's end sorting as i.
+    Symbols are ranks of the numbers that occur, from 1; 0 ends a string, string i's end sorting as i.
     The arrays are copies in memory.
     """
     m = len(offsets) - 1
-    present = np.unique(data)
-    rank_of = np.zeros(256, np.uint8)
-    rank_of[present] = np.arange(1, len(present) + 1)
-    symbols = rank_of[data]
+    present, ranks = np.unique(data, return_inverse=True)
+    kind = np.uint8 if len(present) < 256 else np.uint16 if len(present) < 65536 else np.uint32
+    symbols = (ranks + 1).astype(kind)
     lengths = np.diff(offsets)
     total = len(data) + m
     with tempfile.TemporaryDirectory(dir=folder) as own:
-        files = [[np.memmap(Path(own) / f"{name}{i}", kind, "w+", shape=(total + _BLOCK,)) for i in (0, 1)] for name, kind in (("t", np.uint8), ("p", np.uint16))]
+        files = [[np.asarray(np.memmap(Path(own) / f"{name}{i}", kind, "w+", shape=(total + _BLOCK,))) for i in (0, 1)] for name, kind in (("t", kind), ("p", np.uint16))]
         (old, new), (old_p, new_p) = files
         ends = offsets[1:] - 1
         old[:m] = np.where(lengths > 0, symbols[np.maximum(ends, 0)] if len(symbols) else 0, 0)

@@ -9,13 +9,17 @@ be brought together first:
    share an anchor, so a text yields a row for each run of about L / 2 starts.  Anchors that occur
    once end here; the others' runs are parted by the anchor's distance, so that all strings of
    a part share a core of some L / 2 bytes, and are regrouped by the core's hash.
-2. The bytes of a run's strings are a short document.  Equal ones of a core are one document with
-   a multiplicity; if that is two or more, its strings are repeated.  A core with several different
-   documents goes, with others, into a collection whose Burrows-Wheeler transform and common prefixes
-   are built column by column (collection_bwt); starts of suffixes that share L bytes with a
-   neighbour are repeated.  A core with very many documents (the border of a passage that a third of
-   all rows hold) is first split by cores of nearly L bytes, so no task gets it whole.
-3. The spans of each text are merged and cut.
+2. The bytes of a run's strings are a piece of text.  Equal ones of a core are one with a
+   multiplicity; if that is two or more, its strings are repeated.  The pieces of a core that has
+   several different ones are parted again by the anchor's distance, so that the strings of a part
+   have all but FINE - 1 bytes in common; these bytes are one symbol, unlike any byte, and with the
+   bytes left and right of it they are a short document.  Equal documents are folded as before.
+3. The documents of a core go, with others, into a collection whose Burrows-Wheeler transform and
+   common prefixes are built column by column (collection_bwt): starts of suffixes that share FINE
+   symbols, that is L bytes, with a neighbour are repeated.  A core of very many different documents
+   (the border of a passage that a third of all rows hold) is split by string instead: its documents'
+   strings are counted by what stands left and right of the core, so no task gets it whole.
+4. The spans of each text are merged and cut.
 
 Null text is empty; texts shorter than L keep all; repeated rows are repeats of each other; repeated
 or null doc_ids stay apart by their text; empty tables give no rows; other columns are ignored (and
@@ -32,12 +36,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import _words as W
-from lexloom.llm._common import Scratch, map_arrow, text_buffers
+from lexloom.llm._common import KeyFilter, Scratch, map_arrow, text_buffers
 from lexloom.llm.collection_bwt import repeated_starts
 
-K, CHUNK, MANY, FINE, COLLECTION = 32, 1 << 20, 200, 16, 2 << 20
+K, CHUNK, MANY, FINE, COLLECTION = 32, 1 << 20, 1000, 32, 1 << 18
 _LOW = W.U((1 << 22) - 1)
-_BLOOM_BITS = 24
 
 
 def _window_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -79,14 +82,28 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int):
         yield texts[at], starts[at], counts, anchors[at], s, sums, hashes
 
 
-def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
-    """anchor, doc_id, dk, lo, n, off and, for the two parts of a run, core and document hashes."""
+def anchors_twice(docs: DataFrame, length: int) -> DataFrame:
+    """anchor: hashes that stand over more than one run of starts."""
+
+    def each(batch):
+        for _, _, _, anchors, _, _, hashes in runs(*text_buffers(batch.column("text")), length):
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[anchors].view(np.int64))], names=["anchor"])
+
+    found = map_arrow(docs.select("text"), each, "anchor long")
+    return found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
+
+
+def anchor_rows(docs: DataFrame, length: int, filtered: KeyFilter) -> DataFrame:
+    """Of runs whose anchor passes the filter: anchor, doc_id, dk, lo, n, off and, for both parts, core and document hashes."""
     half = (length - K) // 2
+    make = filtered.tester()
 
     def each(batch):
         data, offsets = text_buffers(batch.column("text"))
-        ids, keys = batch.column("doc_id"), batch.column("dk")
+        ids, keys, test = batch.column("doc_id"), batch.column("dk"), make()
         for texts, first, counts, anchors, s, sums, hashes in runs(data, offsets, length):
+            some = test(hashes[anchors].view(np.int64))
+            texts, first, counts, anchors = texts[some], first[some], counts[some], anchors[some]
             end = first + counts  # one past the last start
             split = np.clip(anchors - half + 1, first, end)  # starts before it: the anchor is `half` or more away
             ends = np.minimum(anchors + length - half, len(sums) - 1)
@@ -106,131 +123,108 @@ def anchor_rows(docs: DataFrame, length: int) -> DataFrame:
     return map_arrow(docs, each, schema)
 
 
-class _Keys:
-    """A Bloom filter of 2^24 bits over document keys: what it leaves out surely isn't among them."""
-
-    def __init__(self, keys: DataFrame):
-        def build(batches):
-            bits = np.zeros(1 << _BLOOM_BITS, bool)
-            for batch in batches:
-                bits[self.places(batch.column(0).to_numpy())] = True
-            if bits.any():
-                yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], names=["bits"])
-
-        got = np.zeros(1 << (_BLOOM_BITS - 3), np.uint8)
-        for row in keys.coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
-            got |= np.frombuffer(row["bits"], np.uint8)
-        self.spread = keys.sparkSession.sparkContext.broadcast(got)
-
-    @staticmethod
-    def places(keys: np.ndarray) -> np.ndarray:
-        h = W.mix(keys.view(np.uint64))
-        return np.stack([(h >> W.U(i * 20)) & W.U((1 << _BLOOM_BITS) - 1) for i in (0, 1)]).astype(np.int64)
-
-    def keep(self, docs: DataFrame, inside: bool) -> DataFrame:
-        spread, places, column = self.spread, self.places, docs.columns.index("dk")
-
-        def run(batches):
-            have = np.unpackbits(spread.value).view(bool)
-            for batch in batches:
-                hit = have[places(batch.column(column).to_numpy())].all(axis=0)
-                yield batch.filter(pa.array(hit == inside))
-
-        return docs.mapInArrow(run, docs.schema)
-
-
 def _documents(parts: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """group, doc_id, dk, lo, single and bytes of the documents that go into collections."""
-    listed = parts.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("core", "lo", "n", "off", "single", "many")).alias("parts"))
-    wanted = _Keys(listed.select("dk")).keep(texts, True)
+    """core, doc_id, dk, lo, single, left, right: short documents of the pieces of text that are to be compared."""
+    listed = parts.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("core", "lo", "n", "off", "single")).alias("parts"))
+    wanted = KeyFilter(listed.select("dk")).keep(texts, "dk")
     joined = wanted.join(listed, wanted.doc_id.eqNullSafe(listed.doc_id) & (wanted.dk == listed.dk)).select(wanted.doc_id, wanted.dk, "text", "parts")
+    # Repeated rows have one text; it is taken once.
+    joined = joined.dropDuplicates(["doc_id", "dk"])
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
+    names = ["core", "doc_id", "dk", "lo", "single", "left", "right"]
 
     def each(batch):
         data, offsets = text_buffers(batch.column("text"))
-        out: list[list] = [[] for _ in range(6)]
+        raw_all = data.tobytes()
+        out: list[list] = [[] for _ in names]
         for i, (doc, key, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "dk", "parts")), strict=True)):
-            raw = data[offsets[i] : offsets[i + 1]]
-            seen = set()  # the text of repeated rows is taken once
+            raw = raw_all[offsets[i] : offsets[i + 1]]
             for p in own:
-                if (p["core"], p["lo"]) in seen:
-                    continue
-                seen.add((p["core"], p["lo"]))
-                lo, end, anchor = p["lo"], p["lo"] + p["n"], p["lo"] + p["off"]
-                if p["many"]:
-                    cuts = []
-                    at = lo
-                    while at < end:  # starts whose distance to the anchor has the same quotient
-                        whole = anchor - (anchor - at) // FINE * FINE
-                        to = min(end, whole + 1)
-                        core = hashlib.blake2b(raw[whole : whole - FINE + 1 + length].tobytes(), digest_size=8).digest()
-                        cuts.append((int.from_bytes(core, "little", signed=True), at, to))
-                        at = to
-                else:
-                    cuts = [(p["core"], lo, end)]
-                for core, a, b in cuts:
-                    for column, value in zip(out, (core, doc, key, a, p["single"], raw[a : b - 1 + length].tobytes()), strict=True):
+                at, end, anchor = p["lo"], p["lo"] + p["n"], p["lo"] + p["off"]
+                while at < end:  # starts whose distance to the anchor has the same quotient
+                    whole = anchor - (anchor - at) // FINE * FINE
+                    to = min(end, whole + 1)
+                    after = whole - FINE + 1 + length
+                    core = hashlib.blake2b(raw[whole:after], digest_size=8).digest()
+                    for column, value in zip(out, (int.from_bytes(core, "little", signed=True), doc, key, at, p["single"], raw[at:whole], raw[after : to - 1 + length]), strict=True):
                         column.append(value)
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
-        step = 2000
-        for a in range(0, len(out[0]), step):
-            yield pa.RecordBatch.from_arrays([pa.array(c[a : a + step], k) for c, k in zip(out, kinds, strict=True)], names=["core", "doc_id", "dk", "lo", "single", "bytes"])
+                    at = to
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
 
-    return map_arrow(joined, each, "core long, doc_id long, dk long, lo long, single boolean, bytes binary")
+    return map_arrow(joined, each, "core long, doc_id long, dk long, lo long, single boolean, left binary, right binary")
 
 
 def _collections(docs: DataFrame, length: int) -> DataFrame:
-    """Spans (doc_id, dk, a, b) of the strings found repeated; docs are grouped by core."""
+    """Spans (doc_id, dk, a, b) of the strings found repeated; docs: core, left, right, wanted, doc_id, dk, lo."""
 
     def solve(rows: list[tuple]):
         out = []
-        data = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
-        offsets = np.concatenate(([0], np.cumsum([len(r[4]) for r in rows])))
-        for (_, doc, key, (lo, single), _), starts in zip(rows, repeated_starts(data, offsets, length), strict=True):
-            if single and len(starts):
+        sizes = np.array([len(r[1]) + 1 + len(r[2]) for r in rows])
+        offsets = np.concatenate(([0], np.cumsum(sizes)))
+        data = np.frombuffer(b"".join(r[1] + b"\0" + r[2] for r in rows), np.uint8).astype(np.uint32)
+        cores = {c: 256 + i for i, c in enumerate(dict.fromkeys(r[0] for r in rows))}
+        data[offsets[:-1] + np.array([len(r[1]) for r in rows])] = [cores[r[0]] for r in rows]
+        for (_, _, _, wanted, doc, key, lo), starts in zip(rows, repeated_starts(data, offsets, FINE), strict=True):
+            if wanted and len(starts):
                 for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
                     out.append((doc, key, lo + int(run[0]), lo + int(run[-1]) + length))
         columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "dk", "a", "b"])
 
     def run(batches):
-        ready, size, group = [], 0, []
+        ready, size, last = [], 0, None
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("core", "doc_id", "dk")), zip(batch.column("lo").to_pylist(), batch.column("single").to_pylist(), strict=True), batch.column("bytes").to_pylist(), strict=True):
-                if group and group[0][0] != row[0]:
-                    if len(group) > 1:
-                        ready += group
-                        size += sum(len(r[4]) for r in group)
-                    group = []
-                    if size >= COLLECTION:
-                        yield solve(ready)
-                        ready, size = [], 0
-                group.append(row)
-        if len(group) > 1:
-            ready += group
+            for row in zip(*(batch.column(c).to_pylist() for c in ("core", "left", "right", "wanted", "doc_id", "dk", "lo")), strict=True):
+                if size >= COLLECTION and row[0] != last:
+                    yield solve(ready)
+                    ready, size = [], 0
+                ready.append(row)
+                size += len(row[1]) + len(row[2]) + 1
+                last = row[0]
         if ready:
             yield solve(ready)
 
     return docs.repartition("core").sortWithinPartitions("core").mapInArrow(run, "doc_id long, dk long, a long, b long")
 
 
+def _by_string(docs: DataFrame, length: int) -> DataFrame:
+    """The same spans for cores of very many documents: strings are counted by their bytes beside the core."""
+    size = F.octet_length("left") + F.octet_length("right") + 1
+    one = docs.withColumn("s", F.explode(F.sequence(F.lit(0), size - FINE)))
+    left = F.substring("left", F.col("s") + 1, F.octet_length("left"))
+    right = F.substring("right", F.lit(1), F.lit(FINE - 1) - (F.octet_length("left") - F.col("s")))
+    one = one.withColumn("l", left).withColumn("r", right)
+    twice = one.groupBy("core", "l", "r").agg(F.count("*").alias("c")).where("c > 1").select("core", "l", "r")
+    hit = one.where("wanted").join(twice, ["core", "l", "r"])
+    return hit.select("doc_id", "dk", (F.col("lo") + F.col("s")).alias("a"), (F.col("lo") + F.col("s") + length).alias("b"))
+
+
 def spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """doc_id, dk and the list of repeated spans of every text (doc_id, dk, text) that has any."""
-    rows = scratch.table(anchor_rows(texts, length), "anchors")
-    twice = rows.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
-    rows = scratch.table(rows.join(twice, "anchor").drop("anchor"), "twice")
+    twice = scratch.table(anchors_twice(texts, length), "anchors")
+    rows = scratch.table(anchor_rows(texts, length, KeyFilter(twice, 26)).join(twice, "anchor", "left_semi").drop("anchor"), "twice")
     scratch.drop("anchors")
     side = lambda i, lo, off: rows.where(f"n{i} > 0").select(F.col(f"core{i}").alias("core"), F.col(f"own{i}").alias("own"), "doc_id", "dk", lo, F.col(f"n{i}").alias("n"), off)
     parts = side(0, "lo", "off").union(side(1, (F.col("lo") + F.col("n0")).alias("lo"), (F.col("off") - F.col("n0")).alias("off")))
     known = parts.groupBy("core", "own").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "dk", "lo", "n", "off")).alias("r"))
     known = scratch.table(known, "known")
     several = known.groupBy("core").agg(F.count("*").alias("m"), F.max((F.col("c") == 1).cast("int")).alias("singles")).where("m > 1 and singles = 1")
-    chosen = known.join(several, "core").select("core", "r.*", (F.col("c") == 1).alias("single"), (F.col("m") > MANY).alias("many"))
-    found = _collections(_documents(chosen, texts, length), length)
+    chosen = known.join(several, "core").select("core", "r.*", (F.col("c") == 1).alias("single"))
     sure = parts.join(known.where("c > 1").select("core", "own"), ["core", "own"]).select("doc_id", "dk", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"))
-    every = sure.union(found)
+
+    fine = scratch.table(_documents(chosen, texts, length), "fine")
+    key = ["core", "left", "right"]
+    folded = fine.groupBy(*key).agg(F.count("*").alias("c"), F.max("single").alias("wanted"), F.min(F.struct("doc_id", "dk", "lo")).alias("r"))
+    folded = scratch.table(folded.select(*key, "c", (F.col("wanted") & (F.col("c") == 1)).alias("wanted"), "r.*"), "folded")
+    groups = folded.groupBy("core").agg(F.count("*").alias("m"), F.max("wanted").alias("some")).where("m > 1 and some").select("core", "m")
+    mixed = scratch.table(folded.join(groups, "core"), "mixed")
+    found = _collections(mixed.where(F.col("m") <= MANY), length).union(_by_string(mixed.where(F.col("m") > MANY), length))
+    starts = F.octet_length("left") + F.octet_length("right") + 2 - FINE
+    again = fine.where("single").join(folded.where("c > 1").select(*key), key).select("doc_id", "dk", F.col("lo").alias("a"), (F.col("lo") + starts - 1 + length).alias("b"))
+    every = sure.union(again).union(found)
     out = every.groupBy("doc_id", "dk").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     out = scratch.table(out, "spans")
-    scratch.drop("twice", "known")
+    scratch.drop("twice", "known", "fine", "folded", "mixed")
     return out
 
 
@@ -254,11 +248,11 @@ def cut_digests(docs: DataFrame, length: int = 400) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "suffix")
     texts = _keyed(docs)
     found = spans(texts, length, scratch)
-    keys = _Keys(found.select("dk"))
-    whole = keys.keep(texts, False).select(
+    keys = KeyFilter(found.select("dk"))
+    whole = keys.keep(texts, "dk", False).select(
         "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
-    some = keys.keep(texts, True)
+    some = keys.keep(texts, "dk")
     joined = some.join(found, some.doc_id.eqNullSafe(found.doc_id) & (some.dk == found.dk), "left").select(some.doc_id, "text", "spans")
 
     def each(batch):
@@ -284,8 +278,8 @@ def cut_texts(docs: DataFrame, length: int = 400) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keyed = docs.withColumn("dk", F.xxhash64(F.col("doc_id").cast("long"), text))
     found = spans(_keyed(docs), length, scratch)
-    keys = _Keys(found.select("dk"))
-    some = keys.keep(keyed, True)
+    keys = KeyFilter(found.select("dk"))
+    some = keys.keep(keyed, "dk")
     hits = found.select(F.col("doc_id").alias("_doc"), F.col("dk").alias("_dk"), "spans")
     joined = some.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("dk") == F.col("_dk")), "left").drop("_doc", "_dk", "dk")
     place = docs.columns.index("text")
@@ -306,4 +300,4 @@ def cut_texts(docs: DataFrame, length: int = 400) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
 
     docs_columns = docs.columns
-    return keys.keep(keyed, False).drop("dk").union(joined.mapInArrow(run, docs.schema))
+    return keys.keep(keyed, "dk", False).drop("dk").union(joined.mapInArrow(run, docs.schema))
