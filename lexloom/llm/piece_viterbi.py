@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm._common import map_arrow
 
-MARK, CACHED, NORMAL, UNKNOWN, CONTROL, USER, BYTE = "▁", 400_000, 1, 2, 3, 4, 6
+MARK, CACHED, STEP = "▁", 300_000, 256
 
 
 class Pieces:
@@ -163,9 +163,9 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
     """doc_id, text, ids of every row."""
 
     def each(batch):
-        tool, step = pieces(model), 256
-        for at in range(0, batch.num_rows, step):
-            part = batch.slice(at, step)
+        tool = pieces(model)
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
             got = tool.encode_batch(part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "text", "ids"])
 
@@ -178,8 +178,10 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
     def each(batch):
         tool = pieces(model)
-        texts = [None if ids is None else tool.decode(ids) for ids in batch.column("ids").to_pylist()]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
+        for at in range(0, batch.num_rows, STEP):
+            part = batch.slice(at, STEP)
+            texts = [None if ids is None else tool.decode(ids) for ids in part.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     return map_arrow(encoded, each, "doc_id long, text string, ids array<int>, decoded string")
 
