@@ -23,8 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(base: int, n: int) -> np.ndarray:
     got = _powers.get(base)
     if got is None or len(got) < n:
-        n = max(n, 1 << 16)
-        got = np.full(n, U(base & (2**64 - 1)))
+        got = np.full(max(n, 1 << 16), U(base & (2**64 - 1)))
         got[0] = U(1)
         got = np.cumprod(got, dtype=np.uint64)
         _powers[base] = got
