@@ -188,7 +188,7 @@ def soundex_ngram(d: Data) -> DataFrame:
 
 
 def hybrid_candidates(d: Data) -> DataFrame:
-    return candidates.hybrid_candidates(d.asked, d.dictionary)
+    return candidates.hybrid_candidates(d.asked, d.dictionary).withColumn("rank", F.col("rank").cast("long"))
 
 
 def _choice(d: Data) -> DataFrame:

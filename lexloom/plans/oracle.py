@@ -48,6 +48,21 @@ def _code(w: str) -> str:
     return f"rpad(substr(substr({out}, 1, 1) || {tail}, 1, 4), 4, '0')"
 
 
+#: Ratcliff/Obershelp: the longest block that two intervals share (the first of equals), then what is left and right of it.
+HYBRID = """hp as (select query, word, jaccard from jac where 0.5 * jaccard + 0.5 * 2 * least(length(query), length(word)) / (length(query) + length(word)) >= 0.5 - 1e-9),
+ rr as (select query, word, 1::bigint as a0, length(query) + 1 as a1, 1::bigint as b0, length(word) + 1 as b1, 0::bigint as k from hp
+  union all
+  select query, word, c.a0, c.a1, c.b0, c.b1, c.k from (
+   select query, word, unnest([{'a0': a0, 'a1': -best.ni, 'b0': b0, 'b1': -best.nj, 'k': best.k}, {'a0': best.k - best.ni, 'a1': a1, 'b0': best.k - best.nj, 'b1': b1, 'k': 0}]) as c from (
+    select query, word, a0, a1, b0, b1, max({'k': n, 'ni': -i, 'nj': -j}) as best from (
+     select *, len(list_filter(range(1, least(a1 - i, b1 - j) + 1), lambda x: substr(query, i, x) = substr(word, j, x))) as n from (
+      select query, word, a0, a1, b0, b1, i, unnest(range(b0, b1)) as j from (select *, unnest(range(a0, a1)) as i from rr))
+     where substr(query, i, 1) = substr(word, j, 1))
+    group by 1, 2, 3, 4, 5, 6))),
+ hs as (select query, word, 0.5 * jaccard + 0.5 * (2.0::double * sum(k)::double / (length(query) + length(word))) as score from rr join hp using (query, word) group by query, word, jaccard),
+ hk as (select query, word, score from hs where score >= 0.5),
+ hc as (select *, row_number() over (partition by query order by score desc, word) as rank from (select * from hk union all select query, query, 0.0::double from asked where query not in (select query from hk)))"""
+CHOICE = "choice as (select phrase_id, pos, case when token in (select word from dict) then token else word end as token from tokens join hc on query = token and rank = 1)"
 SOUND = f"""sound as (select distinct query, word from (select query, {_code('query')} code from asked) join (select word, {_code('word')} code from dict) using (code))"""
 QUALITY = """quality as (select query, tp, n - tp as fp, case when n > 0 then tp::double / n else 0.0 end as share from (
   select query, corrected, sum((word is not null and word = corrected)::bigint)::bigint tp, count(word) n from pairs left join sound using (query) group by 1, 2))"""
@@ -63,6 +78,10 @@ def _with(*parts: str) -> str:
     return "with " + ", ".join(parts) + " "
 
 
+def _recursive(*parts: str) -> str:
+    return "with recursive " + ", ".join(parts) + " "
+
+
 def _term(t: str) -> str:
     return f"select doc_id from post where term = '{t}'"
 
@@ -111,6 +130,11 @@ ORACLE: dict[str, str] = {
     "soundex_search": _with(ASKED, SOUND, DOCS, "ps as (select distinct word as p from sound)", FOUND) + "select distinct doc_id from found",
     "soundex_edit": _with(ASKED, EDITS) + f"select query, word, distance::bigint as distance from near where {_code('query')} = {_code('word')}",
     "soundex_ngram": _with(ASKED, NGRAMS) + f"select query, word, jaccard from (select *, max(jaccard) over (partition by query) m from jac where {_code('query')} = {_code('word')}) where jaccard = m",
+    "hybrid_candidates": _recursive(ASKED, NGRAMS, HYBRID) + "select query, word, score, rank from hc",
+    "hybrid_phrase": _recursive(PHRASES, NGRAMS, HYBRID, CHOICE) + "select phrase_id, string_agg(token, ' ' order by pos) as corrected from choice group by 1",
+    "hybrid_search": _recursive(PHRASES, NGRAMS, HYBRID, CHOICE, DOCS, "ps as (select distinct token as p from choice)")
+    + "select p as phrase, idx as doc_id from ps join docs on contains(lower(title), p) or contains(lower(abstract), p)",
+    "hybrid_accuracy": _recursive(ASKED, NGRAMS, HYBRID) + _accuracy("hc"),
     "bsbi_index": _with(OCC) + _LISTS.format(t="occ"),
     "bsbi_merge": _with(OCC) + _LISTS.format(t="occ"),
     "bsbi_term_stats": _with(OCC) + "select term, count(distinct doc_id) as df, count(*) as cf from occ group by 1",
