@@ -13,7 +13,8 @@ def shingles(text, k):
     return frozenset([tuple(words)]) if len(words) < k else frozenset(zip(*(words[i:] for i in range(k)), strict=False))
 
 
-def brute(rows, k, percent):
+def groups(rows, k, percent):
+    """Sets, and the number of each row's component."""
     sets = [shingles(r[1], k) for r in rows]
     label = list(range(len(rows)))
     find = lambda x: x if label[x] == x else find(label[x])
@@ -22,11 +23,16 @@ def brute(rows, k, percent):
             both = len(a & sets[j])
             if a and sets[j] and 100 * both >= percent * (len(a) + len(sets[j]) - both):
                 label[find(i)] = find(j)
+    return sets, [find(i) for i in range(len(rows))]
+
+
+def brute(rows, k, percent):
+    sets, label = groups(rows, k, percent)
     least = {}
-    for i, r in enumerate(rows):
+    for r, c in zip(rows, label, strict=True):
         if r[0] is not None:
-            least[find(i)] = min(least.get(find(i), r[0]), r[0])
-    return Counter((r[0], len(s), least.get(find(i)) if s else r[0]) for i, (r, s) in enumerate(zip(rows, sets, strict=True)))
+            least[c] = min(least.get(c, r[0]), r[0])
+    return Counter((r[0], len(s), least.get(c) if s else r[0]) for r, s, c in zip(rows, sets, label, strict=True))
 
 
 @pytest.mark.parametrize(("k", "percent"), [(4, 85), (5, 80)])
@@ -38,12 +44,11 @@ def test_components(docs, rows, k, percent):
 def test_keep_one(docs, rows):
     kept = jaccard_join.keep_one(docs, 5, 80)
     assert kept.columns == docs.columns
-    want = brute(rows, 5, 80)
+    all_sets, label = groups(rows, 5, 80)
     got = kept.collect()
     sets = Counter((r.doc_id, shingles(r.text, 5)) for r in got if shingles(r.text, 5))
     assert max(sets.values()) == 1
-    components = {c for (_, n, c) in want if n}
-    assert len(sets) == len(components)
+    assert len(sets) == len({c for s, c in zip(all_sets, label, strict=True) if s})
     assert sum(not shingles(r.text, 5) for r in got) == sum(not shingles(r[1], 5) for r in rows)
 
 
