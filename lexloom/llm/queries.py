@@ -91,4 +91,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_binary_codes": op10_binary_codes,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Links by full comparison, components by their transitive closure.
+_CLOSURE = """, both_ways as (select x, y from links union all select y, x from links),
+ reach as (select rid, rid as r from rows0 union select reach.rid, y from reach join both_ways on r = x),
+ least as (select reach.rid, min(o.{id}) as component_id from reach join rows0 o on o.rid = r group by 1) """
+ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard_join": """with recursive rows0 as (select row_number() over () as rid, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+ sets as (select rid, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+  else list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) end)) as g from rows0),
+ sizes as (select rid, count(*) as n from sets group by 1),
+ met as (select a.rid as x, b.rid as y, count(*) as c from sets a join sets b using (g) where a.rid < b.rid group by 1, 2),
+ links as (select x, y from met join sizes p on p.rid = x join sizes q on q.rid = y where 100 * c >= 85 * (p.n + q.n - c))"""
+    + _CLOSURE.format(id="doc_id")
+    + "select doc_id, coalesce(n, 0)::bigint as n_shingles, component_id from rows0 join least using (rid) left join sizes using (rid)",
+    "op10_binary_codes": """with recursive rows0 as (select row_number() over () as rid, vec_id, embedding::double[] as e from embeddings),
+ usable as (select * from rows0 where len(e) > 0 and len(list_filter(e, lambda v: v is not null and isfinite(v))) = len(e) and len(list_filter(e, lambda v: v <> 0)) > 0),
+ links as (select a.rid as x, b.rid as y from usable a join usable b on a.rid < b.rid and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.95)"""
+    + _CLOSURE.format(id="vec_id")
+    + """, counts as (select x as rid, count(*) as n from both_ways group by 1)
+ select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from rows0 join least using (rid) left join counts using (rid)""",
+}
