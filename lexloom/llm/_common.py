@@ -47,11 +47,14 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def clear(self) -> None:
+        self.drop("")
+
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
         conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            path = jvm.org.apache.hadoop.fs.Path(self.path(name))
+            path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
             path.getFileSystem(conf).delete(path, True)
 
 

@@ -198,9 +198,8 @@ def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent:
     return out
 
 
-def _components(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _components(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """doc_id, text_key, n, component (a node, null without words), component_id of every row; docs has a text_key."""
-    scratch = Scratch(docs.sparkSession, "jaccard")
     rows = scratch.table(encode(docs, bucket_counts(docs, k), k, percent), "rows")
     tokens = rows.where("prefix is not null").select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
     group = Window.partitionBy("token")
@@ -252,15 +251,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    return _components(_keyed(docs), k, percent).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return _components(_keyed(docs), k, percent, Scratch(docs.sparkSession, "jaccard")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """All columns of the documents that stay: of each component the one of least doc_id (nulls first), once; all without words."""
     columns = docs.columns
     keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    scratch = Scratch(docs.sparkSession, "keep")
-    found = scratch.table(_components(_keyed(docs.select("doc_id", "text")), k, percent), "rows")
+    scratch, own = Scratch(docs.sparkSession, "keep"), Scratch(docs.sparkSession, "jaccard")
+    found = scratch.table(_components(_keyed(docs.select("doc_id", "text")), k, percent, own), "rows")
+    own.clear()
     first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
     keep = first.select("r.*").union(found.where("component is null").select("doc_id", "text_key")).distinct()
     keep = keep.select(F.col("doc_id").alias("_keep"), F.col("text_key").alias("_text"))
