@@ -13,10 +13,11 @@ under any order of all tokens.  Three orders are used:
 Order 1 gives candidates by an equi-join on prefix tokens; a candidate pair is dropped unless its
 prefixes also meet under orders 2 and 3, and the rest is verified on the whole sets.
 
-Within a token's group no all-pairs product is made: first each class is verified against one hub
-of its group and length band, the links found are closed into components, and only pairs of
-classes in different components are taken from a group after that.  So a group of thousands
-of near copies costs about one verification a member, and no link between components is lost.
+Within a token's group no all-pairs product is made.  In rounds each node is verified against one hub
+among the hubs of its groups and length bands (another hub each round), the links found are closed
+into components, and only pairs of nodes in different components count from then on.  When these
+are at most FEW a node, or after ROUNDS, they are all taken.  So a group of thousands of near copies
+costs a few verifications a member, and no link between components is lost.
 
 Results: components of the link graph, whole.  Null or empty text: empty set, linked with nothing.
 Fewer than k words: the whole sequence is the one shingle.  Repeated rows and doc_ids keep their
@@ -39,6 +40,7 @@ BLOCK, BUCKET_BITS = 1 << 21, 16
 _WORD = [W.U(x) for x in W.mix(np.arange(11, 11 + 64, dtype=np.uint64)) | W.U(1)]
 _ORDER2, _ORDER3, _DIGEST = W.U(0x51ED270B7A9F3C11), W.U(0xA24BAED4963EE407), W.U(0x9FB21C651E98DF25)
 MET = 500_000
+ROUNDS, FEW = 4, 4
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -198,26 +200,37 @@ def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent:
     return out
 
 
-def _components(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """doc_id, text_key, n, component (a node, null without words), component_id of every row; docs has a text_key."""
-    rows = scratch.table(encode(docs, bucket_counts(docs, k), k, percent), "rows")
-    tokens = rows.where("prefix is not null").select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
+def _across(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Prefix tokens (token, node, n, place, component) of the groups that span components."""
+    base = shared.select("token", "node", "n", "place")
+    if labels is None:
+        return base.withColumn("component", F.col("node"))
     group = Window.partitionBy("token")
-    shared = tokens.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
-    shared = scratch.table(shared.where("low != high").select("token", "node", "n", "place").distinct(), "shared")
+    now = base.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    now = now.withColumn("c0", F.min("component").over(group)).withColumn("c1", F.max("component").over(group))
+    return now.where("c0 != c1").drop("c0", "c1")
+
+
+def _pairs_left(mixed: DataFrame) -> int:
+    """Pairs across components within groups, counted by group sizes."""
+    own = mixed.groupBy("token", "component").agg(F.count("*").alias("c"))
+    whole = own.groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    return whole.agg(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
+
+
+def _hub_pairs(mixed: DataFrame, number: int, percent: int) -> DataFrame:
+    """(node, turn, a, b): a node and the hub of each of its groups and length bands, in another component; turn orders hubs."""
+    width = float(-np.log(percent / 100))
+    band = F.floor(F.log(F.col("n").cast("double")) / width + 0.5 * (number % 2))
+    turn = F.xxhash64("node", F.lit(number))
+    hub = F.min(F.struct(turn.alias("turn"), F.col("node").alias("hub"), F.col("component").alias("other"), F.col("n").alias("m")))
+    met = mixed.withColumn("band", band).withColumn("h", hub.over(Window.partitionBy("token", "band"))).select("node", "n", "component", "h.*")
+    met = met.where((F.col("component") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
+    return met.select("node", "turn", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+
 
-    # Hubs: sets whose sizes are within a band can be similar.
-    banded = shared.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / float(-np.log(percent / 100))))
-    in_band = Window.partitionBy("token", "band")
-    hubs = banded.withColumn("a", F.min("node").over(in_band)).where("a != node")
-    checked = _verify(hubs.select("a", F.col("node").alias("b")).distinct(), docs, rows, k, percent, scratch, "hubs")
-    links = checked.where("linked").select("a", "b")
-    found = scratch.table(components(links, scratch, "first"), "first")
-
-    # What is left: pairs of different components within a token's group.
-    labelled = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = labelled.withColumn("c0", F.min("component").over(group)).withColumn("c1", F.max("component").over(group))
-    mixed = scratch.table(mixed.where("c0 != c1").select("token", "node", "n", "place", "component"), "mixed")
+def _all_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """(a, b): all pairs across components within groups that sizes and places don't rule out."""
     x = mixed.select("token", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "place", "component")))
     y = mixed.select("token", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "place", "component")))
     least = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
@@ -227,12 +240,35 @@ def _components(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> Data
         & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
         & (F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) + F.least("place_x", "place_y") >= least)
     )
-    cross = cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    cross = cross.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-    more = _verify(cross, docs, rows, k, percent, scratch, "cross").where("linked").select("a", "b")
-    scratch.drop("shared", "mixed")
+    return cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+
+
+def _components(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """doc_id, text_key, n, component (a node, null without words), component_id of every row; docs has a text_key."""
+    rows = scratch.table(encode(docs, bucket_counts(docs, k), k, percent), "rows")
+    tokens = rows.where("prefix is not null").select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
+    group = Window.partitionBy("token")
+    shared = tokens.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
+    shared = scratch.table(shared.where("low != high").select("token", "node", "n", "place").distinct(), "shared")
+
+    mixed, checked, labels = shared, None, None
+    nodes = shared.select("node").distinct().count()
+    for number in range(ROUNDS + 1):
+        mixed = scratch.table(_across(mixed, labels), f"mixed-{number}")
+        scratch.drop("shared" if number == 0 else f"mixed-{number - 1}")
+        last = number == ROUNDS or _pairs_left(mixed) <= FEW * nodes
+        pairs = _all_pairs(mixed, percent) if last else _hub_pairs(mixed, number, percent)
+        if checked is not None:
+            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = pairs if last else pairs.groupBy("node").agg(F.min(F.struct("turn", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+        found = _verify(pairs, docs, rows, k, percent, scratch, f"round-{number}")
+        checked = found if checked is None else checked.union(found)
+        labels = scratch.table(components(checked.where("linked").select("a", "b"), scratch, f"links-{number}"), f"labels-{number}")
+        if last:
+            break
+    whole = labels
+    scratch.drop(f"mixed-{number}")
 
-    whole = components(links.union(more), scratch, "whole")
     # Least doc_ids of equal sets first: copies are folded before the shuffle.
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(whole, "node", "left")
     least = least.withColumn("component", F.coalesce("component", "node"))
