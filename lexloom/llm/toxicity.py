@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from lexloom.llm import _words as W
 from lexloom.llm._common import blocks_by_bytes, list_array, map_arrow, text_buffers
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, FEATURES, BITS = 4000, 8000, 1024, 22
+SAMPLE_TOXIC, SAMPLE_CLEAN, FEATURES, BITS = 4000, 8000, 1024, 20
 PREFIXES = (4, 5, 6, 7, 8)
 BLOCK = 1 << 20
 
@@ -109,7 +109,9 @@ def cumulative_fit(rows: np.ndarray, cols: np.ndarray, n: int, width: int, grade
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit_rows(labelled_features(docs, labels))
+    model = fit_rows(labelled_features(docs, labels))
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def fit_rows(table: pa.Table) -> Model:
@@ -120,13 +122,13 @@ def fit_rows(table: pa.Table) -> Model:
     weight = table.column("weight").to_numpy()
     lists = table.column("features").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-    cols = lists.flatten().to_numpy().astype(np.int64)
-    rows = np.repeat(np.arange(len(toxic)), lists.value_lengths().to_numpy())
+    cols = lists.flatten().to_numpy()
+    rows = np.repeat(np.arange(len(toxic), dtype=np.int32), lists.value_lengths().to_numpy())
     # The most telling features: by the gap between the two kinds in standard errors.
     size = 1 << BITS
     n1, n0 = toxic.sum(), (1 - toxic).sum()
-    c1 = np.bincount(cols, toxic[rows], size)
-    c0 = np.bincount(cols, 1 - toxic[rows], size)
+    c1 = np.bincount(cols[toxic[rows] == 1], minlength=size)
+    c0 = np.bincount(cols, minlength=size) - c1
     p1, p0 = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
     z = np.abs(p1 - p0) / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)
     z[(c1 + c0) < 4] = 0
