@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm._common import Scratch, map_arrow
+from lexloom.llm._common import Scratch, map_arrow, partitions
 from lexloom.llm.wordpiece_counts import byte_names
 
-SIZE, BLOCK_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 4096, 3, 2, 6, 6
+SIZE, BLOCK_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 4096, 2, 2, 4, 6
 CACHED = 600_000
 
 
@@ -262,7 +262,7 @@ def pack(items: DataFrame, size: int = SIZE) -> DataFrame:
     state = lengths.withColumn("island", F.explode(F.array(*(F.lit(i) for i in range(ISLANDS)))))
     state = state.withColumn("start", F.array().cast("array<array<int>>"))
     for number in range(EPOCHS):
-        ready = state.select("_block", "island", "lengths", "start").repartition("_block", "island")
+        ready = state.select("_block", "island", "lengths", "start").repartition(partitions(spark), "_block", "island")
         done = scratch.table(map_arrow(ready, epoch(number), schema), f"epoch-{number}")
         elites = done.select("_block", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), F.array("best").alias("people"))
         moved = done.select("_block", "island", "people").union(elites)
