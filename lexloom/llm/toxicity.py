@@ -16,41 +16,53 @@ without a document are left out; other columns are ignored by `score` and kept b
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import _words as W
-from lexloom.llm._common import blocks_by_bytes, list_array, map_arrow, text_buffers
+from lexloom.llm._common import Scratch, blocks_by_bytes, list_array, map_arrow, text_buffers
 
-SAMPLE_TOXIC, SAMPLE_CLEAN, FEATURES, BITS = 4000, 8000, 1024, 20
+SAMPLE_TOXIC, SAMPLE_CLEAN, FEATURES = 4000, 8000, 1024
 PREFIXES = (4, 5, 6, 7, 8)
 BLOCK = 1 << 20
+#: Features are told by 64-bit keys; a table of so many leading bits only spares most of them the search.
+NEAR = 20
 
 
-@dataclass
 class Model:
-    weights: np.ndarray  # float32, by feature
-    thresholds: np.ndarray
+    def __init__(self, keys: np.ndarray, weights: np.ndarray, thresholds: np.ndarray):
+        order = np.argsort(keys)
+        self.keys, self.weights, self.thresholds = keys[order], weights[order], thresholds
+        self.near = np.zeros(1 << NEAR, bool)
+        self.near[self.keys >> W.U(64 - NEAR)] = True
+
+    def parts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.keys, self.weights, self.thresholds
+
+    def find(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the features have a weight, and its place."""
+        some = np.flatnonzero(self.near[found >> W.U(64 - NEAR)])
+        at = np.searchsorted(self.keys, found[some])
+        same = np.flatnonzero(at < len(self.keys))
+        same = same[self.keys[at[same]] == found[some[same]]]
+        return some[same], at[same]
 
 
 def _features(part: np.ndarray, local: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature) of every word and beginning, with repeats."""
     starts, ends, rows = W.words(part, local, W.LETTERS)
     if not len(starts):
-        return rows, np.empty(0, np.int64)
+        return rows, np.empty(0, W.U)
     sums = W.prefix_sums(part, W.FOLDED)
-    shift = W.U(64 - BITS)
-    found, whose = [W.ranges_hash(sums, starts, ends) >> shift], [rows]
+    found, whose = [W.ranges_hash(sums, starts, ends)], [rows]
     for n in PREFIXES:
         at = np.flatnonzero(ends - starts > n)
         hashes = W.ranges_hash(sums, starts[at], starts[at] + n)
-        found.append(W.mix(hashes + W.U(n)) >> shift)
+        found.append(W.mix(hashes + W.U(n)))
         whose.append(rows[at])
-    return np.concatenate(whose), np.concatenate(found).astype(np.int64)
+    return np.concatenate(whose), np.concatenate(found)
 
 
 def _blocks(column: pa.Array):
@@ -59,7 +71,7 @@ def _blocks(column: pa.Array):
         yield at, to, *_features(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at])
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame) -> pa.Table:
+def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """toxic, weight and distinct features of the bounded training sample."""
     rows = labels.where("doc_id is not null and toxic in (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     total = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -74,13 +86,16 @@ def labelled_features(docs: DataFrame, labels: DataFrame) -> pa.Table:
     def each(batch):
         lists, sizes = [], []
         for at, to, rows_, found in _blocks(batch.column("text")):
-            keys = np.unique((rows_ << BITS) | found)
-            lists.append((keys & ((1 << BITS) - 1)).astype(np.int32))
-            sizes.append(np.bincount(keys >> BITS, minlength=to - at))
-        column = list_array(np.concatenate(lists), np.concatenate(sizes), pa.int32())
+            order = np.lexsort((found, rows_))
+            rows_, found = rows_[order], found[order]
+            first = np.ones(len(found), bool)
+            first[1:] = (rows_[1:] != rows_[:-1]) | (found[1:] != found[:-1])
+            lists.append(found[first].view(np.int64))
+            sizes.append(np.bincount(rows_[first], minlength=to - at))
+        column = list_array(np.concatenate(lists), np.concatenate(sizes), pa.int64())
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), column], names=["toxic", "weight", "features"])
 
-    return map_arrow(joined.select("toxic", "weight", "text"), each, "toxic int, weight double, features array<int>").toArrow()
+    return map_arrow(joined.select("toxic", "weight", "text"), each, "toxic int, weight double, features array<long>")
 
 
 def cumulative_fit(rows: np.ndarray, cols: np.ndarray, n: int, width: int, grades: np.ndarray, weight: np.ndarray, steps: int = 400, l2: float = 0.3):
@@ -109,67 +124,72 @@ def cumulative_fit(rows: np.ndarray, cols: np.ndarray, n: int, width: int, grade
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    model = fit_rows(labelled_features(docs, labels))
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    model = fit_rows(scratch.table(labelled_features(docs, labels), "sample"))
+    scratch.clear()
     pa.default_memory_pool().release_unused()
     return model
 
 
-def fit_rows(table: pa.Table) -> Model:
-    none = Model(np.zeros(1 << BITS, np.float32), np.array([60.0, 61.0]))
-    toxic = table.column("toxic").to_numpy().astype(np.int64)
-    if not len(toxic) or toxic.min() == toxic.max():
+def telling(table: DataFrame, n1: int, n0: int) -> DataFrame:
+    """feature, p1, p0 of the most telling features: by the gap between the two kinds in standard errors."""
+    counts = table.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("c1"), F.count("*").alias("c"))
+    p1, p0 = (F.col("c1") + 0.5) / (n1 + 1), (F.col("c") - F.col("c1") + 0.5) / (n0 + 1)
+    shares = counts.where("c >= 4").select("feature", p1.alias("p1"), p0.alias("p0"))
+    z = F.abs(F.col("p1") - F.col("p0")) / F.sqrt(F.col("p1") * (1 - F.col("p1")) / n1 + F.col("p0") * (1 - F.col("p0")) / n0)
+    return shares.withColumn("z", z).where("z > 0").orderBy(F.desc("z"), "feature").limit(FEATURES)
+
+
+def fit_rows(table: DataFrame) -> Model:
+    """The model of rows toxic, weight, features; the driver sees only the chosen features of them."""
+    none = Model(np.empty(0, W.U), np.empty(0, np.float32), np.array([60.0, 61.0]))
+    total = {r["toxic"]: r["n"] for r in table.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    if len(total) < 2:
         return none
-    weight = table.column("weight").to_numpy()
-    lists = table.column("features").combine_chunks()
+    best = telling(table, total[1], total[0]).collect()
+    chosen = Model(np.array([r["feature"] for r in best], np.int64).view(W.U), np.array([r["p1"] > 4 * r["p0"] for r in best], bool), none.thresholds)
+    spread = table.sparkSession.sparkContext.broadcast(chosen.parts())
+
+    def each(batch):
+        lists = batch.column("features")
+        flat = lists.flatten().to_numpy(zero_copy_only=False).view(W.U)
+        rows = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        some, place = Model(*spread.value).find(flat)
+        column = list_array(place.astype(np.int32), np.bincount(rows[some], minlength=len(lists)), pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column("toxic"), batch.column("weight"), column], names=["toxic", "weight", "places"])
+
+    got = map_arrow(table, each, "toxic int, weight double, places array<int>").toArrow()
+    toxic, weight = got.column("toxic").to_numpy().astype(np.int64), got.column("weight").to_numpy()
+    lists = got.column("places").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     cols = lists.flatten().to_numpy()
     rows = np.repeat(np.arange(len(toxic), dtype=np.int32), lists.value_lengths().to_numpy())
-    # The most telling features: by the gap between the two kinds in standard errors.
-    size = 1 << BITS
-    n1, n0 = toxic.sum(), (1 - toxic).sum()
-    c1 = np.bincount(cols[toxic[rows] == 1], minlength=size)
-    c0 = np.bincount(cols, minlength=size) - c1
-    p1, p0 = (c1 + 0.5) / (n1 + 1), (c0 + 0.5) / (n0 + 1)
-    z = np.abs(p1 - p0) / np.sqrt(p1 * (1 - p1) / n1 + p0 * (1 - p0) / n0)
-    z[(c1 + c0) < 4] = 0
-    chosen = np.argsort(-z, kind="stable")[:FEATURES]
-    chosen = chosen[z[chosen] > 0]
-    marker = np.zeros(size, bool)
-    marker[chosen] = p1[chosen] > 4 * p0[chosen]
-    hits = np.bincount(rows, marker[cols], len(toxic))
+    hits = np.bincount(rows, chosen.weights[cols], len(toxic))  # of markers
     grades = np.where(toxic == 1, 1 + (hits >= np.median(hits[toxic == 1])), 0).astype(np.int64)
     if (grades == 1).sum() == 0:
         grades = np.minimum(grades, 1)
-    place = np.full(size, -1)
-    place[chosen] = np.arange(len(chosen))
-    kept = place[cols] >= 0
-    w, theta = cumulative_fit(rows[kept], place[cols[kept]], len(toxic), len(chosen), grades, weight)
-    weights = np.zeros(size, np.float32)
-    weights[chosen] = w
-    return Model(weights, theta)
+    w, theta = cumulative_fit(rows, cols, len(toxic), len(chosen.keys), grades, weight)
+    return Model(chosen.keys, w.astype(np.float32), theta)
 
 
 def score_column(column: pa.Array, model: Model) -> np.ndarray:
     """P(grade > k) of each text: an array (texts, thresholds)."""
     eta = np.zeros(len(column))
     for at, to, rows, found in _blocks(column):
-        some = np.flatnonzero(model.weights[found])
-        keys = np.unique((rows[some] << BITS) | found[some])
-        eta[at:to] = np.bincount(keys >> BITS, model.weights[keys & ((1 << BITS) - 1)].astype(np.float64), to - at)
+        some, place = model.find(found)
+        keys = np.unique(rows[some] * FEATURES + place)
+        eta[at:to] = np.bincount(keys // FEATURES, model.weights[keys % FEATURES].astype(np.float64), to - at)
     return 1 / (1 + np.exp(-np.clip(eta[:, None] - model.thresholds[None, :], -60, 60)))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, severity, grade, p_toxic and toxic of every row."""
-    at = np.flatnonzero(model.weights)  # at most FEATURES weights go to the executors
-    spread = docs.sparkSession.sparkContext.broadcast((at, model.weights[at], model.thresholds))
+    spread = docs.sparkSession.sparkContext.broadcast(model.parts())  # at most FEATURES weights go to the executors
     held: dict = {}
 
     def each(batch):
         if not held:
-            weights = np.zeros(1 << BITS, np.float32)
-            weights[spread.value[0]] = spread.value[1]
-            held["model"] = Model(weights, spread.value[2])
+            held["model"] = Model(*spread.value)
         p = score_column(batch.column("text"), held["model"])
         severity = p.sum(axis=1)
         yield pa.RecordBatch.from_arrays(
@@ -183,8 +203,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
     """The rows that aren't toxic, with all their columns, in one pass and without a join."""
-    at = np.flatnonzero(model.weights)
-    spread = docs.sparkSession.sparkContext.broadcast((at, model.weights[at], model.thresholds))
+    spread = docs.sparkSession.sparkContext.broadcast(model.parts())
     held: dict = {}
     place = docs.columns.index("text")
 
@@ -193,9 +212,7 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             if not batch.num_rows:
                 continue
             if not held:
-                weights = np.zeros(1 << BITS, np.float32)
-                weights[spread.value[0]] = spread.value[1]
-                held["model"] = Model(weights, spread.value[2])
+                held["model"] = Model(*spread.value)
             keep = score_column(batch.column(place), held["model"])[:, 0] < 0.5
             yield batch.filter(pa.array(keep))
 

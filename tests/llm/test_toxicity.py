@@ -50,3 +50,13 @@ def test_edges(spark, docs, rows, empty):
     assert toxicity.score(empty, none).count() == 0 and toxicity.keep_clean(empty, none).count() == 0
     assert toxicity.keep_clean(docs, none).count() == len(rows)
     assert WORDS
+
+
+def test_unseen_words_have_no_weight(spark):
+    docs, labels, _ = corpus(spark)
+    model = toxicity.fit(docs, labels)
+    letters = random.Random(3)
+    unseen = " ".join("qx" + "".join(letters.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(200_000))
+    asked = spark.createDataFrame([(1, unseen), (2, "")], "doc_id long, text string")
+    long, none = sorted(toxicity.score(asked, model).collect())
+    assert (long.p_toxic, long.severity) == (none.p_toxic, none.severity)
