@@ -43,7 +43,8 @@ class Encoder:
     """Token ids of texts as little-endian 32-bit bytes, by the vocabulary of one tokenizer file.
 
     Ids are the tokenizer's own (its merges are ranked by id, so a rank encoder gives them, several
-    times as fast).  The pattern never matches across a space before a non-space, so ids of a text are
+    times as fast).  A text is first cut at the file's added tokens, which have ids of their own.  The
+    pattern never matches across a space before a non-space, so ids of what stands between them are
     those of its space-led words in turn; ids of words are kept in a bounded table.
     """
 
@@ -51,16 +52,29 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocabulary = json.load(f)["model"]["vocab"]
+            whole = json.load(f)
+        vocabulary, added = whole["model"]["vocab"], whole.get("added_tokens", [])
+        if any(t.get(flag) for t in added for flag in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("added tokens that take in what is beside them aren't supported")
         byte_of = {name: byte for byte, name in byte_names().items()}
         ranks = {bytes(byte_of[c] for c in token): rank for token, rank in vocabulary.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
         self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.led: dict[str, bytes] = {}
+        self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
+        longest = sorted(self.added, key=len, reverse=True)
+        self.cuts = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
 
     def _raw(self, text: str) -> bytes:
         return array("I", self.encoding.encode_ordinary(text)).tobytes()
 
+    def ids(self, text: str) -> bytes:
+        """The tokenizer's ids of a text, added tokens among them."""
+        if self.cuts is None or not any(t in text for t in self.added):
+            return self.encode(text)
+        return b"".join(self.added[part] if part in self.added else self.encode(part) for part in self.cuts.split(text))
+
     def encode(self, text: str) -> bytes:
+        """The ids of a text without added tokens, or with these read as plain text."""
         parts = text.split(" ")
         if "" in parts[1:]:
             parts = re.split(r" (?=\S)", text)
@@ -103,7 +117,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, size: int = SIZE) -
         ids, texts = batch.column("doc_id").to_pylist(), batch.column("text")
         out: list[list] = [[], [], [], [], []]
         for doc, text in zip(ids, texts, strict=True):
-            got = tool.encode(text.as_py() or "") + end
+            got = tool.ids(text.as_py() or "") + end
             for i, (start, length) in enumerate(cut(len(got) // 4, size)):
                 for column, value in zip(out, (doc, i, start, length, zlib.crc32(memoryview(got)[4 * start : 4 * (start + length)])), strict=True):
                     column.append(value)

@@ -26,6 +26,17 @@ def test_encoder_with_a_small_table(monkeypatch):
         assert tool.encode(text) == whole.encode(text)
 
 
+def test_added_tokens(spark):
+    whole = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>  b", "a  <|endoftext|>\n<|endoftext|", " <|endoftext|> it's", "no token"]
+    want = {}
+    for i, text in enumerate(texts):
+        ids = np.array([*whole.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        want[i] = (len(ids), zlib.crc32(ids.tobytes()))
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH).collect()
+    assert {r.doc_id: (r.length, r.ids_crc32) for r in got} == want
+
+
 def test_cut():
     assert packing.cut(1024) == [(0, 1024)]
     assert packing.cut(2500) == [(0, 452), (452, 1024), (1476, 1024)]
