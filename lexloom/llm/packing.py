@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lexloom.llm._common import Scratch, map_arrow, partitions
 from lexloom.llm.wordpiece_counts import byte_names
 
-SIZE, BLOCK_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 4096, 2, 2, 4, 6
+SIZE, BLOCK_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 4096, 3, 2, 6, 6
 CACHED = 600_000
 
 
@@ -138,8 +138,9 @@ class Packing:
         self.by_free: list[list[int]] = [[] for _ in range(size + 1)]
         self.mask = 0
 
-    def open(self, items: list[int]) -> None:
-        left = self.size - sum(self.lengths[i] for i in items)
+    def open(self, items: list[int], left: int | None = None) -> None:
+        if left is None:
+            left = self.size - sum(self.lengths[i] for i in items)
         self.bins.append(list(items))
         self.free.append(left)
         self.by_free[left].append(len(self.bins) - 1)
@@ -178,23 +179,22 @@ def crossover(one: Packing, other: Packing, rng: random.Random) -> Packing:
     full = full[: max(1, len(full) * 9 // 10)]
     taken = rng.sample(full, max(1, len(full) // 2))
     inside = {i for b in taken for i in other.bins[b]}
-    out = Packing(one.lengths, one.size)
+    bins, free = [other.bins[b] for b in taken], [other.free[b] for b in taken]
     displaced = []
-    for b in taken:
-        out.open(other.bins[b])
-    for items in one.bins:
+    for items, left in zip(one.bins, one.free, strict=True):
         if inside.isdisjoint(items):
-            out.open(items)
+            bins.append(items)
+            free.append(left)
         else:
             displaced += [i for i in items if i not in inside]
     # The emptiest bins are dissolved too, so that their pieces may fill others.
-    order = sorted(range(len(out.bins)), key=out.free.__getitem__, reverse=True)[: max(1, len(out.bins) // 50)]
+    order = sorted(range(len(bins)), key=free.__getitem__, reverse=True)[: max(1, len(bins) // 50)]
     drop = set(order)
-    displaced += [i for b in drop for i in out.bins[b]]
+    displaced += [i for b in drop for i in bins[b]]
     fresh = Packing(one.lengths, one.size)
-    for b, items in enumerate(out.bins):
+    for b, items in enumerate(bins):
         if b not in drop:
-            fresh.open(items)
+            fresh.open(items, free[b])
     for item in sorted(displaced, key=lambda i: (-one.lengths[i], i)):
         fresh.best_fit(item)
     return fresh
@@ -204,7 +204,9 @@ def evolve(lengths: list[int], start: list[list[int]], seed: int, size: int = SI
     """A population after GENERATIONS, fittest first; start: bin numbers of each piece, by packing."""
     rng = random.Random(seed)
     n = len(lengths)
-    people = []
+    people: list[tuple[tuple[int, int], Packing]] = []
+    add = lambda p: people.append((p.fitness(), p))
+    fittest = lambda: sorted(people, key=lambda x: x[0], reverse=True)[:POPULATION]
     for bins in start:
         groups: dict[int, list[int]] = {}
         for item, b in enumerate(bins):
@@ -212,25 +214,23 @@ def evolve(lengths: list[int], start: list[list[int]], seed: int, size: int = SI
         p = Packing(lengths, size)
         for items in groups.values():
             p.open(items)
-        people.append(p)
-    falling = sorted(range(n), key=lambda i: (-lengths[i], i))
+        add(p)
     if not people:
-        people.append(packed(lengths, falling, size))
+        add(packed(lengths, sorted(range(n), key=lambda i: (-lengths[i], i)), size))
     bound = -(-sum(lengths) // size)
-    fittest = lambda: sorted(people, key=Packing.fitness, reverse=True)
-    if len(fittest()[0].bins) <= bound:
-        return fittest()[:POPULATION]
+    if len(fittest()[0][1].bins) <= bound:
+        return [p for _, p in fittest()]
     while len(people) < POPULATION:
         noise = [x * rng.uniform(0.7, 1.3) for x in lengths]
-        people.append(packed(lengths, sorted(range(n), key=lambda i: -noise[i]), size))
+        add(packed(lengths, sorted(range(n), key=lambda i: -noise[i]), size))
     for _ in range(GENERATIONS):
-        people = fittest()[:POPULATION]
-        if len(people[0].bins) <= bound:
+        people = fittest()
+        if len(people[0][1].bins) <= bound:
             break
         for _ in range(POPULATION // 2):
-            one, other = rng.sample(people[: max(2, POPULATION * 2 // 3)], 2)
-            people.append(crossover(one, other, rng))
-    return fittest()[:POPULATION]
+            (_, one), (_, other) = rng.sample(people[: max(2, POPULATION * 2 // 3)], 2)
+            add(crossover(one, other, rng))
+    return [p for _, p in fittest()]
 
 
 def _numbers(p: Packing) -> np.ndarray:

@@ -60,6 +60,15 @@ def test_evolve():
     check(child.bins, lengths, 100)
 
 
+def test_search_is_whole(monkeypatch):
+    """Each generation's crossovers are made until the bound is reached, and the islands are three."""
+    made = []
+    one = packing.crossover
+    monkeypatch.setattr(packing, "crossover", lambda *a: made.append(1) or one(*a))
+    packing.evolve([51] * 40, [], 1, 100)  # 40 bins against a bound of 21
+    assert (len(made), packing.ISLANDS, packing.EPOCHS) == (18, 3, 2)
+
+
 def test_pack(docs, rows):
     tool = packing.encoder(PATH)
     got = packing.pack(packing.pieces(docs, PATH)).collect()
