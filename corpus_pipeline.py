@@ -3,7 +3,7 @@
 toxicity: documents that the classifier rejects go.  jaccard: of each group of near copies (word
 5-shingles, similarity 0.8 or more) the document of least doc_id stays.  suffix: strings of 200 bytes
 (a passage of some fifty short words is shorter than 400) that occur elsewhere are cut; a document
-of which nothing is left goes.  packing: token sequences.
+of which nothing is left goes, one that had no text stays.  packing: token sequences.
 
 SQL can't express a fitted classifier, so there is no ORACLE_SQL; tests hold the stages against
 brute force.
@@ -32,8 +32,9 @@ def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_suffix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = cut_texts(docs, length=200).where("text != ''")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    had = F.coalesce(F.col("text") != "", F.lit(False))
+    out = cut_texts(docs.withColumn("_had", had), length=200).where("text != '' or not _had").drop("_had")
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else out
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

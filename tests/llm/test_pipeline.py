@@ -17,3 +17,13 @@ def test_stages(spark, sf_dir):
             rows = [(r.doc_id, r.text) for r in before.collect()]
             assert {r.doc_id for r in now.collect()} == {c for (_, _, c) in brute(rows, 5, 80)}
     assert {r.doc_id for r in now.collect()} == {r.doc_id for r in before.collect()}
+
+
+def test_suffix_keeps_rows_without_text(spark, sf_dir):
+    passage = "abcdefghij" * 30
+    rows = [(1, None, 0), (2, "", 0), (3, passage, 300), (4, passage, 300), (5, "own words", 9), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    kept = corpus_pipeline.stage_suffix(spark, docs, sf_dir)
+    assert kept.columns == docs.columns
+    assert {tuple(r) for r in kept.collect()} == {rows[0], rows[1], rows[4], rows[5]}
+    assert {r.doc_id for r in corpus_pipeline.stage_packing(spark, kept, sf_dir).collect()} == {1, 2, 5, None}
