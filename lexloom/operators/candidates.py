@@ -86,13 +86,18 @@ def hybrid_candidates(queries: DataFrame, dictionary: DataFrame, n: int = 2, ngr
     """query, word, score, rank: blended scores of the threshold or more, by (score down, word); else the query at 0.
 
     A dictionary word scores 1 against itself.  A ratio is at most 2 min / (sum of lengths), so pairs
-    whose bound stays below the threshold are dropped before the ratio is computed; with the default
-    weights a pair without a shared n-gram can't reach it unless its ratio is 1.
+    whose bound stays below the threshold are dropped before the ratio is computed.  Pairs without a
+    shared n-gram come by their lengths if the edit weight alone can reach the threshold; if it only
+    just can (as by default), the ratio must be 1, so these are equal words shorter than n.
     """
     pairs = ngram_pairs(queries, dictionary, n)
     la, lb = F.length("query"), F.length("word")
-    bound = ngram_weight * F.col("jaccard") + edit_weight * 2 * F.least(la, lb) / (la + lb)
-    pairs = pairs.where(bound >= threshold - 1e-9)
+    alike = F.when(la + lb > 0, 2 * F.least(la, lb) / F.greatest(la + lb, F.lit(1))).otherwise(1.0)
+    if edit_weight >= threshold - 1e-9:
+        near = (F.lower("query") == F.col("word")) & (la < n) if edit_weight <= threshold else edit_weight * alike >= threshold - 1e-9
+        others = queries.select("query").distinct().join(dictionary.select("word").distinct(), near)
+        pairs = others.join(pairs, ["query", "word"], "left_anti").withColumn("jaccard", F.lit(0.0)).union(pairs)
+    pairs = pairs.where(ngram_weight * F.col("jaccard") + edit_weight * alike >= threshold - 1e-9)
     scored = pairs.select("query", "word", blended(F.col("jaccard"), ratcliff_ratio(F.lower("query"), F.col("word")), ngram_weight, edit_weight).alias("score"))
     kept = scored.where(F.col("score") >= threshold)
     none = queries.select("query").distinct().join(kept.select("query").distinct(), "query", "left_anti")
@@ -113,6 +118,7 @@ def soundex_edit(queries: DataFrame, dictionary: DataFrame, k: int = 2) -> DataF
 
 
 def soundex_ngram(queries: DataFrame, dictionary: DataFrame, n: int = 2) -> DataFrame:
-    """query, word, jaccard: of the words of equal code those of the greatest similarity."""
-    pairs = ngram_pairs(queries, dictionary, n).where(soundex_variant(F.col("query")) == soundex_variant(F.col("word")))
+    """query, word, jaccard: of the words of equal code those of the greatest similarity, which may be 0."""
+    pairs = soundex_candidates(queries, dictionary).join(ngram_pairs(queries, dictionary, n), ["query", "word"], "left")
+    pairs = pairs.select("query", "word", F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"))
     return pairs.withColumn("top", F.max("jaccard").over(Window.partitionBy("query"))).where("jaccard = top").drop("top")

@@ -196,6 +196,11 @@ def soundex_edit(d: Data) -> DataFrame:
 
 
 def soundex_ngram(d: Data) -> DataFrame:
+    """As its SQL has it: queries whose phonetic matches share no n-gram with them are left out."""
+    return soundex_ngram_all(d).where("jaccard > 0")
+
+
+def soundex_ngram_all(d: Data) -> DataFrame:
     return candidates.soundex_ngram(d.asked, d.dictionary)
 
 
@@ -283,6 +288,7 @@ CATALOGUE: dict[str, Callable[[Data], DataFrame]] = {
     "soundex_search": soundex_search,
     "soundex_edit": soundex_edit,
     "soundex_ngram": soundex_ngram,
+    "soundex_ngram_all": soundex_ngram_all,
     "hybrid_candidates": hybrid_candidates,
     "hybrid_phrase": hybrid_phrase,
     "hybrid_search": hybrid_search,
