@@ -125,27 +125,87 @@ def numbered(df: DataFrame, keys: list, scratch: Scratch, name: str) -> tuple[Da
     out = placed.join(F.broadcast(bounds), "_part").withColumn("row_number", F.col("_start") + F.col("_place"))
     return out.drop("_part", "_place", "_start"), total
 
+
+def fresh(columns: list[str], name: str) -> str:
+    """A column name made of `name` that is none of `columns`, in any case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def by_part(df: DataFrame, solve: Callable[[int, dict[str, np.ndarray]], pa.RecordBatch], schema: str, key: str = "part") -> DataFrame:
+    """Brings the rows of each `key` together; solve gets the key and each list column's values, laid end to end.
+
+    Rows hold packed lists, so a shuffle moves a few wide rows instead of one for each value.
+    """
+    names = [c for c in df.columns if c != key]
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        now = None
+
+        def flush():
+            columns = {}
+            for c in names:
+                lists = [b.column(c) for b in held]
+                flat = [x.flatten() if pa.types.is_list(x.type) else x for x in lists]
+                columns[c] = np.concatenate([x.to_numpy(zero_copy_only=False) for x in flat])
+            return solve(now, columns)
+
+        for batch in batches:
+            keys = batch.column(key).to_numpy()
+            edges = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)])) if len(keys) else [0]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and keys[a] != now:
+                    yield flush()
+                    held = []
+                now = int(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield flush()
+
+    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+
+
 class KeyFilter:
     """A Bloom filter of 2^bits bits over 64-bit keys: what it leaves out surely isn't among them.
 
     It is of one size whatever the corpus, and only lessens what a later join is sent; results don't
-    depend on it.
+    depend on it.  Tasks give the pieces of it that they fill, pieces are united by tasks, and the
+    driver gets each piece once.
     """
 
+    PIECE = 1 << 18
+
     def __init__(self, keys: DataFrame, bits: int = 24):
         self.bits = bits
-        places = self.places
+        places, size = self.places, self.PIECE
 
         def build(batches):
             got = np.zeros(1 << bits, bool)
             for batch in batches:
                 got[places(batch.column(0).to_numpy(), bits)] = True
-            if got.any():
-                yield pa.RecordBatch.from_arrays([pa.array([np.packbits(got, bitorder="little").tobytes()], pa.binary())], names=["bits"])
+            pieces = got.reshape(-1, min(size, 1 << bits))
+            some = np.flatnonzero(pieces.any(axis=1))
+            if len(some):
+                packed = [np.packbits(pieces[i], bitorder="little").tobytes() for i in some]
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["part", "bits"])
+
+        def unite(batches):
+            got: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for part, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    now = np.frombuffer(raw.as_buffer(), np.uint8)
+                    got[part] = got[part] | now if part in got else now
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int32()), pa.array([x.tobytes() for x in got.values()], pa.binary())], names=["part", "bits"])
 
+        schema = "part int, bits binary"
         whole = np.zeros(1 << (bits - 3), np.uint8)
-        for row in keys.coalesce(8).mapInArrow(build, "bits binary").toLocalIterator():
-            whole |= np.frombuffer(row["bits"], np.uint8)
+        for row in keys.mapInArrow(build, schema).repartition("part").mapInArrow(unite, schema).toLocalIterator():
+            own = np.frombuffer(row["bits"], np.uint8)
+            whole[row["part"] * len(own) :][: len(own)] |= own
         self.spread = keys.sparkSession.sparkContext.broadcast(whole)
 
     @staticmethod

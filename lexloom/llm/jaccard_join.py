@@ -2,26 +2,28 @@
 
 A document's set is its distinct k-word shingles (64-bit hashes of ASCII-lower-cased words).
 Documents with equal sets (64-bit digest) are one node; only nodes are joined.  Two sets with Jaccard
-similarity of t or more must share a token among the first n - ceil(t n) + 1 of their n tokens
-under any order of all tokens.  Three orders are used:
-
-1. by corpus frequency, rare first.  Frequencies are those of 2^16 hash buckets, counted over
-   all documents (a table of fixed size; any order is valid, this one keeps the shingles of
-   passages that many documents hold out of the prefixes);
-2., 3. two independent hash orders.
-
-Order 1 gives candidates by an equi-join on prefix tokens; a candidate pair is dropped unless its
-prefixes also meet under orders 2 and 3, and the rest is verified on the whole sets.
-
-Within a token's group no all-pairs product is made.  In rounds each node is verified against one hub
-among the hubs of its groups and length bands (another hub each round), the links found are closed
-into components, and only pairs of nodes in different components count from then on.  When these
-are at most FEW a node, or after ROUNDS, they are all taken.  So a group of thousands of near copies
-costs a few verifications a member, and no link between components is lost.
+similarity of t or more share at least ceil(t n) of either's n tokens, so they share a token among
+the first n - ceil(t n) + 1 under any order of all tokens.  Several orders are used, the first of
+them corpus-wide, the others where it has brought nodes together:
+
+1. A node more than n - ceil(t n) of whose tokens stand in no other node is linked with nothing.
+   Tokens below a hash bound are counted first (half of a node's tokens need be unique then),
+   which drops most nodes; no node that has a link is dropped.
+2. Order 1 is by the number of the remaining nodes that hold a token, rare first, counted exactly.  Nodes
+   that share a prefix token under it are connected through that token's least node; linked
+   nodes so stand in one cluster (a component of these connections), and clusters are small, since
+   what many documents hold comes last in the order.
+3. Within a cluster three orders are used: by the number of the cluster's nodes that hold a
+   token, and two by hash.  A pair is a candidate only if its prefixes meet under all three and its
+   sizes allow the similarity; candidates that aren't connected yet are verified on the whole sets.
+
+A task gives a cluster's spanning forest, one row a node at most; pairs are never rows.  A cluster of
+more than LIMIT tokens is cut into blocks, each pair of which is a task's group, so none is left out.
 
 Results: components of the link graph, whole.  Null or empty text: empty set, linked with nothing.
 Fewer than k words: the whole sequence is the one shingle.  Repeated rows and doc_ids keep their
-rows; component_id is the least doc_id, nulls aside.  Other columns are ignored.
+rows; component_id is the least doc_id, nulls aside.  Empty tables give no rows.  Other columns are
+ignored, and kept by `keep_one`, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,18 +31,18 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import _words as W
-from lexloom.llm._common import KeyFilter, Scratch, blocks_by_bytes, list_array, map_arrow, text_buffers
+from lexloom.llm._common import KeyFilter, Scratch, blocks_by_bytes, by_part, fresh, list_array, partitions, text_buffers
 from lexloom.llm.components import components
 
-BLOCK, BUCKET_BITS = 1 << 21, 16
+BLOCK = 1 << 21
 _WORD = [W.U(x) for x in W.mix(np.arange(11, 11 + 64, dtype=np.uint64)) | W.U(1)]
-_ORDER2, _ORDER3, _DIGEST = W.U(0x51ED270B7A9F3C11), W.U(0xA24BAED4963EE407), W.U(0x9FB21C651E98DF25)
-MET = 500_000
-ROUNDS, FEW = 4, 4
+_SAMPLE, _DEAL, _DIGEST = W.U(0x51ED270B7A9F3C11), W.U(0xA24BAED4963EE407), W.U(0x9FB21C651E98DF25)
+_ORDERS = (W.U(0xD6E8FEB86659FD93), W.U(0xC2B2AE3D27D4EB4F))
+MET, PART, LIMIT = 500_000, 1 << 21, 1 << 21
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -70,210 +72,305 @@ def shingle_sets(column: pa.Array, k: int):
             yield at + i, own
 
 
-def bucket_counts(docs: DataFrame, k: int) -> np.ndarray:
-    """Shingles of all documents by hash bucket: 2^16 counts, whatever the corpus."""
-
-    def count(batches):
-        counts = np.zeros(1 << BUCKET_BITS, np.int64)
-        for batch in batches:
-            for _, own in shingle_sets(batch.column(0), k):
-                np.add.at(counts, own >> W.U(64 - BUCKET_BITS), 1)
-        at = np.flatnonzero(counts)
-        if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(counts[at])], names=["bucket", "n"])
-
-    out = np.zeros(1 << BUCKET_BITS, np.int64)
-    table = docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    out[table["bucket"].to_numpy()] = table["n"].to_numpy()
-    return out
-
-
 def need(n: np.ndarray | int, percent: int):
     """Least intersection with any set that is as similar as asked."""
     return -(-percent * n // 100)
 
 
-def _prefix(own: np.ndarray, order: np.ndarray, p: int) -> np.ndarray:
-    return own[np.argsort(order, kind="stable")[:p]]
+def digest(own: np.ndarray) -> int:
+    """64 bits that stand for a set, as a signed number."""
+    return int(W.mix(np.array([own.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(W.mix(own + _DIGEST))], np.uint64)).view(np.int64)[0]) if len(own) else 0
 
 
-def encode(docs: DataFrame, counts, k: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n, node (64-bit digest of the set), prefix under order 1, 32-bit prefixes under 2 and 3.
+def encode(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, text_key, n, node (64-bit digest of the set), sample: tokens below a hash bound.
 
-    Prefixes are null for an empty set and for one that the task has met already.
+    The sample is null for an empty set and for one that the task has met already.
     """
-    spread = docs.sparkSession.sparkContext.broadcast(counts)
+    bound = W.U(int(min(1.0, 2 * (100 - percent) / 100) * (2**64 - 1)))
 
     def run(batches):
-        weights, met = spread.value, set()
+        met: set[int] = set()
         for batch in batches:
             if not batch.num_rows:
                 continue
             if len(met) > MET:
                 met.clear()
-            n, nodes, fresh, out = [], [], [], [[], [], []]
+            n, nodes, new, taken = [], [], [], []
             for _, own in shingle_sets(batch.column("text"), k):
-                size, node = len(own), digest(own)
-                n.append(size)
+                node = digest(own)
+                n.append(len(own))
                 nodes.append(node)
-                fresh.append(size > 0 and node not in met)
-                if fresh[-1]:
+                new.append(len(own) > 0 and node not in met)
+                if new[-1]:
                     met.add(node)
-                    p = size - need(size, percent) + 1
-                    out[0].append(_prefix(own, weights[own >> W.U(64 - BUCKET_BITS)], p))
-                    for j, salt in ((1, _ORDER2), (2, _ORDER3)):
-                        order = W.mix(own ^ salt)
-                        out[j].append((np.partition(order, p - 1)[:p] if p < size else order) >> W.U(32))
-            n, fresh = np.array(n, np.int64), np.array(fresh, bool)
-            lengths = np.where(fresh, n - need(n, percent) + 1, 0)
-            flat = [np.concatenate(x) if x else np.empty(0, np.uint64) for x in out]
-            lists = [list_array(flat[0].view(np.int64), lengths, pa.int64())]
-            lists += [list_array(x.astype(np.uint32).view(np.int32), lengths, pa.int32()) for x in flat[1:]]
-            kinds = (pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-            lists = [pc.if_else(pa.array(fresh), x, pa.scalar(None, kind)) for x, kind in zip(lists, kinds, strict=True)]
+                    taken.append(own[W.mix(own ^ _SAMPLE) <= bound])
+                else:
+                    taken.append(own[:0])
+            sample = list_array(np.concatenate(taken).view(np.int64), np.array([len(x) for x in taken]), pa.int64())
+            sample = pc.if_else(pa.array(new), sample, pa.scalar(None, pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(n), pa.array(np.array(nodes, np.int64)), *lists],
-                names=["doc_id", "text_key", "n", "node", "prefix", "second", "third"],
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), sample], names=["doc_id", "text_key", "n", "node", "sample"]
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "text_key")
-    return rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, prefix array<long>, second array<int>, third array<int>")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, sample array<long>")
 
 
-def digest(own: np.ndarray) -> int:
-    """64 bits that stand for a set, as a signed number."""
-    return int(W.mix(np.array([own.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(W.mix(own + _DIGEST))], np.uint64)).view(np.int64)[0]) if len(own) else 0
+def _deal(sets: DataFrame, parts: int) -> DataFrame:
+    """Tokens (node, n, tokens) dealt by their hash: part, nodes, sizes, counts (of tokens of each), keys (32 more bits).
+
+    Tokens of equal part and key count as one; that only makes a token look more frequent.
+    """
+    small = np.uint16 if parts < 1 << 16 else np.uint32
 
+    def run(batches):
+        for batch in batches:
+            lists = batch.column("tokens")
+            lengths, flat = lists.value_lengths().to_numpy(zero_copy_only=False), lists.flatten().to_numpy().view(np.uint64)
+            if not len(flat):
+                continue
+            hashes = W.mix(flat + _DEAL)
+            part = ((hashes >> W.U(32)) % W.U(parts)).astype(small)
+            by = np.argsort(part, kind="stable")
+            part, keys, row = part[by], hashes[by].astype(np.uint32).view(np.int32), np.repeat(np.arange(len(lengths)), lengths)[by]
+            new = np.ones(len(part), bool)
+            new[1:] = (part[1:] != part[:-1]) | (row[1:] != row[:-1])
+            at = np.flatnonzero(new)
+            present, where, tokens = np.unique(part, return_index=True, return_counts=True)
+            runs = np.diff(np.append(np.searchsorted(at, where), len(at)))
+            nodes, sizes = batch.column("node").to_numpy(), batch.column("n").to_numpy().astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(present.astype(np.int32)),
+                    list_array(nodes[row[at]], runs, pa.int64()),
+                    list_array(sizes[row[at]], runs, pa.int32()),
+                    list_array(np.diff(np.append(at, len(part))).astype(np.int32), runs, pa.int32()),
+                    list_array(keys, tokens, pa.int32()),
+                ],
+                names=["part", "nodes", "sizes", "counts", "keys"],
+            )
 
-def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """node, tokens of the wanted nodes, from one more pass over the texts."""
-    make = KeyFilter(wanted).tester()
+    return sets.select("node", "n", "tokens").mapInArrow(run, "part int, nodes array<long>, sizes array<int>, counts array<int>, keys array<int>")
+
+
+def _to_nodes(parts: int, nodes: np.ndarray, sizes: np.ndarray, **values: np.ndarray) -> pa.RecordBatch:
+    """Values of nodes packed by a hash of the node."""
+    part = (W.mix(nodes.view(np.uint64)) % W.U(parts)).astype(np.int64)
+    by = np.argsort(part, kind="stable")
+    present, counts = np.unique(part, return_counts=True)
+    columns = {"nodes": nodes, "sizes": sizes.astype(np.int32)} | values
+    kinds = {"nodes": pa.int64(), "sizes": pa.int32()}
+    lists = [list_array(v[by], counts, kinds.get(c) or pa.from_numpy_dtype(v.dtype)) for c, v in columns.items()]
+    return pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *lists], names=["part", *columns])
+
+
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that sorts keys, and where in it each group of equals starts."""
+    by = np.argsort(keys, kind="stable")
+    sorted_keys = keys[by]
+    return by, np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
+
+
+def _parts(sets: DataFrame, column: str) -> int:
+    total = sets.agg(F.sum(F.size(column).cast("long"))).first()[0] or 0
+    return max(partitions(sets.sparkSession), -(-total // PART))
+
+
+def hopeful(sampled: DataFrame, percent: int) -> DataFrame:
+    """node of the nodes (node, n, tokens: some of its tokens, by hash; may repeat) that aren't ruled out by unique tokens."""
+    parts = _parts(sampled, "tokens")
+
+    def count(_, got):
+        local, inverse = np.unique(got["nodes"], return_inverse=True)
+        holder = np.repeat(inverse, got["counts"])
+        by, starts = _groups(got["keys"])
+        holder = holder[by]
+        low, high = np.minimum.reduceat(holder, starts), np.maximum.reduceat(holder, starts)
+        sizes = np.zeros(len(local), np.int32)
+        sizes[inverse] = got["sizes"]
+        return _to_nodes(parts, local, sizes, unique=np.bincount(low[low == high], minlength=len(local)).astype(np.int32))
+
+    def decide(_, got):
+        by, starts = _groups(got["nodes"])
+        sizes, unique = got["sizes"][by][starts].astype(np.int64), np.add.reduceat(got["unique"][by].astype(np.int64), starts)
+        return pa.RecordBatch.from_arrays([pa.array(got["nodes"][by][starts][unique <= sizes - need(sizes, percent)])], names=["node"])
+
+    counted = by_part(_deal(sampled, parts), count, "part int, nodes array<long>, sizes array<int>, unique array<int>")
+    none = sampled.where(F.size("tokens") == 0).select("node").distinct()
+    return by_part(counted, decide, "node long").union(none)
+
+
+def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """node, token: prefixes under order 1, without tokens that one node alone holds; sets: node, n, tokens."""
+    parts = _parts(sets, "tokens")
+
+    def count(part, got):
+        sizes, nodes = np.repeat(got["sizes"], got["counts"]), np.repeat(got["nodes"], got["counts"])
+        by, starts = _groups(got["keys"])
+        held = np.diff(np.append(starts, len(by)))
+        held = np.repeat(held, held)
+        some = by[held > 1]
+        tokens = (W.U(part) << W.U(32)) | got["keys"][some].view(np.uint32).astype(np.uint64)
+        return _to_nodes(parts, nodes[some], sizes[some], tokens=tokens.view(np.int64), held=held[held > 1].astype(np.int32))
+
+    def decide(_, got):
+        by = np.lexsort((got["tokens"], got["held"], got["nodes"]))
+        nodes, sizes, tokens = got["nodes"][by], got["sizes"][by].astype(np.int64), got["tokens"][by]
+        starts = np.flatnonzero(np.concatenate(([True], nodes[1:] != nodes[:-1]))) if len(nodes) else np.empty(0, np.int64)
+        shared = np.diff(np.append(starts, len(nodes)))
+        place = np.arange(len(nodes)) - np.repeat(starts, shared)
+        first = sizes - np.repeat(shared, shared)  # places before them are of tokens of its own
+        some = first + place < sizes - need(sizes, percent) + 1
+        return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(tokens[some])], names=["node", "token"])
+
+    counted = by_part(_deal(sets, parts), count, "part int, nodes array<long>, sizes array<int>, tokens array<long>, held array<int>")
+    return by_part(counted, decide, "node long, token long")
+
+
+def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """node, n, tokens of the wanted nodes, from one more pass over the texts, of which a filter leaves those that may be theirs."""
+    some = rows.where("sample is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    some = scratch.table(some, "wanted")
+    texts = docs.select("text_key", F.col("text").cast("string").alias("text"))
+    make = KeyFilter(some.select("text_key")).tester()
 
     def run(batches):
-        test, met = make(), set()
+        met: set[int] = set()
+        test = make()
         for batch in batches:
+            batch = batch.filter(pa.array(test(batch.column("text_key").to_numpy())))
             if len(met) > MET:
                 met.clear()
-            found = [(digest(own), own) for _, own in shingle_sets(batch.column("text"), k) if len(own)]
-            hits = test(np.array([d for d, _ in found], np.int64)) if found else []
-            kept = {d: own for (d, own), hit in zip(found, hits, strict=True) if hit and d not in met}
-            met.update(kept)
-            if kept:
-                sets = list(kept.values())
-                tokens = list_array(np.concatenate(sets).view(np.int64), np.array([len(s) for s in sets]), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(list(kept), np.int64)), tokens], names=["node", "tokens"])
-
-    made = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, tokens array<long>")
-    return made.join(wanted, "node", "left_semi").dropDuplicates(["node"])
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """(a, b, linked) of the candidate pairs that pass all filters, on their whole sets."""
-    both_ends = lambda df: df.select(F.col("a").alias("node")).union(df.select(F.col("b").alias("node"))).distinct()
-    pairs = scratch.table(pairs, f"{name}-pairs")
-    ends = scratch.table(both_ends(pairs), f"{name}-ends")
-    nodes = KeyFilter(ends).keep(rows.where("prefix is not null").select("node", "second", "third"), "node")
-    nodes = scratch.table(nodes.join(ends, "node", "left_semi").dropDuplicates(["node"]), f"{name}-nodes")
-    side = lambda x: nodes.select(*(F.col(c).alias(f"{c}_{x}") for c in nodes.columns))
-    near = pairs.join(side("a"), F.col("a") == F.col("node_a")).join(side("b"), F.col("b") == F.col("node_b"))
-    near = near.where(F.arrays_overlap("second_a", "second_b") & F.arrays_overlap("third_a", "third_b")).select("a", "b")
-    near = scratch.table(near, f"{name}-near")
-    wanted = scratch.table(both_ends(near), f"{name}-wanted")
-    sets = scratch.table(_sets(docs, wanted, k), f"{name}-sets")
-    left = sets.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    both = near.join(left, "a").join(right, "b")
-
-    def check(batch):
-        xs, ys = batch.column("x"), batch.column("y")
-        keep = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            x, y = (np.asarray(v[i].values.to_numpy()).view(np.uint64) for v in (xs, ys))
-            both_sorted = np.concatenate((x, y))
-            both_sorted.sort()
-            common = int(np.count_nonzero(both_sorted[1:] == both_sorted[:-1]))
-            keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep)], names=["a", "b", "linked"])
-
-    out = scratch.table(map_arrow(both, check, "a long, b long, linked boolean"), name)
-    scratch.drop(*(f"{name}-{x}" for x in ("pairs", "ends", "nodes", "near", "wanted", "sets")))
+            found = {}
+            for _, own in shingle_sets(batch.column("text"), k):
+                node = digest(own)
+                if len(own) and node not in met:
+                    met.add(node)
+                    found[node] = own
+            if found:
+                lengths = np.array([len(x) for x in found.values()])
+                tokens = list_array(np.concatenate(list(found.values())).view(np.int64), lengths, pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(lengths, pa.int64()), tokens], names=["node", "n", "tokens"])
+
+    made = texts.mapInArrow(run, "node long, n long, tokens array<long>")
+    return scratch.table(made.join(some.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
+
+
+def _met(prefix: tuple[np.ndarray, np.ndarray], own: int, mark: np.ndarray) -> np.ndarray:
+    """Which of the nodes after `own` share a token of its prefix."""
+    flat, offsets = prefix
+    inside = flat[offsets[own] : offsets[own + 1]]
+    mark[inside] = True
+    begin = offsets[own + 1]
+    out = np.logical_or.reduceat(mark[flat[begin:]], offsets[own + 1 : -1] - begin)
+    mark[inside] = False
     return out
 
 
-def _across(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Prefix tokens (token, node, n, place, component) of the groups that span components."""
-    base = shared.select("token", "node", "n", "place")
-    if labels is None:
-        return base.withColumn("component", F.col("node"))
-    group = Window.partitionBy("token")
-    now = base.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    now = now.withColumn("c0", F.min("component").over(group)).withColumn("c1", F.max("component").over(group))
-    return now.where("c0 != c1").drop("c0", "c1")
-
-
-def _pairs_left(mixed: DataFrame) -> int:
-    """Pairs across components within groups, counted by group sizes."""
-    own = mixed.groupBy("token", "component").agg(F.count("*").alias("c"))
-    whole = own.groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-    return whole.agg(F.sum((F.col("s").cast("double") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
-
-
-def _hub_pairs(mixed: DataFrame, number: int, percent: int) -> DataFrame:
-    """(node, turn, a, b): a node and the hub of each of its groups and length bands, in another component; turn orders hubs."""
-    width = float(-np.log(percent / 100))
-    band = F.floor(F.log(F.col("n").cast("double")) / width + 0.5 * (number % 2))
-    turn = F.xxhash64("node", F.lit(number))
-    hub = F.min(F.struct(turn.alias("turn"), F.col("node").alias("hub"), F.col("component").alias("other"), F.col("n").alias("m")))
-    met = mixed.withColumn("band", band).withColumn("h", hub.over(Window.partitionBy("token", "band"))).select("node", "n", "component", "h.*")
-    met = met.where((F.col("component") != F.col("other")) & (100 * F.least("n", "m") >= percent * F.greatest("n", "m")))
-    return met.select("node", "turn", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-
-def _all_pairs(mixed: DataFrame, percent: int) -> DataFrame:
-    """(a, b): all pairs across components within groups that sizes and places don't rule out."""
-    x = mixed.select("token", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "place", "component")))
-    y = mixed.select("token", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "place", "component")))
-    least = F.ceil((F.col("n_x") + F.col("n_y")) * percent / (100 + percent) - 1e-9)
-    cross = x.join(y, "token").where(
-        (F.col("node_x") < F.col("node_y"))
-        & (F.col("component_x") != F.col("component_y"))
-        & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-        & (F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) + F.least("place_x", "place_y") >= least)
-    )
-    return cross.select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
+def forest(tokens: np.ndarray, n: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
+    """For each set the least number of a set that it reaches by links; with sides, links are between the two sides only."""
+    m = len(n)
+    offsets = np.concatenate(([0], np.cumsum(n)))
+    distinct, ids = np.unique(tokens, return_inverse=True)
+    held, row = np.bincount(ids), np.repeat(np.arange(m), n)
+    place = np.arange(len(ids)) - offsets[row]
+    p = n - need(n, percent) + 1
+    prefixes = []
+    for order in (np.lexsort((distinct, held)), *(np.argsort(W.mix(distinct ^ salt)) for salt in _ORDERS)):
+        rank = np.empty(len(distinct), np.int64)
+        rank[order] = np.arange(len(distinct))
+        by = np.lexsort((rank[ids], row))
+        prefixes.append((ids[by][place < p[row]], np.concatenate(([0], np.cumsum(p)))))
+    mark, label = np.zeros(len(distinct), bool), np.arange(m)
+    for x in range(m - 1):
+        able = (label[x + 1 :] != label[x]) & (100 * np.minimum(n[x], n[x + 1 :]) >= percent * np.maximum(n[x], n[x + 1 :]))
+        if side is not None:
+            able &= side[x + 1 :] != side[x]
+        for prefix in prefixes:
+            if able.any():
+                able &= _met(prefix, x, mark)
+        ys = np.flatnonzero(able) + x + 1
+        if not len(ys):
+            continue
+        own = ids[offsets[x] : offsets[x + 1]]
+        mark[own] = True
+        if len(ys) < 8:
+            common = np.array([np.count_nonzero(mark[ids[offsets[y] : offsets[y + 1]]]) for y in ys])
+        else:
+            begin = offsets[x + 1]
+            common = np.add.reduceat(mark[ids[begin:]].astype(np.int64), offsets[x + 1 : -1] - begin)[ys - x - 1]
+        mark[own] = False
+        linked = ys[100 * common >= percent * (n[x] + n[ys] - common)]
+        if len(linked):
+            roots = np.append(label[linked], label[x])
+            hit = np.zeros(m, bool)
+            hit[roots] = True
+            label[hit[label]] = roots.min()
+    return label
+
+
+def _links(grouped: DataFrame, percent: int) -> DataFrame:
+    """(a, b): a node and a node that it reaches, within groups (cluster, block, other)."""
+    key = ["cluster", "block", "other"]
+
+    def solve(held):
+        nodes = np.concatenate([b.column("node").to_numpy() for b in held])
+        if len(nodes) < 2:
+            return None
+        tokens = np.concatenate([b.column("tokens").flatten().to_numpy() for b in held]).view(np.uint64)
+        n = np.concatenate([b.column("n").to_numpy() for b in held])
+        block, other = held[0].column("block")[0].as_py(), held[0].column("other")[0].as_py()
+        side = None if block == other else np.concatenate([b.column("own").to_numpy() for b in held])
+        label = forest(tokens, n, percent, side)
+        some = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[some]), pa.array(nodes[label[some]])], names=["a", "b"])
+
+    def run(batches):
+        held, now = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in key], axis=1)
+            edges = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)])) if len(keys) else [0]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                if held and tuple(keys[a]) != now and (made := solve(held)) is not None:
+                    yield made
+                if tuple(keys[a]) != now:
+                    held, now = [], tuple(keys[a])
+                held.append(batch.slice(a, b - a))
+        if held and (made := solve(held)) is not None:
+            yield made
+
+    return grouped.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+
+
+def _labels(docs: DataFrame, rows: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """node, component of the nodes that are linked with others."""
+    sampled = rows.where("sample is not null").select("node", "n", F.col("sample").alias("tokens"))
+    sets = _sets(docs, rows, hopeful(sampled, percent), k, scratch)
+    prefixes = scratch.table(rare_prefixes(sets, percent), "prefixes")
+    hubs = prefixes.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", "hub")
+    met = prefixes.join(hubs, "token").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    clusters = scratch.table(components(met, scratch, "clusters").withColumnRenamed("component", "cluster"), "clusters")
+    scratch.drop("wanted", "prefixes")
+    total = sets.select("node", "n").join(clusters, "node").groupBy("cluster").agg(F.sum("n").alias("total"))
+    blocks = total.select("cluster", F.ceil(F.col("total") / LIMIT).cast("int").alias("blocks"))
+    dealt = sets.join(clusters, "node").join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
+    dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("block", F.least("own", "to")).withColumn("other", F.greatest("own", "to")).drop("to", "blocks")
+    found = components(_links(dealt, percent), scratch, "linked")
+    scratch.drop("sets", "clusters")
+    return found
 
 
 def _components(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """doc_id, text_key, n, component (a node, null without words), component_id of every row; docs has a text_key."""
-    rows = scratch.table(encode(docs, bucket_counts(docs, k), k, percent), "rows")
-    tokens = rows.where("prefix is not null").select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("place", "token"))
-    group = Window.partitionBy("token")
-    shared = tokens.withColumn("low", F.min("node").over(group)).withColumn("high", F.max("node").over(group))
-    shared = scratch.table(shared.where("low != high").select("token", "node", "n", "place").distinct(), "shared")
-
-    mixed, checked, labels = shared, None, None
-    nodes = shared.select("node").distinct().count()
-    for number in range(ROUNDS + 1):
-        mixed = scratch.table(_across(mixed, labels), f"mixed-{number}")
-        scratch.drop("shared" if number == 0 else f"mixed-{number - 1}")
-        last = number == ROUNDS or _pairs_left(mixed) <= FEW * nodes
-        pairs = _all_pairs(mixed, percent) if last else _hub_pairs(mixed, number, percent)
-        if checked is not None:
-            pairs = pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
-        pairs = pairs if last else pairs.groupBy("node").agg(F.min(F.struct("turn", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        found = _verify(pairs, docs, rows, k, percent, scratch, f"round-{number}")
-        checked = found if checked is None else checked.union(found)
-        labels = scratch.table(components(checked.where("linked").select("a", "b"), scratch, f"links-{number}"), f"labels-{number}")
-        if last:
-            break
-    whole = labels
-    scratch.drop(f"mixed-{number}")
-
+    rows = scratch.table(encode(docs, k, percent), "rows")
+    whole = _labels(docs, rows, k, percent, scratch)
     # Least doc_ids of equal sets first: copies are folded before the shuffle.
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(whole, "node", "left")
     least = least.withColumn("component", F.coalesce("component", "node"))
     names = least.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = scratch.table(least.join(names, "component").select("node", "component", "component_id"), "named")
+    named = least.join(names, "component").select("node", "component", "component_id")
     out = rows.select("doc_id", "text_key", "n", "node").join(named, "node", "left")
     alone = F.col("n") == 0
     return out.select(
@@ -282,30 +379,36 @@ def _components(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> Data
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text_key", F.xxhash64(F.col("text").cast("string")))
+    return docs.select("doc_id", "text", F.xxhash64(F.col("text").cast("string")).alias("text_key"))
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    return _components(_keyed(docs), k, percent, Scratch(docs.sparkSession, "jaccard")).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    scratch, own = Scratch(docs.sparkSession, "components"), Scratch(docs.sparkSession, "jaccard")
+    out = _components(_keyed(docs), k, percent, own).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    out = scratch.table(out, "out")
+    own.clear()
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """All columns of the documents that stay: of each component the one of least doc_id (nulls first), once; all without words."""
     columns = docs.columns
-    keyed = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.xxhash64(F.col("text").cast("string")))
     scratch, own = Scratch(docs.sparkSession, "keep"), Scratch(docs.sparkSession, "jaccard")
-    found = scratch.table(_components(_keyed(docs.select("doc_id", "text")), k, percent, own), "rows")
+    found = scratch.table(_components(_keyed(docs), k, percent, own).where("component is not null").select("doc_id", "text_key", "component"), "rows")
     own.clear()
-    first = found.where("component is not null").groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("r"))
-    keep = first.select("r.*").union(found.where("component is null").select("doc_id", "text_key")).distinct()
-    keep = keep.select(F.col("doc_id").alias("_keep"), F.col("text_key").alias("_text"))
-    out = keyed.join(keep, F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_key") == F.col("_text")), "left_semi")
-    # Only where the same row stands twice are rows with words made distinct.
-    repeats = found.where("component is not null").groupBy("doc_id", "text_key").agg(F.count("*").alias("c")).where("c > 1").limit(1).count()
-    if repeats:
-        words = found.where("component is null").select("doc_id", "text_key").distinct()
-        words = words.select(F.col("doc_id").alias("_keep"), F.col("text_key").alias("_text"))
-        match = F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_key") == F.col("_text"))
-        out = out.join(words, match, "left_anti").dropDuplicates(["_id", "_key"]).union(out.join(words, match, "left_semi"))
-    return out.select(*columns)
+    # Of the rows of a component, (doc_id, text) stays if it is the least; rows that stand twice are folded.
+    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    told = found.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("c")).join(first, "component")
+    goes = ~F.struct("doc_id", "text_key").eqNullSafe(F.col("first"))
+    told = told.where(goes | (F.col("c") > 1)).groupBy("doc_id", "text_key").agg(F.max(goes).alias("goes"))
+    told = scratch.table(told.select("doc_id", "text_key", "goes", F.xxhash64("doc_id", "text_key").alias("both")), "told")
+    # Columns of our own get names that no column of the table has.
+    id_, key, both, goes = (fresh(columns, c) for c in ("_id", "_key", "_both", "_goes"))
+    keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(F.col("text").cast("string"))).withColumn(both, F.xxhash64(id_, key))
+    keys = KeyFilter(told.select("both"))
+    marks = told.select(F.col("doc_id").alias(f"{id_}m"), F.col("text_key").alias(f"{key}m"), F.col("goes").alias(goes))
+    some = keys.keep(keyed, both).join(marks, F.col(id_).eqNullSafe(F.col(f"{id_}m")) & (F.col(key) == F.col(f"{key}m")), "left")
+    once = some.where(f"not `{goes}`").dropDuplicates([id_, key])
+    out = keys.keep(keyed, both, False).select(*columns).union(some.where(f"`{goes}` is null").select(*columns))
+    return out.union(once.select(*columns))

@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from lexloom.llm import jaccard_join
+from lexloom.llm import components, jaccard_join
 
 
 def shingles(text, k):
@@ -41,6 +41,35 @@ def test_components(docs, rows, k, percent):
     assert got == brute(rows, k, percent)
 
 
+def near_copies(seed=4, size=160):
+    """One group of near copies whose similarities lie on both sides of the threshold, and a shared passage."""
+    import random
+
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(4000)]
+    base = [rng.choice(words) for _ in range(120)]
+    out = []
+    for i in range(size):
+        own = list(base)
+        for _ in range(rng.randrange(9)):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        out.append((i, " ".join(own)))
+    passage = " ".join(rng.choice(words) for _ in range(60))
+    return out + [(1000 + i, " ".join(rng.choice(words) for _ in range(rng.randrange(5, 200))) + " " + passage) for i in range(60)]
+
+
+@pytest.mark.parametrize(("limit", "small"), [(1 << 21, 1 << 20), (2000, 0)])
+def test_one_hot_group(spark, monkeypatch, limit, small):
+    """Whole clusters in a task, and clusters cut into blocks with components by stars."""
+    monkeypatch.setattr(jaccard_join, "LIMIT", limit)
+    monkeypatch.setattr(components, "SMALL", small)
+    rows = near_copies()
+    got = Counter(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 5, 80).collect())
+    want = brute(rows, 5, 80)
+    assert 3 < len({c for _, _, c in want if c < 1000}) < 150
+    assert got == want
+
+
 def test_keep_one(docs, rows):
     kept = jaccard_join.keep_one(docs, 5, 80)
     assert kept.columns == docs.columns
