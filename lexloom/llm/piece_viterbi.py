@@ -16,15 +16,17 @@ rows; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
+from array import array
 
-
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm._common import map_arrow
+from lexloom.llm._common import list_array, map_arrow
 
-MARK, CACHED, STEP = "▁", 300_000, 256
+MARK, CACHED, STEP, LEARNT = "▁", 300_000, 256, 300_000
 
 
 class Pieces:
@@ -48,55 +50,93 @@ class Pieces:
         self.names = names
         self.silent = {i for i in range(count) if model.is_control(i)}
         self.unknown_score = min(scores) - 10.0
-        self.longest = max(map(len, self.ids))
-        # Every ending of a piece: a run of characters that isn't one ends no piece, nor do longer ones.
-        self.endings = {name[i:] for name in self.ids for i in range(len(name))}
+        self._automaton()
         inner = [n for n in self.ids if MARK in n.lstrip(MARK)]
         if inner:
             raise ValueError(f"pieces with an inner mark can't be parted into words: {inner[:3]}")
-        self.cache: dict[str, list[int]] = {}
-
-    def segment(self, words: list[str]) -> dict[str, list[int]]:
-        """Ids of distinct marked words, by one walk over them in sorted order."""
-        ids, endings, longest = self.ids, self.endings, self.longest
-        out: dict[str, list[int]] = {}
-        best: list[float] = [0.0]
-        back: list[tuple[int, int]] = [(0, 0)]  # where the last piece starts, and its id
+        self.cache: dict[str, bytes] = {}
+
+    def _automaton(self) -> None:
+        """A trie of the pieces with failure links; `ends` lists what ends at a state, longest first.
+
+        Each entry is (length, score, id).  Where no piece of one character ends, the character itself
+        stands as unknown.
+        """
+        self.goto, self.fail, own = [{}], [0], [None]
+        for name, (number, score) in self.ids.items():
+            state = 0
+            for c in name:
+                after = self.goto[state].get(c)
+                if after is None:
+                    after = self.goto[state][c] = len(self.goto)
+                    self.goto.append({})
+                    self.fail.append(0)
+                    own.append(None)
+                state = after
+            own[state] = (len(name), score, number)
+        unknown = (1, self.unknown_score, self.unknown)
+        self.ends = [(unknown,)] * len(self.goto)
+        queue = list(self.goto[0].values())
+        for state in queue:
+            rest = self.ends[self.fail[state]]
+            if own[state] is not None:
+                rest = (own[state],) if own[state][0] == 1 else (own[state], *rest)
+            self.ends[state] = rest
+            for c, after in self.goto[state].items():
+                back = self.fail[state]
+                while back and c not in self.goto[back]:
+                    back = self.fail[back]
+                below = self.goto[back].get(c, 0)
+                self.fail[after] = below if below != after else 0
+                queue.append(after)
+        self.learnt = 0
+
+    def _step(self, state: int, c: str) -> int:
+        """The state after a character that has no edge at this one; the first LEARNT such steps are kept."""
+        at = state
+        while at and c not in self.goto[at]:
+            at = self.fail[at]
+        after = self.goto[at].get(c, 0)
+        if self.learnt < LEARNT:
+            self.goto[state][c] = after
+            self.learnt += 1
+        return after
+
+    def segment(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct marked words as 32-bit bytes, by one depth-first walk over them in sorted order."""
+        goto, ends = self.goto, self.ends
+        out: dict[str, bytes] = {}
+        states, best, back = [0], [0.0], [(0, 0.0, 0)]  # by depth; back: the piece that ends there
         before = ""
         for word in sorted(words):
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del best[shared + 1 :], back[shared + 1 :]
-            for end in range(shared + 1, len(word) + 1):
-                top, arrow = None, None
-                ends = []
-                for start in range(end - 1, max(-1, end - 1 - longest), -1):
-                    piece = word[start:end]
-                    if piece not in endings:
-                        break
-                    hit = ids.get(piece)
-                    if hit is not None:
-                        ends.append((start, hit))
-                if not ends or ends[0][0] != end - 1:
-                    ends.insert(0, (end - 1, (self.unknown, self.unknown_score)))
+            del states[shared + 1 :], best[shared + 1 :], back[shared + 1 :]
+            state = states[shared]
+            for c in word[shared:]:
+                after = goto[state].get(c)
+                state = self._step(state, c) if after is None else after
+                top = arrow = None
                 # Longer pieces, that is earlier starts, first: only a greater sum replaces one.
-                for start, (number, score) in reversed(ends):
-                    total = best[start] + score
+                for entry in ends[state]:
+                    total = best[-entry[0]] + entry[1]
                     if top is None or total > top:
-                        top, arrow = total, (start, number)
+                        top, arrow = total, entry
+                states.append(state)
                 best.append(top)
                 back.append(arrow)
             path, at = [], len(word)
             while at:
-                start, number = back[at]
+                length, _, number = back[at]
                 if number == self.unknown:
-                    raw = word[start:at].encode("utf-8", "surrogatepass")
+                    raw = word[at - length : at].encode("utf-8", "surrogatepass")
                     path += [self.byte_ids[b] for b in reversed(raw)] if self.byte_ids else [number]
                 else:
                     path.append(number)
-                at = start
-            out[word] = path[::-1]
+                at -= length
+            path.reverse()
+            out[word] = array("i", path).tobytes()
             before = word
         return out
 
@@ -117,18 +157,23 @@ class Pieces:
             words.append(lead)
         return words
 
-    def encode_batch(self, texts: list[str | None]) -> list[list[int] | None]:
+    @classmethod
+    def led(cls, text: str) -> list[str]:
+        """The marked words without their first mark, which all of them have."""
+        parts = text.split(" ")
+        if "" in parts or MARK in text:
+            return [word[1:] for word in cls.marked(text)]
+        return parts
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes | None]:
+        """Ids of each text as 32-bit bytes."""
         cache = self.cache
         if len(cache) > CACHED:
             cache.clear()
-        parted = [None if t is None else self.marked(t) for t in texts]
-        fresh = set()
-        for words in parted:
-            if words:
-                fresh.update(words)
-        fresh = [w for w in fresh if w not in cache]
-        cache.update(self.segment(fresh))
-        return [None if words is None else [i for w in words for i in cache[w]] for words in parted]
+        parted = [None if t is None else self.led(t) for t in texts]
+        fresh = set().union(*(words for words in parted if words)) - cache.keys()
+        cache.update((word[1:], ids) for word, ids in self.segment([MARK + w for w in fresh]).items())
+        return [None if words is None else b"".join(map(cache.__getitem__, words)) for words in parted]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; runs of byte pieces are read as UTF-8, wrong bytes as U+FFFD each."""
@@ -167,7 +212,10 @@ def encode(docs: DataFrame, model: str) -> DataFrame:
         for at in range(0, batch.num_rows, STEP):
             part = batch.slice(at, STEP)
             got = tool.encode_batch(part.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "text", "ids"])
+            lengths = np.array([0 if x is None else len(x) // 4 for x in got])
+            ids = list_array(np.frombuffer(b"".join(x for x in got if x), np.int32), lengths, pa.int32())
+            ids = pc.if_else(pa.array([x is not None for x in got]), ids, pa.scalar(None, ids.type))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids], names=["doc_id", "text", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_arrow(rows, each, "doc_id long, text string, ids array<int>")

@@ -1,6 +1,7 @@
 import json
 import unicodedata
 
+import numpy as np
 import pytest
 
 from lexloom.llm import piece_viterbi, wordpiece_counts
@@ -13,9 +14,9 @@ def tool():
 
 
 def brute_score(tool, word):
-    best = [0.0]
+    best, longest = [0.0], max(map(len, tool.ids))
     for end in range(1, len(word) + 1):
-        options = [best[s] + tool.ids[word[s:end]][1] for s in range(max(0, end - tool.longest), end) if word[s:end] in tool.ids]
+        options = [best[s] + tool.ids[word[s:end]][1] for s in range(max(0, end - longest), end) if word[s:end] in tool.ids]
         if word[end - 1] not in tool.ids:
             options.append(best[end - 1] + tool.unknown_score)
         best.append(max(options))
@@ -30,8 +31,9 @@ def test_viterbi(docs, rows, tool):
         assert (r.ids is None) == (r.text is None)
         assert r.decoded == r.text
     scores = {i: s for i, s in tool.ids.values()}
-    words = {w for _, t, *_ in rows if t for w in tool.marked(t[:3000])}
-    for word, ids in tool.segment(list(words)).items():
+    words = {w for _, t, *_ in rows if t for w in tool.marked(t)}
+    for word, raw in tool.segment(list(words)).items():
+        ids = np.frombuffer(raw, np.int32).tolist()
         unknown, spelled = 0, []
         for i in ids:
             spelled.append(tool.bytes_of[i] if i in tool.bytes_of else tool.names[i])
