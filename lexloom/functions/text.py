@@ -36,6 +36,12 @@ def char_ngrams(word: Column, n: int = 2) -> Column:
     return F.when(F.length(word) >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
+def letters(word: Column) -> Column:
+    """The characters of a word, each with the number of its occurrence, so that sets of them meet as multisets do."""
+    each = F.filter(F.split(word, ""), lambda c: c != "")
+    return F.transform(each, lambda c, i: F.concat(c, F.size(F.filter(F.slice(each, F.lit(1), i + 1), lambda x: x == c)).cast("string")))
+
+
 def all_text(*columns: Column) -> Column:
     """Every field of a record joined by spaces, lower-cased; nulls read 'none'."""
     return F.lower(F.concat_ws(" ", *[F.coalesce(c.cast("string"), F.lit("None")) for c in columns]))

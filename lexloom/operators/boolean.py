@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.operators.index import universe
+from lexloom.operators.index import StoredIndex, universe
 
 #: A tree is a term, or (operator, operands).
 Tree = str | tuple
@@ -79,11 +79,11 @@ def condition(tree: Tree, held: dict[str, Column]) -> Column:
     return left & right if tree[0] == "AND" else left | right
 
 
-def retrieve(post: DataFrame, query: str) -> DataFrame:
+def retrieve(post: DataFrame, query: str, everything: DataFrame | None = None) -> DataFrame:
     """doc_id of the documents that a query finds in postings (term, doc_id).
 
-    Terms are matched as they stand.  Only postings of the query's terms are read; the universe of
-    documents with any term is joined only for queries with NOT.
+    Terms are matched as they stand.  Only postings of the query's terms are grouped; the universe of
+    documents with any term (by default made from the postings) is joined only for queries with NOT.
     """
     tree = parse(query)
     if tree is None:
@@ -92,6 +92,12 @@ def retrieve(post: DataFrame, query: str) -> DataFrame:
     names = {w: f"t{i}" for i, w in enumerate(words)}
     flags = post.where(F.col("term").isin(words)).groupBy("doc_id").agg(*[F.bool_or(F.col("term") == w).alias(names[w]) for w in words])
     if negates(tree):
-        flags = universe(post).join(flags, "doc_id", "left")
+        flags = (universe(post) if everything is None else everything).join(flags, "doc_id", "left")
     held = {w: F.coalesce(F.col(names[w]), F.lit(False)) for w in words}
     return flags.where(condition(tree, held)).select("doc_id")
+
+
+def retrieve_stored(index: StoredIndex, query: str) -> DataFrame:
+    """The same from a stored index: its terms' row groups are all that is read, and the universe for NOT."""
+    tree = parse(query)
+    return retrieve(index.postings(terms(tree) if tree is not None else []), query, index.universe)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.similarity import blended, indel_distance, ratcliff_ratio, soundex_variant
-from lexloom.functions.text import char_ngrams
+from lexloom.functions.text import char_ngrams, letters
 
 
 def _deletions(word: Column, k: int) -> Column:
@@ -59,14 +59,20 @@ def edit_candidates(queries: DataFrame, dictionary: DataFrame, k: int = 2) -> Da
     return whole.withColumn("rank", F.row_number().over(order))
 
 
+def _pairs_by_key(queries: DataFrame, dictionary: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(q, w, jaccard) of pairs that share an n-gram, (q, query) and (w, word): words go by 64-bit keys while pairs are counted."""
+    asked = queries.select("query").distinct().select(F.xxhash64("query").alias("q"), "query", char_ngrams(F.lower("query"), n).alias("g"))
+    words = dictionary.select("word").distinct().select(F.xxhash64("word").alias("w"), "word", char_ngrams(F.col("word"), n).alias("g"))
+    a, b = asked.select("q", F.explode("g").alias("gram")), words.select("w", F.explode("g").alias("gram"))
+    met = a.join(b, "gram").groupBy("q", "w").agg(F.count("*").alias("both"))
+    met = met.join(asked.select("q", F.size("g").alias("na")), "q").join(words.select("w", F.size("g").alias("nb")), "w")
+    return met.select("q", "w", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard")), asked.select("q", "query"), words.select("w", "word")
+
+
 def ngram_pairs(queries: DataFrame, dictionary: DataFrame, n: int = 2) -> DataFrame:
     """query, word, jaccard of all pairs that share an n-gram (all others have 0)."""
-    asked = queries.select("query").distinct().withColumn("g", char_ngrams(F.lower("query"), n))
-    words = dictionary.select("word").distinct().withColumn("g", char_ngrams(F.col("word"), n))
-    a = asked.select("query", F.size("g").alias("na"), F.explode("g").alias("gram"))
-    b = words.select("word", F.size("g").alias("nb"), F.explode("g").alias("gram"))
-    met = a.join(b, "gram").groupBy("query", "word", "na", "nb").agg(F.count("*").alias("both"))
-    return met.select("query", "word", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+    pairs, asked, words = _pairs_by_key(queries, dictionary, n)
+    return pairs.join(asked, "q").join(words, "w").select("query", "word", "jaccard")
 
 
 def ngram_best(queries: DataFrame, dictionary: DataFrame, n: int = 2) -> DataFrame:
@@ -75,7 +81,9 @@ def ngram_best(queries: DataFrame, dictionary: DataFrame, n: int = 2) -> DataFra
     Where no word shares an n-gram every word ties at 0; the least word stands for all of them, and
     the query itself if there is no word.
     """
-    best = ngram_pairs(queries, dictionary, n).withColumn("top", F.max("jaccard").over(Window.partitionBy("query"))).where("jaccard = top").drop("top")
+    pairs, asked, words = _pairs_by_key(queries, dictionary, n)
+    top = pairs.groupBy("q").agg(F.max("jaccard").alias("jaccard"))
+    best = pairs.join(top, ["q", "jaccard"]).join(asked, "q").join(words, "w").select("query", "word", "jaccard")
     least = dictionary.agg(F.min("word").alias("least"))
     none = queries.select("query").distinct().join(best.select("query").distinct(), "query", "left_anti")
     filled = none.join(F.broadcast(least)).select("query", F.coalesce("least", F.lower("query")).alias("word"), F.lit(0.0).alias("jaccard"))
@@ -85,8 +93,9 @@ def ngram_best(queries: DataFrame, dictionary: DataFrame, n: int = 2) -> DataFra
 def hybrid_candidates(queries: DataFrame, dictionary: DataFrame, n: int = 2, ngram_weight: float = 0.5, edit_weight: float = 0.5, threshold: float = 0.5) -> DataFrame:
     """query, word, score, rank: blended scores of the threshold or more, by (score down, word); else the query at 0.
 
-    A dictionary word scores 1 against itself.  A ratio is at most 2 min / (sum of lengths), so pairs
-    whose bound stays below the threshold are dropped before the ratio is computed.  Pairs without a
+    A dictionary word scores 1 against itself.  A ratio is at most 2 min / (sum of lengths), and at most
+    2 common letters / (sum of lengths), so pairs whose bounds stay below the threshold are dropped
+    before the ratio is computed.  Pairs without a
     shared n-gram come by their lengths if the edit weight alone can reach the threshold; if it only
     just can (as by default), the ratio must be 1, so these are equal words shorter than n.
     """
@@ -98,6 +107,11 @@ def hybrid_candidates(queries: DataFrame, dictionary: DataFrame, n: int = 2, ngr
         others = queries.select("query").distinct().join(dictionary.select("word").distinct(), near)
         pairs = others.join(pairs, ["query", "word"], "left_anti").withColumn("jaccard", F.lit(0.0)).union(pairs)
     pairs = pairs.where(ngram_weight * F.col("jaccard") + edit_weight * alike >= threshold - 1e-9)
+    # Blocks that match are of common letters, each as often as both words have it.
+    asked, words = queries.select("query").distinct(), dictionary.select("word").distinct()
+    pairs = pairs.join(asked.select("query", letters(F.lower("query")).alias("x")), "query").join(words.select("word", letters(F.col("word")).alias("y")), "word")
+    common = F.when(la + lb > 0, 2 * F.size(F.array_intersect("x", "y")) / F.greatest(la + lb, F.lit(1))).otherwise(1.0)
+    pairs = pairs.where(ngram_weight * F.col("jaccard") + edit_weight * common >= threshold - 1e-9)
     scored = pairs.select("query", "word", blended(F.col("jaccard"), ratcliff_ratio(F.lower("query"), F.col("word")), ngram_weight, edit_weight).alias("score"))
     kept = scored.where(F.col("score") >= threshold)
     none = queries.select("query").distinct().join(kept.select("query").distinct(), "query", "left_anti")

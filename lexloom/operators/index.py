@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import analyze, char_ngrams, split_words, word_characters
+from lexloom.functions.text import all_text, analyze, char_ngrams, split_words, word_characters
 
 #: Ids of one posting row span at most so many numbers, so no row grows with the corpus.
 SEGMENT = 1 << 16
 
 
+def record_text() -> Column:
+    """Every field of a record, its number first, in one lower-cased text."""
+    return all_text(*map(F.col, ("Index", "Title", "Author", "bib_source", "Abstract")))
+
+
 def postings(docs: DataFrame, analyzer=analyze) -> DataFrame:
     """term, doc_id: the distinct terms of each record's four text fields.
 
@@ -38,10 +44,33 @@ def universe(post: DataFrame) -> DataFrame:
     return post.select("doc_id").distinct()
 
 
+def lemmatized(post: DataFrame, lemmas: DataFrame) -> DataFrame:
+    """Postings whose terms are replaced by their lemma where a table (term, lemma) has one; each pair once."""
+    known = lemmas.groupBy("term").agg(F.min("lemma").alias("lemma"))
+    return post.join(known, "term", "left").select(F.coalesce("lemma", "term").alias("term"), "doc_id").distinct()
+
+
+def store(post: DataFrame, path: str) -> None:
+    """Writes an index once, to be read by many queries: posting segments in ranges of terms, and the universe beside them."""
+    lists = inverted_index(post).repartitionByRange("term").sortWithinPartitions("term", "segment")
+    lists.write.mode("overwrite").parquet(f"{path}/postings")
+    universe(post).write.mode("overwrite").parquet(f"{path}/universe")
+
+
+class StoredIndex:
+    """A stored index: a lookup reads only the row groups whose range of terms holds the asked ones."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.lists, self.universe = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/universe")
+
+    def postings(self, terms: list[str]) -> DataFrame:
+        """term, doc_id of the asked terms."""
+        return self.lists.where(F.col("term").isin(terms)).select("term", F.explode("ids").alias("doc_id"))
+
+
 def word_documents(docs: DataFrame) -> DataFrame:
     """word, doc_id: words of more than two characters of all text."""
-    text = F.lower(F.concat_ws(" ", F.col("Index").cast("string"), "Title", "Author", "bib_source", "Abstract"))
-    words = docs.select(F.explode(F.array_distinct(word_characters(text))).alias("word"), F.col("Index").alias("doc_id"))
+    words = docs.select(F.explode(F.array_distinct(word_characters(record_text()))).alias("word"), F.col("Index").alias("doc_id"))
     return words.where(F.length("word") > 2).distinct()
 
 
@@ -60,27 +89,42 @@ def parse_blocks(tokens: DataFrame, block_size: int) -> DataFrame:
 
     A block ends as soon as it holds block_size distinct terms; a document may lie in two.  Blocks
     are numbered within partitions (partition number first), terms of a block are sorted, and
-    ids stand once for each occurrence.
+    ids stand once for each occurrence.  Terms are numbered in the order of their first occurrence
+    a batch at a time, so no step is taken for each token; an open block is held as arrays.
     """
 
     def cut(batches):
-        number, held = 0, {}
+        number, part = 0, None
+        terms, docs = np.empty(0, object), np.empty(0, np.int64)
         for pdf in batches:
-            for part, term, doc in zip(pdf["part"], pdf["term"], pdf["doc_id"], strict=True):
-                held.setdefault(term, []).append(doc)
-                if len(held) >= block_size:
-                    yield _block(part, number, held)
-                    number, held = number + 1, {}
-        if held:
-            yield _block(part, number, held)
+            if not len(pdf):
+                continue
+            part = int(pdf["part"].iloc[0])
+            terms, docs = np.concatenate((terms, pdf["term"].to_numpy(object))), np.concatenate((docs, pdf["doc_id"].to_numpy()))
+            codes, _ = pd.factorize(terms)
+            at = 0
+            while True:
+                # The token that brings the block's last term; numbers go on rising over a whole batch, so later blocks count anew.
+                full = np.flatnonzero(codes == block_size - 1)
+                if not len(full):
+                    break
+                end = at + int(full[0]) + 1
+                yield _block(part, number, terms[at:end], docs[at:end])
+                number, at = number + 1, end
+                codes, _ = pd.factorize(terms[at:])
+            terms, docs = terms[at:], docs[at:]
+        if len(terms):
+            yield _block(part, number, terms, docs)
 
     placed = tokens.select(F.spark_partition_id().cast("long").alias("part"), "term", "doc_id")
     return placed.mapInPandas(cut, "block_id string, term string, ids array<long>")
 
 
-def _block(part: int, number: int, held: dict) -> pd.DataFrame:
-    terms = sorted(held)
-    return pd.DataFrame({"block_id": f"{part:06d}-{number:06d}", "term": terms, "ids": [held[t] for t in terms]})
+def _block(part: int, number: int, terms: np.ndarray, docs: np.ndarray) -> pd.DataFrame:
+    codes, names = pd.factorize(terms, sort=True)
+    order = np.argsort(codes, kind="stable")
+    ids = np.split(docs[order], np.cumsum(np.bincount(codes))[:-1])
+    return pd.DataFrame({"block_id": f"{part:06d}-{number:06d}", "term": names, "ids": ids})
 
 
 def merge_blocks(blocks: DataFrame) -> DataFrame:

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import contextlib
+import os
 import platform
+import resource
 import time
-from collections.abc import Callable, Iterable
+import tracemalloc
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import format_bytes
+
 
 def suggestion_quality(queries: DataFrame, suggestions: DataFrame) -> DataFrame:
     """query, tp, fp, precision, accuracy of suggestions (query, word) against queries (query, corrected)."""
@@ -36,14 +42,73 @@ def correction_accuracy(queries: DataFrame, corrected: DataFrame) -> DataFrame:
 
 def system_info(spark: SparkSession) -> dict[str, str]:
     sc = spark.sparkContext
-    return {"platform": platform.platform(), "python": platform.python_version(), "spark": spark.version, "master": sc.master, "parallelism": str(sc.defaultParallelism)}
+    memory = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+    return {
+        "processor": platform.processor() or platform.machine(),
+        "total_memory": format_bytes(memory),
+        "system": platform.system(),
+        "python_version": platform.python_version(),
+        "spark": spark.version,
+        "master": sc.master,
+        "parallelism": str(sc.defaultParallelism),
+    }
 
 
 def timed(runs: Iterable[tuple[str, Callable[[], object]]]) -> dict[str, float]:
-    """Seconds of named steps, in turn."""
+    """Seconds of named steps, in turn, and of all of them (`total`): a break-down of the set-up."""
     out = {}
     for name, step in runs:
         began = time.perf_counter()
         step()
         out[name] = time.perf_counter() - began
-    return out
+    return out | {"total": sum(out.values())}
+
+
+@contextlib.contextmanager
+def measured() -> Iterator[dict]:
+    """Fills a dict with the wall time of a block, the growth of the process's peak memory, and what Python allocated in it."""
+    out: dict = {}
+    began, before = time.perf_counter(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    tracemalloc.start()
+    try:
+        yield out
+    finally:
+        out["current"], out["peak"] = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        out["seconds"] = time.perf_counter() - began
+        out["resident_growth"] = 1024 * (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+
+
+def benchmark(queries: DataFrame, correct: Callable[[DataFrame], DataFrame]) -> dict:
+    """Accuracy, time and memory of a correction over labelled queries (query, corrected); correct gives (query, word).
+
+    All queries are corrected by one job; each is given an equal share of its time.  The labelled
+    set is what comes to the driver, and its size is the caller's.
+    """
+    with measured() as cost:
+        found = queries.join(correct(queries.select("query")), "query", "left").select("query", "corrected", "word").collect()
+    n = len(found)
+    each = cost["seconds"] / n if n else 0.0
+    rows = [{"query": r["query"], "corrected": r["word"], "expected": r["corrected"], "correct": r["word"] == r["corrected"], "time": each} for r in found]
+    right = sum(r["correct"] for r in rows)
+    return {
+        "total_queries": n,
+        "total_time": cost["seconds"],
+        "average_time": each,
+        "correct_count": right,
+        "accuracy": right / n if n else 0.0,
+        "current_memory": format_bytes(cost["current"]),
+        "peak_memory": format_bytes(cost["peak"]),
+        "individual_results": rows,
+    }
+
+
+#: Misspelled words whose corrections are shown after a benchmark.
+SAMPLES = ("akoustic", "abzorption", "bureacratic", "aproximatley")
+
+
+def sample_corrections(spark: SparkSession, correct: Callable[[DataFrame], DataFrame], words: Iterable[str] = SAMPLES) -> DataFrame:
+    """query, line of each sample word and its correction; correct gives (query, word)."""
+    asked = spark.createDataFrame([(w,) for w in words], "query string")
+    both = asked.join(correct(asked), "query", "left")
+    return both.select("query", F.format_string("'%s' -> '%s'", "query", F.coalesce("word", "query")).alias("line"))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import Broadcast, StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import join_tokens, split_words, word_characters
@@ -18,30 +19,50 @@ def phrase_tokens(phrases: DataFrame, words: bool = False) -> DataFrame:
     return phrases.select("phrase_id", F.posexplode(parts).alias("pos", "token"))
 
 
-def phrase_topk(tokens: DataFrame, candidates: DataFrame, positions: int, most: int = 10) -> DataFrame:
-    """phrase_id, rank, words, total: the best combinations of candidates by summed distance.
+def _options(tokens: DataFrame, candidates: DataFrame, *order) -> DataFrame:
+    """phrase_id, places: for each place of a phrase, in order, the sorted candidates (structs of `order`)."""
+    met = tokens.join(candidates, tokens.token == candidates["query"])
+    each = met.groupBy("phrase_id", "pos").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("options"))
+    return each.groupBy("phrase_id").agg(F.array_sort(F.collect_list(F.struct("pos", "options"))).alias("places"))
 
-    Ties go by the candidates' ranks from the first word on.  After each position only the best
-    `most` beginnings of a phrase are kept, which loses none of its best combinations.
+
+def phrase_topk(tokens: DataFrame, candidates: DataFrame, most: int = 10) -> DataFrame:
+    """phrase_id, rank, words, total: the best combinations of candidates by summed distance, for phrases of any length.
+
+    Ties go by the candidates' ranks from the first word on.  After each place only the best `most`
+    beginnings of a phrase are kept, which loses none of its best combinations; a word without a
+    candidate takes no place.
     """
-    now = tokens.select("phrase_id").distinct().select("phrase_id", F.array().cast("array<string>").alias("words"), F.lit(0).alias("total"), F.array().cast("array<int>").alias("ranks"))
+    kind = "array<struct<total:long,ranks:array<int>,words:array<string>>>"
+    start = F.array(F.struct(F.lit(0).alias("total"), F.array().alias("ranks"), F.array().alias("words"))).cast(kind)
+
+    def grow(state: Column, place: Column) -> Column:
+        step = lambda s: lambda o: F.struct((s["total"] + o["distance"]).alias("total"), F.concat(s["ranks"], F.array(o["rank"])).alias("ranks"), F.concat(s["words"], F.array(o["word"])).alias("words"))
+        grown = F.flatten(F.transform(state, lambda s: F.transform(place["options"], step(s))))
+        return F.slice(F.array_sort(grown), 1, most).cast(kind)
+
+    places = _options(tokens, candidates.where(F.col("rank") <= most), F.col("rank").cast("int").alias("rank"), "word", F.col("distance").cast("long").alias("distance"))
+    whole = tokens.select("phrase_id").distinct().join(places, "phrase_id", "left")
+    none = F.array().cast("array<struct<pos:int,options:array<struct<rank:int,word:string,distance:bigint>>>>")
+    found = whole.select("phrase_id", F.posexplode(F.aggregate(F.coalesce("places", none), start, grow)).alias("rank", "best"))
+    return found.select("phrase_id", (F.col("rank") + 1).alias("rank"), F.array_join("best.words", " ").alias("words"), "best.total")
+
+
+def soundex_phrases(tokens: DataFrame, candidates: DataFrame, most: int = 50) -> DataFrame:
+    """phrase_id, rank, suggestion: the first `most` combinations of phonetic candidates, in the order of their words.
+
+    A phrase with a word that has no candidate has none.
+    """
+
+    def grow(state: Column, place: Column) -> Column:
+        grown = F.flatten(F.transform(state, lambda s: F.transform(place["options"], lambda o: F.concat(s, F.array(o["word"])))))
+        return F.slice(F.array_sort(grown), 1, most).cast("array<array<string>>")
+
     sizes = tokens.groupBy("phrase_id").agg(F.count("*").alias("size"))
-    now = now.join(sizes, "phrase_id")
-    options = tokens.join(candidates, tokens.token == candidates.query).select("phrase_id", "pos", "word", "distance", "rank").where(F.col("rank") <= most)
-    best = Window.partitionBy("phrase_id").orderBy("total", "ranks")
-    for pos in range(positions):
-        step = options.where(F.col("pos") == pos).drop("pos")
-        grown = now.join(step, "phrase_id", "left")
-        have = F.col("word").isNotNull()
-        now = grown.select(
-            "phrase_id",
-            F.when(have, F.concat("words", F.array("word"))).otherwise(F.col("words")).alias("words"),
-            (F.col("total") + F.coalesce("distance", F.lit(0))).alias("total"),
-            F.when(have, F.concat("ranks", F.array("rank"))).otherwise(F.col("ranks")).alias("ranks"),
-            "size",
-        )
-        now = now.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most).drop("rank")
-    return now.select("phrase_id", F.row_number().over(best).alias("rank"), F.array_join("words", " ").alias("words"), "total")
+    whole = _options(tokens, candidates.distinct(), "word").join(sizes, "phrase_id").where(F.size("places") == F.col("size"))
+    start = F.array(F.array().cast("array<string>")).cast("array<array<string>>")
+    found = whole.select("phrase_id", F.posexplode(F.aggregate("places", start, grow)).alias("rank", "words"))
+    return found.select("phrase_id", (F.col("rank") + 1).alias("rank"), F.array_join("words", " ").alias("suggestion"))
 
 
 def phrase_best(tokens: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -62,11 +83,14 @@ def hybrid_choice(tokens: DataFrame, dictionary: DataFrame, candidates: DataFram
 
 
 def soundex_products(tokens: DataFrame, candidates: DataFrame) -> DataFrame:
-    """phrase_id, n: how many combinations of phonetic candidates a phrase has, none of them made."""
+    """phrase_id, n: how many combinations of phonetic candidates a phrase has, none of them made.
+
+    n is a double, since the product of a long phrase passes 64 bits; it is exact up to 2^53.
+    """
     counts = candidates.groupBy("query").agg(F.count("*").alias("c"))
     joined = tokens.join(counts, tokens.token == counts["query"], "left")
     sizes = joined.groupBy("phrase_id").agg(F.collect_list(F.coalesce("c", F.lit(0))).alias("c"))
-    return sizes.select("phrase_id", F.aggregate("c", F.lit(1).cast("long"), lambda a, x: a * x).alias("n"))
+    return sizes.select("phrase_id", F.aggregate("c", F.lit(1.0), lambda a, x: a * x).alias("n"))
 
 
 def soundex_quality(phrases: DataFrame, tokens: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -90,26 +114,27 @@ def soundex_quality(phrases: DataFrame, tokens: DataFrame, candidates: DataFrame
 def search(docs: DataFrame, phrases: DataFrame, *fields) -> DataFrame:
     """phrase, doc_id of every phrase in every document that holds it in one of the fields, whatever the case.
 
-    The distinct phrases are the query set; in blocks of PHRASE_BLOCK they become one automaton
-    each, and a block is one scan of the documents, with no join of documents and phrases.  An empty
-    phrase is in every document.
+    The distinct phrases are the query set; in blocks of about PHRASE_BLOCK, dealt by a hash, they become
+    one automaton each, and a block is one scan of the documents, with no join of documents and
+    phrases.  The driver holds one block at a time.  An empty phrase is in every document.
     """
-    asked = phrases.select(F.lower("phrase").alias("phrase")).where("phrase is not null").distinct()
-    rows = sorted(r["phrase"] for r in asked.toLocalIterator())
+    spark = docs.sparkSession
+    asked = phrases.select(F.lower("phrase").alias("phrase")).where("phrase is not null").distinct().persist(StorageLevel.DISK_ONLY)
+    blocks = max(1, -(-asked.count() // PHRASE_BLOCK))
     texts = docs.select(F.col("Index").alias("doc_id"), *[F.lower(F.coalesce(f, F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)])
     out = None
-    for at in range(0, max(len(rows), 1), PHRASE_BLOCK):
-        part = _scan(texts, rows[at : at + PHRASE_BLOCK])
+    for number in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == number)
+        part = _scan(texts, spark.sparkContext.broadcast(sorted(r["phrase"] for r in block.collect())))
         out = part if out is None else out.union(part)
+    asked.unpersist()
     return out
 
 
-def _scan(texts: DataFrame, phrases: list[str]) -> DataFrame:
-    everywhere = [p for p in phrases if not p]
-
+def _scan(texts: DataFrame, block: Broadcast) -> DataFrame:
     def run(batches):
-        automaton = ahocorasick.Automaton()
-        for p in phrases:
+        automaton, everywhere = ahocorasick.Automaton(), [p for p in block.value if not p]
+        for p in block.value:
             if p:
                 automaton.add_word(p, p)
         if len(automaton):
@@ -133,3 +158,7 @@ def first_documents(found: DataFrame) -> DataFrame:
     return found.groupBy("phrase").agg(F.min("doc_id").alias("doc_id"))
 
 
+def first_of_combinations(combinations: DataFrame, docs: DataFrame, *fields) -> DataFrame:
+    """phrase_id, rank, words, total, doc_id: of ranked combinations those that a document holds, with the first that does."""
+    first = first_documents(search(docs, combinations.select(F.col("words").alias("phrase")), *fields))
+    return combinations.join(first, F.lower("words") == F.col("phrase")).select("phrase_id", "rank", "words", "total", "doc_id")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.similarity import soundex_variant
-from lexloom.functions.text import char_ngrams, render_ids
+from lexloom.functions.text import char_ngrams, join_tokens, render_ids
 from lexloom.operators import boolean, candidates, index, metrics, phrase
+from lexloom.session import shared_dir
 from lexloom.sources import readers, writers
 
 
@@ -97,6 +99,16 @@ def boolean_query(text: str) -> Callable[[Data], DataFrame]:
     return lambda d: boolean.retrieve(index.postings(d.docs), text)
 
 
+def bool_stored(d: Data) -> DataFrame:
+    """`( en OR re ) AND NOT ha` and `NOT re` over an index that was stored once, told apart by `query`."""
+    path = f"{shared_dir(d.spark)}/index-{uuid.uuid4().hex}"
+    index.store(index.postings(d.docs), path)
+    stored = index.StoredIndex(d.spark, path)
+    asked = [BOOLEAN[name] for name in ("bool_nested", "bool_not")]
+    found = [boolean.retrieve_stored(stored, text).withColumn("query", F.lit(text)) for text in asked]
+    return found[0].union(found[1])
+
+
 def index_display(d: Data) -> DataFrame:
     docs = d.docs
     return writers.display_lines(boolean.retrieve(index.postings(docs), BOOLEAN["bool_nested"]), docs)
@@ -123,10 +135,81 @@ def ngram_corrected(d: Data) -> DataFrame:
     return phrase.phrase_best(tokens, candidates.ngram_best(tokens.select(F.col("token").alias("query")), d.ngram_words))
 
 
+def _spoken(d: Data) -> DataFrame:
+    """phrase_id, phrase, corrected: three words that stand side by side in a benchmark text, each misspelled."""
+    held = d.table("benchmark").select(F.col("item_id").alias("phrase_id"), F.regexp_extract(F.lower("text"), "[a-z]+ [a-z]+ [a-z]+", 0).alias("corrected")).where("corrected != ''")
+    swap = lambda w: F.when(F.length(w) >= 6, F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substring(w, 4, 2**31 - 1))).otherwise(w)
+    return held.withColumn("phrase", F.array_join(F.transform(F.split("corrected", " "), swap), " "))
+
+
+def _by_word(tokens: DataFrame) -> DataFrame:
+    return tokens.select(F.col("token").alias("query")).distinct()
+
+
+def edit_phrase_search(d: Data) -> DataFrame:
+    """Every document that holds a greedily corrected phrase in one of four fields."""
+    tokens = phrase.phrase_tokens(_spoken(d))
+    fixed = phrase.phrase_best(tokens, candidates.edit_candidates(_by_word(tokens), d.dictionary))
+    return phrase.search(d.docs, fixed.select(F.col("corrected").alias("phrase")), *_fields())
+
+
+def _spoken_topk(d: Data) -> DataFrame:
+    tokens = phrase.phrase_tokens(_spoken(d))
+    return phrase.phrase_topk(tokens, candidates.edit_candidates(_by_word(tokens), d.dictionary))
+
+
+def edit_topk_search(d: Data) -> DataFrame:
+    """The ten best combinations of each phrase that a document holds, with the first that does."""
+    return phrase.first_of_combinations(_spoken_topk(d), d.docs, *_fields()).withColumn("rank", F.col("rank").cast("long"))
+
+
+def edit_topk_lines(d: Data) -> DataFrame:
+    """The ranked combinations of each phrase and the documents found for them, as lines."""
+    best = _spoken_topk(d)
+    return writers.correction_lines(best, phrase.first_of_combinations(best, d.docs, *_fields()), d.docs).select("phrase_id", "line")
+
+
+def ngram_phrase_search(d: Data) -> DataFrame:
+    """Every document whose whole text holds a phrase as n-gram matching corrects it."""
+    tokens = phrase.phrase_tokens(_spoken(d), words=True)
+    fixed = phrase.phrase_best(tokens, candidates.ngram_best(_by_word(tokens), d.ngram_words))
+    return phrase.search(d.docs, fixed.select(F.col("corrected").alias("phrase")), index.record_text())
+
+
+def hybrid_phrase_search(d: Data) -> DataFrame:
+    """Every document that holds a phrase, as blended scores correct it, in its title or abstract."""
+    tokens = phrase.phrase_tokens(_spoken(d))
+    choice = phrase.hybrid_choice(tokens, d.dictionary, candidates.hybrid_candidates(_by_word(tokens), d.dictionary))
+    fixed = choice.groupBy("phrase_id").agg(join_tokens(F.collect_list(F.struct("pos", "token"))).alias("phrase"))
+    return phrase.search(d.docs, fixed, F.col("Title"), F.col("Abstract"))
+
+
+def _sounding(d: Data, phrases: DataFrame) -> DataFrame:
+    tokens = phrase.phrase_tokens(phrases)
+    return phrase.soundex_phrases(tokens, candidates.soundex_candidates(_by_word(tokens), d.dictionary))
+
+
+def soundex_phrases(d: Data) -> DataFrame:
+    return _sounding(d, d.phrases).withColumn("rank", F.col("rank").cast("long"))
+
+
+def soundex_phrase_search(d: Data) -> DataFrame:
+    """Every document that holds one of the phonetic suggestions listed for a phrase."""
+    return phrase.search(d.docs, _sounding(d, _spoken(d)).select(F.col("suggestion").alias("phrase")), *_fields())
+
+
+def soundex_report(d: Data) -> DataFrame:
+    lines = writers.suggestion_lines(d.phrases, _sounding(d, d.phrases))
+    return writers.phonetic_report(lines, soundex_metrics(d), d.phrases).select("phrase_id", "line")
+
+
+def sample_corrections(d: Data) -> DataFrame:
+    return metrics.sample_corrections(d.spark, lambda q: candidates.edit_candidates(q, d.dictionary).where("rank = 1").select("query", "word"))
+
+
 def ngram_search(d: Data) -> DataFrame:
     best = candidates.ngram_best(d.asked, d.ngram_words).where("rank = 1").select(F.col("word").alias("phrase"))
-    text = F.concat_ws(" ", F.col("Index").cast("string"), "Title", "Author", "bib_source", "Abstract")
-    return phrase.search(d.docs, best, text)
+    return phrase.search(d.docs, best, index.record_text())
 
 
 def edit_candidates(d: Data) -> DataFrame:
@@ -138,13 +221,21 @@ def edit_best(d: Data) -> DataFrame:
 
 
 def _topk(d: Data) -> DataFrame:
-    return phrase.phrase_topk(d.tokens, candidates.edit_candidates(d.asked, d.dictionary), positions=3)
+    return phrase.phrase_topk(d.tokens, candidates.edit_candidates(d.asked, d.dictionary))
 
 
 def edit_phrase_topk(d: Data) -> DataFrame:
     return _topk(d).select("phrase_id", F.col("rank").cast("long"), "words", F.col("total").cast("long"))
 
 
+def edit_phrase_topk_long(d: Data) -> DataFrame:
+    """The same for phrases of five words."""
+    pairs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("number", "query"))), lambda s: s["query"]), " ")
+    phrases = d.queries.groupBy(F.floor(F.col("number") / 5).alias("phrase_id")).agg(pairs.alias("phrase"))
+    best = phrase.phrase_topk(phrase.phrase_tokens(phrases), candidates.edit_candidates(d.asked, d.dictionary))
+    return best.select("phrase_id", F.col("rank").cast("long"), "words", F.col("total").cast("long"))
+
+
 def edit_corrected(d: Data) -> DataFrame:
     return phrase.phrase_best(d.tokens, candidates.edit_candidates(d.asked, d.dictionary))
 
@@ -213,8 +304,6 @@ def _choice(d: Data) -> DataFrame:
 
 
 def hybrid_phrase(d: Data) -> DataFrame:
-    from lexloom.functions.text import join_tokens
-
     return _choice(d).groupBy("phrase_id").agg(join_tokens(F.collect_list(F.struct("pos", "token"))).alias("corrected"))
 
 
@@ -266,6 +355,7 @@ CATALOGUE: dict[str, Callable[[Data], DataFrame]] = {
     "doc_frequency": doc_frequency,
     "universe": universe,
     **{name: boolean_query(text) for name, text in BOOLEAN.items()},
+    "bool_stored": bool_stored,
     "index_display": index_display,
     "char_ngrams": char_ngram_sets,
     "ngram_index": ngram_index,
@@ -277,7 +367,17 @@ CATALOGUE: dict[str, Callable[[Data], DataFrame]] = {
     "edit_candidates": edit_candidates,
     "edit_best": edit_best,
     "edit_phrase_topk": edit_phrase_topk,
+    "edit_phrase_topk_long": edit_phrase_topk_long,
     "edit_phrase": edit_corrected,
+    "edit_phrase_search": edit_phrase_search,
+    "edit_topk_search": edit_topk_search,
+    "edit_topk_lines": edit_topk_lines,
+    "ngram_phrase_search": ngram_phrase_search,
+    "hybrid_phrase_search": hybrid_phrase_search,
+    "soundex_phrases": soundex_phrases,
+    "soundex_phrase_search": soundex_phrase_search,
+    "soundex_report": soundex_report,
+    "sample_corrections": sample_corrections,
     "edit_first_doc": edit_first_doc,
     "phrase_search_all": phrase_search_all,
     "soundex_codes": soundex_codes,

@@ -23,6 +23,10 @@ NGRAMS = f"""qg as {_GRAMS.format(c='query', t='asked')}, wg as {_GRAMS.format(c
  best0 as (select query, word, jaccard from (select *, max(jaccard) over (partition by query) m from jac) where jaccard = m),
  best1 as (select * from best0 union all select query, (select min(word) from dict), 0.0 from asked where query not in (select query from best0)),
  best as (select *, row_number() over (partition by query order by word) as rank from best1)"""
+#: Three words side by side in a benchmark text, misspelled; `asked` are its words.
+SPOKEN = f"""{DICT}, held as (select item_id as phrase_id, regexp_extract(lower(text), '[a-z]+ [a-z]+ [a-z]+') as corrected from benchmark),
+ tokens as (select phrase_id, i - 1 as pos, case when length(w) >= 6 then substr(w, 1, 1) || substr(w, 3, 1) || substr(w, 2, 1) || substr(w, 4) else w end as token from (
+  select phrase_id, unnest(string_split(corrected, ' ')) as w, generate_subscripts(string_split(corrected, ' '), 1) as i from held where corrected <> '')), asked as (select distinct token as query from tokens)"""
 _LESS = "select {c}, substr(v, 1, i - 1) || substr(v, i + 1) as v from (select {c}, v, unnest(range(1, length(v) + 1)) i from {t})"
 
 
@@ -69,6 +73,18 @@ QUALITY = """quality as (select query, tp, n - tp as fp, case when n > 0 then tp
 #: Fields aren't joined, so a phrase must stand within one.
 FIELDS = "(contains(lower(title), p) or contains(lower(author), p) or contains(lower(bib), p) or contains(lower(abstract), p))"
 ALL_TEXT = "lower(concat_ws(' ', idx::varchar, title, author, bib, abstract))"
+TOPK = """opts as (select phrase_id, pos, word, distance, rank from tokens join edits on query = token where rank <= 10),
+ topk as (select phrase_id, rank, words, total from (select *, row_number() over (partition by phrase_id order by total, r1, r2, r3) as rank from (
+  select a.phrase_id, concat_ws(' ', a.word, b.word, c.word) as words, (a.distance + b.distance + c.distance)::bigint as total, a.rank r1, b.rank r2, c.rank r3 from opts a join opts b using (phrase_id) join opts c using (phrase_id)
+  where a.pos = 0 and b.pos = 1 and c.pos = 2)) where rank <= 10)"""
+#: Combinations of the candidates of phrases of up to three words, the first fifty by their words.
+PRODUCTS = """cands as (select phrase_id, pos, word from tokens left join sound on query = token),
+ products as (select * from (select phrase_id, row_number() over (partition by phrase_id order by x, y, z) as rank, concat_ws(' ', x, y, z) as suggestion from (
+  select a.phrase_id, a.word as x, b.word as y, c.word as z, b.phrase_id as has_b, c.phrase_id as has_c from (select * from cands where pos = 0) a left join (select * from cands where pos = 1) b using (phrase_id)
+  left join (select * from cands where pos = 2) c using (phrase_id)) where x is not null and (has_b is null or y is not null) and (has_c is null or z is not null)) where rank <= 50)"""
+QUALITIES = """qualities as (select phrase_id, tp, n - tp as fp, case when n > 0 then tp::double / n else 0.0 end as share from (
+  select phrase_id, product(c) as n, (bool_and(hit))::int::bigint as tp from (
+   select phrase_id, pos, (select count(*) from sound where query = token) c, exists (select 1 from sound where query = token and word = want) hit from tokens) group by 1))"""
 FOUND = f"found as (select p as phrase, idx as doc_id from ps join docs on {FIELDS})"
 OCC = f"{DOCS}, occ as (select w as term, idx as doc_id from (select idx, unnest(string_split_regex(concat_ws(' ', title, abstract), '\\s+')) w from docs) where w <> '')"
 _LISTS = "select term, doc_id // 65536 as segment, string_agg(doc_id::varchar, ',' order by doc_id) as docs from (select distinct term, doc_id from {t}) group by 1, 2"
@@ -99,6 +115,8 @@ ORACLE: dict[str, str] = {
     "bool_and": _with(POST) + f"{_term('en')} intersect {_term('re')}",
     "bool_or": _with(POST) + f"{_term('en')} union {_term('ha')}",
     "bool_not": _with(POST) + f"select doc_id from post except {_term('re')}",
+    "bool_stored": _with(POST)
+    + f"select doc_id, '( en OR re ) AND NOT ha' as query from (({_term('en')} union {_term('re')}) except {_term('ha')}) union all select doc_id, 'NOT re' from (select doc_id from post except {_term('re')})",
     "bool_nested": _with(POST) + f"({_term('en')} union {_term('re')}) except {_term('ha')}",
     "bool_right_assoc": _with(POST) + f"{_term('en')} intersect ({_term('re')} union {_term('ha')})",
     "bool_not_scope": _with(POST) + f"select doc_id from post except ({_term('en')} intersect {_term('re')})",
@@ -116,6 +134,32 @@ ORACLE: dict[str, str] = {
     + """select phrase_id, rank, words, total from (select *, row_number() over (partition by phrase_id order by total, r1, r2, r3) as rank from (
   select a.phrase_id, concat_ws(' ', a.word, b.word, c.word) as words, (a.distance + coalesce(b.distance, 0) + coalesce(c.distance, 0))::bigint as total, a.rank r1, b.rank r2, c.rank r3
   from (select * from opts where pos = 0) a left join (select * from opts where pos = 1) b using (phrase_id) left join (select * from opts where pos = 2) c using (phrase_id))) where rank <= 10""",
+    "edit_phrase_topk_long": _with(ASKED, EDITS, "opts as (select number // 5 as phrase_id, number % 5 as pos, word, distance, rank from qs join edits using (query) where rank <= 10)")
+    + """select phrase_id, rank, words, total from (select *, row_number() over (partition by phrase_id order by total, r0, r1, r2, r3, r4) as rank from (
+  select a.phrase_id, concat_ws(' ', a.word, b.word, c.word, d.word, e.word) as words, (a.distance + coalesce(b.distance, 0) + coalesce(c.distance, 0) + coalesce(d.distance, 0) + coalesce(e.distance, 0))::bigint as total,
+   a.rank r0, b.rank r1, c.rank r2, d.rank r3, e.rank r4 from (select * from opts where pos = 0) a left join (select * from opts where pos = 1) b using (phrase_id) left join (select * from opts where pos = 2) c using (phrase_id)
+   left join (select * from opts where pos = 3) d using (phrase_id) left join (select * from opts where pos = 4) e using (phrase_id))) where rank <= 10""",
+    "edit_phrase_search": _with(SPOKEN, EDITS, DOCS, "ps as (select distinct p from (select string_agg(word, ' ' order by pos) as p from tokens join edits on query = token and rank = 1 group by phrase_id))", FOUND)
+    + "select phrase, doc_id from found",
+    "edit_topk_search": _with(SPOKEN, EDITS, DOCS, TOPK, "ps as (select distinct words as p from topk)", FOUND) + "select phrase_id, rank, words, total, min(doc_id) as doc_id from topk join found on phrase = words group by all",
+    "edit_topk_lines": _with(SPOKEN, EDITS, DOCS, TOPK, "ps as (select distinct words as p from topk)", FOUND)
+    + """select phrase_id, '- ' || words || ' (total distance: ' || total || ')' as line from topk union all
+ select phrase_id, '- Index ' || idx || ': ' || title || ' | Matched with correction: ' || words || ' (distance: ' || total || ')' from (
+  select phrase_id, words, total, min(doc_id) as doc_id from topk join found on phrase = words group by all) join docs on idx = doc_id""",
+    "ngram_phrase_search": _with(SPOKEN, NGRAMS, DOCS, "ps as (select distinct p from (select string_agg(word, ' ' order by pos) as p from tokens join best on query = token and rank = 1 group by phrase_id))")
+    + f"select p as phrase, idx as doc_id from ps join docs on contains({ALL_TEXT}, p)",
+    "hybrid_phrase_search": _recursive(SPOKEN, NGRAMS, HYBRID, CHOICE, DOCS, "ps as (select distinct p from (select string_agg(token, ' ' order by pos) as p from choice group by phrase_id))")
+    + "select p as phrase, idx as doc_id from ps join docs on contains(lower(title), p) or contains(lower(abstract), p)",
+    "soundex_phrases": _with(PHRASES, SOUND, PRODUCTS) + "select phrase_id, rank, suggestion from products",
+    "soundex_phrase_search": _with(SPOKEN, SOUND, PRODUCTS, DOCS, "ps as (select distinct suggestion as p from products)", FOUND) + "select phrase, doc_id from found",
+    "soundex_report": _with(PHRASES, SOUND, PRODUCTS, QUALITIES)
+    + """select phrase_id, 'for ' || phrase || ', did you mean: [' || coalesce(list, '') || ']' as line from phrases left join (
+  select phrase_id, string_agg(chr(39) || suggestion || chr(39), ', ' order by rank) as list from products group by 1) using (phrase_id)
+ union all select phrase_id, printf('%s\t%.0f\t%.0f\t%.6f\t%.6f', phrase, tp::double, fp::double, round(share, 6), round(share, 6)) from qualities join phrases using (phrase_id)
+ union all select -1, printf('Precision = %.3f | Accuracy = %.6f | Correct Results = %.0f/%.0f | Accuracy (based on Correct Results) = %.3f',
+  round(sum(tp)::double / count(*), 3), round(sum(tp)::double / sum(tp + fp), 6), sum((tp > 0)::int)::double, count(*)::double, round(sum((tp > 0)::int)::double / count(*), 3)) from qualities""",
+    "sample_corrections": _with(DICT, "asked as (select unnest(['akoustic', 'abzorption', 'bureacratic', 'aproximatley']) as query)", EDITS)
+    + "select query, chr(39) || query || chr(39) || ' -> ' || chr(39) || word || chr(39) as line from edits where rank = 1",
     "edit_phrase": _with(PHRASES, EDITS) + "select phrase_id, string_agg(word, ' ' order by pos) as corrected from tokens join edits on query = token and rank = 1 group by 1",
     "edit_first_doc": _with(ASKED, EDITS, DOCS, "ps as (select distinct word as p from edits)", FOUND) + "select phrase, min(doc_id) as doc_id from found group by 1",
     "phrase_search_all": _with(ASKED, EDITS, DOCS, "ps as (select distinct word as p from edits)", FOUND) + "select phrase, doc_id from found",
@@ -124,8 +168,8 @@ ORACLE: dict[str, str] = {
     "soundex_word_metrics": _with(ASKED, SOUND, QUALITY) + "select query, tp, fp, share as precision, share as accuracy from quality",
     "soundex_summary": _with(ASKED, SOUND, QUALITY) + "select sum(tp)::double / count(*) as precision, sum(tp)::double / sum(tp + fp) as accuracy, sum((tp > 0)::int)::double / count(*) as hit_rate from quality",
     "soundex_metrics": _with(PHRASES, SOUND)
-    + """select phrase_id, tp, (n - tp)::bigint as fp, case when n > 0 then tp::double / n else 0.0 end as precision, case when n > 0 then tp::double / n else 0.0 end as accuracy from (
-  select phrase_id, product(c)::bigint as n, (bool_and(hit))::int::bigint as tp from (
+    + """select phrase_id, tp, n - tp as fp, case when n > 0 then tp::double / n else 0.0 end as precision, case when n > 0 then tp::double / n else 0.0 end as accuracy from (
+  select phrase_id, product(c) as n, (bool_and(hit))::int::bigint as tp from (
    select phrase_id, pos, (select count(*) from sound where query = token) c, exists (select 1 from sound where query = token and word = want) hit from tokens) group by 1)""",
     "soundex_search": _with(ASKED, SOUND, DOCS, "ps as (select distinct word as p from sound)", FOUND) + "select distinct doc_id from found",
     "soundex_edit": _with(ASKED, EDITS) + f"select query, word, distance::bigint as distance from near where {_code('query')} = {_code('word')}",
@@ -142,3 +186,15 @@ ORACLE: dict[str, str] = {
     "word_docs": _with(DOCS) + f"select distinct w as word, idx as doc_id from (select idx, unnest(regexp_extract_all({ALL_TEXT}, '[\\p{{L}}\\p{{N}}_]+')) w from docs) where length(w) > 2",
     "correction_accuracy": _with(ASKED, EDITS) + _accuracy("edits"),
 }
+
+#: N-gram matching against dictionary and document words together: `words` takes the dictionary's place beside the n-grams.
+_WORDS = f"{DOCS}, words as (select word from dict union select w from (select unnest(regexp_extract_all({ALL_TEXT}, '[\\p{{L}}\\p{{N}}_]+')) w from docs) where length(w) > 2)"
+_UNION = ("char_ngrams", "ngram_index", "ngram_jaccard", "ngram_best_match", "ngram_phrase", "ngram_search", "ngram_accuracy")
+
+
+def _united(sql: str) -> str:
+    sql = sql.replace(f", {DOCS}", "").replace(DICT, f"{DICT}, {_WORDS}", 1)
+    return sql.replace(_GRAMS.format(c="word", t="dict"), _GRAMS.format(c="word", t="words")).replace("(select min(word) from dict)", "(select min(word) from words)")
+
+
+ORACLE |= {f"{name}_union": _united(ORACLE[name]) for name in _UNION}

@@ -41,7 +41,7 @@ def from_table(documents: DataFrame) -> DataFrame:
     """The document schema over a table (doc_id, text, source): the first line is the title."""
     return documents.select(
         F.col("doc_id").alias("Index"),
-        F.regexp_extract("text", "^[^\n]*", 0).alias("Title"),
+        F.coalesce(F.regexp_extract("text", "^[^\n]*", 0), F.lit("")).alias("Title"),
         F.lit("").alias("Author"),
         F.coalesce("source", F.lit("")).alias("bib_source"),
         F.coalesce("text", F.lit("")).alias("Abstract"),

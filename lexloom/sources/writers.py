@@ -40,13 +40,51 @@ def display_lines(found: DataFrame, docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", F.format_string("- Index %d | Title: %s", "doc_id", F.coalesce("Title", F.lit("N/A"))).alias("line"))
 
 
-def suggestion_report(suggestions: DataFrame, most: int = 50) -> DataFrame:
-    """query and its first `most` suggestions by name, in one line."""
-    return suggestions.groupBy("query").agg(F.slice(F.sort_array(F.collect_set("word")), 1, most).alias("w")).select("query", F.concat("query", F.lit(": "), F.array_join("w", ", ")).alias("line"))
-
-
-def summary_lines(queries: int, correct: int, seconds: float) -> list[str]:
-    """The four lines of a benchmark summary."""
-    each = seconds / queries if queries else 0.0
-    share = correct / queries if queries else 0.0
-    return [f"- Total Queries: {queries}", f"- Total Time: {seconds:.4f} seconds", f"- Average Time per Query: {each:.4f} seconds", f"- Correct Corrections: {correct}/{queries} ({share:.2%})"]
+def suggestion_lines(phrases: DataFrame, suggestions: DataFrame) -> DataFrame:
+    """phrase_id, line `for <phrase>, did you mean: [...]` of ranked suggestions (phrase_id, rank, suggestion)."""
+    quoted = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "suggestion"))), lambda s: F.concat(F.lit("'"), s["suggestion"], F.lit("'"))), ", ")
+    lists = suggestions.groupBy("phrase_id").agg(quoted.alias("list"))
+    return phrases.join(lists, "phrase_id", "left").select("phrase_id", F.format_string("for %s, did you mean: [%s]", "phrase", F.coalesce("list", F.lit(""))).alias("line"))
+
+
+def phonetic_report(suggested: DataFrame, quality: DataFrame, phrases: DataFrame) -> DataFrame:
+    """part, phrase_id, line: a line of suggestions for each phrase, its figures, and one summary, in the order (part, phrase_id)."""
+    figures = quality.join(phrases.select("phrase_id", "phrase"), "phrase_id")
+    row = F.format_string("%s\t%.0f\t%.0f\t%.6f\t%.6f", "phrase", F.col("tp").cast("double"), F.col("fp").cast("double"), F.round("precision", 6), F.round("accuracy", 6))
+    n, tp, whole = F.count("*").cast("double"), F.coalesce(F.sum("tp"), F.lit(0)).cast("double"), F.coalesce(F.sum(F.col("tp") + F.col("fp")), F.lit(0.0)).cast("double")
+    right = F.coalesce(F.sum((F.col("tp") > 0).cast("int")), F.lit(0)).cast("double")
+    share = lambda a, b, places: F.round(F.when(b > 0, a / b).otherwise(0.0), places)
+    summary = F.format_string("Precision = %.3f | Accuracy = %.6f | Correct Results = %.0f/%.0f | Accuracy (based on Correct Results) = %.3f", share(tp, n, 3), share(tp, whole, 6), right, n, share(right, n, 3))
+    parts = [suggested.select(F.lit(0).alias("part"), "phrase_id", "line"), figures.select(F.lit(1).alias("part"), "phrase_id", row.alias("line"))]
+    return parts[0].union(parts[1]).union(figures.agg(summary.alias("line")).select(F.lit(2).alias("part"), F.lit(-1).cast("long").alias("phrase_id"), "line"))
+
+
+def correction_lines(combinations: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """phrase_id, rank, part, line of ranked combinations and of the documents found for them (phrase_id, rank, words, total, doc_id)."""
+    top = combinations.select("phrase_id", "rank", F.lit(0).alias("part"), F.format_string("- %s (total distance: %d)", "words", "total").alias("line"))
+    titles = docs.select(F.col("Index").alias("doc_id"), "Title")
+    match = F.format_string("- Index %d: %s | Matched with correction: %s (distance: %d)", "doc_id", F.coalesce("Title", F.lit("N/A")), "words", "total")
+    return top.union(found.join(titles, "doc_id", "left").select("phrase_id", "rank", F.lit(1).alias("part"), match.alias("line")))
+
+
+#: The four lines of a benchmark summary.
+SUMMARY = (
+    "- Total Queries: {total_queries}",
+    "- Total Time: {total_time:.4f} seconds",
+    "- Average Time per Query: {average_time:.4f} seconds",
+    "- Correct Results: {correct_count}/{total_queries} ({accuracy:.2%})",
+)
+
+
+def summary_lines(run: dict) -> list[str]:
+    """The lines of a benchmark run (metrics.benchmark)."""
+    return [line.format(**run) for line in SUMMARY]
+
+
+def benchmark_lines(run: dict, system: dict[str, str], title: str) -> list[str]:
+    """A benchmark run for the console: the machine, the summary, memory, and every query."""
+    out = [f"========== {title} =========="] + [f"  - {name}: {value}" for name, value in system.items()]
+    out += [f"  {line}" for line in summary_lines(run)] + [f"  - Peak Memory Usage: {run['peak_memory']}"]
+    for i, one in enumerate(run["individual_results"], 1):
+        out.append(f"  {i}. '{one['query']}' -> '{one['corrected']}' | expected '{one['expected']}' | {'right' if one['correct'] else 'wrong'} | {one['time']:.4f} seconds")
+    return out

@@ -2,6 +2,7 @@ import difflib
 import itertools
 
 from lexloom.operators import candidates, metrics, phrase
+from lexloom.sources import writers
 from tests.test_functions import indel
 
 WORDS = ["high", "hi", "night", "speed", "spread", "spear", "before", "behavior", "zzz", "letter", "better"]
@@ -58,7 +59,7 @@ def test_phrase_topk(spark):
     q, d = frames(spark)
     phrases = spark.createDataFrame([(1, "hihg spead befroe"), (2, "letetr"), (3, "")], "phrase_id long, phrase string")
     cands = candidates.edit_candidates(q, d)
-    got = [(r.phrase_id, r.rank, r.words, r.total) for r in phrase.phrase_topk(phrase.phrase_tokens(phrases), cands, 3).orderBy("phrase_id", "rank").collect()]
+    got = [(r.phrase_id, r.rank, r.words, r.total) for r in phrase.phrase_topk(phrase.phrase_tokens(phrases), cands).orderBy("phrase_id", "rank").collect()]
     options = {}
     for r in cands.orderBy("query", "rank").collect():
         options.setdefault(r.query, []).append((r.word, r.distance))
@@ -69,6 +70,58 @@ def test_phrase_topk(spark):
     assert got == want
 
 
+def test_phrase_topk_of_any_length(spark):
+    cands = spark.createDataFrame([(f"q{i}", f"w{i}{j}", (3 * i + j * j) % 5, j + 1) for i in range(7) for j in range(3)], "query string, word string, distance int, rank int")
+    phrases = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(7))), (2, "q3 missing q1")], "phrase_id long, phrase string")
+    got = [(r.phrase_id, r.words, r.total) for r in phrase.phrase_topk(phrase.phrase_tokens(phrases), cands, most=12).orderBy("phrase_id", "rank").collect()]
+    options = {}
+    for r in cands.orderBy("query", "rank").collect():
+        options.setdefault(r.query, []).append((r.word, r.distance))
+    want = []
+    for i, places in ((1, [f"q{i}" for i in range(7)]), (2, ["q3", "q1"])):
+        whole = sorted(((" ".join(w for w, _ in c), sum(n for _, n in c)) for c in itertools.product(*(options[t] for t in places))), key=lambda x: x[1])
+        want += [(i, w, n) for w, n in whole[:12]]
+    assert got == want
+
+
+def test_soundex_phrases(spark):
+    cands = spark.createDataFrame([(q, q + w) for q in "abc" for w in "zyxw"], "query string, word string")
+    phrases = spark.createDataFrame([(1, "a b c", "ax by cz"), (2, "a none", "a b"), (3, " ".join("abc" * 25), "x")], "phrase_id long, phrase string, corrected string")
+    tokens = phrase.phrase_tokens(phrases)
+    got = [(r.phrase_id, r.suggestion) for r in phrase.soundex_phrases(tokens, cands, most=9).where("phrase_id < 3").orderBy("phrase_id", "rank").collect()]
+    assert got == [(1, " ".join(c)) for c in sorted(itertools.product(*([q + w for w in "zyxw"] for q in "abc")))[:9]]
+    counts = {r.phrase_id: r.n for r in phrase.soundex_products(tokens, cands).collect()}
+    assert counts == {1: 64.0, 2: 0.0, 3: 4.0**75}
+
+
+def test_benchmark_report(spark):
+    q = spark.createDataFrame([("spead", "spread"), ("letetr", "better")], "query string, corrected string")
+    _, d = frames(spark)
+    fix = lambda asked: candidates.edit_candidates(asked, d).where("rank = 1").select("query", "word")
+    run = metrics.benchmark(q, fix)
+    assert (run["total_queries"], run["correct_count"], run["accuracy"]) == (2, 1, 0.5)
+    assert run["total_time"] > 0 and run["peak_memory"].split()[1] in ("B", "KB", "MB", "GB")
+    system = metrics.system_info(spark)
+    assert {"processor", "total_memory", "spark"} <= set(system)
+    lines = writers.benchmark_lines(run, system, "EDIT DISTANCE")
+    assert lines[0].strip("= ") == "EDIT DISTANCE" and "  - Correct Results: 1/2 (50.00%)" in lines
+    assert sum("'spead' -> " in line for line in lines) == 1
+    assert metrics.benchmark(q.limit(0), fix)["average_time"] == 0.0
+    steps = metrics.timed([("read", lambda: d.count()), ("ask", lambda: q.count())])
+    assert list(steps) == ["read", "ask", "total"]
+    shown = {r.query: r.line for r in metrics.sample_corrections(spark, fix, ["spead", "qqqq"]).collect()}
+    assert shown["qqqq"] == "'qqqq' -> 'qqqq'" and shown["spead"].startswith("'spead' -> '")
+
+
+def test_search_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(phrase, "PHRASE_BLOCK", 3)
+    docs = spark.createDataFrame([(i, f"w{i} w{i + 1}") for i in range(20)], "Index long, Title string")
+    asked = spark.createDataFrame([(f"W{i}",) for i in range(5, 15)] + [("",), (None,)], "phrase string")
+    got = {(r.phrase, r.doc_id) for r in phrase.search(docs, asked, docs.Title).collect()}
+    texts = {i: f"w{i} w{i + 1}" for i in range(20)}
+    assert got == {(p, i) for p in ["", *(f"w{i}" for i in range(5, 15))] for i, t in texts.items() if p in t}
+
+
 def test_soundex_quality(spark):
     d = spark.createDataFrame([(w,) for w in ("behavior", "before", "behaviour")], "word string")
     phrases = spark.createDataFrame([(1, "befroe befroe", "before before"), (2, "befroe", "before before"), (3, "qqq", "x")], "phrase_id long, phrase string, corrected string")

@@ -1,8 +1,10 @@
 import json
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import functions as F
 
-from lexloom.operators import index
+from lexloom.operators import boolean, index
 from lexloom.sources import readers, writers
 from lexloom.streaming import bsbi
 
@@ -64,6 +66,60 @@ def test_stream(spark, tmp_path):
 
 
 def test_lines(spark, tmp_path):
-    assert writers.summary_lines(38, 29, 34.9989)[3] == "- Correct Corrections: 29/38 (76.32%)"
+    run = {"total_queries": 38, "total_time": 34.9989, "average_time": 0.921, "correct_count": 29, "accuracy": 29 / 38}
+    assert writers.summary_lines(run)[3] == "- Correct Results: 29/38 (76.32%)"
     found = spark.createDataFrame([(10,), (4,)], "doc_id long")
     assert {r.line for r in writers.display_lines(found, documents(spark, tmp_path)).collect()} == {"- Index 10 | Title: Deep Water", "- Index 4 | Title: N/A"}
+
+
+def test_stored_index_reads_only_its_terms(spark, tmp_path):
+    docs = documents(spark, tmp_path)
+    post, path = index.postings(docs), str(tmp_path / "index")
+    index.store(post, path)
+    stored = index.StoredIndex(spark, path)
+    for query in ("deep", "deep AND water", "NOT deep", "( deep OR river ) AND NOT water", ""):
+        got = {r.doc_id for r in boolean.retrieve_stored(stored, query).collect()}
+        assert got == {r.doc_id for r in boolean.retrieve(post, query).collect()}
+    plan = stored.postings(["deep", "water"])._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(term, [deep,water])" in plan
+
+
+def test_lemmas_and_analyzers(spark, tmp_path):
+    docs = documents(spark, tmp_path)
+    lemmas = spark.createDataFrame([("deep", "depth"), ("unused", "x")], "term string, lemma string")
+    plain = {(r.term, r.doc_id) for r in index.postings(docs).collect()}
+    got = {(r.term, r.doc_id) for r in index.lemmatized(index.postings(docs), lemmas).collect()}
+    assert got == {("depth" if t == "deep" else t, d) for t, d in plain}
+
+    @F.pandas_udf("array<string>")
+    def reversed_terms(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:  # where a linguistic tokenizer would stand
+        for part in texts:
+            yield part.map(lambda t: [w[::-1] for w in t.lower().split()])
+
+    assert {r.term for r in index.postings(docs, reversed_terms).collect()} >= {"peed", "retaw"}
+
+
+def test_blocks_are_cut_at_their_last_term(spark):
+    words = "a b a c d a a e f b g a".split()
+    tokens = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "term string, doc_id long").coalesce(1)
+    want, held, number = set(), {}, 0
+    for i, w in enumerate(words):
+        held.setdefault(w, []).append(i)
+        if len(held) == 3:
+            want |= {(number, t, tuple(ids)) for t, ids in held.items()}
+            held, number = {}, number + 1
+    want |= {(number, t, tuple(ids)) for t, ids in held.items()}
+    for batch in ("10000", "2"):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+        got = {(int(r.block_id[-6:]), r.term, tuple(r.ids)) for r in index.parse_blocks(tokens, 3).collect()}
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert got == want
+
+
+def test_merged_file_is_in_term_order(spark, tmp_path):
+    docs = documents(spark, tmp_path)
+    merged = index.merge_blocks(index.parse_blocks(index.occurrences(docs), 2))
+    writers.write_lines(writers.block_lines(merged), str(tmp_path / "merged"), "term", "segment")
+    files = sorted(p for p in (tmp_path / "merged").iterdir() if p.name.startswith("part-"))
+    lines = [x for p in files for x in p.read_text(encoding="utf-8").splitlines()]
+    assert lines == [f"{r.term}:{','.join(map(str, r.ids))}" for r in sorted(merged.collect(), key=lambda r: (r.term, r.segment))]
