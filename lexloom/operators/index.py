@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -94,37 +95,39 @@ def parse_blocks(tokens: DataFrame, block_size: int) -> DataFrame:
     """
 
     def cut(batches):
-        number, part = 0, None
-        terms, docs = np.empty(0, object), np.empty(0, np.int64)
-        for pdf in batches:
-            if not len(pdf):
+        number, part, terms, docs = 0, None, pa.array([], pa.string()), np.empty(0, np.int64)
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            part = int(pdf["part"].iloc[0])
-            terms, docs = np.concatenate((terms, pdf["term"].to_numpy(object))), np.concatenate((docs, pdf["doc_id"].to_numpy()))
-            codes, _ = pd.factorize(terms)
-            at = 0
+            part = batch.column("part")[0].as_py()
+            terms = pa.concat_arrays([terms, batch.column("term").cast(pa.string())])
+            docs = np.concatenate((docs, batch.column("doc_id").to_numpy()))
             while True:
-                # The token that brings the block's last term; numbers go on rising over a whole batch, so later blocks count anew.
-                full = np.flatnonzero(codes == block_size - 1)
+                numbers = terms.dictionary_encode()  # in the order of first occurrence
+                # The token that brings the block's last term; what follows it is numbered anew.
+                full = np.flatnonzero(numbers.indices.to_numpy() == block_size - 1) if len(numbers.dictionary) >= block_size else []
                 if not len(full):
                     break
-                end = at + int(full[0]) + 1
-                yield _block(part, number, terms[at:end], docs[at:end])
-                number, at = number + 1, end
-                codes, _ = pd.factorize(terms[at:])
-            terms, docs = terms[at:], docs[at:]
+                end = int(full[0]) + 1
+                yield _block(part, number, terms[:end], docs[:end])
+                number, terms, docs = number + 1, terms[end:], docs[end:]
         if len(terms):
             yield _block(part, number, terms, docs)
 
-    placed = tokens.select(F.spark_partition_id().cast("long").alias("part"), "term", "doc_id")
-    return placed.mapInPandas(cut, "block_id string, term string, ids array<long>")
+    placed = tokens.select(F.spark_partition_id().cast("long").alias("part"), "term", F.col("doc_id").cast("long").alias("doc_id"))
+    return placed.mapInArrow(cut, "block_id string, term string, ids array<long>")
 
 
-def _block(part: int, number: int, terms: np.ndarray, docs: np.ndarray) -> pd.DataFrame:
-    codes, names = pd.factorize(terms, sort=True)
-    order = np.argsort(codes, kind="stable")
-    ids = np.split(docs[order], np.cumsum(np.bincount(codes))[:-1])
-    return pd.DataFrame({"block_id": f"{part:06d}-{number:06d}", "term": names, "ids": ids})
+def _block(part: int, number: int, terms: pa.Array, docs: np.ndarray) -> pa.RecordBatch:
+    coded = terms.dictionary_encode()
+    sorted_terms = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty(len(sorted_terms), np.int64)
+    rank[sorted_terms] = np.arange(len(sorted_terms))
+    place = rank[coded.indices.to_numpy()]
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(place, minlength=len(rank)))))
+    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(docs[np.argsort(place, kind="stable")]))
+    names = pa.array([f"{part:06d}-{number:06d}"] * len(rank), pa.string())
+    return pa.RecordBatch.from_arrays([names, coded.dictionary.take(pa.array(sorted_terms)), ids], names=["block_id", "term", "ids"])
 
 
 def merge_blocks(blocks: DataFrame) -> DataFrame:
