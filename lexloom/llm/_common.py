@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,20 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm._words import mix
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, read from the session.
-
-    Only where it is unset (tests on one machine) a folder of our own is set.
-    """
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="lexloom-")
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found
+from lexloom.session import shared_dir
 
 
 class Scratch:
@@ -42,8 +30,15 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, many: bool = False) -> DataFrame:
+        """Writes and rereads a table.
+
+        What an exchange has made goes into no more files than tasks can read at once, or an eighth of
+        the shuffle partitions; many: as many files as there are partitions (of a scan, say).
+        """
         path = self.path(name)
+        if not many:
+            df = df.coalesce(max(3 * self.spark.sparkContext.defaultParallelism, partitions(self.spark) // 8))
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -94,13 +89,35 @@ def list_array(flat: np.ndarray, lengths: np.ndarray, kind: pa.DataType) -> pa.A
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
+#: What modules hold from task to task in a worker, by module: vocabularies and tables of words.
+HELD: dict[str, dict] = {}
+
+
+def forget(owner: str) -> None:
+    """Drops what modules other than `owner` hold in this worker, since workers serve one query after another."""
+    for module, held in HELD.items():
+        if module != owner:
+            held.clear()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system at the end of a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with a function of one batch that yields batches."""
 
+    owner = each.__module__
+
     def run(batches):
+        forget(owner)
         for batch in batches:
             if batch.num_rows:
                 yield from each(batch)
+        trim()
 
     return df.mapInArrow(run, schema)
 
@@ -115,7 +132,7 @@ def numbered(df: DataFrame, keys: list, scratch: Scratch, name: str) -> tuple[Da
     placed = df.repartitionByRange(partitions(spark), *keys).sortWithinPartitions(*keys)
     placed = placed.withColumn("_id", F.monotonically_increasing_id())
     placed = placed.withColumn("_part", F.shiftright("_id", 33)).withColumn("_place", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
-    placed = scratch.table(placed, name)
+    placed = scratch.table(placed, name, many=True)
     counts = sorted((r["_part"], r["n"]) for r in placed.groupBy("_part").agg(F.count("*").alias("n")).collect())
     starts, total = [], 0
     for part, n in counts:
@@ -142,6 +159,7 @@ def by_part(df: DataFrame, solve: Callable[[int, dict[str, np.ndarray]], pa.Reco
     names = [c for c in df.columns if c != key]
 
     def run(batches):
+        forget(solve.__module__)
         held: list[pa.RecordBatch] = []
         now = None
 
@@ -164,6 +182,7 @@ def by_part(df: DataFrame, solve: Callable[[int, dict[str, np.ndarray]], pa.Reco
                 held.append(batch.slice(a, b - a))
         if held:
             yield flush()
+        trim()
 
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
 
@@ -183,14 +202,16 @@ class KeyFilter:
         places, size = self.places, self.PIECE
 
         def build(batches):
-            got = np.zeros(1 << bits, bool)
+            got = np.zeros(1 << (bits - 3), np.uint8)
             for batch in batches:
-                got[places(batch.column(0).to_numpy(), bits)] = True
-            pieces = got.reshape(-1, min(size, 1 << bits))
+                at = np.unique(places(batch.column(0).to_numpy(), bits))
+                if len(at):
+                    first = np.flatnonzero(np.diff(at >> 3, prepend=-1))
+                    got[at[first] >> 3] |= np.bitwise_or.reduceat(np.uint8(1) << (at & 7).astype(np.uint8), first)
+            pieces = got.reshape(-1, min(size, 1 << bits) >> 3)
             some = np.flatnonzero(pieces.any(axis=1))
             if len(some):
-                packed = [np.packbits(pieces[i], bitorder="little").tobytes() for i in some]
-                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], names=["part", "bits"])
+                yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([pieces[i].tobytes() for i in some], pa.binary())], names=["part", "bits"])
 
         def unite(batches):
             got: dict[int, np.ndarray] = {}
@@ -203,7 +224,7 @@ class KeyFilter:
 
         schema = "part int, bits binary"
         whole = np.zeros(1 << (bits - 3), np.uint8)
-        for row in keys.mapInArrow(build, schema).repartition("part").mapInArrow(unite, schema).toLocalIterator():
+        for row in keys.mapInArrow(build, schema).repartition("part").mapInArrow(unite, schema).collect():
             own = np.frombuffer(row["bits"], np.uint8)
             whole[row["part"] * len(own) :][: len(own)] |= own
         self.spread = keys.sparkSession.sparkContext.broadcast(whole)

@@ -35,14 +35,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import _words as W
-from lexloom.llm._common import KeyFilter, Scratch, blocks_by_bytes, by_part, fresh, list_array, partitions, text_buffers
+from lexloom.llm._common import KeyFilter, Scratch, blocks_by_bytes, by_part, fresh, list_array, text_buffers, trim
 from lexloom.llm.components import components
 
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 _WORD = [W.U(x) for x in W.mix(np.arange(11, 11 + 64, dtype=np.uint64)) | W.U(1)]
 _SAMPLE, _DEAL, _DIGEST = W.U(0x51ED270B7A9F3C11), W.U(0xA24BAED4963EE407), W.U(0x9FB21C651E98DF25)
 _ORDERS = (W.U(0xD6E8FEB86659FD93), W.U(0xC2B2AE3D27D4EB4F))
-MET, PART, LIMIT = 500_000, 1 << 21, 1 << 21
+MET, PART, LIMIT = 500_000, 1 << 20, 1 << 21
 
 
 def shingle_sets(column: pa.Array, k: int):
@@ -112,6 +112,7 @@ def encode(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), sample], names=["doc_id", "text_key", "n", "node", "sample"]
             )
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "text_key")
     return rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, sample array<long>")
@@ -174,7 +175,7 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _parts(sets: DataFrame, column: str) -> int:
     total = sets.agg(F.sum(F.size(column).cast("long"))).first()[0] or 0
-    return max(partitions(sets.sparkSession), -(-total // PART))
+    return max(8, -(-total // PART))
 
 
 def hopeful(sampled: DataFrame, percent: int) -> DataFrame:
@@ -252,6 +253,7 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int, scratch:
                 lengths = np.array([len(x) for x in found.values()])
                 tokens = list_array(np.concatenate(list(found.values())).view(np.int64), lengths, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(lengths, pa.int64()), tokens], names=["node", "n", "tokens"])
+        trim()
 
     made = texts.mapInArrow(run, "node long, n long, tokens array<long>")
     return scratch.table(made.join(some.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
@@ -364,7 +366,7 @@ def _labels(docs: DataFrame, rows: DataFrame, k: int, percent: int, scratch: Scr
 
 def _components(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """doc_id, text_key, n, component (a node, null without words), component_id of every row; docs has a text_key."""
-    rows = scratch.table(encode(docs, k, percent), "rows")
+    rows = scratch.table(encode(docs, k, percent), "rows", many=True)
     whole = _labels(docs, rows, k, percent, scratch)
     # Least doc_ids of equal sets first: copies are folded before the shuffle.
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(whole, "node", "left")

@@ -24,9 +24,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm._common import list_array, map_arrow
+from lexloom.llm._common import HELD, list_array, map_arrow
 
-MARK, CACHED, STEP, LEARNT = "▁", 300_000, 256, 300_000
+MARK, CACHED, STEP, LEARNT = "▁", 500_000, 256, 300_000
 
 
 class Pieces:
@@ -49,6 +49,8 @@ class Pieces:
         self.byte_ids = {b: i for i, b in self.bytes_of.items()}
         self.names = names
         self.silent = {i for i in range(count) if model.is_control(i)}
+        self.plain = np.ones(count, bool)  # ids whose piece is their text
+        self.plain[[*self.bytes_of, *self.silent, self.unknown]] = False
         self.unknown_score = min(scores) - 10.0
         self._automaton()
         inner = [n for n in self.ids if MARK in n.lstrip(MARK)]
@@ -106,26 +108,28 @@ class Pieces:
         """Ids of distinct marked words as 32-bit bytes, by one depth-first walk over them in sorted order."""
         goto, ends = self.goto, self.ends
         out: dict[str, bytes] = {}
-        states, best, back = [0], [0.0], [(0, 0.0, 0)]  # by depth; back: the piece that ends there
+        # By depth: the automaton's state, the best sum, the piece that ends there; deeper entries are stale.
+        longest = max(map(len, words), default=0)
+        states, best, back = [0] * (longest + 1), [0.0] * (longest + 1), [(0, 0.0, 0)] * (longest + 1)
         before = ""
         for word in sorted(words):
             shared, most = 0, min(len(word), len(before))
             while shared < most and word[shared] == before[shared]:
                 shared += 1
-            del states[shared + 1 :], best[shared + 1 :], back[shared + 1 :]
-            state = states[shared]
+            state, depth = states[shared], shared
             for c in word[shared:]:
                 after = goto[state].get(c)
                 state = self._step(state, c) if after is None else after
-                top = arrow = None
+                depth += 1
                 # Longer pieces, that is earlier starts, first: only a greater sum replaces one.
-                for entry in ends[state]:
-                    total = best[-entry[0]] + entry[1]
-                    if top is None or total > top:
+                options = ends[state]
+                arrow = options[0]
+                top = best[depth - arrow[0]] + arrow[1]
+                for entry in options[1:]:
+                    total = best[depth - entry[0]] + entry[1]
+                    if total > top:
                         top, arrow = total, entry
-                states.append(state)
-                best.append(top)
-                back.append(arrow)
+                states[depth], best[depth], back[depth] = state, top, arrow
             path, at = [], len(word)
             while at:
                 length, _, number = back[at]
@@ -194,8 +198,26 @@ class Pieces:
         text = "".join(out).replace(MARK, " ")
         return text[1:] if text.startswith(" ") else text
 
+    def decode_batch(self, column: pa.Array) -> list[str | None]:
+        """Texts of a column of id lists; texts without byte pieces are joined at once."""
+        flat, out, at = column.flatten().to_numpy(zero_copy_only=False), [], 0
+        odd = np.concatenate(([0], np.cumsum(~self.plain[flat])))
+        names = self.names
+        for n in column.value_lengths().to_pylist():
+            if n is None:
+                out.append(None)
+                continue
+            ids = flat[at : at + n].tolist()
+            if odd[at + n] == odd[at]:
+                text = "".join(map(names.__getitem__, ids)).replace(MARK, " ")
+                out.append(text[1:] if text.startswith(" ") else text)
+            else:
+                out.append(self.decode(ids))
+            at += n
+        return out
+
 
-_loaded: dict[str, Pieces] = {}
+_loaded: dict[str, Pieces] = HELD.setdefault(__name__, {})
 
 
 def pieces(path: str) -> Pieces:
@@ -228,7 +250,7 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         tool = pieces(model)
         for at in range(0, batch.num_rows, STEP):
             part = batch.slice(at, STEP)
-            texts = [None if ids is None else tool.decode(ids) for ids in part.column("ids").to_pylist()]
+            texts = tool.decode_batch(part.column("ids"))
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"])
 
     return map_arrow(encoded, each, "doc_id long, text string, ids array<int>, decoded string")

@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm._common import map_arrow
+from lexloom.llm._common import HELD, map_arrow
 
 CACHED, END, MARK = 500_000, "\0", "</w>"
 #: Fixed value: the public word pattern of the vocabulary.
@@ -133,7 +133,7 @@ class Counter:
         return words, tokens
 
 
-_loaded: dict[str, Counter] = {}
+_loaded: dict[str, Counter] = HELD.setdefault(__name__, {})
 
 
 def counter(path: str) -> Counter:
