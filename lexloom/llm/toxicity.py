@@ -9,7 +9,7 @@ expected severity, the sum of P(grade > k); a text is toxic if P(grade > 0) >= 0
 
 The model is fitted on a bounded sample of the labelled rows: the SAMPLE_TOXIC toxic and
 SAMPLE_CLEAN clean ones whose hashed doc_id is least (weighted back to the label shares).  Scoring
-covers every row and its whole text.  Null or empty text: grade 0 by its intercept.  No labels,
+covers every row and its whole text.  A doc_id that documents or labels repeat counts once in the sample.  Null or empty text: grade 0 by its intercept.  No labels,
 or of one kind only: every row gets severity 0.  Repeated rows score alike; null labels and labels
 without a document are left out; other columns are ignored by `score` and kept by `keep_clean`.
 """
@@ -82,6 +82,8 @@ def labelled_features(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample = kinds[0].union(kinds[1])
     # Bounded: at most SAMPLE_CLEAN + SAMPLE_TOXIC rows of three numbers.
     joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    # A doc_id counts once, whatever repeats it: as toxic if any label says so, with the least of its texts.
+    joined = joined.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max_by("weight", "toxic").alias("weight"), F.min("text").alias("text"))
 
     def each(batch):
         lists, sizes = [], []
@@ -125,7 +127,7 @@ def cumulative_fit(rows: np.ndarray, cols: np.ndarray, n: int, width: int, grade
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     scratch = Scratch(docs.sparkSession, "toxicity")
-    model = fit_rows(scratch.table(labelled_features(docs, labels), "sample"))
+    model = fit_rows(scratch.table(labelled_features(docs, labels), "sample", many=True))
     scratch.clear()
     pa.default_memory_pool().release_unused()
     return model

@@ -60,3 +60,32 @@ def test_unseen_words_have_no_weight(spark):
     asked = spark.createDataFrame([(1, unseen), (2, "")], "doc_id long, text string")
     long, none = sorted(toxicity.score(asked, model).collect())
     assert (long.p_toxic, long.severity) == (none.p_toxic, none.severity)
+
+
+def test_gradient(monkeypatch):
+    """One step of the fit against numeric differences of the penalised log-likelihood."""
+    rng = np.random.default_rng(5)
+    n, width = 30, 6
+    dense = rng.random((n, width)) < 0.4
+    rows, cols = np.nonzero(dense)
+    grades, weight = rng.integers(0, 3, n), rng.random(n) + 0.5
+    w, theta = toxicity.cumulative_fit(rows, cols, n, width, grades, weight, steps=3000)
+    scale = weight / weight.sum()
+
+    def loss(w, theta):
+        edges = np.concatenate(([-np.inf], theta, [np.inf]))
+        above, beyond = (1 / (1 + np.exp(-np.clip(dense @ w - edges[grades + i], -60, 60))) for i in (0, 1))
+        return -(scale * np.log(above - beyond)).sum() + 0.3 * (w * w).sum() / 2 / n
+
+    best = loss(w, theta)
+    for i in range(width):
+        for step in (-0.05, 0.05):
+            assert loss(w + step * (np.arange(width) == i), theta) >= best - 1e-6
+    for step in ((0.05, 0), (-0.05, 0), (0, 0.05), (0, -0.05)):
+        assert loss(w, theta + np.array(step)) >= best - 1e-6
+
+
+def test_repeated_doc_ids_count_once(spark):
+    docs = spark.createDataFrame([(i % 5, f"word{i} text") for i in range(40)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 2)) for i in range(5)] * 3 + [(None, 1), (3, None), (9, 1)], "doc_id long, toxic int")
+    assert toxicity.labelled_features(docs, labels).count() == 5
