@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm._common import Scratch, map_arrow, partitions
+from lexloom.llm._common import HELD, Scratch, fresh, map_arrow, partitions
 from lexloom.llm.wordpiece_counts import byte_names
 
 SIZE, BLOCK_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 4096, 3, 2, 6, 6
@@ -91,7 +91,7 @@ class Encoder:
         return self._raw(head) + body
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[str, Encoder] = HELD.setdefault(__name__, {})
 
 
 def encoder(path: str) -> Encoder:
@@ -241,16 +241,17 @@ def _numbers(p: Packing) -> np.ndarray:
 
 
 def pack(items: DataFrame, size: int = SIZE) -> DataFrame:
-    """All columns of a piece table (with `length`), and sequence_id and offset."""
+    """All columns of a piece table (with `length`), and sequence_id and offset, which take the place of columns so named."""
     spark = items.sparkSession
     scratch = Scratch(spark, "pack")
-    columns = items.columns
-    rows = scratch.table(items.withColumn("_key", F.monotonically_increasing_id()), "pieces")
-    full = rows.where(F.col("length") >= size).withColumn("sequence_id", -1 - F.col("_key")).withColumn("offset", F.lit(0).cast("long"))
+    columns = [c for c in items.columns if c.lower() not in ("sequence_id", "offset")]
+    key, home = fresh(columns, "_key"), fresh(columns, "_home")
+    rows = scratch.table(items.select(*(F.col(f"`{c}`") for c in columns), F.monotonically_increasing_id().alias(key)), "pieces", many=True)
+    full = rows.where(F.col("length") >= size).withColumn("sequence_id", -1 - F.col(key)).withColumn("offset", F.lit(0).cast("long"))
     part = rows.where(F.col("length") < size)
     blocks = max(1, -(-part.count() // BLOCK_ITEMS))
-    dealt = part.withColumn("_block", F.pmod(F.xxhash64("_key"), F.lit(blocks)))
-    grouped = dealt.groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("_key", *columns))).alias("items"))
+    dealt = part.withColumn(home, F.pmod(F.xxhash64(key), F.lit(blocks)))
+    grouped = dealt.groupBy(F.col(home).alias("_block")).agg(F.sort_array(F.collect_list(F.struct(key, *(F.col(f"`{c}`") for c in columns)))).alias("items"))
     grouped = scratch.table(grouped, "blocks")
     lengths = grouped.select("_block", F.col("items.length").alias("lengths"))
 
@@ -284,5 +285,5 @@ def pack(items: DataFrame, size: int = SIZE) -> DataFrame:
         state = moved.join(lengths, "_block")
     best = done.groupBy("_block").agg(F.min_by(F.struct("best", "offsets"), F.struct("bins", "squares", "island")).alias("b"))
     joined = grouped.join(best, "_block").select("_block", F.explode(F.arrays_zip("items", "b.best", "b.offsets")).alias("z"))
-    out = joined.select(*(F.col(f"z.items.{c}").alias(c) for c in columns), F.shiftleft(F.col("_block"), 24).bitwiseOR(F.col("z.best")).alias("sequence_id"), F.col("z.offsets").alias("offset"))
-    return full.select(*columns, "sequence_id", "offset").union(out)
+    out = joined.select(*(F.col(f"z.items.`{c}`").alias(c) for c in columns), F.shiftleft(F.col("_block"), 24).bitwiseOR(F.col("z.best")).alias("sequence_id"), F.col("z.offsets").alias("offset"))
+    return full.select(*(F.col(f"`{c}`") for c in columns), "sequence_id", "offset").union(out)

@@ -69,6 +69,21 @@ def test_search_is_whole(monkeypatch):
     assert (len(made), packing.ISLANDS, packing.EPOCHS) == (18, 3, 2)
 
 
+def test_search_beats_best_fit():
+    """Triples that fill a bin exactly: best fit, longest first, pairs the wrong pieces; the search needs fewer bins."""
+    for seed in range(4):
+        rng = random.Random(seed)
+        lengths = []
+        for _ in range(40):
+            a = rng.randrange(380, 490)
+            b = rng.randrange(250, (1000 - a) // 2 + 1)
+            lengths += [a, b, 1000 - a - b]
+        first = packing.packed(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), 1000)
+        best = min((packing.evolve(lengths, [], island, 1000)[0] for island in range(packing.ISLANDS)), key=lambda p: len(p.bins))
+        check(best.bins, lengths, 1000)
+        assert len(best.bins) < len(first.bins)
+
+
 def test_pack(docs, rows):
     tool = packing.encoder(PATH)
     got = packing.pack(packing.pieces(docs, PATH)).collect()
@@ -90,5 +105,19 @@ def test_pack(docs, rows):
     assert len(sequences) <= -(-sum(r.length for r in got) // 1024) + 2
 
 
+def test_clashing_names(spark):
+    rows = [(i, 300 + 40 * i, "kept", "goes", "goes", "a.b") for i in range(20)]
+    items = spark.createDataFrame(rows, "_key int, length int, _block string, sequence_id string, Offset string, `x.y` string")
+    out = packing.pack(items)
+    assert out.columns == ["_key", "length", "_block", "x.y", "sequence_id", "offset"]
+    got = out.collect()
+    assert sorted(tuple(r)[:4] for r in got) == sorted((r[0], r[1], r[2], r[5]) for r in rows)
+    fill = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill[r.sequence_id]
+        fill[r.sequence_id] += r.length
+    assert max(fill.values()) <= 1024 or max(r[1] for r in rows) > 1024
+
+
 def test_empty(empty):
     assert packing.pack(packing.pieces(empty, PATH)).count() == 0
