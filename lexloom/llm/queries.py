@@ -63,7 +63,8 @@ def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cut_digests(documents(spark, sf_dir), length=400)
+    """The contract's columns for strings of 400 bytes, and in n_shared how much repeats in strings of 200: passages of some fifty short words."""
+    return cut_digests(documents(spark, sf_dir), length=400, shorter=200)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +96,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _CLOSURE = """, both_ways as (select x, y from links union all select y, x from links),
  reach as (select rid, rid as r from rows0 union select reach.rid, y from reach join both_ways on r = x),
  least as (select reach.rid, min(o.{id}) as component_id from reach join rows0 o on o.rid = r group by 1) """
+
+
+def _runs(n: int) -> str:
+    """CTE runs{n}: maximal runs [a, b) of bytes in n-byte strings that start twice, by 64-bit hashes of their hexadecimal digits."""
+    return f"""parts{n} as (select rid, nb, b, substr(h, {2 * n} * b + 1, {4 * n}) as p from (select rid, nb, h, unnest(range(0, nb // {n} + 1)) as b from texts)),
+ starts{n} as (select rid, {n} * b + j as i, hash(substr(p, 2 * j + 1, {2 * n})) as g from (select rid, nb, b, p, unnest(range(0, {n})) as j from parts{n}) where {n} * b + j + {n} <= nb),
+ twice{n} as (select g from starts{n} group by g having count(*) > 1),
+ hits{n} as (select rid, i, coalesce(i - lag(i) over (partition by rid order by i) > {n}, true)::int as new from starts{n} semi join twice{n} using (g)),
+ runs{n} as (select rid, run, min(i) as a, max(i) + {n} as b from (select rid, i, sum(new) over (partition by rid order by i) as run from hits{n}) group by 1, 2)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op7_suffix_array_dedup": f"""with texts as (select row_number() over () as rid, doc_id, coalesce(text, '') as t, hex(encode(coalesce(text, ''))) as h, octet_length(encode(coalesce(text, ''))) as nb from documents),
+ {_runs(400)}, {_runs(200)},
+ gaps as (select rid, a, b, coalesce(lag(b) over (partition by rid order by a), 0) as z from runs400),
+ cut as (select rid, count(*) as n_spans, sum(b - a) as n_removed, max(b) as z, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' order by a) as kept from gaps join texts using (rid) group by rid),
+ shared as (select rid, sum(b - a) as n_shared from runs200 group by rid)
+ select doc_id, nb as n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0)::bigint as n_spans,
+  case when n_spans is null then sha256(encode(t)) else sha256(unhex(kept || substr(h, 2 * z + 1))) end as kept_sha256, coalesce(n_shared, 0)::bigint as n_shared
+ from texts left join cut using (rid) left join shared using (rid)""",
     "op2_ngram_jaccard_join": """with recursive rows0 as (select row_number() over () as rid, doc_id,
   regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
  sets as (select rid, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]

@@ -8,22 +8,23 @@ be brought together first:
    leftmost of equals).  Equal strings have equal anchors at equal distance.  Neighbouring starts
    share an anchor, so a text yields a row for each run of about L / 2 starts.  Anchors that occur
    once end here; the others' runs are parted by the anchor's distance, so that all strings of
-   a part share a core of some L / 2 bytes, and are regrouped by the core's hash.
-2. The bytes of a run's strings are a piece of text.  Equal ones of a core are one with a
-   multiplicity; if that is two or more, its strings are repeated.  The pieces of a core that has
-   several different ones are parted again by the anchor's distance, so that the strings of a part
-   have all but FINE - 1 bytes in common; these bytes are one symbol, unlike any byte, and with the
-   bytes left and right of it they are a short document.  Equal documents are folded as before.
-3. The documents of a core go, with others, into a collection whose Burrows-Wheeler transform and
-   common prefixes are built column by column (collection_bwt): starts of suffixes that share FINE
-   symbols, that is L bytes, with a neighbour are repeated.  A core of very many different documents
-   (the border of a passage that a third of all rows hold) is split by string instead: its documents'
-   strings are counted by what stands left and right of the core, so no task gets it whole.
-4. The spans of each text are merged and cut.
+   a part share a core of some L / 2 bytes.  Parts whose core occurs once end here.
+2. Equal parts (128 bits of hashes of their bytes) are one piece.  A piece is parted again by the
+   anchor's distance into groups of FINE starts, whose strings have all but FINE - 1 bytes in common;
+   these are one symbol, unlike any byte, and with the bytes left and right of it they are a short
+   document of 2 FINE - 1 symbols at most.  A piece that occurs several times gives two of each.
+3. Short documents are dealt by their core; of equal ones two stay.  So what a core gets is bounded by
+   the different contexts of FINE - 1 bytes beside it, not by how many texts hold it.  Whole cores go
+   into collections of some COLLECTION symbols, whose Burrows-Wheeler transform and common prefixes are
+   built column by column (collection_bwt): starts of suffixes that share FINE symbols, that is L
+   bytes, with a neighbour are repeated.  Nothing else decides what goes.
+4. What was found for a piece holds for all its places; the spans of each text are merged and cut.
+
+A core's symbol is told by 64 bits of hash, and FINE - 1 bytes beside it are compared as such.
 
 Null text is empty; texts shorter than L keep all; repeated rows are repeats of each other; repeated
 or null doc_ids stay apart by their text; empty tables give no rows; other columns are ignored (and
-kept by `cut_texts`, where a character cut in half goes whole).
+kept by `cut_texts` whatever their names, where a character cut in half goes whole).
 """
 
 from __future__ import annotations
@@ -36,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import _words as W
-from lexloom.llm._common import KeyFilter, Scratch, map_arrow, text_buffers
+from lexloom.llm._common import KeyFilter, Scratch, by_part, fresh, list_array, map_arrow, text_buffers
 from lexloom.llm.collection_bwt import repeated_starts
 
-K, CHUNK, MANY, FINE, COLLECTION = 32, 1 << 20, 1000, 32, 1 << 18
+K, CHUNK, FINE, COLLECTION, CORES, PART = 32, 1 << 20, 8, 1 << 18, 60_000, 1 << 18
 _LOW = W.U((1 << 22) - 1)
 
 
@@ -55,187 +56,281 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(left[:n], right[width - 1 : width - 1 + n])
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int):
-    """Runs of starts under one anchor: (text number, first start, starts, anchor place, hash sums and their base).
+def runs(data: np.ndarray, offsets: np.ndarray, lengths: tuple[int, ...]):
+    """Runs of starts under one anchor: (length, text number, first start, starts, anchor place, base, hash sums, hashes).
 
-    Yields for chunks of the bytes laid end to end; places are within the texts, sums within the chunk.
+    Yields for each length and chunk of the bytes laid end to end; places are within the chunk, which
+    begins at `base`.  The hashes of a chunk serve all lengths.
     """
-    width = length - K + 1
-    for s in range(0, max(0, len(data) - length + 1), CHUNK):
-        e = min(s + CHUNK, len(data) - length + 1)
-        part = data[s : e + length - 1]
+    for s in range(0, max(0, len(data) - min(lengths) + 1), CHUNK):
+        part = data[s : s + CHUNK + max(lengths) - 1]
         sums = W.prefix_sums(part, W.PLAIN)
-        begins = np.arange(len(part) - K + 1)
-        hashes = W.ranges_hash(sums, begins, begins + K)
-        least = _window_min((hashes & ~_LOW) | begins.astype(np.uint64), width)
-        anchors = (least & _LOW).astype(np.int64)
-        starts = np.arange(e - s)
-        texts = np.searchsorted(offsets, starts + s, side="right") - 1
-        valid = starts + s + length <= offsets[texts + 1]
-        starts, texts, anchors = starts[valid], texts[valid], anchors[valid]
-        if not len(starts):
-            continue
-        new = np.ones(len(starts), bool)
-        new[1:] = (anchors[1:] != anchors[:-1]) | (texts[1:] != texts[:-1])
-        at = np.flatnonzero(new)
-        counts = np.diff(np.append(at, len(starts)))
-        yield texts[at], starts[at], counts, anchors[at], s, sums, hashes
-
-
-def anchors_twice(docs: DataFrame, length: int) -> DataFrame:
-    """anchor: hashes that stand over more than one run of starts."""
+        n = max(0, len(part) - K + 1)
+        hashes = W.mix((sums[K:] - sums[:-K]) * W.powers(W._RINV, n) + W.U(K))
+        marked = (hashes & ~_LOW) | np.arange(n, dtype=np.uint64)
+        for length in lengths:
+            size = min(CHUNK, len(part) - length + 1)  # starts
+            if size < 1:
+                continue
+            least = _window_min(marked, length - K + 1)[:size]
+            # Runs end where the anchor or the text changes, and before starts whose string would leave the text.
+            first, last = np.searchsorted(offsets, (s, s + size), side="right") - 1
+            inside = offsets[first : last + 1] - s
+            outside = offsets[first + 1 : last + 2] - s - length + 1
+            edges = np.concatenate(([0, size], np.flatnonzero(least[1:] != least[:-1]) + 1, inside, outside))
+            edges = np.unique(edges[(edges >= 0) & (edges <= size)])
+            starts, ends = edges[:-1], edges[1:]
+            texts = np.searchsorted(offsets, starts + s, side="right") - 1
+            valid = starts + s + length <= offsets[texts + 1]
+            starts, ends, texts = starts[valid], ends[valid], texts[valid]
+            if len(starts):
+                yield length, texts, starts, ends - starts, (least[starts] & _LOW).astype(np.int64), s, sums, hashes
+
+
+def _salted(hashes: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of one length, unlike those of another."""
+    return W.mix(hashes + W.U(length))
+
+
+def anchors_twice(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """anchor: salted hashes that stand over more than one run of starts."""
 
     def each(batch):
-        for _, _, _, anchors, _, _, hashes in runs(*text_buffers(batch.column("text")), length):
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[anchors].view(np.int64))], names=["anchor"])
+        for length, _, _, _, anchors, _, _, hashes in runs(*text_buffers(batch.column("text")), lengths):
+            yield pa.RecordBatch.from_arrays([pa.array(_salted(hashes[anchors], length).view(np.int64))], names=["anchor"])
 
     found = map_arrow(docs.select("text"), each, "anchor long")
     return found.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
 
 
-def anchor_rows(docs: DataFrame, length: int, filtered: KeyFilter) -> DataFrame:
-    """Of runs whose anchor passes the filter: anchor, doc_id, dk, lo, n, off and, for both parts, core and document hashes."""
-    half = (length - K) // 2
+def anchor_rows(docs: DataFrame, lengths: tuple[int, ...], filtered: KeyFilter) -> DataFrame:
+    """Of runs whose anchor passes the filter: anchor, length, doc_id, dk, lo, n, off and, for both parts, core and document hashes."""
     make = filtered.tester()
 
     def each(batch):
         data, offsets = text_buffers(batch.column("text"))
         ids, keys, test = batch.column("doc_id"), batch.column("dk"), make()
-        for texts, first, counts, anchors, s, sums, hashes in runs(data, offsets, length):
-            some = test(hashes[anchors].view(np.int64))
-            texts, first, counts, anchors = texts[some], first[some], counts[some], anchors[some]
+        for length, texts, first, counts, anchors, s, sums, hashes in runs(data, offsets, lengths):
+            half = (length - K) // 2
+            marks = _salted(hashes[anchors], length).view(np.int64)
+            some = test(marks)
+            marks, texts, first, counts, anchors = marks[some], texts[some], first[some], counts[some], anchors[some]
             end = first + counts  # one past the last start
             split = np.clip(anchors - half + 1, first, end)  # starts before it: the anchor is `half` or more away
             ends = np.minimum(anchors + length - half, len(sums) - 1)
             near, far = W.ranges_hash(sums, anchors, ends), W.ranges_hash(sums, np.maximum(anchors - half, 0), anchors + K)
+            near, far = _salted(near, length), _salted(far, length)
             own = [W.ranges_hash(sums, a, np.maximum(b - 1 + length, a)) ^ W.mix((anchors - a).astype(np.uint64)) for a, b in ((first, split), (split, end))]
             as_long = lambda x: pa.array(x.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    as_long(hashes[anchors]), ids.take(pa.array(texts)), keys.take(pa.array(texts)),
+                    pa.array(marks), pa.array(np.full(len(marks), length, np.int32)), ids.take(pa.array(texts)), keys.take(pa.array(texts)),
                     pa.array(first + s - offsets[texts]), pa.array((split - first).astype(np.int32)), pa.array((end - split).astype(np.int32)), pa.array((anchors - first).astype(np.int32)),
                     as_long(far), as_long(near), as_long(own[0]), as_long(own[1]),
                 ],
-                names=["anchor", "doc_id", "dk", "lo", "n0", "n1", "off", "core0", "core1", "own0", "own1"],
+                names=["anchor", "length", "doc_id", "dk", "lo", "n0", "n1", "off", "core0", "core1", "own0", "own1"],
             )
 
-    schema = "anchor long, doc_id long, dk long, lo long, n0 int, n1 int, off int, core0 long, core1 long, own0 long, own1 long"
+    schema = "anchor long, length int, doc_id long, dk long, lo long, n0 int, n1 int, off int, core0 long, core1 long, own0 long, own1 long"
     return map_arrow(docs, each, schema)
 
 
-def _documents(parts: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """core, doc_id, dk, lo, single, left, right: short documents of the pieces of text that are to be compared."""
-    listed = parts.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("core", "lo", "n", "off", "single")).alias("parts"))
+def _packed(data: np.ndarray, place: np.ndarray, count: np.ndarray, step: int) -> np.ndarray:
+    """Up to seven bytes from a place on, or back from it, in 64 bits whose highest byte is their count."""
+    out = count.astype(np.uint64) << W.U(56)
+    for j in range(FINE - 1):
+        some = np.flatnonzero(count > j)
+        out[some] |= data[place[some] + step * j].astype(np.uint64) << W.U(8 * j)
+    return out
+
+
+def _documents(pieces: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """Short documents of pieces (pid, length, doc_id, dk, lo, n, off, twice), packed: part (of the core), cores, lefts, rights, pids, ats.
+
+    lefts and rights are the bytes beside the core, ats twice the first start within the piece, and 1 if the piece stands twice.
+    """
+    fields = ("pid", "length", "lo", "n", "off")
+    listed = pieces.groupBy("doc_id", "dk").agg(F.collect_list(F.struct(*fields, "twice")).alias("parts"))
     wanted = KeyFilter(listed.select("dk")).keep(texts, "dk")
-    joined = wanted.join(listed, wanted.doc_id.eqNullSafe(listed.doc_id) & (wanted.dk == listed.dk)).select(wanted.doc_id, wanted.dk, "text", "parts")
-    # Repeated rows have one text; it is taken once.
-    joined = joined.dropDuplicates(["doc_id", "dk"])
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.binary())
-    names = ["core", "doc_id", "dk", "lo", "single", "left", "right"]
+    joined = wanted.join(listed, wanted.doc_id.eqNullSafe(listed.doc_id) & (wanted.dk == listed.dk)).select("text", "parts")
+    names = ["cores", "lefts", "rights", "pids", "ats"]
 
     def each(batch):
         data, offsets = text_buffers(batch.column("text"))
-        raw_all = data.tobytes()
-        out: list[list] = [[] for _ in names]
-        for i, (doc, key, own) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "dk", "parts")), strict=True)):
-            raw = raw_all[offsets[i] : offsets[i + 1]]
-            for p in own:
-                at, end, anchor = p["lo"], p["lo"] + p["n"], p["lo"] + p["off"]
-                while at < end:  # starts whose distance to the anchor has the same quotient
-                    whole = anchor - (anchor - at) // FINE * FINE
-                    to = min(end, whole + 1)
-                    after = whole - FINE + 1 + length
-                    core = hashlib.blake2b(raw[whole:after], digest_size=8).digest()
-                    for column, value in zip(out, (int.from_bytes(core, "little", signed=True), doc, key, at, p["single"], raw[at:whole], raw[after : to - 1 + length]), strict=True):
-                        column.append(value)
-                    at = to
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=names)
-
-    return map_arrow(joined, each, "core long, doc_id long, dk long, lo long, single boolean, left binary, right binary")
-
-
-def _collections(docs: DataFrame, length: int) -> DataFrame:
-    """Spans (doc_id, dk, a, b) of the strings found repeated; docs: core, left, right, wanted, doc_id, dk, lo."""
-
-    def solve(rows: list[tuple]):
-        out = []
-        sizes = np.array([len(r[1]) + 1 + len(r[2]) for r in rows])
-        offsets = np.concatenate(([0], np.cumsum(sizes)))
-        data = np.frombuffer(b"".join(r[1] + b"\0" + r[2] for r in rows), np.uint8).astype(np.uint32)
-        cores = {c: 256 + i for i, c in enumerate(dict.fromkeys(r[0] for r in rows))}
-        data[offsets[:-1] + np.array([len(r[1]) for r in rows])] = [cores[r[0]] for r in rows]
-        for (_, _, _, wanted, doc, key, lo), starts in zip(rows, repeated_starts(data, offsets, FINE), strict=True):
-            if wanted and len(starts):
-                for run in np.split(starts, np.flatnonzero(np.diff(starts) > 1) + 1):
-                    out.append((doc, key, lo + int(run[0]), lo + int(run[-1]) + length))
-        columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc_id", "dk", "a", "b"])
+        lists = batch.column("parts")
+        own = lists.flatten()
+        pid, length, lo, n, off = (own.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in fields)
+        twice = own.field("twice").to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = lo + np.repeat(offsets[:-1], lists.value_lengths().to_numpy(zero_copy_only=False))  # in data
+        window = begin // CHUNK
+        by = np.argsort(window, kind="stable")
+        for some in np.split(by, np.flatnonzero(np.diff(window[by])) + 1) if len(by) else []:
+            base = int(window[some[0]]) * CHUNK
+            part = data[base : base + CHUNK + 3 * int(length[some].max())]
+            low = begin[some] - base
+            anchor, end = low + off[some], low + n[some]
+            far, near = (anchor - low) // FINE, (anchor - end + 1) // FINE
+            counts = far - near + 1
+            which = np.repeat(np.arange(len(some)), counts)
+            quotient = np.repeat(far, counts) - (np.arange(len(which)) - np.repeat(np.cumsum(counts) - counts, counts))
+            whole = anchor[which] - quotient * FINE  # the start nearest to the anchor that such a document can hold
+            at, to = np.maximum(low[which], whole - FINE + 1), np.minimum(end[which], whole + 1)
+            after = whole - FINE + 1 + length[some][which]
+            cores = W.ranges_hash(W.prefix_sums(part, W.PLAIN), whole, after)  # that of another length is another
+            columns = [
+                cores,
+                _packed(part, whole - 1, whole - at, -1),
+                _packed(part, after, to + FINE - 2 - whole, 1),
+                pid[some][which],
+                2 * (at - low[which]) + twice[some][which],
+            ]
+            home = (W.mix(cores) % W.U(parts)).astype(np.int64)
+            order = np.argsort(home, kind="stable")
+            present, sizes = np.unique(home, return_counts=True)
+            packed = [list_array(c[order].view(np.int64), sizes, pa.int64()) for c in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *packed], names=["part", *names])
+
+    return map_arrow(joined, each, "part int, " + ", ".join(f"{c} array<long>" for c in names))
+
+
+def _strings(cores: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Short documents as symbols laid end to end, and their offsets; cores are numbered from 256."""
+    left, right = ((x >> W.U(56)).astype(np.int64) for x in (lefts, rights))
+    offsets = np.concatenate(([0], np.cumsum(left + right + 1)))
+    data = np.empty(offsets[-1], np.uint32)
+    middle = offsets[:-1] + left
+    data[middle] = 256 + np.unique(cores, return_inverse=True)[1]
+    for j in range(FINE - 1):
+        for packed, count, sign in ((lefts, left, -1), (rights, right, 1)):
+            some = np.flatnonzero(count > j)
+            data[middle[some] + sign * (j + 1)] = ((packed[some] >> W.U(8 * j)) & W.U(255)).astype(np.uint32)
+    return data, offsets
+
+
+def _repeated(cores: np.ndarray, lefts: np.ndarray, rights: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each short document the bits of its starts that are repeated; weight: 2 for those that stand twice."""
+    by = np.lexsort((rights, lefts, cores))
+    c, x, y = cores[by], lefts[by], rights[by]
+    new_core = np.concatenate(([True], c[1:] != c[:-1]))
+    new = new_core | np.concatenate(([True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])))
+    document = np.cumsum(new) - 1
+    first = np.flatnonzero(new)
+    copies = np.minimum(np.add.reduceat(weight[by], first), 2)
+    c, x, y = c[first], x[first], y[first]
+    group = np.cumsum(new_core[first]) - 1
+    several = np.bincount(group, weights=copies)[group] > 1
+    bits = np.zeros(len(first), np.uint8)
+    chosen = np.flatnonzero(several)
+    sizes = copies[chosen] * (1 + 2 * (FINE - 1))
+    # Whole cores to a collection, up to so many symbols and cores.
+    ends = np.cumsum(sizes)
+    ordinal = np.cumsum(np.concatenate(([0], np.diff(group[chosen]) > 0))) if len(chosen) else np.empty(0, np.int64)
+    slot = np.maximum(ends // COLLECTION, ordinal // CORES)
+    lead = np.flatnonzero(np.diff(group[chosen], prepend=-1))
+    slot = np.repeat(slot[lead], np.diff(np.append(lead, len(chosen)))) if len(chosen) else slot
+    for part in np.split(chosen, np.flatnonzero(np.diff(slot)) + 1) if len(chosen) else []:
+        row = np.repeat(part, copies[part])
+        string, start = repeated_starts(*_strings(c[row], x[row], y[row]), FINE)
+        np.bitwise_or.at(bits, row[string], (np.uint8(1) << start.astype(np.uint8)))
+    out = np.empty(len(by), np.uint8)
+    out[by] = bits[document]
+    return out
 
-    def run(batches):
-        ready, size, last = [], 0, None
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("core", "left", "right", "wanted", "doc_id", "dk", "lo")), strict=True):
-                if size >= COLLECTION and row[0] != last:
-                    yield solve(ready)
-                    ready, size = [], 0
-                ready.append(row)
-                size += len(row[1]) + len(row[2]) + 1
-                last = row[0]
-        if ready:
-            yield solve(ready)
-
-    return docs.repartition("core").sortWithinPartitions("core").mapInArrow(run, "doc_id long, dk long, a long, b long")
-
-
-def _by_string(docs: DataFrame, length: int) -> DataFrame:
-    """The same spans for cores of very many documents: strings are counted by their bytes beside the core."""
-    size = F.octet_length("left") + F.octet_length("right") + 1
-    one = docs.withColumn("s", F.explode(F.sequence(F.lit(0), size - FINE)))
-    left = F.substring("left", F.col("s") + 1, F.octet_length("left"))
-    right = F.substring("right", F.lit(1), F.lit(FINE - 1) - (F.octet_length("left") - F.col("s")))
-    one = one.withColumn("l", left).withColumn("r", right)
-    twice = one.groupBy("core", "l", "r").agg(F.count("*").alias("c")).where("c > 1").select("core", "l", "r")
-    hit = one.where("wanted").join(twice, ["core", "l", "r"])
-    return hit.select("doc_id", "dk", (F.col("lo") + F.col("s")).alias("a"), (F.col("lo") + F.col("s") + length).alias("b"))
-
-
-def spans(texts: DataFrame, length: int, scratch: Scratch) -> DataFrame:
-    """doc_id, dk and the list of repeated spans of every text (doc_id, dk, text) that has any."""
-    twice = scratch.table(anchors_twice(texts, length), "anchors")
-    rows = scratch.table(anchor_rows(texts, length, KeyFilter(twice, 26)).join(twice, "anchor", "left_semi").drop("anchor"), "twice")
+
+_BITS = np.arange(256, dtype=np.uint8)
+_RISES = np.unpackbits(_BITS[:, None] & ~(_BITS[:, None] << 1), axis=1, bitorder="little").sum(axis=1)  # runs of ones
+_LOWEST, _ONES = np.array([(x & -x).bit_length() - 1 for x in range(256)]), np.bitwise_count(_BITS).astype(np.int64)
+
+
+def _runs_of_bits(ats: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last) of the runs of ones; bit i of a row stands for its start + i."""
+    one = np.flatnonzero(_RISES[bits] == 1)
+    first = ats[one] + _LOWEST[bits[one]]
+    more = np.flatnonzero(_RISES[bits] > 1)
+    row, bit = np.nonzero(np.unpackbits(bits[more][:, None], axis=1, bitorder="little"))
+    single = ats[more][row] + bit
+    return np.concatenate((one, more[row])), np.concatenate((first, single)), np.concatenate((first + _ONES[bits[one]] - 1, single))
+
+
+def _spans_of_pieces(documents: DataFrame, parts: int) -> DataFrame:
+    """pid, a, b: runs [a, b) of repeated starts within pieces, from the collections' transforms."""
+
+    def solve(_, got):
+        bits = _repeated(got["cores"].view(np.uint64), got["lefts"].view(np.uint64), got["rights"].view(np.uint64), 1 + (got["ats"] & 1))
+        row, first, last = _runs_of_bits(got["ats"] >> 1, bits)
+        pids = got["pids"][row]
+        home = (W.mix(pids.view(np.uint64)) % W.U(parts)).astype(np.int64)
+        by = np.argsort(home, kind="stable")
+        present, sizes = np.unique(home, return_counts=True)
+        lists = [list_array(v[by], sizes, pa.int64()) for v in (pids, first, last)]
+        return pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *lists], names=["part", "pids", "firsts", "lasts"])
+
+    def join(_, got):
+        by = np.lexsort((got["firsts"], got["pids"]))
+        pids, first, last = (got[c][by] for c in ("pids", "firsts", "lasts"))
+        new = np.concatenate(([True], (pids[1:] != pids[:-1]) | (first[1:] > last[:-1] + 1)))
+        at = np.flatnonzero(new)
+        return pa.RecordBatch.from_arrays([pa.array(pids[at]), pa.array(first[at]), pa.array(last[np.append(at[1:], len(pids)) - 1] + 1)], names=["pid", "a", "b"])
+
+    found = by_part(documents, solve, "part int, pids array<long>, firsts array<long>, lasts array<long>")
+    return by_part(found, join, "pid long, a long, b long")
+
+
+def spans(texts: DataFrame, lengths: tuple[int, ...], scratch: Scratch) -> DataFrame:
+    """doc_id, dk and the list of repeated spans (length, a, b) of every text (doc_id, dk, text) that has any.
+
+    Strings of each length are judged by themselves; all lengths go through the same jobs.
+    """
+    if min(lengths) < 2 * K:
+        raise ValueError(f"strings of {min(lengths)} bytes are shorter than {2 * K}")
+    twice = scratch.table(anchors_twice(texts, lengths), "anchors")
+    rows = scratch.table(anchor_rows(texts, lengths, KeyFilter(twice, 26)).join(twice, "anchor", "left_semi").drop("anchor"), "twice")
     scratch.drop("anchors")
-    side = lambda i, lo, off: rows.where(f"n{i} > 0").select(F.col(f"core{i}").alias("core"), F.col(f"own{i}").alias("own"), "doc_id", "dk", lo, F.col(f"n{i}").alias("n"), off)
+    side = lambda i, lo, off: rows.where(f"n{i} > 0").select(F.col(f"core{i}").alias("core"), F.col(f"own{i}").alias("own"), "length", "doc_id", "dk", lo, F.col(f"n{i}").alias("n"), off)
     parts = side(0, "lo", "off").union(side(1, (F.col("lo") + F.col("n0")).alias("lo"), (F.col("off") - F.col("n0")).alias("off")))
-    known = parts.groupBy("core", "own").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "dk", "lo", "n", "off")).alias("r"))
-    known = scratch.table(known, "known")
-    several = known.groupBy("core").agg(F.count("*").alias("m"), F.max((F.col("c") == 1).cast("int")).alias("singles")).where("m > 1 and singles = 1")
-    chosen = known.join(several, "core").select("core", "r.*", (F.col("c") == 1).alias("single"))
-    sure = parts.join(known.where("c > 1").select("core", "own"), ["core", "own"]).select("doc_id", "dk", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"))
-
-    fine = scratch.table(_documents(chosen, texts, length), "fine")
-    key = ["core", "left", "right"]
-    folded = fine.groupBy(*key).agg(F.count("*").alias("c"), F.max("single").alias("wanted"), F.min(F.struct("doc_id", "dk", "lo")).alias("r"))
-    folded = scratch.table(folded.select(*key, "c", (F.col("wanted") & (F.col("c") == 1)).alias("wanted"), "r.*"), "folded")
-    groups = folded.groupBy("core").agg(F.count("*").alias("m"), F.max("wanted").alias("some")).where("m > 1 and some").select("core", "m")
-    mixed = scratch.table(folded.join(groups, "core"), "mixed")
-    found = _collections(mixed.where(F.col("m") <= MANY), length).union(_by_string(mixed.where(F.col("m") > MANY), length))
-    starts = F.octet_length("left") + F.octet_length("right") + 2 - FINE
-    again = fine.where("single").join(folded.where("c > 1").select(*key), key).select("doc_id", "dk", F.col("lo").alias("a"), (F.col("lo") + starts - 1 + length).alias("b"))
-    every = sure.union(again).union(found)
-    out = every.groupBy("doc_id", "dk").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    out = scratch.table(out, "spans")
-    scratch.drop("twice", "known", "fine", "folded", "mixed")
+    known = parts.groupBy("core", "own").agg(F.count("*").alias("c"), F.min(F.struct("length", "doc_id", "dk", "lo", "n", "off")).alias("r"))
+    known = scratch.table(known.withColumn("pid", F.monotonically_increasing_id()), "known")
+    several = known.groupBy("core").agg(F.sum("c").alias("m")).where("m > 1").select("core")
+    pieces = known.join(several, "core", "left_semi").select("pid", "r.*", (F.col("c") > 1).alias("twice"))
+    pieces = scratch.table(pieces, "pieces")
+    total = pieces.agg(F.sum("n")).first()[0] or 0
+    deal = max(8, -(-total // FINE // PART))
+    found = _spans_of_pieces(_documents(pieces, texts, deal), deal)
+    told = found.join(known.select("pid", "core", "own"), "pid").select("core", "own", "a", "b")
+    every = parts.join(told, ["core", "own"]).select("doc_id", "dk", "length", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") - 1 + F.col("length")).alias("b"))
+    out = scratch.table(every.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("length", "a", "b")).alias("spans")), "spans")
+    scratch.drop("twice", "known", "pieces")
     return out
 
 
-def merged(own) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted((s["a"], s["b"]) for s in own or ()):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def merged(column: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, a, b): maximal spans of one length of each row of a column of span lists, in order."""
+    own = column.flatten()
+    row = np.repeat(np.arange(len(column)), column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    kind, a, b = (own.field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("length", "a", "b"))
+    some = np.flatnonzero(kind == length)
+    some = some[np.lexsort((a[some], row[some]))]
+    row, a, b = row[some], a[some], b[some]
+    if not len(row):
+        return row, a, b
+    # Ends so far, row by row: rows are told apart by a step that no place within a text reaches.
+    step = row * (b.max() + 2)
+    reach = np.maximum.accumulate(b + step)
+    new = np.concatenate(([True], a[1:] + step[1:] > reach[:-1]))
+    at = np.flatnonzero(new)
+    return row[at], a[at], (reach - step)[np.append(at[1:], len(row)) - 1]
+
+
+def _cut(data: np.ndarray, offsets: np.ndarray, row: np.ndarray, a: np.ndarray, b: np.ndarray):
+    """What is left of each text, as a list of pieces of bytes."""
+    first = np.searchsorted(row, np.arange(len(offsets)))
+    for i in range(len(offsets) - 1):
+        raw, at, out = data[offsets[i] : offsets[i + 1]], 0, []
+        for j in range(first[i], first[i + 1]):
+            out.append(raw[at : a[j]])
+            at = b[j]
+        out.append(raw[at:])
+        yield out
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -243,61 +338,63 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("dk", F.xxhash64("doc_id", "text"))
 
 
-def cut_digests(docs: DataFrame, length: int = 400) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
-    scratch = Scratch(docs.sparkSession, "suffix")
+def cut_digests(docs: DataFrame, length: int = 400, shorter: int | None = None) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row; shorter: and n_shared, its bytes in repeated strings of that length."""
     texts = _keyed(docs)
-    found = spans(texts, length, scratch)
-    keys = KeyFilter(found.select("dk"))
+    found = spans(texts, (length,) if shorter is None else (length, shorter), Scratch(docs.sparkSession, "suffix"))
+    found = found.select(F.col("doc_id").alias("doc"), F.col("dk").alias("key"), "spans")
+    keys = KeyFilter(found.select("key"))
+    none = F.lit(0).cast("long")
     whole = keys.keep(texts, "dk", False).select(
-        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+        "doc_id", F.octet_length("text").cast("long").alias("n_bytes"), none.alias("n_removed"), none.alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"), none.alias("n_shared")
     )
     some = keys.keep(texts, "dk")
-    joined = some.join(found, some.doc_id.eqNullSafe(found.doc_id) & (some.dk == found.dk), "left").select(some.doc_id, "text", "spans")
+    joined = some.join(found, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("dk") == F.col("key")), "left").select("doc_id", "text", "spans")
 
     def each(batch):
         data, offsets = text_buffers(batch.column("text"))
-        rows = []
-        for i, own in enumerate(batch.column("spans").to_pylist()):
-            raw, cuts, kept, at = data[offsets[i] : offsets[i + 1]], merged(own), hashlib.sha256(), 0
-            for a, b in cuts:
-                kept.update(raw[at:a].tobytes())
-                at = b
-            kept.update(raw[at:].tobytes())
-            rows.append((len(raw), sum(b - a for a, b in cuts), len(cuts), kept.hexdigest()))
-        columns = list(zip(*rows, strict=True))
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-    return whole.union(map_arrow(joined, each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+        row, a, b = merged(batch.column("spans"), length)
+        digests = []
+        for kept in _cut(data, offsets, row, a, b):
+            digest = hashlib.sha256()
+            for piece in kept:
+                digest.update(piece.tobytes())
+            digests.append(digest.hexdigest())
+        n = batch.num_rows
+        count = lambda row, weights=None: pa.array(np.bincount(row, weights, n).astype(np.int64))
+        row2, a2, b2 = (row, a, b) if shorter is None else merged(batch.column("spans"), shorter)
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("doc_id"), pa.array(np.diff(offsets)), count(row, b - a), count(row), pa.array(digests, pa.string()), count(row2, b2 - a2)],
+            names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"],
+        )
+
+    out = whole.union(map_arrow(joined, each, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long"))
+    return out if shorter is not None else out.drop("n_shared")
 
 
 def cut_texts(docs: DataFrame, length: int = 400) -> DataFrame:
     """All rows and columns, each text without its repeated strings; a text of which nothing is left is empty."""
     scratch = Scratch(docs.sparkSession, "suffix")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumn("dk", F.xxhash64(F.col("doc_id").cast("long"), text))
-    found = spans(_keyed(docs), length, scratch)
+    # Columns of our own get names that no column of the table has.
+    dk, doc, key, cuts = (fresh(docs.columns, c) for c in ("dk", "_doc", "_dk", "_spans"))
+    keyed = docs.withColumn(dk, F.xxhash64(F.col("doc_id").cast("long"), text))
+    found = spans(_keyed(docs), (length,), scratch)
     keys = KeyFilter(found.select("dk"))
-    some = keys.keep(keyed, "dk")
-    hits = found.select(F.col("doc_id").alias("_doc"), F.col("dk").alias("_dk"), "spans")
-    joined = some.join(hits, F.col("doc_id").cast("long").eqNullSafe(F.col("_doc")) & (F.col("dk") == F.col("_dk")), "left").drop("_doc", "_dk", "dk")
-    place = docs.columns.index("text")
+    hits = found.select(F.col("doc_id").alias(doc), F.col("dk").alias(key), F.col("spans").alias(cuts))
+    match = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.col(dk) == F.col(key))
+    joined = keys.keep(keyed, dk).join(hits, match, "left").drop(doc, key, dk)
+    columns, place = docs.columns, docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
             data, offsets = text_buffers(batch.column(place))
-            texts, lists = [], batch.column(len(docs_columns)).to_pylist()
-            for i, own in enumerate(lists):
-                raw, at, kept = data[offsets[i] : offsets[i + 1]], 0, []
-                for a, b in merged(own):
-                    kept.append(raw[at:a].tobytes())
-                    at = b
-                kept.append(raw[at:].tobytes())
-                texts.append(batch.column(place)[i].as_py() if at == 0 else "".join(k.decode("utf-8", "ignore") for k in kept))
-            columns = [batch.column(i) for i in range(len(docs_columns))]
-            columns[place] = pa.array(texts, batch.schema.field(place).type)
-            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
-
-    docs_columns = docs.columns
-    return keys.keep(keyed, "dk", False).drop("dk").union(joined.mapInArrow(run, docs.schema))
+            row, a, b = merged(batch.column(len(columns)), length)
+            texts = []
+            for i, kept in enumerate(_cut(data, offsets, row, a, b)):
+                texts.append(batch.column(place)[i].as_py() if len(kept) == 1 else "".join(k.tobytes().decode("utf-8", "ignore") for k in kept))
+            out = [batch.column(i) for i in range(len(columns))]
+            out[place] = pa.array(texts, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays(out, names=columns)
+
+    return keys.keep(keyed, dk, False).drop(dk).union(joined.mapInArrow(run, docs.schema))
