@@ -2,18 +2,23 @@
 
 A unit vector o is rotated by a random orthogonal matrix; its code is the signs of the rotated
 coordinates, and its stored factor f is the inner product of the rotated vector with the unit vector
-of those signs.  For a query q, rotated and quantised to four bits a coordinate, the inner product of
-the sign vector with q comes from bit counts of the code and of q's four bit planes; divided by
-f it is an unbiased estimate of o.q, with a deviation of at most sqrt((1 - f^2) / f^2) / sqrt(d - 1)
-times a normal one.  A pair whose estimate and EPSILON deviations stay below the threshold is
-dropped; every other pair is recomputed exactly, in double precision, so no link is below the threshold.
-
-Pairs come from sign-bit buckets: T tables of b bits of further rotations, b by the logarithm of the
-number of vectors, T so that a pair just at the threshold meets in some table with probability RECALL
-or more.  A pair counts in the first table in which it meets.  Within a bucket no rows of pairs are
-made: a task returns link counts and a spanning forest of the links it found, at most two rows a
-member.  Equal vectors are one class with a multiplicity before anything else; a bucket of more than
-HOT classes is split into blocks, each pair of which is a task's group.
+of those signs.  A vector also has its rotated coordinates in eight bits each, rounded at random, with
+their least value and step.  For a query q the inner product of the sign vector with the four high bits of
+q comes from bit counts; divided by f it is an unbiased estimate of o.q, with a deviation of at most
+sqrt((1 - f^2) / f^2) / sqrt(d - 1) times a normal one.  A pair whose estimate and EPSILON deviations stay
+below the threshold is dropped; the others are estimated once more from all bits of both, whose deviation is some
+hundred times less, and dropped by the same rule.  Every pair that is left is recomputed exactly, in
+double precision, so no link is below the threshold.
+
+Codes, factors and levels are computed once and stored; buckets are of sign bits of further rotations:
+T tables of b bits, b by the logarithm of the number of vectors, T so that a pair just at the threshold
+meets in some table with probability RECALL or more.  Only codes go to the buckets.  There the bounds
+tell which pairs may be linked, and a task returns a spanning forest of these (a row a member at
+most; pairs that are connected already aren't looked at again, so a dense bucket costs little).  Vectors
+are then sent once, to the cluster (a component of those forests) that they belong to, where every pair is
+recomputed exactly: links are counted and joined there.  Equal vectors are one class with a multiplicity
+before anything else; a bucket or cluster of more than HOT classes is cut into blocks, each pair of
+which is a task's group.
 
 Null, empty, zero and non-finite vectors (or with a null component) link with nothing; vectors of
 different lengths don't link; repeated vec_ids keep their rows; empty tables give no rows; labels
@@ -23,6 +28,7 @@ and other columns are ignored.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +39,7 @@ from lexloom.llm._common import Scratch, map_arrow
 from lexloom.llm.components import components
 
 EPSILON, RECALL, HOT, BLOCK, ROWS = 4.0, 0.995, 2000, 1000, 20_000
+KEY = ["d", "slot", "bucket", "block", "other"]  # of a group that a task has whole
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -57,31 +64,44 @@ def _words(bits: np.ndarray) -> np.ndarray:
 
 
 def codes(unit: np.ndarray):
-    """code, factor, planes (4), low, step, total of the rotated unit vectors (n, d)."""
+    """code, factor, levels (n, d), low, step, total of the rotated unit vectors (n, d)."""
     d = unit.shape[1]
     turned = unit @ rotation(d, 1).T
     code = _words(turned > 0)
     factor = np.abs(turned).sum(axis=1) / math.sqrt(d)
     low = turned.min(axis=1)
-    step = np.maximum((turned.max(axis=1) - low) / 15, 1e-12)
+    step = np.maximum((turned.max(axis=1) - low) / 255, 1e-12)
     noise = np.random.default_rng(3).random(d)  # unbiased rounding, the same for equal vectors
-    levels = np.clip(np.floor((turned - low[:, None]) / step[:, None] + noise), 0, 15).astype(np.uint8)
-    planes = np.stack([_words((levels >> j) & 1 == 1) for j in range(4)], axis=1)
-    return code, factor, planes, low, step, turned.sum(axis=1)
+    levels = np.clip(np.floor((turned - low[:, None]) / step[:, None] + noise), 0, 255).astype(np.uint8)
+    return code, factor, levels, low, step, turned.sum(axis=1)
 
 
-def estimate(d: int, data, query, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Unbiased estimates of the inner products of data rows i with query rows j, and one deviation."""
+def planes(levels: np.ndarray) -> np.ndarray:
+    """The four high bits of levels, a plane a bit."""
+    return np.stack([_words((levels >> (4 + j)) & 1 == 1) for j in range(4)], axis=1)
+
+
+def estimate(d: int, data, query, high: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unbiased estimates of the inner products of data rows i with query rows j (high: their planes), and one deviation."""
     code, factor = data[0][i], data[1][i]
-    planes, low, step = query[2][j], query[3][j], query[4][j]
+    own, low, step = high[j], query[3][j] + 7.5 * query[4][j], 16 * query[4][j]
     inside = np.bitwise_count(code).sum(axis=1, dtype=np.float64) * low
     for bit in range(4):
-        inside += step * (1 << bit) * np.bitwise_count(code & planes[:, bit]).sum(axis=1, dtype=np.float64)
+        inside += step * (1 << bit) * np.bitwise_count(code & own[:, bit]).sum(axis=1, dtype=np.float64)
     got = (2 * inside - query[5][j]) / math.sqrt(d)
     deviation = np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(max(d - 1, 1))
     return got / factor, deviation + step
 
 
+def refined(d: int, coded, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Estimates from all eight bits of both vectors, and one deviation: each level is off by a step's sixth in variance."""
+    _, _, levels, low, step, _ = coded
+    a, b = levels[i].astype(np.float32), levels[j].astype(np.float32)
+    both = np.einsum("ij,ij->i", a, b).astype(np.float64)
+    got = d * low[i] * low[j] + low[i] * step[j] * b.sum(axis=1) + low[j] * step[i] * a.sum(axis=1) + step[i] * step[j] * both
+    return got, np.sqrt((step[i] ** 2 + step[j] ** 2) / 6) + 1e-6
+
+
 def tables(count: int, cosine: float) -> tuple[int, int]:
     """(bits, tables) of the buckets for so many vectors."""
     bits = max(4, int(math.log2(max(count, 1) / 4 + 1)))
@@ -101,90 +121,124 @@ def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _dealt(classes: DataFrame, bits: int, count: int) -> DataFrame:
-    """A row for each class and table: d, slot (table), bucket; and all its buckets."""
+def _coded(classes: DataFrame, bits: int, count: int) -> DataFrame:
+    """d, node, code (sign words, factor, low, step, total and levels as bytes) and buckets (one a table) of each class."""
 
     def each(batch):
         for d, (rows, vectors) in _matrix(batch.column("embedding")).items():
+            code, factor, levels, low, step, total = codes(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+            packed = np.concatenate((code, *(x[:, None].view(np.uint64) for x in (factor, low, step, total))), axis=1).view(np.uint8)
+            packed = np.concatenate((packed, levels), axis=1)
             signs = vectors @ rotation(d, 1 + -(-bits * count // d))[d:].T > 0
             buckets = np.zeros((len(rows), count), np.int64)
-            for t in range(count):
-                for b in range(bits):
-                    buckets[:, t] = buckets[:, t] * 2 + signs[:, t * bits + b]
-            part = batch.take(pa.array(rows))
-            whole = pa.array(list(buckets), pa.list_(pa.int64()))
-            for t in range(count):
-                same = [pa.array(np.full(len(rows), x, np.int32)) for x in (d, t)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(buckets[:, t]), part.column("node"), part.column("many"), part.column("embedding"), whole], names=names)
-
-    names = ["d", "slot", "bucket", "node", "many", "embedding", "buckets"]
-    kind = classes.schema["embedding"].dataType.simpleString()
-    return map_arrow(classes.select("node", "many", "embedding"), each, f"d int, slot int, bucket long, node long, many long, embedding {kind}, buckets array<long>")
-
-
-def _solve(rows: pa.Table, cosine: float) -> pa.RecordBatch:
-    """Link counts and spanning links of whole groups (d, slot, bucket, block, other), sorted by group."""
-    keys = [rows.column(c).to_numpy() for c in ("d", "slot", "bucket", "block", "other")]
+            for b in range(bits):
+                buckets = buckets * 2 + signs[:, b : bits * count : bits]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(rows), d, np.int32)), batch.column("node").take(pa.array(rows)), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(list(buckets), pa.list_(pa.int64()))],
+                names=["d", "node", "code", "buckets"],
+            )
+
+    return map_arrow(classes.select("node", "embedding"), each, "d int, node long, code binary, buckets array<long>")
+
+
+def _unpacked(d: int, column: pa.Array):
+    """code, factor, levels, low, step, total of packed codes."""
+    words = -(-d // 64)
+    whole = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 8 * words + 32 + d)
+    numbers = np.ascontiguousarray(whole[:, : 8 * words + 32]).view(np.uint64)
+    factor, low, step, total = (np.ascontiguousarray(numbers[:, words + i]).view(np.float64) for i in range(4))
+    return numbers[:, :words], factor, whole[:, 8 * words + 32 :], low, step, total
+
+
+def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Labels after links between a and b: the least row that each reaches."""
+    while True:
+        least = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, label[a], least)
+        np.minimum.at(after, label[b], least)
+        np.minimum.at(after, a, least)
+        np.minimum.at(after, b, least)
+        after = after[after]
+        if (after == label).all():
+            return label
+        label = after
+
+
+def _candidates(rows: pa.Table, cosine: float) -> pa.RecordBatch:
+    """A spanning forest (a, b) of the pairs that bounds don't rule out, of whole groups, sorted by group."""
+    keys = [rows.column(c).to_numpy() for c in KEY]
     new = np.zeros(rows.num_rows, np.int64)
     for k in keys:
         new[1:] |= k[1:] != k[:-1]
     group = np.cumsum(new)
-    node, many = rows.column("node").to_numpy(), rows.column("many").to_numpy()
-    slot, block, other, own = keys[1], keys[3], keys[4], rows.column("own").to_numpy()
-    lists = rows.column("buckets").combine_chunks()
-    buckets = lists.flatten().to_numpy().reshape(rows.num_rows, -1)
-    vectors = rows.column("embedding").combine_chunks()
-    links, found_i, found_j = np.zeros(rows.num_rows, np.int64), [], []
-    for d, (at, values) in _matrix(vectors).items():
-        unit = values / np.linalg.norm(values, axis=1, keepdims=True)
-        coded = codes(unit)
-        g = group[at]
-        i, shift = np.arange(len(at)), 1
+    node, lengths, own = (rows.column(c).to_numpy() for c in ("node", "d", "own"))
+    within = rows.column("block").to_numpy() == rows.column("other").to_numpy()
+    packed, label = rows.column("code").combine_chunks(), np.arange(rows.num_rows)
+    for d in np.unique(lengths):
+        at = np.flatnonzero(lengths == d)
+        coded = _unpacked(int(d), packed.take(pa.array(at)))
+        high = planes(coded[2])
+        g, shift, i = group[at], 0, np.arange(len(at))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
         while True:
+            shift += 1
             i = i[i + shift < len(at)]
             i = i[g[i] == g[i + shift]]
             if not len(i):
                 break
-            j = i + shift
-            # Of a pair of blocks only pairs across count; its rows of one block meet in that block's own group.
-            a, b = at[i], at[j]
-            ok = (block[a] == other[a]) | (own[a] != own[b])
-            a, b, x, y = a[ok], b[ok], i[ok], j[ok]
-            guess, deviation = estimate(d, coded, coded, x, y)
-            near = guess + EPSILON * deviation >= cosine
-            a, b, x, y = a[near], b[near], x[near], y[near]
-            exact = np.einsum("ij,ij->i", values[x], values[y]) / (np.linalg.norm(values[x], axis=1) * np.linalg.norm(values[y], axis=1))
-            hit = exact >= cosine
-            a, b = a[hit], b[hit]
-            # An earlier table in which both met has counted the pair.
+            x, y = i, i + shift
+            a, b = at[x], at[y]
+            # Of a pair of blocks only pairs across count; rows of one block meet in that block's own group.
+            ok = (within[a] | (own[a] != own[b])) & (label[a] != label[b])
+            a, b, x, y = a[ok], b[ok], x[ok], y[ok]
             if len(a):
-                earlier = (buckets[a] == buckets[b]) & (np.arange(buckets.shape[1])[None, :] < slot[a][:, None])
-                once = ~earlier.any(axis=1)
-                a, b = a[once], b[once]
-                np.add.at(links, a, many[b])
-                np.add.at(links, b, many[a])
-                found_i.append(a)
-                found_j.append(b)
-            shift += 1
-    # A spanning forest of the links, by repeated least labels.
-    label = np.arange(rows.num_rows)
-    if found_i:
-        a, b = np.concatenate(found_i), np.concatenate(found_j)
-        while True:
-            least = np.minimum(label[a], label[b])
-            after = label.copy()
-            np.minimum.at(after, a, least)
-            np.minimum.at(after, b, least)
-            after = after[after]
-            if (after == label).all():
-                break
-            label = after
-    some = np.flatnonzero((links > 0) | (label != np.arange(rows.num_rows)))
+                guess, deviation = estimate(int(d), coded, coded, high, x, y)
+                near = guess + EPSILON * deviation >= cosine
+                a, b, x, y = a[near], b[near], x[near], y[near]
+                guess, deviation = refined(int(d), coded, x, y)
+                near = guess + EPSILON * deviation >= cosine
+                found.append((a[near], b[near]))
+            if shift % 16 == 0 and found:
+                label, found = _joined(label, *(np.concatenate(z) for z in zip(*found, strict=True))), []
+        if found:
+            label = _joined(label, *(np.concatenate(z) for z in zip(*found, strict=True)))
+    some = np.flatnonzero(label != np.arange(rows.num_rows))
+    return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]])], names=["a", "b"])
+
+
+def _exact(rows: pa.Table, cosine: float) -> pa.RecordBatch:
+    """node, links, root: links within whole groups counted on the vectors, and a spanning forest of them."""
+    keys = np.stack([rows.column(c).to_numpy() for c in KEY], axis=1)
+    edges = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
+    node, many, own = (rows.column(c).to_numpy() for c in ("node", "many", "own"))
+    vectors = rows.column("embedding").combine_chunks()
+    links, label = np.zeros(len(node), np.int64), np.arange(len(node))
+    for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+        across = keys[lo, 3] != keys[lo, 4]
+        for _, (at, values) in _matrix(vectors.slice(lo, hi - lo)).items():
+            norms, at = np.linalg.norm(values, axis=1), at + lo
+            for s in range(0, len(at), BLOCK):
+                part = slice(s, s + BLOCK)
+                met = (values[part] @ values.T) / norms[part, None] / norms[None, :]
+                close = np.argwhere(np.abs(met - cosine) < 1e-9)
+                if len(close):  # told by the plain sum, not by a product of matrices
+                    x, y = close[:, 0] + s, close[:, 1]
+                    met[close[:, 0], y] = np.einsum("ij,ij->i", values[x], values[y]) / (norms[x] * norms[y])
+                hit = met >= cosine
+                hit[np.arange(hit.shape[0]), np.arange(hit.shape[0]) + s] = False
+                if across:
+                    hit &= own[at[part], None] != own[None, at]
+                links[at[part]] += hit @ many[at]
+                a, b = np.nonzero(hit)
+                if len(a):
+                    label = _joined(label, at[a + s], at[b])
+    some = np.flatnonzero(links > 0)
     return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[label[some]])], names=["node", "links", "root"])
 
 
-def _linked(dealt: DataFrame, cosine: float) -> DataFrame:
-    key = ["d", "slot", "bucket", "block", "other"]
+def _grouped(rows: DataFrame, each: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """Whole groups of KEY, some ROWS rows at a time."""
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -197,17 +251,27 @@ def _linked(dealt: DataFrame, cosine: float) -> DataFrame:
             if size < ROWS:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
-            columns = [table.column(c).to_numpy() for c in key]
+            columns = [table.column(c).to_numpy() for c in KEY]
             same = np.logical_and.reduce([c == c[-1] for c in columns])
             cut = int(np.flatnonzero(~same)[-1]) + 1 if not same.all() else 0
             if cut:
-                yield _solve(table.slice(0, cut), cosine)
+                yield each(table.slice(0, cut))
                 held = table.slice(cut).combine_chunks().to_batches()
                 size = table.num_rows - cut
         if size:
-            yield _solve(pa.Table.from_batches(held).combine_chunks(), cosine)
+            yield each(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.repartition(*KEY).sortWithinPartitions(*KEY).mapInArrow(run, schema)
 
-    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "node long, links long, root long")
+
+def _in_blocks(rows: DataFrame, *key: str) -> DataFrame:
+    """Rows with block, other, own: groups of more than HOT rows are cut into blocks, and their rows go to every pair of blocks."""
+    hot = rows.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > HOT)
+    hot = hot.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size")
+    spread = rows.join(hot, list(key), "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    spread = spread.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    spread = spread.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return spread.withColumn("block", F.least("own", "to")).withColumn("other", F.greatest("own", "to")).drop("to", "blocks")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
@@ -219,23 +283,20 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), e, usable.alias("usable"))
     classes = rows.where("usable").groupBy("embedding").agg(F.count("*").alias("many"), F.min("vec_id").alias("least"))
     classes = scratch.table(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    bits, count = tables(classes.count(), cosine)
-    dealt = scratch.table(_dealt(classes, bits, count), "dealt")
-    hot = dealt.groupBy("d", "slot", "bucket").agg(F.count("*").alias("size")).where(F.col("size") > HOT)
-    hot = hot.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).drop("size")
-    spread = dealt.join(hot, ["d", "slot", "bucket"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    spread = spread.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    spread = spread.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.withColumn("block", F.least("own", "to")).withColumn("other", F.greatest("own", "to")).drop("to", "blocks")
-    found = scratch.table(_linked(spread, cosine), "found")
-    scratch.drop("dealt")
+    coded = scratch.table(_coded(classes, *tables(classes.count(), cosine)), "coded")
+    dealt = coded.select("d", "node", "code", F.posexplode("buckets").alias("slot", "bucket"))
+    maybe = _grouped(_in_blocks(dealt, "d", "slot", "bucket"), lambda t: _candidates(t, cosine), "a long, b long")
+    clusters = scratch.table(components(maybe, scratch, "maybe").withColumnRenamed("component", "bucket"), "clusters")
+    scratch.drop("coded")
+    together = classes.join(clusters, "node").select(F.size("embedding").alias("d"), F.lit(0).alias("slot"), "bucket", "node", "many", "embedding")
+    found = scratch.table(_grouped(_in_blocks(together, "d", "slot", "bucket"), lambda t: _exact(t, cosine), "node long, links long, root long"), "found")
     whole = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
     named = named.join(least, "component").join(links, "node", "left")
     named = scratch.table(named.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("n_links"), "component_id"), "named")
-    scratch.drop("found", "classes")
+    scratch.drop("found", "classes", "clusters")
     good = rows.where("usable").join(named, "embedding").select("vec_id", "n_links", "component_id")
     alone = rows.where(~F.col("usable")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return good.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return good.union(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -38,7 +38,27 @@ def test_links(spark, monkeypatch, hot):
     least = {c: min((rows[i][0] for i in range(n) if label[i] == c and rows[i][0] is not None), default=None) for c in set(label)}
     want = sorted(((rows[i][0], int(linked[i].sum()), least[label[i]] if good(rows[i][1]) else rows[i][0]) for i in range(n)), key=repr)
     assert sorted(((r.vec_id, r.n_links, r.component_id) for r in got), key=repr) == want
-    assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
+    assert all(r.kept == (r.vec_id is not None and r.vec_id == r.component_id) for r in got)
+
+
+def test_recall(spark):
+    """Links planted just above the threshold among many vectors: all but a few are found, and none below it."""
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((4000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    other = rng.standard_normal((1500, 64))
+    other -= (other * base[:1500]).sum(axis=1, keepdims=True) * base[:1500]
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cos = rng.uniform(0.9501, 0.96, (1500, 1))
+    rows = np.concatenate((base, cos * base[:1500] + np.sqrt(1 - cos**2) * other))
+    got = binary_codes.near_duplicates(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>"), 0.95)
+    found = {r.vec_id: (r.n_links, r.component_id) for r in got.collect()}
+    near = rows @ rows.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() == 3000
+    hits = sum(found[4000 + i] == (1, i) for i in range(1500))
+    assert hits >= 0.99 * 1500
+    assert all(found[i][0] <= near[i].sum() for i in range(len(rows)))
 
 
 def test_estimate_is_unbiased():
@@ -47,10 +67,15 @@ def test_estimate_is_unbiased():
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     y = x + 0.05 * rng.standard_normal((400, 64))
     y /= np.linalg.norm(y, axis=1, keepdims=True)
-    guess, deviation = binary_codes.estimate(64, binary_codes.codes(x), binary_codes.codes(y), np.arange(400), np.arange(400))
+    data, query, at = binary_codes.codes(x), binary_codes.codes(y), np.arange(400)
+    guess, deviation = binary_codes.estimate(64, data, query, binary_codes.planes(query[2]), at, at)
     exact = (x * y).sum(axis=1)
     assert abs((guess - exact).mean()) < 0.02
     assert (np.abs(guess - exact) <= binary_codes.EPSILON * deviation).all()
+    both = [np.concatenate(z) for z in zip(data, query, strict=True)]
+    guess, deviation = binary_codes.refined(64, both, at, at + 400)
+    assert abs((guess - exact).mean()) < 0.001
+    assert (np.abs(guess - exact) <= binary_codes.EPSILON * deviation).all() and deviation.max() < 0.003
 
 
 def test_empty(spark):
