@@ -9,6 +9,9 @@ from lexloom.functions.similarity import blended, indel_distance, ratcliff_ratio
 from lexloom.functions.text import char_ngrams, letters
 
 
+FEW = 1000
+
+
 def _deletions(word: Column, k: int) -> Column:
     """(variant, d): what is left of a word by d deletions, 0 <= d <= k."""
     level = F.array(word)
@@ -41,8 +44,10 @@ def indel_pairs(queries: DataFrame, dictionary: DataFrame, k: int = 2) -> DataFr
 def indel_pairs_filtered(queries: DataFrame, dictionary: DataFrame, k: int = 2) -> DataFrame:
     """The same for a few queries: a broadcast of them, a native bound, and the exact distance of survivors.
 
-    The caller vouches that the queries are few.
+    More than FEW queries go the way of indel_pairs.
     """
+    if queries.select("query").distinct().limit(FEW + 1).count() > FEW:
+        return indel_pairs(queries, dictionary, k)
     pairs = dictionary.join(F.broadcast(queries.select("query").distinct()), (F.abs(F.length("query") - F.length("word")) <= k) & (F.levenshtein(F.lower("query"), F.col("word"), k) >= 0))
     return pairs.select("query", "word", indel_distance(F.lower("query"), F.col("word")).alias("distance")).where(F.col("distance") <= k)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import all_text, analyze, char_ngrams, split_words, word_characters
@@ -45,6 +45,20 @@ def universe(post: DataFrame) -> DataFrame:
     return post.select("doc_id").distinct()
 
 
+def numbered(words: DataFrame, column: str, prefix: int = 3) -> DataFrame:
+    """Rows with their `number` from 0 in the order of a column of distinct words.
+
+    Words are counted within their first letters; only the counts of these, as many as there are
+    beginnings of so few letters, are summed up in one task.
+    """
+    head = F.substring(column, 1, prefix)
+    counts = words.groupBy(head.alias("head")).agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+    starts = counts.select("head", before.alias("start"))
+    placed = words.withColumn("head", head).withColumn("place", F.row_number().over(Window.partitionBy("head").orderBy(column)) - 1)
+    return placed.join(starts, "head").withColumn("number", F.col("start") + F.col("place")).drop("head", "place", "start")
+
+
 def lemmatized(post: DataFrame, lemmas: DataFrame) -> DataFrame:
     """Postings whose terms are replaced by their lemma where a table (term, lemma) has one; each pair once."""
     known = lemmas.groupBy("term").agg(F.min("lemma").alias("lemma"))

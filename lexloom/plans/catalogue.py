@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.similarity import soundex_variant
@@ -39,7 +39,7 @@ class Data:
     @property
     def queries(self) -> DataFrame:
         """number, query, corrected: every dictionary word of six characters or more, its second and third exchanged."""
-        words = self.dictionary.where(F.length("word") >= 6).withColumn("number", F.row_number().over(Window.orderBy("word")) - 1)
+        words = index.numbered(self.dictionary.where(F.length("word") >= 6), "word")
         w = F.col("word")
         query = F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substring(w, 4, 2**31 - 1))
         return words.select(F.col("number").cast("long"), query.alias("query"), w.alias("corrected"))

@@ -22,7 +22,7 @@ def jac(a, b):
     return len(a & b) / len(a | b) if a | b else 0.0
 
 
-def test_edit_candidates(spark):
+def test_edit_candidates(spark, monkeypatch):
     q, d = frames(spark)
     got = {(r.query, r.word, r.distance, r.rank) for r in candidates.edit_candidates(q, d).collect()}
     want = set()
@@ -30,8 +30,10 @@ def test_edit_candidates(spark):
         near = [(0, a)] if a in WORDS else sorted((indel(a, w), w) for w in WORDS if indel(a, w) <= 2) or [(0, a)]
         want |= {(a, w, n, i) for i, (n, w) in enumerate(near, 1)}
     assert got == want
-    both = {(r.query, r.word, r.distance) for r in candidates.indel_pairs_filtered(q, d).collect()}
-    assert both == {(a, w, indel(a, w)) for a in ASKED for w in WORDS if indel(a, w) <= 2}
+    for few in (1000, 3):
+        monkeypatch.setattr(candidates, "FEW", few)
+        both = {(r.query, r.word, r.distance) for r in candidates.indel_pairs_filtered(q, d).collect()}
+        assert both == {(a, w, indel(a, w)) for a in ASKED for w in WORDS if indel(a, w) <= 2}
 
 
 def test_ngram_best(spark):

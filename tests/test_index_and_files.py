@@ -123,3 +123,9 @@ def test_merged_file_is_in_term_order(spark, tmp_path):
     files = sorted(p for p in (tmp_path / "merged").iterdir() if p.name.startswith("part-"))
     lines = [x for p in files for x in p.read_text(encoding="utf-8").splitlines()]
     assert lines == [f"{r.term}:{','.join(map(str, r.ids))}" for r in sorted(merged.collect(), key=lambda r: (r.term, r.segment))]
+
+
+def test_numbers_follow_the_order_of_words(spark):
+    words = ["b", "ba", "bac", "bacd", "bace", "a", "ab", "über", "zz", "zza", "", "bac1"]
+    got = {r.word: r.number for r in index.numbered(spark.createDataFrame([(w,) for w in words], "word string").repartition(4), "word").collect()}
+    assert got == {w: i for i, w in enumerate(sorted(words))}
