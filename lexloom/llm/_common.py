@@ -40,6 +40,8 @@ class Scratch:
         if not many:
             df = df.coalesce(max(3 * self.spark.sparkContext.defaultParallelism, partitions(self.spark) // 8))
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        # Spark removes the shuffle files of a finished step once the driver has collected its plan as garbage.
+        self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def clear(self) -> None:

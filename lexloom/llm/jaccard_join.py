@@ -400,11 +400,12 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     found = scratch.table(_components(_keyed(docs), k, percent, own).where("component is not null").select("doc_id", "text_key", "component"), "rows")
     own.clear()
     # Of the rows of a component, (doc_id, text) stays if it is the least; rows that stand twice are folded.
-    first = found.groupBy("component").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
-    told = found.groupBy("component", "doc_id", "text_key").agg(F.count("*").alias("c")).join(first, "component")
-    goes = ~F.struct("doc_id", "text_key").eqNullSafe(F.col("first"))
-    told = told.where(goes | (F.col("c") > 1)).groupBy("doc_id", "text_key").agg(F.max(goes).alias("goes"))
-    told = scratch.table(told.select("doc_id", "text_key", "goes", F.xxhash64("doc_id", "text_key").alias("both")), "told")
+    # They meet by themselves, not by their component, which may hold a third of all rows.
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").alias("doc"), F.col("text_key").alias("key"))).alias("first")).select("first.*")
+    told = found.groupBy("doc_id", "text_key").agg(F.count("*").alias("c"))
+    told = told.join(first, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_key") == F.col("key")), "left").withColumn("goes", F.col("key").isNull())
+    told = told.where("goes or c > 1").select("doc_id", "text_key", "goes", F.xxhash64("doc_id", "text_key").alias("both"))
+    told = scratch.table(told, "told")
     # Columns of our own get names that no column of the table has.
     id_, key, both, goes = (fresh(columns, c) for c in ("_id", "_key", "_both", "_goes"))
     keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(F.col("text").cast("string"))).withColumn(both, F.xxhash64(id_, key))

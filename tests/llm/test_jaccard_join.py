@@ -72,7 +72,8 @@ def test_one_hot_group(spark, monkeypatch, limit, small):
 
 def test_keep_one(docs, rows):
     kept = jaccard_join.keep_one(docs, 5, 80)
-    assert kept.columns == docs.columns
+    assert kept.schema == docs.schema
+    assert {tuple(r) for r in kept.collect()} <= set(rows)
     all_sets, label = groups(rows, 5, 80)
     got = kept.collect()
     sets = Counter((r.doc_id, shingles(r.text, 5)) for r in got if shingles(r.text, 5))
