@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import packing, toxicity
-from lexloom.llm._common import Scratch
+from lexloom.llm._common import Scratch, fresh
 from lexloom.llm.jaccard_join import keep_one
 from lexloom.llm.queries import tokenizer_path
 from lexloom.llm.suffix_dedup import cut_texts
@@ -32,8 +32,8 @@ def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def stage_suffix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    had = F.coalesce(F.col("text") != "", F.lit(False))
-    out = cut_texts(docs.withColumn("_had", had), length=200).where("text != '' or not _had").drop("_had")
+    had = fresh(docs.columns, "_had")
+    out = cut_texts(docs.withColumn(had, F.coalesce(F.col("text") != "", F.lit(False))), length=200).where(f"text != '' or not {had}").drop(had)
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else out
 
 
@@ -57,5 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
-            docs = scratch.table(docs, name)
+            docs = scratch.table(docs, name, many=True)
     return docs
