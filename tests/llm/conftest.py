@@ -19,10 +19,13 @@ def rows():
     texts += [base[i] + " tail" for i in range(5)] + [f"{prose(rng, 30)} {passage} {prose(rng, 20)}" for _ in range(4)]
     texts += ["Shti " * 400, "Released under the MIT License.", "x mit license y MIT LICENSE", "Licensed under CC BY-NC 4.0 and the Apache License, Version 2.0."]
     out = [(i * 3, t, "en", f"s{i % 3}", 7) for i, t in enumerate(texts)]
-    return [*out, (None, "null id " + base[1], "en", None, None), (9, base[4], None, "s", 1), out[2], out[2]]
+    out = [*out, (None, "null id " + base[1], "en", None, None), (9, base[4], None, "s", 1), out[2], out[2]]
+    return [(*r, *OWN) for r in out]
 
 
-SCHEMA = "doc_id long, text string, lang string, row_number string, n int"
+#: Names that operators use, or have used, for columns of their own.
+OWN = "_id _key _both _goes dk _doc _dk _spans _had sequence_id offset _block _home text_key node many part component size shared".split()
+SCHEMA = "doc_id long, text string, lang string, row_number string, n int, " + ", ".join(f"{c} string" for c in OWN)
 
 
 @pytest.fixture(scope="session")
