@@ -6,7 +6,7 @@ be brought together first:
 
 1. Each L-byte string is put under its anchor, the k-byte string within it of least hash (the
    leftmost of equals).  Equal strings have equal anchors at equal distance.  Neighbouring starts
-   share an anchor, so a text yields a row for each run of about L / 2 starts.  Anchors that occur
+   share an anchor, so a text yields a row for each run of about L / 2 starts.  Most anchors that occur
    once end here; the others' runs are parted by the anchor's distance, so that all strings of
    a part share a core of some L / 2 bytes.  Parts whose core occurs once end here.
 2. Equal parts (128 bits of hashes of their bytes) are one piece.  A piece is parted again by the
@@ -104,7 +104,7 @@ def anchors_twice(docs: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
 
 
 def anchor_rows(docs: DataFrame, lengths: tuple[int, ...], filtered: KeyFilter) -> DataFrame:
-    """Of runs whose anchor passes the filter: anchor, length, doc_id, dk, lo, n, off and, for both parts, core and document hashes."""
+    """Of runs whose anchor passes the filter: length, doc_id, dk, lo, n, off and, for both parts, core and document hashes."""
     make = filtered.tester()
 
     def each(batch):
@@ -112,9 +112,8 @@ def anchor_rows(docs: DataFrame, lengths: tuple[int, ...], filtered: KeyFilter)
         ids, keys, test = batch.column("doc_id"), batch.column("dk"), make()
         for length, texts, first, counts, anchors, s, sums, hashes in runs(data, offsets, lengths):
             half = (length - K) // 2
-            marks = _salted(hashes[anchors], length).view(np.int64)
-            some = test(marks)
-            marks, texts, first, counts, anchors = marks[some], texts[some], first[some], counts[some], anchors[some]
+            some = test(_salted(hashes[anchors], length).view(np.int64))
+            texts, first, counts, anchors = texts[some], first[some], counts[some], anchors[some]
             end = first + counts  # one past the last start
             split = np.clip(anchors - half + 1, first, end)  # starts before it: the anchor is `half` or more away
             ends = np.minimum(anchors + length - half, len(sums) - 1)
@@ -124,14 +123,14 @@ def anchor_rows(docs: DataFrame, lengths: tuple[int, ...], filtered: KeyFilter)
             as_long = lambda x: pa.array(x.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(marks), pa.array(np.full(len(marks), length, np.int32)), ids.take(pa.array(texts)), keys.take(pa.array(texts)),
+                    pa.array(np.full(len(texts), length, np.int32)), ids.take(pa.array(texts)), keys.take(pa.array(texts)),
                     pa.array(first + s - offsets[texts]), pa.array((split - first).astype(np.int32)), pa.array((end - split).astype(np.int32)), pa.array((anchors - first).astype(np.int32)),
                     as_long(far), as_long(near), as_long(own[0]), as_long(own[1]),
                 ],
-                names=["anchor", "length", "doc_id", "dk", "lo", "n0", "n1", "off", "core0", "core1", "own0", "own1"],
+                names=["length", "doc_id", "dk", "lo", "n0", "n1", "off", "core0", "core1", "own0", "own1"],
             )
 
-    schema = "anchor long, length int, doc_id long, dk long, lo long, n0 int, n1 int, off int, core0 long, core1 long, own0 long, own1 long"
+    schema = "length int, doc_id long, dk long, lo long, n0 int, n1 int, off int, core0 long, core1 long, own0 long, own1 long"
     return map_arrow(docs, each, schema)
 
 
@@ -283,9 +282,8 @@ def spans(texts: DataFrame, lengths: tuple[int, ...], scratch: Scratch) -> DataF
     """
     if min(lengths) < 2 * K:
         raise ValueError(f"strings of {min(lengths)} bytes are shorter than {2 * K}")
-    twice = scratch.table(anchors_twice(texts, lengths), "anchors")
-    rows = scratch.table(anchor_rows(texts, lengths, KeyFilter(twice, 26)).join(twice, "anchor", "left_semi").drop("anchor"), "twice")
-    scratch.drop("anchors")
+    # Runs of an anchor that occurs once are kept out by the filter, or else below, where their cores occur once.
+    rows = scratch.table(anchor_rows(texts, lengths, KeyFilter(anchors_twice(texts, lengths), 26)), "twice", many=True)
     side = lambda i, lo, off: rows.where(f"n{i} > 0").select(F.col(f"core{i}").alias("core"), F.col(f"own{i}").alias("own"), "length", "doc_id", "dk", lo, F.col(f"n{i}").alias("n"), off)
     parts = side(0, "lo", "off").union(side(1, (F.col("lo") + F.col("n0")).alias("lo"), (F.col("off") - F.col("n0")).alias("off")))
     known = parts.groupBy("core", "own").agg(F.count("*").alias("c"), F.min(F.struct("length", "doc_id", "dk", "lo", "n", "off")).alias("r"))
@@ -295,11 +293,12 @@ def spans(texts: DataFrame, lengths: tuple[int, ...], scratch: Scratch) -> DataF
     pieces = scratch.table(pieces, "pieces")
     total = pieces.agg(F.sum("n")).first()[0] or 0
     deal = max(8, -(-total // FINE // PART))
-    found = _spans_of_pieces(_documents(pieces, texts, deal), deal)
+    found = scratch.table(_spans_of_pieces(_documents(pieces, texts, deal), deal), "found")
+    scratch.drop("pieces")
     told = found.join(known.select("pid", "core", "own"), "pid").select("core", "own", "a", "b")
     every = parts.join(told, ["core", "own"]).select("doc_id", "dk", "length", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") - 1 + F.col("length")).alias("b"))
     out = scratch.table(every.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("length", "a", "b")).alias("spans")), "spans")
-    scratch.drop("twice", "known", "pieces")
+    scratch.drop("twice", "known", "found")
     return out
 
 
