@@ -3,7 +3,7 @@
 The templates are short public licence notices.  A word's weight is its inverse document frequency
 over the scanned documents themselves; of each template the RARE words of highest weight are its
 seeds, with their positions as postings.  A file's seed words are looked up in the postings; each hit
-(word at i, posting at p of template t) votes for t starting at i - p.  A start with votes from two
+(word at i, posting at p of template t) votes for t starting at i - p.  Votes are sorted; a start with votes from two
 different postings, or from all of a shorter template's, is a candidate; it stands if the template's
 mandatory key phrases are found word by word in their places.  Its score is the weight of
 the template's words that are in place there, as a share of the whole template's.  Beside this the
@@ -107,11 +107,14 @@ def scan(docs: DataFrame) -> DataFrame:
     hits = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(F.col("rare"), w), F.struct(w.alias("w"), i.alias("i")))), lambda h: h.isNotNull())
     empty_hits = F.array().cast("array<struct<w:string,i:int>>")
     rows = rows.withColumn("hits", F.when(F.size("rare") >= 2, hits).otherwise(empty_hits))
-    starts = F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(index, h["w"]), lambda p: F.struct(p["t"].alias("t"), (h["i"] - p["p"]).alias("at")))))
-    rows = rows.withColumn("starts", starts)
-    need = F.array(*map(F.lit, votes_needed))
-    enough = F.filter(F.array_distinct("starts"), lambda c: (c["at"] >= 0) & (F.size(F.filter("starts", lambda o: o == c)) >= F.get(need, c["t"])))
-    rows = rows.withColumn("starts", enough)
+    # A vote is one number, the start times the number of templates plus the template.
+    count = len(TEMPLATES)
+    votes = F.flatten(F.transform("hits", lambda h: F.transform(F.element_at(index, h["w"]), lambda p: (h["i"] - p["p"]).cast("long") * count + p["t"])))
+    rows = rows.withColumn("starts", F.sort_array(F.filter(votes, lambda c: c >= 0)))
+    # Sorted votes: a start with two has its like beside it, so a file of n hits costs n log n.
+    alone = F.array(*[F.lit(n < 2) for n in votes_needed])
+    enough = F.filter("starts", lambda c, i: F.get(alone, (c % count).cast("int")) | F.coalesce(F.get("starts", i + 1) == c, F.lit(False)))
+    rows = rows.withColumn("starts", F.array_distinct(enough))
 
     def verified(t: int) -> Column:
         """Best score of template t over its candidate starts; null without a match."""
@@ -120,16 +123,17 @@ def scan(docs: DataFrame) -> DataFrame:
         whole = sum(weight[w] for w in own)
 
         def score(c: Column) -> Column:
+            at = ((c - t) / count).cast("int")
             held = F.lit(True)
             for phrase in phrases:
                 key = phrase.split()
                 place = next(p for p in range(len(own)) if own[p : p + len(key)] == key)
                 for k, w in enumerate(key):
-                    held = held & (F.get(words, c["at"] + (place + k)) == w)
-            share = sum((F.when(F.get(words, c["at"] + p) == w, F.lit(weight[w] / whole)).otherwise(0.0) for p, w in enumerate(own)), F.lit(0.0))
+                    held = held & (F.get(words, at + (place + k)) == w)
+            share = sum((F.when(F.get(words, at + p) == w, F.lit(weight[w] / whole)).otherwise(0.0) for p, w in enumerate(own)), F.lit(0.0))
             return F.when(held, F.least(share, F.lit(1.0)))
 
-        return F.array_max(F.transform(F.filter("starts", lambda c: c["t"] == t), score))
+        return F.array_max(F.transform(F.filter("starts", lambda c: c % count == t), score))
 
     scores = F.when(F.size("starts") > 0, F.array(*[verified(t) for t in range(len(TEMPLATES))])).otherwise(F.array().cast("array<double>"))
     rows = rows.select("doc_id", F.size("words").cast("long").alias("n_words"), *[f"base{i}" for i in range(len(BASE))], scores.alias("scores"))
