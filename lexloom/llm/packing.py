@@ -279,6 +279,8 @@ def pack(items: DataFrame, size: int = SIZE) -> DataFrame:
     for number in range(EPOCHS):
         ready = state.select("_block", "island", "lengths", "start").repartition(partitions(spark), "_block", "island")
         done = scratch.table(map_arrow(ready, epoch(number), schema), f"epoch-{number}")
+        if number:
+            scratch.drop(f"epoch-{number - 1}")
         elites = done.select("_block", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), F.array("best").alias("people"))
         moved = done.select("_block", "island", "people").union(elites)
         moved = moved.groupBy("_block", "island").agg(F.flatten(F.collect_list("people")).alias("start"))
