@@ -186,10 +186,11 @@ def _documents(pieces: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
             home = (W.mix(cores) % W.U(parts)).astype(np.int64)
             order = np.argsort(home, kind="stable")
             present, sizes = np.unique(home, return_counts=True)
-            packed = [list_array(c[order].view(np.int64), sizes, pa.int64()) for c in columns]
+            packed = [list_array(c[order].view(np.int64), sizes, pa.int64()) for c in columns[:-1]]
+            packed.append(list_array(columns[-1][order].astype(np.int32), sizes, pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(present.astype(np.int32)), *packed], names=["part", *names])
 
-    return map_arrow(joined, each, "part int, " + ", ".join(f"{c} array<long>" for c in names))
+    return map_arrow(joined, each, "part int, " + "".join(f"{c} array<long>, " for c in names[:-1]) + "ats array<int>")
 
 
 def _strings(cores: np.ndarray, lefts: np.ndarray, rights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -256,7 +257,7 @@ def _spans_of_pieces(documents: DataFrame, parts: int) -> DataFrame:
 
     def solve(_, got):
         bits = _repeated(got["cores"].view(np.uint64), got["lefts"].view(np.uint64), got["rights"].view(np.uint64), 1 + (got["ats"] & 1))
-        row, first, last = _runs_of_bits(got["ats"] >> 1, bits)
+        row, first, last = _runs_of_bits((got["ats"] >> 1).astype(np.int64), bits)
         pids = got["pids"][row]
         home = (W.mix(pids.view(np.uint64)) % W.U(parts)).astype(np.int64)
         by = np.argsort(home, kind="stable")
@@ -280,23 +281,27 @@ def spans(texts: DataFrame, lengths: tuple[int, ...], scratch: Scratch) -> DataF
 
     Strings of each length are judged by themselves; all lengths go through the same jobs.
     """
-    if min(lengths) < 2 * K:
-        raise ValueError(f"strings of {min(lengths)} bytes are shorter than {2 * K}")
+    if min(lengths) < 2 * K or max(lengths) >= 1 << 20:
+        raise ValueError(f"lengths outside {2 * K} to {(1 << 20) - 1}: {lengths}")
     # Runs of an anchor that occurs once are kept out by the filter, or else below, where their cores occur once.
     rows = scratch.table(anchor_rows(texts, lengths, KeyFilter(anchors_twice(texts, lengths), 26)), "twice", many=True)
     side = lambda i, lo, off: rows.where(f"n{i} > 0").select(F.col(f"core{i}").alias("core"), F.col(f"own{i}").alias("own"), "length", "doc_id", "dk", lo, F.col(f"n{i}").alias("n"), off)
     parts = side(0, "lo", "off").union(side(1, (F.col("lo") + F.col("n0")).alias("lo"), (F.col("off") - F.col("n0")).alias("off")))
-    known = parts.groupBy("core", "own").agg(F.count("*").alias("c"), F.min(F.struct("length", "doc_id", "dk", "lo", "n", "off")).alias("r"))
+    # Lengths, starts and distances of a run are one number on their way.
+    shape = F.shiftleft(F.col("length").cast("long"), 42).bitwiseOR(F.shiftleft(F.col("n").cast("long"), 21)).bitwiseOR(F.col("off").cast("long"))
+    known = parts.groupBy("core", "own").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "dk", "lo", shape.alias("shape"))).alias("r"))
+    unpacked = [F.shiftright("r.shape", by).bitwiseAND((1 << 21) - 1).cast("int").alias(name) for name, by in (("length", 42), ("n", 21), ("off", 0))]
+    known = known.select("core", "own", "c", "r.doc_id", "r.dk", "r.lo", *unpacked)
     known = scratch.table(known.withColumn("pid", F.monotonically_increasing_id()), "known")
     several = known.groupBy("core").agg(F.sum("c").alias("m")).where("m > 1").select("core")
-    pieces = known.join(several, "core", "left_semi").select("pid", "r.*", (F.col("c") > 1).alias("twice"))
+    pieces = known.join(several, "core", "left_semi").select("pid", "doc_id", "dk", "lo", "length", "n", "off", (F.col("c") > 1).alias("twice"))
     pieces = scratch.table(pieces, "pieces")
     total = pieces.agg(F.sum("n")).first()[0] or 0
     deal = max(8, -(-total // FINE // PART))
     found = scratch.table(_spans_of_pieces(_documents(pieces, texts, deal), deal), "found")
     scratch.drop("pieces")
-    told = found.join(known.select("pid", "core", "own"), "pid").select("core", "own", "a", "b")
-    every = parts.join(told, ["core", "own"]).select("doc_id", "dk", "length", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") - 1 + F.col("length")).alias("b"))
+    told = found.join(known.select("pid", "core", "own", "length"), "pid").select("core", "own", "length", "a", "b")
+    every = parts.drop("length", "n", "off").join(told, ["core", "own"]).select("doc_id", "dk", "length", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") - 1 + F.col("length")).alias("b"))
     out = scratch.table(every.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("length", "a", "b")).alias("spans")), "spans")
     scratch.drop("twice", "known", "found")
     return out
