@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -40,7 +41,8 @@ class Scratch:
         if not many:
             df = df.coalesce(max(3 * self.spark.sparkContext.defaultParallelism, partitions(self.spark) // 8))
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        # Spark removes the shuffle files of a finished step once the driver has collected its plan as garbage.
+        # Spark removes the shuffle files of a finished step once its plan is garbage, in Python and then on the driver.
+        gc.collect()
         self.spark.sparkContext._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
