@@ -279,7 +279,7 @@ def _spans_of_pieces(documents: DataFrame, parts: int) -> DataFrame:
 def spans(texts: DataFrame, lengths: tuple[int, ...], scratch: Scratch) -> DataFrame:
     """doc_id, dk and the list of repeated spans (length, a, b) of every text (doc_id, dk, text) that has any.
 
-    Strings of each length are judged by themselves; all lengths go through the same jobs.
+    Strings of each length are judged by themselves; runs and pieces of all lengths go through the same jobs.
     """
     if min(lengths) < 2 * K or max(lengths) >= 1 << 20:
         raise ValueError(f"lengths outside {2 * K} to {(1 << 20) - 1}: {lengths}")
@@ -298,12 +298,17 @@ def spans(texts: DataFrame, lengths: tuple[int, ...], scratch: Scratch) -> DataF
     pieces = scratch.table(pieces, "pieces")
     total = pieces.agg(F.sum("n")).first()[0] or 0
     deal = max(8, -(-total // FINE // PART))
-    found = scratch.table(_spans_of_pieces(_documents(pieces, texts, deal), deal), "found")
+    # One length at a time, so that the short documents of one are gone before those of the next are made.
+    found = None
+    for length in lengths:
+        documents = _documents(pieces.where(F.col("length") == length), texts, deal)
+        part = scratch.table(_spans_of_pieces(documents, deal), f"found-{length}")
+        found = part if found is None else found.union(part)
     scratch.drop("pieces")
     told = found.join(known.select("pid", "core", "own", "length"), "pid").select("core", "own", "length", "a", "b")
     every = parts.drop("length", "n", "off").join(told, ["core", "own"]).select("doc_id", "dk", "length", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") - 1 + F.col("length")).alias("b"))
     out = scratch.table(every.groupBy("doc_id", "dk").agg(F.collect_list(F.struct("length", "a", "b")).alias("spans")), "spans")
-    scratch.drop("twice", "known", "found")
+    scratch.drop("twice", "known", *(f"found-{length}" for length in lengths))
     return out
 
 
