@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import license_scan, packing, piece_viterbi, toxicity
+from lexloom.llm import block_labeller, license_scan, packing, piece_viterbi, toxicity
 from lexloom.llm.binary_codes import near_duplicates
+from lexloom.llm.concurrency import sweep
+from lexloom.llm.importance_resampling import resample
 from lexloom.llm.jaccard_join import jaccard_components
 from lexloom.llm.order_minhash import fingerprints
 from lexloom.llm.sharding import shard
@@ -80,6 +82,20 @@ def op10_binary_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
 
 
+def op11_block_labeller(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return block_labeller.extract(pages, block_labeller.fit(pages))
+
+
+def op12_concurrency_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sales, lines, clients = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("sales", "sale_lines", "clients"))
+    return sweep(sales, lines, clients)
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), n=1, buckets=10_000, percent=10, least_words=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -91,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_toxicity": op9_toxicity,
     "op10_binary_codes": op10_binary_codes,
+    "op11_block_labeller": op11_block_labeller,
+    "op12_concurrency_sweep": op12_concurrency_sweep,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 #: Links by full comparison, components by their transitive closure.
 _CLOSURE = """, both_ways as (select x, y from links union all select y, x from links),
@@ -131,4 +150,36 @@ ORACLE_SQL: dict[str, str] = {
     + _CLOSURE.format(id="vec_id")
     + """, counts as (select x as rid, count(*) as n from both_ways group by 1)
  select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from rows0 join least using (rid) left join counts using (rid)""",
+    # The main text of these pages stands in one `article` of headings and paragraphs; the labeller finds it without being told.
+    "op11_block_labeller": """with parts as (select row_number() over () as rid, page_id, url, regexp_split_to_array(coalesce(regexp_extract(html, '(?s)<article>(.*)</article>', 1), ''), '</?(?:p|h1)>') as parts from pages),
+ texts as (select rid, page_id, url, list_filter(list_transform(parts, lambda x: trim(regexp_replace(replace(regexp_replace(replace(replace(replace(
+   regexp_replace(regexp_replace(x, '<br>', ' ', 'g'), '<[^>]*>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;?$', '&'), '&amp;', '&'), '\\s+', ' ', 'g'))), lambda x: x <> '') as blocks from parts)
+ select page_id, url, array_to_string(blocks, chr(10) || chr(10)) as text, length(array_to_string(blocks, chr(10) || chr(10)))::bigint as n_chars from texts""",
+    "op12_concurrency_sweep": """with ends as (select sale_id, max(shipped_at) as last from sale_lines group by 1),
+ spans as (select coalesce(c.nation_id, -1) as nation_id, floor(epoch_us(sold_at) / 60000000)::bigint * 60 as a, floor(epoch_us(last + interval 7 day) / 60000000)::bigint * 60 as b,
+   case when isfinite(total) then floor(100 * total + 0.5)::bigint else 0 end as cents
+  from sales s left join ends e on e.sale_id = s.sale_id left join clients c on c.client_id = s.client_id where sold_at is not null),
+ live as (select * from spans where b is null or b > a), twice as (select * from live union all select -2, a, b, cents from live),
+ steps as (select nation_id, a as s, 1 as n, cents from twice union all select nation_id, b, -1, -cents from twice where b is not null),
+ moments as (select nation_id, s, sum(n) as n, sum(cents) as cents from steps group by 1, 2 having sum(n) <> 0 or sum(cents) <> 0),
+ rows0 as (select nation_id, s, lead(s) over w as to_s, sum(n) over w as n_open, sum(cents) over w as open_cents from moments window w as (partition by nation_id order by s))
+ select nation_id::int as nation_id, s as from_s, to_s, n_open::bigint as n_open, open_cents::bigint as open_cents, max(n_open) over (partition by nation_id order by s)::bigint as high_open,
+  n_open = max(n_open) over (partition by nation_id) as is_peak from rows0""",
+    "op13_importance_resampling": """with recursive shifts as (select i::bigint as i, i::bigint as r, 0 as k from range(256) t(i) union all
+   select i, case when r & 1 = 1 then xor(r >> 1, 3988292384) else r >> 1 end, k + 1 from shifts where k < 8),
+ tab as (select list(r order by i) as tab from shifts where k = 8),
+ texts as (select row_number() over () as rid, doc_id, text, true as raw from documents union all select row_number() over (), null, text, false from benchmark),
+ words as (select rid, doc_id, raw, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from texts),
+ names as (select w, sum(raw::int) as s, sum((not raw)::int) as t from words group by 1),
+ bytes as (select w, s, t, list_prepend(4294967295, list_transform(range(octet_length(encode(w))), lambda j: ('0x' || substr(hex(encode(w)), 2 * j + 1, 2))::bigint)) as b from names),
+ hashed as (select w, s, t, xor(list_reduce(b, lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)])), 4294967295) % 10000 as bucket from bytes, tab),
+ sums as (select bucket, sum(s)::double as s, sum(t)::double as t from hashed group by 1),
+ gains as (select bucket, floor(1000 * ln(((t + 1) * (select sum(s) + 10000 from sums)) / ((s + 1) * (select sum(t) + 10000 from sums))))::bigint as gain from sums),
+ named as (select w, gain from hashed join gains using (bucket)),
+ weighed as (select rid, count(*) as n, sum(gain) as g from words join named using (w) where raw group by 1),
+ rows0 as (select rid, doc_id, coalesce(n, 0)::bigint as n_features, coalesce(floor(g / n), 0)::bigint as weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint as h
+  from texts left join weighed using (rid) where raw),
+ scored as (select rid, doc_id, n_features, weight, (weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296))))::bigint as score from rows0),
+ ranked as (select rid, row_number() over (order by score desc, doc_id) as r, count(*) over () as n from scored where n_features >= 20)
+ select doc_id, n_features, weight, score, case when r <= 10 * n // 100 then r end::bigint as rank from scored left join ranked using (rid)""",
 }
