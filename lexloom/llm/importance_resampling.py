@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from lexloom.llm import _words as W
 from lexloom.llm._common import Scratch, blocks_by_bytes, forget, list_array, numbered, text_buffers, trim
 
-BLOCK = 1 << 21
+#: Bytes of text that share a dictionary, and of a part of them that is hashed at once.
+BLOCK, PART = 1 << 24, 1 << 20
 #: Words here: runs of ASCII digits and letters and of bytes of characters beyond ASCII.
 WORDS = np.zeros(256, bool)
 WORDS[48:58] = WORDS[65:91] = WORDS[97:123] = WORDS[128:] = True
@@ -64,43 +65,68 @@ def strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
 BLOCKS = "block long, doc_id long, n_words long, n_features long, places array<int>, counts array<int>, names array<string>, sums array<long>"
 
 
+class Block:
+    """Texts of one dictionary: distinct features by hash, and each document's counts by the places of parts' features."""
+
+    def __init__(self):
+        self.size, self.docs = 0, 0
+        self.ids, self.words, self.lengths, self.parts = [], [], [], []
+
+    def add(self, ids: pa.Array, data: np.ndarray, offsets: np.ndarray, n: int) -> None:
+        joined, starts, ends, rows, words = features(data, offsets, n)
+        m = len(ids)
+        self.size, self.docs = self.size + len(data), self.docs + m
+        self.ids.append(ids)
+        self.words.append(words)
+        self.lengths.append(np.bincount(rows, minlength=m))
+        hashes = W.ranges_hash(W.prefix_sums(joined, W.PLAIN), starts, ends) if len(starts) else np.empty(0, W.U)
+        hashes, first, which, sums = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        pairs, counts = np.unique(rows * len(first) + which, return_counts=True)
+        some = max(len(first), 1)
+        self.parts.append((hashes, strings(joined, starts[first], ends[first]), sums, (pairs % some).astype(np.int32), counts.astype(np.int32), np.bincount(pairs // some, minlength=m)))
+
+    def rows(self, block: int):
+        """A row for each document, then one with the dictionary."""
+        hashes, names, sums, places, counts, sizes = zip(*self.parts, strict=True)
+        starts = np.concatenate(([0], np.cumsum([len(h) for h in hashes])))
+        _, first, which = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        places = np.concatenate([which[a + p] for a, p in zip(starts, places, strict=False)]).astype(np.int32)
+        sizes, m = np.concatenate(sizes), self.docs
+        whole = np.bincount(which, np.concatenate(sums), len(first)).astype(np.int64) if len(which) else np.empty(0, np.int64)
+        none = lambda kind: pa.nulls(m, kind)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(m, block)), pa.concat_arrays(self.ids), pa.array(np.concatenate(self.words), pa.int64()), pa.array(np.concatenate(self.lengths), pa.int64()),
+                list_array(places, sizes, pa.int32()), list_array(np.concatenate(counts), sizes, pa.int32()), none(pa.list_(pa.string())), none(pa.list_(pa.int64())),
+            ],
+            names=NAMES,
+        )
+        one = lambda kind: pa.nulls(1, kind)
+        ends = pa.array([0, len(first)], pa.int32())
+        names = pa.concat_arrays(names).take(pa.array(first))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([block]), *[one(pa.int64())] * 3, *[one(pa.list_(pa.int32()))] * 2, pa.ListArray.from_arrays(ends, names), pa.ListArray.from_arrays(ends, pa.array(whole))], names=NAMES
+        )
+
+
 def in_blocks(docs: DataFrame, n: int) -> DataFrame:
     """A row of names and sums for each block's dictionary, and one of places and counts for each document."""
 
     def run(batches):
         forget(__name__)
-        number = 0
+        number, part, block = 0, 0, Block()
         for batch in batches:
             if not batch.num_rows:
                 continue
             part, ids = batch.column("part")[0].as_py(), batch.column("doc_id")
             data, offsets = text_buffers(batch.column("text"))
-            for at, to in blocks_by_bytes(offsets, BLOCK):
-                block, number = (part << 32) + number, number + 1
-                own = data[offsets[at] : offsets[to]]
-                joined, starts, ends, rows, words = features(own, offsets[at : to + 1] - offsets[at], n)
-                names, places, counts, sizes, sums = pa.array([], pa.string()), *[np.empty(0, np.int64)] * 2, np.zeros(to - at, np.int64), np.empty(0, np.int64)
-                if len(starts):
-                    hashes = W.ranges_hash(W.prefix_sums(joined, W.PLAIN), starts, ends)
-                    _, first, which, sums = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-                    names = strings(joined, starts[first], ends[first])
-                    pairs, counts = np.unique(rows * len(first) + which, return_counts=True)
-                    places, sizes = pairs % len(first), np.bincount(pairs // len(first), minlength=to - at)
-                m = to - at
-                none = lambda kind: pa.nulls(m, kind)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(m, block)), ids.slice(at, m), pa.array(words, pa.int64()), pa.array(np.bincount(rows, minlength=m), pa.int64()),
-                        list_array(places.astype(np.int32), sizes, pa.int32()), list_array(counts.astype(np.int32), sizes, pa.int32()), none(pa.list_(pa.string())), none(pa.list_(pa.int64())),
-                    ],
-                    names=NAMES,
-                )
-                whole = pa.array([0, len(names)], pa.int32())
-                one = lambda kind: pa.nulls(1, kind)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([block]), *[one(pa.int64())] * 3, *[one(pa.list_(pa.int32()))] * 2, pa.ListArray.from_arrays(whole, names), pa.ListArray.from_arrays(whole, pa.array(sums, pa.int64()))],
-                    names=NAMES,
-                )
+            for at, to in blocks_by_bytes(offsets, PART):
+                block.add(ids.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], n)
+                if block.size >= BLOCK:
+                    yield from block.rows((part << 32) + number)
+                    number, block = number + 1, Block()
+        if block.docs:
+            yield from block.rows((part << 32) + number)
         trim()
 
     rows = docs.select(F.spark_partition_id().cast("long").alias("part"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
