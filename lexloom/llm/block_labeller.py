@@ -331,7 +331,11 @@ def examples(pages: list[str], dressings: int = DRESSED, seed: int = SEED) -> tu
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     """A labeller from the `sample` pages of least hashed page_id; the only rows that come to the driver."""
-    rows = pages.where("html is not null").orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).limit(sample).select("html").collect()
+    own = pages.where("html is not null").select("page_id", "html", F.xxhash64("page_id").alias("a"), F.xxhash64("html").alias("b"))
+    # The sample is chosen by keys alone, so that no task sends more pages than are asked for.
+    chosen = own.select("a", "page_id", "b").orderBy("a", "page_id", "b").limit(sample).distinct().withColumnRenamed("page_id", "of")
+    same = (own["a"] == chosen["a"]) & (own["b"] == chosen["b"]) & own["page_id"].eqNullSafe(chosen["of"])
+    rows = own.join(F.broadcast(chosen), same).select("page_id", "html").distinct().orderBy(F.xxhash64("page_id"), "page_id", F.xxhash64("html")).collect()
     return fit_blocks(*examples([r["html"] for r in rows]))
 
 
