@@ -408,10 +408,11 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     told = scratch.table(told, "told")
     # Columns of our own get names that no column of the table has.
     id_, key, both, goes = (fresh(columns, c) for c in ("_id", "_key", "_both", "_goes"))
+    of_id, of_key = (fresh([*columns, id_, key, both, goes], c) for c in ("_idm", "_keym"))
     keyed = docs.withColumn(id_, F.col("doc_id").cast("long")).withColumn(key, F.xxhash64(F.col("text").cast("string"))).withColumn(both, F.xxhash64(id_, key))
     keys = KeyFilter(told.select("both"))
-    marks = told.select(F.col("doc_id").alias(f"{id_}m"), F.col("text_key").alias(f"{key}m"), F.col("goes").alias(goes))
-    some = keys.keep(keyed, both).join(marks, F.col(id_).eqNullSafe(F.col(f"{id_}m")) & (F.col(key) == F.col(f"{key}m")), "left")
+    marks = told.select(F.col("doc_id").alias(of_id), F.col("text_key").alias(of_key), F.col("goes").alias(goes))
+    some = keys.keep(keyed, both).join(marks, F.col(id_).eqNullSafe(F.col(of_id)) & (F.col(key) == F.col(of_key)), "left")
     once = some.where(f"not `{goes}`").dropDuplicates([id_, key])
     out = keys.keep(keyed, both, False).select(*columns).union(some.where(f"`{goes}` is null").select(*columns))
     return out.union(once.select(*columns))

@@ -24,7 +24,7 @@ def rows():
 
 
 #: Names that operators use, or have used, for columns of their own.
-OWN = "_id _key _both _goes dk _doc _dk _spans _had sequence_id offset _block _home text_key node many part component size shared".split()
+OWN = "_id _key _both _goes _idm _keym dk _doc _dk _spans _had sequence_id offset _block _home text_key node many part component size shared".split()
 SCHEMA = "doc_id long, text string, lang string, row_number string, n int, " + ", ".join(f"{c} string" for c in OWN)
 
 
