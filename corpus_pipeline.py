@@ -5,6 +5,11 @@ toxicity: documents that the classifier rejects go.  jaccard: of each group of n
 (a passage of some fifty short words is shorter than 400) that occur elsewhere are cut; a document
 of which nothing is left goes, one that had no text stays.  packing: token sequences.
 
+Null and empty texts pass the first three stages and are packed as their end token alone.  Of rows with one
+doc_id or one text each is judged by itself; rows alike in both are one to the jaccard stage.  Ties go to the
+smaller doc_id, null first.  Extra columns of any name and type are kept as they are by the first three stages.
+An empty table gives no rows.
+
 SQL can't express a fitted classifier, so there is no ORACLE_SQL; tests hold the stages against
 brute force.
 """
@@ -34,7 +39,8 @@ def stage_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def stage_suffix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     had = fresh(docs.columns, "_had")
     out = cut_texts(docs.withColumn(had, F.coalesce(F.col("text") != "", F.lit(False))), length=200).where(f"text != '' or not {had}").drop(had)
-    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars")) if "n_chars" in docs.columns else out
+    kinds = dict(docs.dtypes)
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast(kinds["n_chars"]), "n_chars")) if "n_chars" in kinds else out
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
