@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexloom.functions.similarity import blended, indel_distance, ratcliff_ratio, soundex_variant
+from lexloom.functions.similarity import blended, indel_distance, ngram_jaccard, ratcliff_ratio, soundex_variant
 from lexloom.functions.text import char_ngrams, letters
+from lexloom.operators.setjoin import best_by_jaccard
 
 
 FEW = 1000
@@ -86,9 +87,7 @@ def ngram_best(queries: DataFrame, dictionary: DataFrame, n: int = 2) -> DataFra
     Where no word shares an n-gram every word ties at 0; the least word stands for all of them, and
     the query itself if there is no word.
     """
-    pairs, asked, words = _pairs_by_key(queries, dictionary, n)
-    top = pairs.groupBy("q").agg(F.max("jaccard").alias("jaccard"))
-    best = pairs.join(top, ["q", "jaccard"]).join(asked, "q").join(words, "w").select("query", "word", "jaccard")
+    best = best_by_jaccard(queries, dictionary, n)
     least = dictionary.agg(F.min("word").alias("least"))
     none = queries.select("query").distinct().join(best.select("query").distinct(), "query", "left_anti")
     filled = none.join(F.broadcast(least)).select("query", F.coalesce("least", F.lower("query")).alias("word"), F.lit(0.0).alias("jaccard"))
@@ -138,6 +137,7 @@ def soundex_edit(queries: DataFrame, dictionary: DataFrame, k: int = 2) -> DataF
 
 def soundex_ngram(queries: DataFrame, dictionary: DataFrame, n: int = 2) -> DataFrame:
     """query, word, jaccard: of the words of equal code those of the greatest similarity, which may be 0."""
-    pairs = soundex_candidates(queries, dictionary).join(ngram_pairs(queries, dictionary, n), ["query", "word"], "left")
-    pairs = pairs.select("query", "word", F.coalesce("jaccard", F.lit(0.0)).alias("jaccard"))
+    pairs = soundex_candidates(queries, dictionary)
+    alike = ngram_jaccard(char_ngrams(F.lower("query"), n), char_ngrams(F.col("word"), n))
+    pairs = pairs.select("query", "word", alike.alias("jaccard"))
     return pairs.withColumn("top", F.max("jaccard").over(Window.partitionBy("query"))).where("jaccard = top").drop("top")

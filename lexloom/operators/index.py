@@ -12,6 +12,8 @@ from lexloom.functions.text import all_text, analyze, char_ngrams, split_words,
 
 #: Ids of one posting row span at most so many numbers, so no row grows with the corpus.
 SEGMENT = 1 << 16
+#: A segment of more ids is stored as a bitmap.
+DENSE = SEGMENT // 32
 
 
 def record_text() -> Column:
@@ -65,11 +67,46 @@ def lemmatized(post: DataFrame, lemmas: DataFrame) -> DataFrame:
     return post.join(known, "term", "left").select(F.coalesce("lemma", "term").alias("term"), "doc_id").distinct()
 
 
+def segments(post: DataFrame, *by: str) -> DataFrame:
+    """by, segment, n, places, bits: each segment's ids of each `by` (all, without) as one row.
+
+    More than DENSE ids are a bitmap of SEGMENT bits, fewer are their places in the segment, so a row takes
+    8 KB at most.  Null ids have no place.
+    """
+    where = F.floor(F.col("doc_id") / SEGMENT)
+    place = (F.col("doc_id") - where * SEGMENT).cast("int")
+    lists = post.where("doc_id is not null").groupBy(*by, where.alias("segment")).agg(F.sort_array(F.collect_set(place)).alias("places"))
+
+    def pack(batches):
+        for batch in batches:
+            places = batch.column("places")
+            sizes = places.value_lengths().to_numpy()
+            ends, flat, bits = np.cumsum(sizes), places.flatten().to_numpy(), [None] * len(sizes)
+            for i in np.flatnonzero(sizes > DENSE):
+                held = np.zeros(SEGMENT, bool)
+                held[flat[ends[i] - sizes[i] : ends[i]]] = True
+                bits[i] = np.packbits(held).tobytes()
+            few = pc.if_else(pa.array(sizes > DENSE), pa.scalar(None, places.type), places)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sizes, pa.int32()), few, pa.array(bits, pa.binary())], names=[*batch.schema.names[:-1], "n", "places", "bits"])
+
+    kinds = dict(lists.dtypes)
+    return lists.mapInArrow(pack, ", ".join([*(f"`{c}` {kinds[c]}" for c in (*by, "segment")), "n int, places array<int>, bits binary"]))
+
+
+def members(places: np.ndarray | None, bits: bytes | None) -> np.ndarray:
+    """The SEGMENT flags of a row of segments(); none of them for a missing row."""
+    if bits is not None:
+        return np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+    held = np.zeros(SEGMENT, bool)
+    if places is not None:
+        held[places] = True
+    return held
+
+
 def store(post: DataFrame, path: str) -> None:
-    """Writes an index once, to be read by many queries: posting segments in ranges of terms, and the universe beside them."""
-    lists = inverted_index(post).repartitionByRange("term").sortWithinPartitions("term", "segment")
-    lists.write.mode("overwrite").parquet(f"{path}/postings")
-    universe(post).write.mode("overwrite").parquet(f"{path}/universe")
+    """Writes an index once, to be read by many queries: posting segments in ranges of terms, and the universe's beside them."""
+    segments(post, "term").repartitionByRange("term").sortWithinPartitions("term", "segment").write.mode("overwrite").parquet(f"{path}/postings")
+    segments(post).write.mode("overwrite").parquet(f"{path}/universe")
 
 
 class StoredIndex:
@@ -78,9 +115,8 @@ class StoredIndex:
     def __init__(self, spark: SparkSession, path: str):
         self.lists, self.universe = spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/universe")
 
-    def postings(self, terms: list[str]) -> DataFrame:
-        """term, doc_id of the asked terms."""
-        return self.lists.where(F.col("term").isin(terms)).select("term", F.explode("ids").alias("doc_id"))
+    def segments(self, terms: list[str]) -> DataFrame:
+        return self.lists.where(F.col("term").isin(terms))
 
 
 def word_documents(docs: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ def phrase_tokens(phrases: DataFrame, words: bool = False) -> DataFrame:
     return phrases.select("phrase_id", F.posexplode(parts).alias("pos", "token"))
 
 
-def _options(tokens: DataFrame, candidates: DataFrame, *order) -> DataFrame:
+def options(tokens: DataFrame, candidates: DataFrame, *order) -> DataFrame:
     """phrase_id, places: for each place of a phrase, in order, the sorted candidates (structs of `order`)."""
     met = tokens.join(candidates, tokens.token == candidates["query"])
     each = met.groupBy("phrase_id", "pos").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("options"))
@@ -41,30 +41,13 @@ def phrase_topk(tokens: DataFrame, candidates: DataFrame, most: int = 10) -> Dat
         grown = F.flatten(F.transform(state, lambda s: F.transform(place["options"], step(s))))
         return F.slice(F.array_sort(grown), 1, most).cast(kind)
 
-    places = _options(tokens, candidates.where(F.col("rank") <= most), F.col("rank").cast("int").alias("rank"), "word", F.col("distance").cast("long").alias("distance"))
+    places = options(tokens, candidates.where(F.col("rank") <= most), F.col("rank").cast("int").alias("rank"), "word", F.col("distance").cast("long").alias("distance"))
     whole = tokens.select("phrase_id").distinct().join(places, "phrase_id", "left")
     none = F.array().cast("array<struct<pos:int,options:array<struct<rank:int,word:string,distance:bigint>>>>")
     found = whole.select("phrase_id", F.posexplode(F.aggregate(F.coalesce("places", none), start, grow)).alias("rank", "best"))
     return found.select("phrase_id", (F.col("rank") + 1).alias("rank"), F.array_join("best.words", " ").alias("words"), "best.total")
 
 
-def soundex_phrases(tokens: DataFrame, candidates: DataFrame, most: int = 50) -> DataFrame:
-    """phrase_id, rank, suggestion: the first `most` combinations of phonetic candidates, in the order of their words.
-
-    A phrase with a word that has no candidate has none.
-    """
-
-    def grow(state: Column, place: Column) -> Column:
-        grown = F.flatten(F.transform(state, lambda s: F.transform(place["options"], lambda o: F.concat(s, F.array(o["word"])))))
-        return F.slice(F.array_sort(grown), 1, most).cast("array<array<string>>")
-
-    sizes = tokens.groupBy("phrase_id").agg(F.count("*").alias("size"))
-    whole = _options(tokens, candidates.distinct(), "word").join(sizes, "phrase_id").where(F.size("places") == F.col("size"))
-    start = F.array(F.array().cast("array<string>")).cast("array<array<string>>")
-    found = whole.select("phrase_id", F.posexplode(F.aggregate("places", start, grow)).alias("rank", "words"))
-    return found.select("phrase_id", (F.col("rank") + 1).alias("rank"), F.array_join("words", " ").alias("suggestion"))
-
-
 def phrase_best(tokens: DataFrame, candidates: DataFrame) -> DataFrame:
     """phrase_id, corrected: each word's first candidate, joined; a word without one stays."""
     first = candidates.where("rank = 1").select("query", "word")
@@ -158,7 +141,6 @@ def first_documents(found: DataFrame) -> DataFrame:
     return found.groupBy("phrase").agg(F.min("doc_id").alias("doc_id"))
 
 
-def first_of_combinations(combinations: DataFrame, docs: DataFrame, *fields) -> DataFrame:
-    """phrase_id, rank, words, total, doc_id: of ranked combinations those that a document holds, with the first that does."""
-    first = first_documents(search(docs, combinations.select(F.col("words").alias("phrase")), *fields))
-    return combinations.join(first, F.lower("words") == F.col("phrase")).select("phrase_id", "rank", "words", "total", "doc_id")
+def first_of_combinations(combinations: DataFrame, found: DataFrame) -> DataFrame:
+    """phrase_id, rank, words, total, doc_id: of ranked combinations those found (phrase, doc_id), with the first document that holds them."""
+    return combinations.join(first_documents(found), F.lower("words") == F.col("phrase")).select("phrase_id", "rank", "words", "total", "doc_id")

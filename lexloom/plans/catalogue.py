@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.similarity import soundex_variant
 from lexloom.functions.text import char_ngrams, join_tokens, render_ids
-from lexloom.operators import boolean, candidates, index, metrics, phrase
+from lexloom.operators import boolean, candidates, index, metrics, phrase, products, textindex
 from lexloom.session import shared_dir
 from lexloom.sources import readers, writers
 
@@ -136,12 +136,21 @@ def ngram_corrected(d: Data) -> DataFrame:
 
 
 def _spoken(d: Data) -> DataFrame:
-    """phrase_id, phrase, corrected: three words that stand side by side in a benchmark text, each misspelled."""
-    held = d.table("benchmark").select(F.col("item_id").alias("phrase_id"), F.regexp_extract(F.lower("text"), "[a-z]+ [a-z]+ [a-z]+", 0).alias("corrected")).where("corrected != ''")
+    """phrase_id, phrase, corrected: every three words that stand side by side in a benchmark text, run after run, each misspelled."""
+    runs = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+ [a-z]+ [a-z]+"), 0)
+    held = d.table("benchmark").select("item_id", F.posexplode(runs).alias("run", "corrected"))
+    held = held.select((F.col("item_id") * (1 << 20) + F.col("run")).alias("phrase_id"), "corrected")
     swap = lambda w: F.when(F.length(w) >= 6, F.concat(F.substring(w, 1, 1), F.substring(w, 3, 1), F.substring(w, 2, 1), F.substring(w, 4, 2**31 - 1))).otherwise(w)
     return held.withColumn("phrase", F.array_join(F.transform(F.split("corrected", " "), swap), " "))
 
 
+def _indexed(d: Data, *fields) -> textindex.TextIndex:
+    """A trigram index of fields of the documents, stored for the query."""
+    path = f"{shared_dir(d.spark)}/text-index-{uuid.uuid4().hex}"
+    textindex.store(d.docs, path, *fields)
+    return textindex.TextIndex(d.spark, path)
+
+
 def _by_word(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.col("token").alias("query")).distinct()
 
@@ -150,7 +159,7 @@ def edit_phrase_search(d: Data) -> DataFrame:
     """Every document that holds a greedily corrected phrase in one of four fields."""
     tokens = phrase.phrase_tokens(_spoken(d))
     fixed = phrase.phrase_best(tokens, candidates.edit_candidates(_by_word(tokens), d.dictionary))
-    return phrase.search(d.docs, fixed.select(F.col("corrected").alias("phrase")), *_fields())
+    return _indexed(d, *_fields()).search(fixed.select(F.col("corrected").alias("phrase")))
 
 
 def _spoken_topk(d: Data) -> DataFrame:
@@ -158,22 +167,27 @@ def _spoken_topk(d: Data) -> DataFrame:
     return phrase.phrase_topk(tokens, candidates.edit_candidates(_by_word(tokens), d.dictionary))
 
 
+def _found(d: Data, combinations: DataFrame) -> DataFrame:
+    return _indexed(d, *_fields()).search(combinations.select(F.col("words").alias("phrase")))
+
+
 def edit_topk_search(d: Data) -> DataFrame:
     """The ten best combinations of each phrase that a document holds, with the first that does."""
-    return phrase.first_of_combinations(_spoken_topk(d), d.docs, *_fields()).withColumn("rank", F.col("rank").cast("long"))
+    best = _spoken_topk(d)
+    return phrase.first_of_combinations(best, _found(d, best)).withColumn("rank", F.col("rank").cast("long"))
 
 
 def edit_topk_lines(d: Data) -> DataFrame:
     """The ranked combinations of each phrase and the documents found for them, as lines."""
     best = _spoken_topk(d)
-    return writers.correction_lines(best, phrase.first_of_combinations(best, d.docs, *_fields()), d.docs).select("phrase_id", "line")
+    return writers.correction_lines(best, phrase.first_of_combinations(best, _found(d, best)), d.docs).select("phrase_id", "line")
 
 
 def ngram_phrase_search(d: Data) -> DataFrame:
     """Every document whose whole text holds a phrase as n-gram matching corrects it."""
     tokens = phrase.phrase_tokens(_spoken(d), words=True)
     fixed = phrase.phrase_best(tokens, candidates.ngram_best(_by_word(tokens), d.ngram_words))
-    return phrase.search(d.docs, fixed.select(F.col("corrected").alias("phrase")), index.record_text())
+    return _indexed(d, index.record_text()).search(fixed.select(F.col("corrected").alias("phrase")))
 
 
 def hybrid_phrase_search(d: Data) -> DataFrame:
@@ -181,25 +195,36 @@ def hybrid_phrase_search(d: Data) -> DataFrame:
     tokens = phrase.phrase_tokens(_spoken(d))
     choice = phrase.hybrid_choice(tokens, d.dictionary, candidates.hybrid_candidates(_by_word(tokens), d.dictionary))
     fixed = choice.groupBy("phrase_id").agg(join_tokens(F.collect_list(F.struct("pos", "token"))).alias("phrase"))
-    return phrase.search(d.docs, fixed, F.col("Title"), F.col("Abstract"))
+    return _indexed(d, F.col("Title"), F.col("Abstract")).search(fixed)
 
 
-def _sounding(d: Data, phrases: DataFrame) -> DataFrame:
+def _sounding(d: Data, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tokens of phrases, and the words that sound like them."""
     tokens = phrase.phrase_tokens(phrases)
-    return phrase.soundex_phrases(tokens, candidates.soundex_candidates(_by_word(tokens), d.dictionary))
+    return tokens, candidates.soundex_candidates(_by_word(tokens), d.dictionary)
+
+
+#: So many suggestions of a phrase are shown.
+SHOWN = 50
 
 
 def soundex_phrases(d: Data) -> DataFrame:
-    return _sounding(d, d.phrases).withColumn("rank", F.col("rank").cast("long"))
+    """The first fifty phonetic suggestions of each phrase."""
+    return products.listing(*_sounding(d, d.phrases), last=SHOWN)
+
+
+def soundex_all_phrases(d: Data) -> DataFrame:
+    """Every phonetic suggestion of each phrase, with its number."""
+    return products.listing(*_sounding(d, d.phrases))
 
 
 def soundex_phrase_search(d: Data) -> DataFrame:
-    """Every document that holds one of the phonetic suggestions listed for a phrase."""
-    return phrase.search(d.docs, _sounding(d, _spoken(d)).select(F.col("suggestion").alias("phrase")), *_fields())
+    """Every phonetic suggestion of a phrase that a document holds, whatever their number."""
+    return products.search_all(d.docs, *_sounding(d, _spoken(d)), *_fields())
 
 
 def soundex_report(d: Data) -> DataFrame:
-    lines = writers.suggestion_lines(d.phrases, _sounding(d, d.phrases))
+    lines = writers.suggestion_lines(d.phrases, soundex_phrases(d))
     return writers.phonetic_report(lines, soundex_metrics(d), d.phrases).select("phrase_id", "line")
 
 
@@ -287,11 +312,7 @@ def soundex_edit(d: Data) -> DataFrame:
 
 
 def soundex_ngram(d: Data) -> DataFrame:
-    """As its SQL has it: queries whose phonetic matches share no n-gram with them are left out."""
-    return soundex_ngram_all(d).where("jaccard > 0")
-
-
-def soundex_ngram_all(d: Data) -> DataFrame:
+    """Of each query's phonetic matches those of the greatest similarity, 0 included."""
     return candidates.soundex_ngram(d.asked, d.dictionary)
 
 
@@ -375,6 +396,7 @@ CATALOGUE: dict[str, Callable[[Data], DataFrame]] = {
     "ngram_phrase_search": ngram_phrase_search,
     "hybrid_phrase_search": hybrid_phrase_search,
     "soundex_phrases": soundex_phrases,
+    "soundex_all_phrases": soundex_all_phrases,
     "soundex_phrase_search": soundex_phrase_search,
     "soundex_report": soundex_report,
     "sample_corrections": sample_corrections,
@@ -388,7 +410,7 @@ CATALOGUE: dict[str, Callable[[Data], DataFrame]] = {
     "soundex_search": soundex_search,
     "soundex_edit": soundex_edit,
     "soundex_ngram": soundex_ngram,
-    "soundex_ngram_all": soundex_ngram_all,
+    "soundex_ngram_all": soundex_ngram,
     "hybrid_candidates": hybrid_candidates,
     "hybrid_phrase": hybrid_phrase,
     "hybrid_search": hybrid_search,

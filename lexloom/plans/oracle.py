@@ -23,10 +23,11 @@ NGRAMS = f"""qg as {_GRAMS.format(c='query', t='asked')}, wg as {_GRAMS.format(c
  best0 as (select query, word, jaccard from (select *, max(jaccard) over (partition by query) m from jac) where jaccard = m),
  best1 as (select * from best0 union all select query, (select min(word) from dict), 0.0 from asked where query not in (select query from best0)),
  best as (select *, row_number() over (partition by query order by word) as rank from best1)"""
-#: Three words side by side in a benchmark text, misspelled; `asked` are its words.
-SPOKEN = f"""{DICT}, held as (select item_id as phrase_id, regexp_extract(lower(text), '[a-z]+ [a-z]+ [a-z]+') as corrected from benchmark),
+#: Every three words side by side in a benchmark text, misspelled; `asked` are their words.
+SPOKEN = f"""{DICT}, runs as (select item_id, regexp_extract_all(lower(text), '[a-z]+ [a-z]+ [a-z]+') as runs from benchmark),
+ held as (select item_id * 1048576 + i - 1 as phrase_id, corrected from (select item_id, unnest(runs) as corrected, generate_subscripts(runs, 1) as i from runs)),
  tokens as (select phrase_id, i - 1 as pos, case when length(w) >= 6 then substr(w, 1, 1) || substr(w, 3, 1) || substr(w, 2, 1) || substr(w, 4) else w end as token from (
-  select phrase_id, unnest(string_split(corrected, ' ')) as w, generate_subscripts(string_split(corrected, ' '), 1) as i from held where corrected <> '')), asked as (select distinct token as query from tokens)"""
+  select phrase_id, unnest(string_split(corrected, ' ')) as w, generate_subscripts(string_split(corrected, ' '), 1) as i from held)), asked as (select distinct token as query from tokens)"""
 _LESS = "select {c}, substr(v, 1, i - 1) || substr(v, i + 1) as v from (select {c}, v, unnest(range(1, length(v) + 1)) i from {t})"
 
 
@@ -68,6 +69,8 @@ HYBRID = """hp as (select query, word, jaccard from jac where 0.5 * jaccard + 0.
  hc as (select *, row_number() over (partition by query order by score desc, word) as rank from (select * from hk union all select query, query, 0.0::double from asked where query not in (select query from hk)))"""
 CHOICE = "choice as (select phrase_id, pos, case when token in (select word from dict) then token else word end as token from tokens join hc on query = token and rank = 1)"
 SOUND = f"""sound as (select distinct query, word from (select query, {_code('query')} code from asked) join (select word, {_code('word')} code from dict) using (code))"""
+_SOUND_NGRAM = """select query, word, jaccard from (select *, max(jaccard) over (partition by query) m from (
+  select query, word, coalesce(jaccard, 0.0) as jaccard from sound left join jac using (query, word))) where jaccard = m"""
 QUALITY = """quality as (select query, tp, n - tp as fp, case when n > 0 then tp::double / n else 0.0 end as share from (
   select query, corrected, sum((word is not null and word = corrected)::bigint)::bigint tp, count(word) n from pairs left join sound using (query) group by 1, 2))"""
 #: Fields aren't joined, so a phrase must stand within one.
@@ -77,11 +80,18 @@ TOPK = """opts as (select phrase_id, pos, word, distance, rank from tokens join
  topk as (select phrase_id, rank, words, total from (select *, row_number() over (partition by phrase_id order by total, r1, r2, r3) as rank from (
   select a.phrase_id, concat_ws(' ', a.word, b.word, c.word) as words, (a.distance + b.distance + c.distance)::bigint as total, a.rank r1, b.rank r2, c.rank r3 from opts a join opts b using (phrase_id) join opts c using (phrase_id)
   where a.pos = 0 and b.pos = 1 and c.pos = 2)) where rank <= 10)"""
-#: Combinations of the candidates of phrases of up to three words, the first fifty by their words.
-PRODUCTS = """cands as (select phrase_id, pos, word from tokens left join sound on query = token),
- products as (select * from (select phrase_id, row_number() over (partition by phrase_id order by x, y, z) as rank, concat_ws(' ', x, y, z) as suggestion from (
+#: Combinations of the candidates of phrases of up to three words, in the order of their words.
+COMBINED = """cands as (select phrase_id, pos, word from tokens left join sound on query = token),
+ combined as (select phrase_id, row_number() over (partition by phrase_id order by x, y, z) as rank, concat_ws(' ', x, y, z) as suggestion from (
   select a.phrase_id, a.word as x, b.word as y, c.word as z, b.phrase_id as has_b, c.phrase_id as has_c from (select * from cands where pos = 0) a left join (select * from cands where pos = 1) b using (phrase_id)
-  left join (select * from cands where pos = 2) c using (phrase_id)) where x is not null and (has_b is null or y is not null) and (has_c is null or z is not null)) where rank <= 50)"""
+  left join (select * from cands where pos = 2) c using (phrase_id)) where x is not null and (has_b is null or y is not null) and (has_c is null or z is not null))"""
+PRODUCTS = f"{COMBINED}, products as (select * from combined where rank <= 50)"
+#: Combinations that a document holds: a pattern of each place's words tells which phrases to look at.
+SOUNDING = f"""choices as (select phrase_id, pos, '(?:' || string_agg(word, '|') || ')' as words from tokens join sound on query = token group by 1, 2),
+ patterns as (select phrase_id, string_agg(words, ' ' order by pos) as pattern from choices group by 1 having count(*) = 3),
+ meant as (select phrase_id, idx, title, author, bib, abstract from patterns join docs on regexp_matches(lower(title), pattern) or regexp_matches(lower(author), pattern) or regexp_matches(lower(bib), pattern) or regexp_matches(lower(abstract), pattern)),
+ told as (select m.*, a.word || ' ' || b.word || ' ' || c.word as p from meant m join tokens t0 on t0.phrase_id = m.phrase_id and t0.pos = 0 join tokens t1 on t1.phrase_id = m.phrase_id and t1.pos = 1 join tokens t2 on t2.phrase_id = m.phrase_id and t2.pos = 2
+  join sound a on a.query = t0.token join sound b on b.query = t1.token join sound c on c.query = t2.token)"""
 QUALITIES = """qualities as (select phrase_id, tp, n - tp as fp, case when n > 0 then tp::double / n else 0.0 end as share from (
   select phrase_id, product(c) as n, (bool_and(hit))::int::bigint as tp from (
    select phrase_id, pos, (select count(*) from sound where query = token) c, exists (select 1 from sound where query = token and word = want) hit from tokens) group by 1))"""
@@ -151,7 +161,8 @@ ORACLE: dict[str, str] = {
     "hybrid_phrase_search": _recursive(SPOKEN, NGRAMS, HYBRID, CHOICE, DOCS, "ps as (select distinct p from (select string_agg(token, ' ' order by pos) as p from choice group by phrase_id))")
     + "select p as phrase, idx as doc_id from ps join docs on contains(lower(title), p) or contains(lower(abstract), p)",
     "soundex_phrases": _with(PHRASES, SOUND, PRODUCTS) + "select phrase_id, rank, suggestion from products",
-    "soundex_phrase_search": _with(SPOKEN, SOUND, PRODUCTS, DOCS, "ps as (select distinct suggestion as p from products)", FOUND) + "select phrase, doc_id from found",
+    "soundex_all_phrases": _with(PHRASES, SOUND, COMBINED) + "select phrase_id, rank, suggestion from combined",
+    "soundex_phrase_search": _with(SPOKEN, SOUND, DOCS, SOUNDING) + f"select distinct p as phrase, idx as doc_id from told where {FIELDS}",
     "soundex_report": _with(PHRASES, SOUND, PRODUCTS, QUALITIES)
     + """select phrase_id, 'for ' || phrase || ', did you mean: [' || coalesce(list, '') || ']' as line from phrases left join (
   select phrase_id, string_agg(chr(39) || suggestion || chr(39), ', ' order by rank) as list from products group by 1) using (phrase_id)
@@ -173,7 +184,8 @@ ORACLE: dict[str, str] = {
    select phrase_id, pos, (select count(*) from sound where query = token) c, exists (select 1 from sound where query = token and word = want) hit from tokens) group by 1)""",
     "soundex_search": _with(ASKED, SOUND, DOCS, "ps as (select distinct word as p from sound)", FOUND) + "select distinct doc_id from found",
     "soundex_edit": _with(ASKED, EDITS) + f"select query, word, distance::bigint as distance from near where {_code('query')} = {_code('word')}",
-    "soundex_ngram": _with(ASKED, NGRAMS) + f"select query, word, jaccard from (select *, max(jaccard) over (partition by query) m from jac where {_code('query')} = {_code('word')}) where jaccard = m",
+    "soundex_ngram": _with(ASKED, NGRAMS, SOUND) + _SOUND_NGRAM,
+    "soundex_ngram_all": _with(ASKED, NGRAMS, SOUND) + _SOUND_NGRAM,
     "hybrid_candidates": _recursive(ASKED, NGRAMS, HYBRID) + "select query, word, score, rank from hc",
     "hybrid_phrase": _recursive(PHRASES, NGRAMS, HYBRID, CHOICE) + "select phrase_id, string_agg(token, ' ' order by pos) as corrected from choice group by 1",
     "hybrid_search": _recursive(PHRASES, NGRAMS, HYBRID, CHOICE, DOCS, "ps as (select distinct token as p from choice)")

@@ -1,7 +1,8 @@
 import difflib
 import itertools
+import random
 
-from lexloom.operators import candidates, metrics, phrase
+from lexloom.operators import candidates, metrics, phrase, products, setjoin, textindex
 from lexloom.sources import writers
 from tests.test_functions import indel
 
@@ -46,6 +47,23 @@ def test_ngram_best(spark):
     assert got == want
 
 
+def test_ngram_best_of_many_words(spark):
+    """Bounds from the rarest n-grams lose no best word and no tie, for words of any length and n."""
+    rng = random.Random(6)
+    make = lambda most: "".join(rng.choice("aaabbcde") for _ in range(rng.randrange(1, most)))
+    words, asked = sorted({make(12) for _ in range(400)}), sorted({make(14) for _ in range(60)} | {"zzz", "q", ""})
+    q, d = (spark.createDataFrame([(w,) for w in own], f"{c} string") for own, c in ((asked, "query"), (words, "word")))
+    for n in (2, 3):
+        sets = lambda w: {w[i : i + n] for i in range(len(w) - n + 1)}  # noqa: B023, E731
+        got = {(r.query, r.word): r.jaccard for r in setjoin.best_by_jaccard(q, d, n).collect()}
+        want = {}
+        for a in asked:
+            alike = {w: len(sets(a) & sets(w)) / max(len(sets(a) | sets(w)), 1) for w in words}
+            top = max(alike.values())
+            want |= {(a, w): x for w, x in alike.items() if x == top} if top else {}
+        assert got == want
+
+
 def test_hybrid_candidates(spark):
     q, d = frames(spark)
     got = {(r.query, r.word): r.score for r in candidates.hybrid_candidates(q, d).collect()}
@@ -86,16 +104,51 @@ def test_phrase_topk_of_any_length(spark):
     assert got == want
 
 
-def test_soundex_phrases(spark):
+def test_listing_of_combinations(spark, monkeypatch):
+    monkeypatch.setattr(products, "LISTED", 5)
     cands = spark.createDataFrame([(q, q + w) for q in "abc" for w in "zyxw"], "query string, word string")
     phrases = spark.createDataFrame([(1, "a b c", "ax by cz"), (2, "a none", "a b"), (3, " ".join("abc" * 25), "x")], "phrase_id long, phrase string, corrected string")
     tokens = phrase.phrase_tokens(phrases)
-    got = [(r.phrase_id, r.suggestion) for r in phrase.soundex_phrases(tokens, cands, most=9).where("phrase_id < 3").orderBy("phrase_id", "rank").collect()]
-    assert got == [(1, " ".join(c)) for c in sorted(itertools.product(*([q + w for w in "zyxw"] for q in "abc")))[:9]]
+    whole = [" ".join(c) for c in sorted(itertools.product(*([q + w for w in "zyxw"] for q in "abc")))]
+    listed = lambda *part: [(r.phrase_id, r["rank"], r.suggestion) for r in products.listing(tokens.where("phrase_id < 3"), cands, *part).orderBy("phrase_id", "rank").collect()]
+    assert listed() == [(1, i, c) for i, c in enumerate(whole, 1)]
+    assert listed(18, 31) == [(1, i, whole[i - 1]) for i in range(18, 32)]
+    assert listed(60, 99) == [(1, i, whole[i - 1]) for i in range(60, 65)] and listed(65, 99) == []
+    # A part far within a list too long to be made: 4^75 combinations, number 4^30 + 2.
+    deep = products.listing(tokens.where("phrase_id = 3"), cands, 4**30 + 2, 4**30 + 2).first().suggestion.split()
+    assert [w[1] for w in deep] == ["w"] * 44 + ["x"] + ["w"] * 29 + ["x"]
     counts = {r.phrase_id: r.n for r in phrase.soundex_products(tokens, cands).collect()}
     assert counts == {1: 64.0, 2: 0.0, 3: 4.0**75}
 
 
+def test_search_of_all_combinations(spark):
+    docs = spark.createDataFrame(
+        [(1, "Xax by czz!", ""), (2, "ax  by cz", ""), (3, "ay bw", "cz"), (4, "ay bw cy ay bz cx", ""), (5, "q\nay", "bw cxx by"), (6, "solo", "dxe"), (7, None, "AX BY CZ")],
+        "Index long, Title string, Abstract string",
+    )
+    cands = spark.createDataFrame([(q, q + w) for q in "abcd" for w in "zyxw"], "query string, word string")
+    phrases = spark.createDataFrame([(1, "a b c"), (2, "b c"), (3, "d"), (4, "a none c"), (5, "a b c"), (6, "c b")], "phrase_id long, phrase string")
+    got = {(r.phrase, r.doc_id) for r in products.search_all(docs, phrase.phrase_tokens(phrases), cands, docs.Title, docs.Abstract).collect()}
+    want = set()
+    for text in ("a b c", "b c", "d", "c b"):
+        for c in itertools.product(*([q + w for w in "zyxw"] for q in text.split())):
+            want |= {(" ".join(c), r.Index) for r in docs.collect() if any(" ".join(c) in (f or "").lower() for f in (r.Title, r.Abstract))}
+    assert got == want and len(want) > 6
+
+
+def test_text_index(spark, tmp_path):
+    rng = random.Random(4)
+    make = lambda: "".join(rng.choice("abc é") for _ in range(rng.randrange(0, 40)))
+    rows = [(i * 40_000, make() or None, make()) for i in range(60)] + [(1, "Tail ab", "x\nyz🎉q"), (2, "", None)]
+    docs = spark.createDataFrame(rows, "Index long, Title string, Abstract string")
+    textindex.store(docs, str(tmp_path / "text"), docs.Title, docs.Abstract)
+    asked = ["", "a", "é", "ab", "b ", "abc", "AIL", "cab a", "a\x00", "\nyz🎉", "🎉", "zzz", "ab é", None, "x\nyz🎉q"] + [make()[:6] for _ in range(40)]
+    found = textindex.TextIndex(spark, str(tmp_path / "text")).search(spark.createDataFrame([(p,) for p in asked], "phrase string"))
+    want = {(p.lower(), i) for p in asked if p is not None for i, *fs in rows if any(p.lower() in (f or "").lower() for f in fs)}
+    got = [(r.phrase, r.doc_id) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_benchmark_report(spark):
     q = spark.createDataFrame([("spead", "spread"), ("letetr", "better")], "query string, corrected string")
     _, d = frames(spark)

@@ -80,8 +80,20 @@ def test_stored_index_reads_only_its_terms(spark, tmp_path):
     for query in ("deep", "deep AND water", "NOT deep", "( deep OR river ) AND NOT water", ""):
         got = {r.doc_id for r in boolean.retrieve_stored(stored, query).collect()}
         assert got == {r.doc_id for r in boolean.retrieve(post, query).collect()}
-    plan = stored.postings(["deep", "water"])._jdf.queryExecution().toString()
+    plan = stored.segments(["deep", "water"])._jdf.queryExecution().toString()
     assert "PushedFilters: [In(term, [deep,water])" in plan
+    # Packed segments meet by their number; no id is exchanged, no list taken apart.
+    plan = boolean.retrieve_stored(stored, "deep AND NOT water")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == plan.count("Exchange hashpartitioning(segment") == 1 and "Generate" not in plan
+
+
+def test_segments_are_places_or_bitmaps(spark, monkeypatch):
+    few, many = [5, index.SEGMENT + 1, -3, 2 * index.SEGMENT], list(range(0, 3 * index.DENSE))
+    post = spark.createDataFrame([("few", i) for i in [*few, 5, None]] + [("many", i) for i in many], "term string, doc_id long")
+    rows = index.segments(post, "term").collect()
+    assert {(r.term, r.segment, r.n, r.bits is not None) for r in rows} == {("few", 0, 1, False), ("few", 1, 1, False), ("few", -1, 1, False), ("few", 2, 1, False), ("many", 0, len(many), True)}
+    for query, want in (("few", set(few)), ("few OR many", {*few, *many}), ("many AND NOT few", {*many} - {5}), ("NOT many", {*few} - {5}), ("none", set())):
+        assert {r.doc_id for r in boolean.retrieve(post, query).collect()} == want, query
 
 
 def test_lemmas_and_analyzers(spark, tmp_path):
