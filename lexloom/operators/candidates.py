@@ -10,8 +10,6 @@ from lexloom.functions.text import char_ngrams, letters
 from lexloom.operators.setjoin import best_by_jaccard
 
 
-FEW = 1000
-
 
 def _deletions(word: Column, k: int) -> Column:
     """(variant, d): what is left of a word by d deletions, 0 <= d <= k."""
@@ -31,26 +29,49 @@ def _deletions(word: Column, k: int) -> Column:
     return out
 
 
-def indel_pairs(queries: DataFrame, dictionary: DataFrame, k: int = 2) -> DataFrame:
-    """query, word, distance of all pairs at a distance (substitutions cost 2) of k or less.
-
-    Two words are that near if and only if deletions of k in all make them equal; so both sides meet
-    on what deletions leave of them.
-    """
+def _by_deletions(asked: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    """query, word, distance: words are within k if and only if deletions of k letters in all make them equal."""
     side = lambda df, c, d: df.select(c, F.explode(_deletions(F.lower(c), k)).alias("x")).select(c, F.col("x.v").alias("v"), F.col("x.d").alias(d))
-    met = side(queries.select("query").distinct(), "query", "da").join(side(dictionary, "word", "db"), "v").where(F.col("da") + F.col("db") <= k)
+    met = side(asked, "query", "da").join(side(words, "word", "db"), "v").where(F.col("da") + F.col("db") <= k)
     return met.groupBy("query", "word").agg(F.min(F.col("da") + F.col("db")).alias("distance"))
 
 
-def indel_pairs_filtered(queries: DataFrame, dictionary: DataFrame, k: int = 2) -> DataFrame:
-    """The same for a few queries: a broadcast of them, a native bound, and the exact distance of survivors.
+def _by_pieces(asked: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    """The same for words of more than k letters: of k + 1 pieces of a word, k edits leave one as it is.
+
+    A word's pieces are as equal in length as can be, so its length tells where they begin.  With d more
+    letters in the query, a piece moved by s places asks for |s| edits before it and |d - s| after it,
+    so only moves of |s| + |d - s| <= k are looked at; pieces meet by the word's length, their number and letters.
+    """
+    start = lambda size, i: F.call_function("div", size * i, F.lit(k + 1)).cast("int")
+    cut = lambda text, size, i, move: F.substring(text, start(size, i) + 1 + move, start(size, i + 1) - start(size, i))
+    w, q, n = F.lower("word"), F.lower("query"), F.length("word")
+    theirs = words.select("word", n.alias("size"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(k)), lambda i: F.struct(i.alias("i"), cut(w, n, i, F.lit(0)).alias("piece")))).alias("p")).select("word", "size", "p.i", "p.piece")
+
+    def at(d: Column, i: Column, move: Column) -> Column:
+        size = F.length("query") - d
+        inside = (start(size, i) + move >= 0) & (start(size, i + 1) + move <= F.length("query")) & (size > k)
+        return F.when(inside, F.struct(size.alias("size"), i.alias("i"), cut(q, size, i, move).alias("piece")))
+
+    around, pieces = F.sequence(F.lit(-k), F.lit(k)), F.sequence(F.lit(0), F.lit(k))
+    moves = lambda d: F.filter(around, lambda s: F.abs(s) + F.abs(d - s) <= k)
+    moved = F.transform(around, lambda d: F.flatten(F.transform(pieces, lambda i: F.transform(moves(d), lambda s: at(d, i, s)))))
+    ours = asked.select("query", F.explode(F.array_distinct(F.array_compact(F.flatten(moved)))).alias("p")).select("query", "p.size", "p.i", "p.piece")
+    pairs = ours.join(theirs, ["size", "i", "piece"]).select("query", "word").distinct().where(F.levenshtein(q, w, k) >= 0)
+    return pairs.select("query", "word", indel_distance(q, w).alias("distance")).where(F.col("distance") <= k)
+
+
+def indel_pairs(queries: DataFrame, dictionary: DataFrame, k: int = 2) -> DataFrame:
+    """query, word, distance of all pairs at a distance (substitutions cost 2) of k or less, for any k.
 
-    More than FEW queries go the way of indel_pairs.
+    Both sides meet on what up to k deletions leave of them, or, since these multiply with k, on pieces for
+    k above 2 and words of more than k letters.
     """
-    if queries.select("query").distinct().limit(FEW + 1).count() > FEW:
-        return indel_pairs(queries, dictionary, k)
-    pairs = dictionary.join(F.broadcast(queries.select("query").distinct()), (F.abs(F.length("query") - F.length("word")) <= k) & (F.levenshtein(F.lower("query"), F.col("word"), k) >= 0))
-    return pairs.select("query", "word", indel_distance(F.lower("query"), F.col("word")).alias("distance")).where(F.col("distance") <= k)
+    asked, words = queries.select("query").distinct(), dictionary.select("word")
+    if k <= 2:
+        return _by_deletions(asked, words, k)
+    short = _by_deletions(asked.where(F.length("query") <= 2 * k), words.where(F.length("word") <= k), k)
+    return short.union(_by_pieces(asked, words.where(F.length("word") > k), k))
 
 
 def edit_candidates(queries: DataFrame, dictionary: DataFrame, k: int = 2) -> DataFrame:

@@ -23,7 +23,7 @@ def jac(a, b):
     return len(a & b) / len(a | b) if a | b else 0.0
 
 
-def test_edit_candidates(spark, monkeypatch):
+def test_edit_candidates(spark):
     q, d = frames(spark)
     got = {(r.query, r.word, r.distance, r.rank) for r in candidates.edit_candidates(q, d).collect()}
     want = set()
@@ -31,10 +31,18 @@ def test_edit_candidates(spark, monkeypatch):
         near = [(0, a)] if a in WORDS else sorted((indel(a, w), w) for w in WORDS if indel(a, w) <= 2) or [(0, a)]
         want |= {(a, w, n, i) for i, (n, w) in enumerate(near, 1)}
     assert got == want
-    for few in (1000, 3):
-        monkeypatch.setattr(candidates, "FEW", few)
-        both = {(r.query, r.word, r.distance) for r in candidates.indel_pairs_filtered(q, d).collect()}
-        assert both == {(a, w, indel(a, w)) for a in ASKED for w in WORDS if indel(a, w) <= 2}
+
+
+def test_indel_pairs_of_any_distance(spark):
+    rng = random.Random(9)
+    make = lambda least, most: "".join(rng.choice("abcd") for _ in range(rng.randrange(least, most)))
+    words = sorted({make(0, 9) for _ in range(40)} | {make(14, 30) for _ in range(30)})
+    asked = sorted({make(0, 9) for _ in range(20)} | {"".join(c for c in w if rng.random() > 0.12) + make(0, 2) for w in words})
+    q, d = (spark.createDataFrame([(w,) for w in own], f"{c} string") for own, c in ((asked, "query"), (words, "word")))
+    for k in (0, 2, 3, 5):
+        got = [(r.query, r.word, r.distance) for r in candidates.indel_pairs(q, d, k).collect()]
+        want = {(a, w, indel(a, w)) for a in asked for w in words if indel(a, w) <= k}
+        assert set(got) == want and len(got) == len(want), k
 
 
 def test_ngram_best(spark):
