@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,10 +44,67 @@ def indel_distance(a: Column, b: Column) -> Column:
     return F.get(last, F.length(a))
 
 
+def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of words as rows of one array, and their lengths."""
+    sizes = np.array([len(w) for w in words], np.int64)
+    out = np.zeros((len(words), max(1, sizes.max(initial=1))), np.uint32)
+    flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = flat
+    return out, sizes
+
+
+def matching_characters(a: list[str], b: list[str]) -> np.ndarray:
+    """Characters in matching blocks of many pairs of words at once.
+
+    All open intervals of all pairs are worked on together: one table of common endings, a letter of
+    the first words at a time, gives each interval's longest block (the first in the first word, then in the
+    second); what is left and right of it in both words are the next round's intervals.
+    """
+    (x, left), (y, right) = _codes(a), _codes(b)
+    out = np.zeros(len(a), np.int64)
+    own = np.flatnonzero((left > 0) & (right > 0))
+    spans = np.stack([np.zeros(len(own), np.int64), left[own], np.zeros(len(own), np.int64), right[own]])
+    while len(own):
+        a0, a1, b0, b1 = spans
+        # Intervals are moved to the beginning of their rows, so that tables are no larger than the longest.
+        u, v = (rows[own[:, None], np.minimum(at[:, None] + np.arange((to - at).max()), rows.shape[1] - 1)] for rows, at, to in ((x, a0, a1), (y, b0, b1)))
+        inside = np.arange(v.shape[1]) < (b1 - b0)[:, None]
+        common, best, at, start = np.zeros((len(own), v.shape[1] + 1), np.int32), *(np.zeros(len(own), np.int64) for _ in range(3))
+        for i in range(u.shape[1]):
+            same = inside & (u[:, i : i + 1] == v) & (i < a1 - a0)[:, None]
+            common[:, 1:] = np.where(same, common[:, :-1] + 1, 0)
+            j = common.argmax(axis=1)
+            n = common[np.arange(len(own)), j]
+            more = n > best
+            best, at, start = np.where(more, n, best), np.where(more, i + 1 - n, at), np.where(more, j - n, start)
+        np.add.at(out, own, best)
+        i, j = a0 + at, b0 + start
+        rest = np.concatenate([np.stack([a0, i, b0, j]), np.stack([i + best, a1, j + best, b1])], axis=1)
+        some = (np.concatenate([best, best]) > 0) & (rest[0] < rest[1]) & (rest[2] < rest[3])
+        own, spans = np.concatenate([own, own])[some], rest[:, some]
+    return out
+
+
+#: From this length of the second word on, the definition leaves out its most frequent characters.
+POPULAR = 200
+
+
 @F.pandas_udf(T.DoubleType())
 def ratcliff_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff/Obershelp similarity 2 M / T, a first; not symmetric."""
-    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+    out = np.empty(len(a), np.float64)
+    x, y = list(a), list(b)
+    sizes = np.array([max(len(u), len(v)) for u, v in zip(x, y, strict=True)], np.int64)
+    long = np.flatnonzero(sizes >= POPULAR)
+    for i in long:
+        out[i] = difflib.SequenceMatcher(None, x[i], y[i]).ratio()
+    order = np.argsort(sizes, kind="stable")[: len(sizes) - len(long)]  # pairs of like length side by side
+    for at in range(0, len(order), 4096):
+        part = order[at : at + 4096]
+        own = [[w[i] for i in part] for w in (x, y)]
+        whole = np.array([len(u) + len(v) for u, v in zip(*own, strict=True)], np.float64)
+        out[part] = np.where(whole > 0, 2.0 * matching_characters(*own) / np.maximum(whole, 1), 1.0)
+    return pd.Series(out)
 
 
 def blended(jaccard: Column, ratio: Column, ngram_weight: float = 0.5, edit_weight: float = 0.5) -> Column:

@@ -47,14 +47,6 @@ def all_text(*columns: Column) -> Column:
     return F.lower(F.concat_ws(" ", *[F.coalesce(c.cast("string"), F.lit("None")) for c in columns]))
 
 
-def contains_any(pattern: Column, *fields: Column) -> Column:
-    """Whether a pattern stands in any field, whatever the case; no pattern syntax, no word borders."""
-    out = F.lit(False)
-    for f in fields:
-        out = out | F.contains(F.lower(F.coalesce(f, F.lit(""))), F.lower(pattern))
-    return out
-
-
 def join_tokens(pairs: Column, by: str = " ") -> Column:
     """Tokens of an array of (place, token) structs, in order of place."""
     return F.array_join(F.transform(F.array_sort(pairs), lambda s: s["token"]), by)
@@ -64,10 +56,11 @@ def render_ids(ids: Column, by: str = ",") -> Column:
     return F.array_join(F.transform(ids, lambda x: x.cast("string")), by)
 
 
+#: Units of byte counts, each 1,024 of the one before.
+UNITS = ("B", "KB", "MB", "GB")
+
+
 def format_bytes(size: float) -> str:
-    """A byte count with a unit, two decimals."""
-    for unit in ("B", "KB", "MB", "GB"):
-        if size < 1024 or unit == "GB":
-            return f"{size:.2f} {unit}"
-        size /= 1024
-    return f"{size:.2f} GB"
+    """A byte count in the largest unit of which it has one, two decimals."""
+    power = min(max(int(size).bit_length() - 1, 0) // 10, len(UNITS) - 1)
+    return f"{size / 1024**power:.2f} {UNITS[power]}"

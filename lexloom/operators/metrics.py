@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import contextlib
 import os
 import platform
-import resource
 import time
-import tracemalloc
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.accumulators import AccumulatorParam
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import format_bytes
@@ -40,17 +38,12 @@ def correction_accuracy(queries: DataFrame, corrected: DataFrame) -> DataFrame:
     return joined.agg(F.count("*").alias("total"), F.coalesce(F.sum(right), F.lit(0)).alias("correct"), F.coalesce(F.avg(right), F.lit(0.0)).alias("accuracy"))
 
 
-def system_info(spark: SparkSession) -> dict[str, str]:
-    sc = spark.sparkContext
-    memory = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
+def machine(spark: SparkSession) -> dict[str, str]:
+    """What a report says of where it ran."""
+    pages = os.sysconf("SC_PHYS_PAGES") * os.sysconf("SC_PAGE_SIZE")
     return {
-        "processor": platform.processor() or platform.machine(),
-        "total_memory": format_bytes(memory),
-        "system": platform.system(),
-        "python_version": platform.python_version(),
-        "spark": spark.version,
-        "master": sc.master,
-        "parallelism": str(sc.defaultParallelism),
+        "Spark": f"{spark.version}, {spark.sparkContext.master}, {spark.sparkContext.defaultParallelism} tasks at once",
+        "Driver": f"{platform.system()} on {platform.machine()}, Python {platform.python_version()}, {format_bytes(pages)} of memory",
     }
 
 
@@ -64,43 +57,85 @@ def timed(runs: Iterable[tuple[str, Callable[[], object]]]) -> dict[str, float]:
     return out | {"total": sum(out.values())}
 
 
-@contextlib.contextmanager
-def measured() -> Iterator[dict]:
-    """Fills a dict with the wall time of a block, the growth of the process's peak memory, and what Python allocated in it."""
-    out: dict = {}
-    began, before = time.perf_counter(), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
-    tracemalloc.start()
+class _Greatest(AccumulatorParam):
+    """Figures by name, the greatest of each."""
+
+    def zero(self, value: dict) -> dict:
+        return {}
+
+    def addInPlace(self, value1: dict, value2: dict) -> dict:
+        return value1 | {k: max(v, value1.get(k, 0)) for k, v in value2.items()}
+
+
+def _peak(pid: int) -> int:
+    """The most bytes that a process has had in memory at once; 0 where the system doesn't tell."""
     try:
-        yield out
-    finally:
-        out["current"], out["peak"] = tracemalloc.get_traced_memory()
-        tracemalloc.stop()
-        out["seconds"] = time.perf_counter() - began
-        out["resident_growth"] = 1024 * (resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before)
+        with open(f"/proc/{pid}/status") as f:
+            return next((1024 * int(line.split()[1]) for line in f if line.startswith("VmHWM:")), 0)
+    except OSError:
+        return 0
+
 
+def _parent(pid: int) -> int:
+    try:
+        with open(f"/proc/{pid}/stat") as f:
+            return int(f.read().rpartition(")")[2].split()[1])
+    except OSError:
+        return 0
 
-def benchmark(queries: DataFrame, correct: Callable[[DataFrame], DataFrame]) -> dict:
-    """Accuracy, time and memory of a correction over labelled queries (query, corrected); correct gives (query, word).
 
-    All queries are corrected by one job; each is given an equal share of its time.  The labelled
-    set is what comes to the driver, and its size is the caller's.
+def _children(pid: int) -> list[int]:
+    try:
+        with open(f"/proc/{pid}/task/{pid}/children") as f:
+            return [int(x) for x in f.read().split()]
+    except OSError:
+        return []
+
+
+class Peaks:
+    """Peak memory of the executors that work on a frame, as their tasks see it.
+
+    Rows pass through unchanged; with every batch a task looks at the peaks, since they began, of the executor that
+    runs it and of all its Python workers together, and an accumulator keeps the greatest of each.
     """
-    with measured() as cost:
-        found = queries.join(correct(queries.select("query")), "query", "left").select("query", "corrected", "word").collect()
-    n = len(found)
-    each = cost["seconds"] / n if n else 0.0
-    rows = [{"query": r["query"], "corrected": r["word"], "expected": r["corrected"], "correct": r["word"] == r["corrected"], "time": each} for r in found]
-    right = sum(r["correct"] for r in rows)
-    return {
-        "total_queries": n,
-        "total_time": cost["seconds"],
-        "average_time": each,
-        "correct_count": right,
-        "accuracy": right / n if n else 0.0,
-        "current_memory": format_bytes(cost["current"]),
-        "peak_memory": format_bytes(cost["peak"]),
-        "individual_results": rows,
-    }
+
+    def __init__(self, spark: SparkSession):
+        self.seen = spark.sparkContext.accumulator({}, _Greatest())
+
+    def through(self, df: DataFrame) -> DataFrame:
+        seen = self.seen
+
+        def look(batches):
+            for batch in batches:
+                # Workers are forked by a daemon, which the executor has started.
+                daemon = os.getppid()
+                seen.add({"workers": sum(map(_peak, _children(daemon) or [os.getpid()])), "executor": _peak(_parent(daemon))})
+                yield batch
+
+        return df.mapInArrow(look, df.schema)
+
+    @property
+    def bytes(self) -> dict[str, int]:
+        """Of the frames that have run so far."""
+        return {"workers": 0, "executor": 0} | self.seen.value
+
+
+def benchmark(queries: DataFrame, correct: Callable[[DataFrame], DataFrame]) -> tuple[dict, DataFrame]:
+    """Figures of a correction over labelled queries (query, corrected), and query, corrected, word, right of each.
+
+    correct gives (query, word).  All queries are corrected by one job, which counts as it goes;
+    nothing of a query comes to the driver.  Figures: asked, right, share, seconds, each (seconds a query), and the
+    peak memory of an executor and of its Python workers in bytes.
+    """
+    spark, counted = queries.sparkSession, Observation()
+    peaks = Peaks(spark)
+    found = queries.join(peaks.through(correct(queries.select("query")).select("query", "word")), "query", "left")
+    found = found.select("query", "corrected", "word", F.coalesce(F.col("word") == F.col("corrected"), F.lit(False)).alias("right"))
+    began = time.perf_counter()
+    found.observe(counted, F.count("*").alias("asked"), F.count_if("right").alias("right")).write.format("noop").mode("overwrite").save()
+    figures = {"seconds": time.perf_counter() - began, **counted.get}
+    asked = max(figures["asked"], 1)
+    return figures | {"each": figures["seconds"] / asked, "share": figures["right"] / asked, **peaks.bytes}, found
 
 
 #: Misspelled words whose corrections are shown after a benchmark.

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions.text import split_words, word_characters
+from lexloom.sources import writers
 
+#: The text fields of a record.
 TEXT_FIELDS = ["Title", "Author", "Bibliographic Source", "Abstract"]
 DOCUMENTS = T.StructType([T.StructField("Index", T.LongType()), *(T.StructField(f, T.StringType()) for f in TEXT_FIELDS)])
 QUERIES = T.StructType([T.StructField("query", T.StringType()), T.StructField("corrected", T.StringType())])
@@ -78,8 +80,23 @@ def read_queries(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUERIES).option("multiLine", True).json(path)
 
 
+def _listed(line: Column) -> Column:
+    """(term, doc_id) of a line `term:id,id`; a term may hold colons."""
+    term, ids = (F.regexp_extract(line, "^(.*):([^:]*)$", i) for i in (1, 2))
+    return F.transform(F.filter(F.split(ids, ","), lambda x: x != ""), lambda x: F.struct(term.alias("term"), x.cast("long").alias("doc_id")))
+
+
 def read_blocks(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """term, doc_id of block files of lines `term:id,id`; a term may hold colons."""
-    lines = spark.read.option("pathGlobFilter", glob).text(path)
-    parts = lines.select(F.regexp_extract("value", "^(.*):([^:]*)$", 1).alias("term"), F.regexp_extract("value", "^(.*):([^:]*)$", 2).alias("ids"))
-    return parts.select("term", F.explode(F.split("ids", ",")).alias("doc_id")).where("doc_id != ''").select("term", F.col("doc_id").cast("long"))
+    """term, doc_id of block files of lines `term:id,id`, whatever their names."""
+    return spark.read.option("pathGlobFilter", glob).text(path).select(F.explode(_listed(F.col("value"))).alias("p")).select("p.term", "p.doc_id")
+
+
+def read_run(spark: SparkSession, path: str, run: int | None = None) -> DataFrame:
+    """block, size, term, doc_id of the block files of one complete run, the last if none is named; blocks of other runs aren't read."""
+    known = writers.runs(spark, path)
+    if (run if run is not None else -1) not in known and (run is not None or not known):
+        raise FileNotFoundError(f"no complete run {'' if run is None else run} below {path}")
+    lines = spark.read.option("pathGlobFilter", "block*size*.txt").text(f"{path}/{writers.RUN.format(known[-1] if run is None else run)}")
+    name = F.regexp_extract(F.input_file_name(), "block([0-9]+)size([0-9]+)[.]txt$", 1), F.regexp_extract(F.input_file_name(), "block([0-9]+)size([0-9]+)[.]txt$", 2)
+    named = lines.select(name[0].cast("long").alias("block"), name[1].cast("long").alias("size"), "value")
+    return named.select("block", "size", F.explode(_listed(F.col("value"))).alias("p")).select("block", "size", "p.term", "p.doc_id")

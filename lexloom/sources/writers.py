@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import render_ids
+from lexloom.functions.text import format_bytes, render_ids
 
 
 def index_lines(index: DataFrame) -> DataFrame:
@@ -23,12 +23,6 @@ def write_lines(lines: DataFrame, path: str, *order: str) -> None:
     lines.orderBy(*order).select("line").write.mode("overwrite").text(path)
 
 
-def write_blocks(blocks: DataFrame, path: str) -> None:
-    """Block indexes as text, a folder a block, each sorted by term."""
-    lines = block_lines(blocks).repartition("block_id").sortWithinPartitions("block_id", "term")
-    lines.select("block_id", "line").write.mode("overwrite").partitionBy("block_id").text(path)
-
-
 def write_index(index: DataFrame, path: str) -> None:
     """Parquet in ranges of terms, so a lookup reads few row groups."""
     index.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(path)
@@ -69,22 +63,77 @@ def correction_lines(combinations: DataFrame, found: DataFrame, docs: DataFrame)
 
 #: The four lines of a benchmark summary.
 SUMMARY = (
-    "- Total Queries: {total_queries}",
-    "- Total Time: {total_time:.4f} seconds",
-    "- Average Time per Query: {average_time:.4f} seconds",
-    "- Correct Results: {correct_count}/{total_queries} ({accuracy:.2%})",
+    "- Total Queries: {asked}",
+    "- Total Time: {seconds:.4f} seconds",
+    "- Average Time per Query: {each:.4f} seconds",
+    "- Correct Results: {right}/{asked} ({share:.2%})",
 )
 
 
-def summary_lines(run: dict) -> list[str]:
-    """The lines of a benchmark run (metrics.benchmark)."""
-    return [line.format(**run) for line in SUMMARY]
-
-
-def benchmark_lines(run: dict, system: dict[str, str], title: str) -> list[str]:
-    """A benchmark run for the console: the machine, the summary, memory, and every query."""
-    out = [f"========== {title} =========="] + [f"  - {name}: {value}" for name, value in system.items()]
-    out += [f"  {line}" for line in summary_lines(run)] + [f"  - Peak Memory Usage: {run['peak_memory']}"]
-    for i, one in enumerate(run["individual_results"], 1):
-        out.append(f"  {i}. '{one['query']}' -> '{one['corrected']}' | expected '{one['expected']}' | {'right' if one['correct'] else 'wrong'} | {one['time']:.4f} seconds")
-    return out
+def summary_lines(figures: dict) -> list[str]:
+    """The lines of a benchmark's figures (metrics.benchmark)."""
+    return [line.format(**figures) for line in SUMMARY]
+
+
+def benchmark_lines(title: str, place: dict[str, str], figures: dict) -> list[str]:
+    """A benchmark for the console: where it ran, its summary, and what the executors held."""
+    held = [f"{who}: {format_bytes(figures[who])} at most" for who in ("executor", "workers")]
+    return [title, *(f"{what}: {said}" for what, said in place.items()), *summary_lines(figures), *held]
+
+
+def outcome_lines(found: DataFrame) -> DataFrame:
+    """query, line of every query of a benchmark and what became of it."""
+    outcome = F.when(F.col("right"), "right").otherwise(F.concat(F.lit("should be "), F.coalesce("corrected", F.lit("nothing"))))
+    return found.select("query", F.format_string("%s: %s (%s)", "query", F.coalesce("word", F.lit("nothing found")), outcome).alias("line"))
+
+
+RUN = "run-{:06d}"
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, through Hadoop, so that any store that Spark reads will do."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def runs(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the complete runs below a path, in order."""
+    files, at = _files(spark, path)
+    if not files.exists(at(path)):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(at(path)) if s.isDirectory()]
+    return sorted(int(n.removeprefix("run-")) for n in names if n.startswith("run-") and files.exists(at(f"{path}/{n}/_SUCCESS")))
+
+
+def write_run(blocks: DataFrame, path: str, block_size: int) -> int:
+    """Block indexes as files `block{ID}size{SIZE}.txt` of a new run below a path, and the run's number.
+
+    IDs go from 0 in the order of block_id.  Tasks write the files where the run isn't seen; they get their
+    names by renaming, and the run its marker, when all are there.  Of a block what crosses to the driver is its file's name.
+    """
+    spark = blocks.sparkSession
+    files, at = _files(spark, path)
+    number = max(runs(spark, path), default=-1) + 1
+    hidden, run = f"{path}/_{RUN.format(number)}", f"{path}/{RUN.format(number)}"
+    for stale in (hidden, run):  # of a run that broke off
+        files.delete(at(stale), True)
+    # Blocks are numbered within the partition that made them, so partitions' counts number all of them.
+    parts = blocks.select(F.split("block_id", "-").alias("b")).groupBy(F.col("b")[0].alias("part")).agg((F.max(F.col("b")[1].cast("long")) + 1).alias("n"))
+    starts, total = [], 0
+    for part, n in sorted((r["part"], r["n"]) for r in parts.collect()):
+        starts.append((part, total))
+        total += n
+    starts = spark.createDataFrame(starts, "part string, start long")
+    numbered = block_lines(blocks).join(F.broadcast(starts), F.split("block_id", "-")[0] == F.col("part"))
+    numbered = numbered.select((F.col("start") + F.split("block_id", "-")[1].cast("long")).alias("block"), "term", "line")
+    numbered.repartition("block").sortWithinPartitions("block", "term").select("block", "line").write.partitionBy("block").text(hidden)
+    files.mkdirs(at(run))
+    for folder in files.listStatus(at(hidden)):
+        name = folder.getPath().getName()
+        if name.startswith("block="):
+            (part,) = [s.getPath() for s in files.listStatus(folder.getPath()) if s.getPath().getName().startswith("part-")]
+            files.rename(part, at(f"{run}/block{name.removeprefix('block=')}size{block_size}.txt"))
+    files.create(at(f"{run}/_SUCCESS")).close()
+    files.delete(at(hidden), True)
+    return number

@@ -161,15 +161,38 @@ def test_benchmark_report(spark):
     q = spark.createDataFrame([("spead", "spread"), ("letetr", "better")], "query string, corrected string")
     _, d = frames(spark)
     fix = lambda asked: candidates.edit_candidates(asked, d).where("rank = 1").select("query", "word")
-    run = metrics.benchmark(q, fix)
-    assert (run["total_queries"], run["correct_count"], run["accuracy"]) == (2, 1, 0.5)
-    assert run["total_time"] > 0 and run["peak_memory"].split()[1] in ("B", "KB", "MB", "GB")
-    system = metrics.system_info(spark)
-    assert {"processor", "total_memory", "spark"} <= set(system)
-    lines = writers.benchmark_lines(run, system, "EDIT DISTANCE")
-    assert lines[0].strip("= ") == "EDIT DISTANCE" and "  - Correct Results: 1/2 (50.00%)" in lines
-    assert sum("'spead' -> " in line for line in lines) == 1
-    assert metrics.benchmark(q.limit(0), fix)["average_time"] == 0.0
+    figures, found = metrics.benchmark(q, fix)
+    assert (figures["asked"], figures["right"], figures["share"]) == (2, 1, 0.5)
+    assert figures["seconds"] > 0 and figures["executor"] > 1 << 20 and figures["workers"] > 1 << 20
+    lines = writers.benchmark_lines("EDIT DISTANCE", metrics.machine(spark), figures)
+    assert lines[0] == "EDIT DISTANCE" and "- Correct Results: 1/2 (50.00%)" in lines and any(x.startswith("executor: ") and x.endswith("B at most") for x in lines)
+    assert {r.query: r.line for r in writers.outcome_lines(found).collect()}["letetr"] == "letetr: letter (should be better)"
+    assert metrics.benchmark(q.limit(0), fix)[0]["each"] < 60
+
+
+def test_peaks_follow_the_executors(spark):
+    """What tasks hold shows in the report; the driver's own memory doesn't."""
+
+    def hold(megabytes):
+        def run(batches):
+            for batch in batches:
+                held = b"x" * (megabytes << 20)  # noqa: F841
+                yield batch
+
+        peaks = metrics.Peaks(spark)
+        rows = peaks.through(spark.range(0, 20, 1, 1).mapInArrow(run, "id long"))
+        assert rows.count() == 20
+        return peaks.bytes["workers"]
+
+    assert metrics.Peaks(spark).bytes == {"workers": 0, "executor": 0}
+    little = hold(0)
+    assert hold(300) - little > 200 << 20
+
+
+def test_samples_and_steps(spark):
+    q = spark.createDataFrame([("spead", "spread"), ("letetr", "better")], "query string, corrected string")
+    _, d = frames(spark)
+    fix = lambda asked: candidates.edit_candidates(asked, d).where("rank = 1").select("query", "word")
     steps = metrics.timed([("read", lambda: d.count()), ("ask", lambda: q.count())])
     assert list(steps) == ["read", "ask", "total"]
     shown = {r.query: r.line for r in metrics.sample_corrections(spark, fix, ["spead", "qqqq"]).collect()}

@@ -56,8 +56,29 @@ def test_soundex_variant_published_groups(spark):
     assert column(spark, ["Tymczak", "Pfister"], similarity.soundex_variant) == ["T520", "P123"]
 
 
-def test_contains_and_all_text(spark):
+def test_all_text(spark):
     frame = spark.createDataFrame([("Über Alles", None, "aLL")], "x string, y string, p string")
-    assert frame.select(text.contains_any(F.col("p"), F.col("x"), F.col("y"))).first()[0]
     assert frame.select(text.all_text(F.col("x"), F.col("y"))).first()[0] == "über alles none"
     assert text.format_bytes(1536) == "1.50 KB"
+
+
+def test_matching_characters():
+    rng = random.Random(2)
+    make = lambda: "".join(rng.choice("abcé🎉") for _ in range(rng.randrange(0, 14)))
+    pairs = [(make(), make()) for _ in range(3000)] + [("", ""), ("a", ""), ("tide", "diet"), ("diet", "tide"), ("abcabc", "bcabca")]
+    got = similarity.matching_characters([a for a, _ in pairs], [b for _, b in pairs])
+    want = [sum(m.size for m in difflib.SequenceMatcher(None, a, b).get_matching_blocks()) for a, b in pairs]
+    assert got.tolist() == want
+
+
+def test_ratio_of_long_and_short_words(spark):
+    rows = [("abc" * 90, "acb" * 80), ("tide", "diet"), ("", ""), ("x", "")]
+    frame = spark.createDataFrame(rows, "a string, b string")
+    got = [r[0] for r in frame.select(similarity.ratcliff_ratio("a", "b")).collect()]
+    assert got == [difflib.SequenceMatcher(None, a, b).ratio() for a, b in rows]
+
+
+def test_phrase_codes(spark):
+    frame = spark.createDataFrame([("befroe  Robert",), ("",)], "p string")
+    got = [r[0] for r in frame.select(similarity.soundex_phrase(F.col("p"))).collect()]
+    assert got == [[frame.select(similarity.soundex_variant(F.lit(w))).first()[0] for w in ("befroe", "Robert")], []]

@@ -2,6 +2,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import boolean, index
@@ -38,9 +39,25 @@ def test_blocks_round_trip(spark, tmp_path):
     tokens = index.occurrences(documents(spark, tmp_path))
     blocks = index.parse_blocks(tokens.coalesce(1), 2)
     assert blocks.groupBy("block_id").agg(F.countDistinct("term").alias("n")).where("n > 2").count() == 0
-    writers.write_blocks(blocks, str(tmp_path / "blocks"))
-    back = readers.read_blocks(spark, str(tmp_path / "blocks") + "/*", "part-*")
+    path = str(tmp_path / "blocks")
+    assert writers.write_run(blocks, path, 2) == 0
+    back = readers.read_run(spark, path)
+    names = sorted(p.name for p in (tmp_path / "blocks/run-000000").iterdir() if p.name.startswith("block"))
+    assert names == sorted(f"block{i}size2.txt" for i in range(blocks.select("block_id").distinct().count()))
+    # A file holds one block, sorted; lines are as readers of other tools expect them.
+    lines = (tmp_path / "blocks/run-000000/block0size2.txt").read_text().splitlines()
+    assert len(lines) == 2 and lines == sorted(lines) and {(r.block, r.size) for r in back.select("block", "size").collect()} == {(i, 2) for i in range(len(names))}
+    # What an earlier run, or one that broke off, has left isn't read.
+    assert writers.write_run(blocks.where("term = 'Fire'"), path, 7) == 1
+    (tmp_path / "blocks/run-000002").mkdir()
+    (tmp_path / "blocks/run-000002/block0size9.txt").write_text("half:1,")
+    assert [(r.term, r.doc_id, r["size"]) for r in readers.read_run(spark, path).distinct().collect()] == [("Fire", 9, 7)]
+    assert readers.read_run(spark, path, 0).count() == back.count()
+    with pytest.raises(FileNotFoundError):
+        readers.read_run(spark, path, 2)
+    assert writers.write_run(blocks, path, 2) == 2 and readers.read_run(spark, path).count() == back.count()
     merged = {(r.term, tuple(r.ids)) for r in index.merge_postings(back).collect()}
+    assert {(r.term, r.doc_id) for r in readers.read_blocks(spark, f"{path}/run-000002", "block*").collect()} == {(r.term, r.doc_id) for r in back.collect()}
     assert merged == {(r.term, tuple(r.ids)) for r in index.merge_blocks(blocks).collect()} == {(r.term, tuple(r.ids)) for r in index.merge_postings(tokens).collect()}
     assert ("a:b", (10,)) in merged and ("Fire", (9,)) in merged
 
@@ -66,7 +83,7 @@ def test_stream(spark, tmp_path):
 
 
 def test_lines(spark, tmp_path):
-    run = {"total_queries": 38, "total_time": 34.9989, "average_time": 0.921, "correct_count": 29, "accuracy": 29 / 38}
+    run = {"asked": 38, "seconds": 34.9989, "each": 0.921, "right": 29, "share": 29 / 38}
     assert writers.summary_lines(run)[3] == "- Correct Results: 29/38 (76.32%)"
     found = spark.createDataFrame([(10,), (4,)], "doc_id long")
     assert {r.line for r in writers.display_lines(found, documents(spark, tmp_path)).collect()} == {"- Index 10 | Title: Deep Water", "- Index 4 | Title: N/A"}
