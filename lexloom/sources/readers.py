@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexloom.functions.text import split_words, word_characters
-from lexloom.sources import writers
+from lexloom.sources import json_arrays, writers
 
 #: The text fields of a record.
 TEXT_FIELDS = ["Title", "Author", "Bibliographic Source", "Abstract"]
@@ -24,9 +24,9 @@ def normalized(raw: DataFrame) -> DataFrame:
 
 
 def read_documents(spark: SparkSession, path: str, tolerant: bool = False) -> DataFrame:
-    """A JSON array of records, scanned with a fixed schema; tolerant: a missing path gives no rows."""
+    """A JSON array of records, scanned in byte ranges with a fixed schema; tolerant: a missing path gives no rows."""
     try:
-        return normalized(spark.read.schema(DOCUMENTS).option("multiLine", True).option("mode", "PERMISSIVE" if tolerant else "FAILFAST").json(path))
+        return normalized(json_arrays.read(spark, path, DOCUMENTS, "PERMISSIVE" if tolerant else "FAILFAST"))
     except AnalysisException:
         if not tolerant:
             raise
@@ -77,7 +77,7 @@ def corpus_vocabulary(text: DataFrame) -> DataFrame:
 
 
 def read_queries(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(QUERIES).option("multiLine", True).json(path)
+    return json_arrays.read(spark, path, QUERIES)
 
 
 def _listed(line: Column) -> Column:

@@ -1,4 +1,5 @@
 import json
+import random
 from collections.abc import Iterator
 
 import pandas as pd
@@ -6,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexloom.operators import boolean, index
-from lexloom.sources import readers, writers
+from lexloom.sources import json_arrays, readers, writers
 from lexloom.streaming import bsbi
 
 RECORDS = [
@@ -35,6 +36,31 @@ def test_documents_and_index(spark, tmp_path):
     assert readers.latest(docs.withColumn("o", F.length("Title")), "o").where("Index = 9").first().Title == "Fire again"
 
 
+@pytest.mark.parametrize("form", [{"indent": 2}, {}, {"separators": (",", ":")}, "lines"])
+def test_json_arrays_in_byte_ranges(spark, tmp_path, form):
+    """One file is read by many tasks, whatever its records look like and wherever they are cut."""
+    rng = random.Random(1)
+    odd = ['}{"', "a\\", "[{", "line\nbreak", "\u2028é🎉", 'q"}', ""]
+    own = lambda i: {"Index": i, "Title": rng.choice(odd) * rng.randrange(3), "Author": None, "Bibliographic Source": "x" * rng.randrange(60), "Abstract": " ".join(rng.choices([*odd, "w"], k=rng.randrange(80))), "more": {"a": [{"b": 1}]}}
+    rows = [own(i) for i in range(120)] + [own(120) | {"Abstract": "y" * 3000, "more": [{"deep": [{"x": i, "s": "}"} for i in range(300)]}]}] + [own(i) for i in range(121, 160)]
+    text = "\n".join(map(json.dumps, rows)) if form == "lines" else json.dumps(rows, **form)
+    (tmp_path / "many").mkdir()
+    (tmp_path / "many/a.json").write_text(text)
+    (tmp_path / "many/b.json").write_text(json.dumps(rows[:3], indent=1))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1500")
+    try:
+        docs = readers.read_documents(spark, str(tmp_path / "many"))
+        ranges = json_arrays._lines(spark, str(tmp_path / "many")).select("file", "start").distinct().count()
+        got = sorted((r.Index, r.Title, r.Author, r.bib_source, r.Abstract) for r in docs.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == sorted((r["Index"], r["Title"], "", r["Bibliographic Source"], r["Abstract"]) for r in [*rows, *rows[:3]])
+    assert ranges > (10 if form in ({"indent": 2}, "lines") else 1)
+    (tmp_path / "cut.json").write_text(text[: len(text) // 2])
+    with pytest.raises(Exception, match="MALFORMED"):
+        readers.read_documents(spark, str(tmp_path / "cut.json")).collect()
+
+
 def test_blocks_round_trip(spark, tmp_path):
     tokens = index.occurrences(documents(spark, tmp_path))
     blocks = index.parse_blocks(tokens.coalesce(1), 2)
