@@ -259,57 +259,103 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int, scratch:
     return scratch.table(made.join(some.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
-def _met(prefix: tuple[np.ndarray, np.ndarray], own: int, mark: np.ndarray) -> np.ndarray:
-    """Which of the nodes after `own` share a token of its prefix."""
-    flat, offsets = prefix
-    inside = flat[offsets[own] : offsets[own + 1]]
-    mark[inside] = True
-    begin = offsets[own + 1]
-    out = np.logical_or.reduceat(mark[flat[begin:]], offsets[own + 1 : -1] - begin)
-    mark[inside] = False
-    return out
+class _Prefixes:
+    """The sets' prefixes under one order, as an inverted index: which earlier sets hold a token of a set's prefix."""
+
+    def __init__(self, tokens: np.ndarray, p: np.ndarray):
+        self.offsets = np.concatenate(([0], np.cumsum(p)))
+        own = np.repeat(np.arange(len(p)), p)
+        by = np.argsort(tokens, kind="stable")  # sets of a token stay in order
+        self.sets, told = own[by], tokens[by]
+        new = np.concatenate(([True], told[1:] != told[:-1]))
+        self.ends, self.starts = np.empty(len(by), np.int64), np.empty(len(by), np.int64)
+        self.ends[by] = np.arange(len(by))
+        self.starts[by] = np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))
+        self.earlier = np.add.reduceat(self.ends - self.starts, self.offsets[:-1])
+
+    def meet(self, x: int) -> np.ndarray:
+        """Earlier sets that share a token of the prefix of x, with repeats."""
+        at = slice(self.offsets[x], self.offsets[x + 1])
+        starts, ends = self.starts[at], self.ends[at]
+        some = np.flatnonzero(ends > starts)
+        return np.concatenate([self.sets[a:b] for a, b in zip(starts[some], ends[some], strict=True)])
+
+    def last(self, x: int) -> np.ndarray:
+        """The last of these of each token."""
+        at = slice(self.offsets[x], self.offsets[x + 1])
+        ends = self.ends[at]
+        return self.sets[ends[ends > self.starts[at]] - 1]
 
 
 def forest(tokens: np.ndarray, n: np.ndarray, percent: int, side: np.ndarray | None = None) -> np.ndarray:
-    """For each set the least number of a set that it reaches by links; with sides, links are between the two sides only."""
+    """For each set the least number of a set that it reaches by links; with sides, links are between the two sides only.
+
+    A set looks at the earlier ones that an inverted index of prefixes gives under every order; those that
+    are connected with it by then need no look, and the others are verified a few at a time, since the first
+    link often connects the rest.
+    """
     m = len(n)
     offsets = np.concatenate(([0], np.cumsum(n)))
     distinct, ids = np.unique(tokens, return_inverse=True)
     held, row = np.bincount(ids), np.repeat(np.arange(m), n)
     place = np.arange(len(ids)) - offsets[row]
     p = n - need(n, percent) + 1
-    prefixes = []
+    indexes = []
     for order in (np.lexsort((distinct, held)), *(np.argsort(W.mix(distinct ^ salt)) for salt in _ORDERS)):
         rank = np.empty(len(distinct), np.int64)
         rank[order] = np.arange(len(distinct))
         by = np.lexsort((rank[ids], row))
-        prefixes.append((ids[by][place < p[row]], np.concatenate(([0], np.cumsum(p)))))
-    mark, label = np.zeros(len(distinct), bool), np.arange(m)
-    for x in range(m - 1):
-        able = (label[x + 1 :] != label[x]) & (100 * np.minimum(n[x], n[x + 1 :]) >= percent * np.maximum(n[x], n[x + 1 :]))
-        if side is not None:
-            able &= side[x + 1 :] != side[x]
-        for prefix in prefixes:
-            if able.any():
-                able &= _met(prefix, x, mark)
-        ys = np.flatnonzero(able) + x + 1
-        if not len(ys):
-            continue
-        own = ids[offsets[x] : offsets[x + 1]]
-        mark[own] = True
-        if len(ys) < 8:
-            common = np.array([np.count_nonzero(mark[ids[offsets[y] : offsets[y + 1]]]) for y in ys])
-        else:
-            begin = offsets[x + 1]
-            common = np.add.reduceat(mark[ids[begin:]].astype(np.int64), offsets[x + 1 : -1] - begin)[ys - x - 1]
-        mark[own] = False
-        linked = ys[100 * common >= percent * (n[x] + n[ys] - common)]
-        if len(linked):
-            roots = np.append(label[linked], label[x])
-            hit = np.zeros(m, bool)
-            hit[roots] = True
-            label[hit[label]] = roots.min()
-    return label
+        indexes.append(_Prefixes(ids[by][place < p[row]], p))
+    own, met = np.zeros(len(distinct), bool), np.zeros(m, bool)
+    label, members = np.arange(m), {}
+
+    def join(x: int, ys: np.ndarray) -> None:
+        """One label for the components of x and ys: the largest's, so that a set changes its own seldom."""
+        roots = np.unique(np.append(label[ys], label[x]))
+        groups = [members.pop(r, [r]) for r in roots.tolist()]
+        groups.sort(key=len)
+        largest = groups.pop()
+        name = label[largest[0]]
+        for group in groups:
+            label[group] = name
+            largest += group
+        members[int(name)] = largest
+
+    def able(x: int, ys: np.ndarray) -> np.ndarray:
+        """Those that aren't connected with x and may be linked with it by their sizes."""
+        ys = ys[label[ys] != label[x]]
+        ys = ys[100 * np.minimum(n[x], n[ys]) >= percent * np.maximum(n[x], n[ys])]
+        return np.unique(ys if side is None else ys[side[ys] != side[x]])
+
+    def verify(x: int, ys: np.ndarray) -> None:
+        """Joins x with those of ys that are linked with it; its tokens are in `own`."""
+        at, few = 0, 1
+        while at < len(ys):
+            some = ys[at : at + few]
+            at, few = at + few, min(2 * few, 256)
+            some = some[label[some] != label[x]]
+            if len(some):
+                flat = np.concatenate([own[ids[offsets[y] : offsets[y + 1]]] for y in some])
+                common = np.add.reduceat(flat.astype(np.int64), np.cumsum(n[some]) - n[some])
+                linked = some[100 * common >= percent * (n[x] + n[some] - common)]
+                if len(linked):
+                    join(x, linked)
+
+    for x in np.flatnonzero(np.logical_and.reduce([index.earlier > 0 for index in indexes])).tolist():
+        own[ids[offsets[x] : offsets[x + 1]]] = True
+        verify(x, able(x, indexes[0].last(x))[-4:])
+        ys = able(x, indexes[0].meet(x))
+        for index in indexes[1:]:
+            if len(ys):
+                found = index.meet(x)
+                met[found] = True
+                ys = ys[met[ys]]
+                met[found] = False
+        verify(x, ys)
+        own[ids[offsets[x] : offsets[x + 1]]] = False
+    least = np.full(m, m)
+    np.minimum.at(least, label, np.arange(m))
+    return least[label]
 
 
 def _links(grouped: DataFrame, percent: int) -> DataFrame:

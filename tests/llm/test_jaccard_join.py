@@ -1,6 +1,8 @@
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from lexloom.llm import components, jaccard_join
@@ -85,3 +87,33 @@ def test_keep_one(docs, rows):
 def test_empty(empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
     assert jaccard_join.keep_one(empty).count() == 0
+
+
+@pytest.mark.parametrize("sides", [False, True])
+def test_forest(sides):
+    """Components of sets in one task, by all pairs."""
+    rng = np.random.default_rng(3)
+    for percent in (50, 80, 100):
+        base = [rng.choice(400, rng.integers(1, 40), replace=False) for _ in range(25)]
+        sets = [np.unique(np.where(rng.random(len(b)) < rng.choice([0, 0.1, 0.4]), rng.integers(0, 400, len(b)), b)) for b in base for _ in range(8)]
+        n, tokens = np.array([len(x) for x in sets]), np.concatenate(sets).astype(np.uint64)
+        side = rng.integers(0, 2, len(sets)) if sides else None
+        label = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j in range(i):
+                both = len(np.intersect1d(a, sets[j]))
+                if 100 * both >= percent * (len(a) + len(sets[j]) - both) and (side is None or side[i] != side[j]):
+                    old, new = max(label[i], label[j]), min(label[i], label[j])
+                    label = [new if x == old else x for x in label]
+        assert jaccard_join.forest(tokens, n, percent, side).tolist() == label
+
+
+def test_forest_of_many_unlinked_sets():
+    """What a cluster holds without links costs in proportion to its size."""
+    rng, took = np.random.default_rng(5), []
+    for size in (20_000, 80_000):
+        sets = np.sort(rng.integers(0, 2**62, (size, 5)), axis=1).astype(np.uint64)
+        began = time.process_time()
+        assert (jaccard_join.forest(sets.ravel(), np.full(size, 5), 80) == np.arange(size)).all()
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0] + 1
