@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexloom.functions.similarity import blended, indel_distance, ngram_jaccard, ratcliff_ratio, soundex_variant
 from lexloom.functions.text import char_ngrams, letters
 from lexloom.operators.setjoin import best_by_jaccard
+from lexloom.session import shared_dir
 
 
 
@@ -108,6 +109,8 @@ def ngram_best(queries: DataFrame, dictionary: DataFrame, n: int = 2) -> DataFra
     Where no word shares an n-gram every word ties at 0; the least word stands for all of them, and
     the query itself if there is no word.
     """
+    shared_dir(dictionary.sparkSession)
+    dictionary = dictionary.select("word").distinct().checkpoint()  # it may have been drawn from a whole corpus
     best = best_by_jaccard(queries, dictionary, n)
     least = dictionary.agg(F.min("word").alias("least"))
     none = queries.select("query").distinct().join(best.select("query").distinct(), "query", "left_anti")

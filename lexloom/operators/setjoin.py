@@ -19,6 +19,8 @@ from lexloom.session import shared_dir
 #: So many of the rarest n-grams of either side meet first.
 PROBES = 3
 EDGE = 1e-9
+#: Parts that the words of an n-gram are dealt into.
+DEALT = 8
 
 
 def _ordered(words: DataFrame, column: str, counts: DataFrame, n: int) -> DataFrame:
@@ -39,15 +41,23 @@ def best_by_jaccard(queries: DataFrame, words: DataFrame, n: int = 2) -> DataFra
     spark = words.sparkSession
     shared_dir(spark)  # so that a checkpoint has its folder
     words = words.select("word").distinct()
-    counts = words.select(F.explode(F.transform(char_ngrams(F.col("word"), n), lambda g: F.xxhash64(g))).alias("gram")).groupBy("gram").count()
+    gram = F.transform(char_ngrams(F.col("word"), n), lambda g: F.xxhash64(g))
+    counts = words.select(F.explode(gram).alias("gram")).groupBy("gram").count()
     known = _ordered(words, "word", counts, n).withColumn("h", F.size("grams")).withColumnRenamed("grams", "theirs").checkpoint()
+    counts = known.select(F.explode("theirs").alias("gram")).groupBy("gram").count()
     asked = _ordered(queries.select("query").distinct(), "query", counts, n).withColumn("g", F.size("grams")).withColumnRenamed("grams", "ours").checkpoint()
-    theirs = known.select("*", F.posexplode("theirs").alias("j", "gram"))
+    theirs = known.select("*", F.posexplode("theirs").alias("j", "gram")).withColumn("deal", F.pmod(F.xxhash64("word"), F.lit(DEALT)))
     ours = asked.select("*", F.posexplode("ours").alias("i", "gram"))
     both = F.array_intersect("ours", "theirs")
     similarity = lambda shared: shared / (F.col("g") + F.col("h") - shared)
 
-    probed = ours.where(F.col("i") < PROBES).join(theirs.where(F.col("j") < PROBES), "gram")
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Rows that share an n-gram.  The words of each are dealt out, so a frequent one is many tasks' work."""
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        left = left.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(DEALT - 1).cast("long"))))
+        return left.repartition(parts, "gram", "deal").join(right.repartition(parts, "gram", "deal"), ["gram", "deal"])
+
+    probed = meet(ours.where(F.col("i") < PROBES), theirs.where(F.col("j") < PROBES))
     bounds = probed.groupBy("query").agg(F.max(similarity(F.size(both))).alias("bound")).checkpoint()
 
     left = ours.join(bounds, "query", "left").withColumn("bound", F.coalesce("bound", F.lit(0.0)))
@@ -56,7 +66,7 @@ def best_by_jaccard(queries: DataFrame, words: DataFrame, n: int = 2) -> DataFra
     rest = 1 + F.least(F.col("g") - 1 - F.col("i"), F.col("h") - 1 - F.col("j"))
     apart = F.bit_count(F.col("qs0").bitwiseXOR(F.col("ws0"))) + F.bit_count(F.col("qs1").bitwiseXOR(F.col("ws1")))
     enough = lambda shared: shared * (1 + F.col("bound")) >= F.col("bound") * (F.col("g") + F.col("h")) - EDGE
-    met = left.join(theirs, "gram").where(F.col("j") <= F.col("h") - least(F.col("h")))
+    met = meet(left, theirs).where(F.col("j") <= F.col("h") - least(F.col("h")))
     met = met.where((F.col("h") >= F.col("bound") * F.col("g") - EDGE) & (F.col("g") >= F.col("bound") * F.col("h") - EDGE))
     met = met.where(enough(rest) & enough((F.col("g") + F.col("h") - apart) / 2))
     # A pair is told once, by the first n-gram that it shares.
