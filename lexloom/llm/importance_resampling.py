@@ -173,7 +173,7 @@ def resample(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = 10_0
     scratch = Scratch(docs.sparkSession, "resample")
     raw = scratch.table(in_blocks(docs, n), "raw", many=True)
     aim = scratch.table(in_blocks(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), n), "target", many=True)
-    words = scratch.table(dictionary(raw, aim, buckets), "words")
+    words = scratch.table(dictionary(raw, aim, buckets), "words", many=True)
     gained = words.join(F.broadcast(bucket_gains(words, buckets)), "bucket").select("name", "gain")
     back = _named(raw).select("block", "place", "name").join(gained, "name").select(F.col("block").alias("of"), "place", "gain")
     held = raw.where("names is null").select("block", "doc_id", "n_words", "n_features", "places", "counts")
@@ -181,7 +181,7 @@ def resample(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = 10_0
     weight = F.when(F.col("n_features") > 0, F.expr("(total - pmod(total, n_features)) div n_features")).otherwise(0)
     h = F.conv(F.substring(F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256), 1, 8), 16, 10).cast("double")
     noise = F.floor(-1000 * F.log(-F.log((h + 0.5) / 4294967296.0)))
-    scored = scratch.table(weighed.withColumn("weight", weight.cast("long")).withColumn("score", F.col("weight") + noise.cast("long")), "scored")
+    scored = scratch.table(weighed.withColumn("weight", weight.cast("long")).withColumn("score", F.col("weight") + noise.cast("long")), "scored", many=True)
     order = [F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("n_features"), F.col("weight")]
     able, rest = scored.where(F.col("n_words") >= least_words), scored.where(F.col("n_words") < least_words)
     ranked, count = numbered(able, order, scratch, "ranked")
