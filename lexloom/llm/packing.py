@@ -11,6 +11,9 @@ bins, then the largest sum of squared fills.  Between epochs each island's best
 the next island of a ring: populations are rows, migration is one shuffle of them, so an epoch is
 a restartable task.  An island stops early when it reaches the bound ceil(sum of lengths / size).
 
+Blocks round up apart, so a last round packs the LOOSE emptiest bins of each, of JOINED blocks together, by the same
+search, and takes its packing where it needs fewer bins.
+
 Null text is empty: one piece, the end id alone.  Repeated rows, null or repeated doc_ids are packed
 as rows of their own; empty tables give no rows; other columns are ignored.
 """
@@ -32,6 +35,8 @@ from lexloom.llm._common import HELD, Scratch, fresh, map_arrow, partitions
 from lexloom.llm.wordpiece_counts import byte_names
 
 SIZE, BLOCK_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 4096, 3, 2, 6, 6
+#: Blocks whose emptiest bins are packed together in the end, and how many bins of each.
+JOINED, LOOSE = 64, 4
 CACHED = 600_000
 
 
@@ -240,6 +245,56 @@ def _numbers(p: Packing) -> np.ndarray:
     return out
 
 
+def loosest(lengths: np.ndarray, bins: np.ndarray, size: int) -> np.ndarray:
+    """The pieces in the LOOSE emptiest bins that aren't full, bin by bin."""
+    fill = np.bincount(bins, lengths).astype(np.int64)
+    chosen = np.argsort(fill, kind="stable")[:LOOSE]
+    chosen = chosen[(fill[chosen] < size) & (fill[chosen] > 0)]
+    return np.flatnonzero(np.isin(bins, chosen))
+
+
+def repack(best: DataFrame, size: int) -> DataFrame:
+    """_block, moved (places of pieces), bins, offsets of pieces that a joint packing of many blocks' emptiest bins places anew; best: _block, lengths, best."""
+
+    def loose(batch):
+        for block, lengths, bins in zip(*(batch.column(c) for c in ("_block", "lengths", "best")), strict=True):
+            lengths, bins = lengths.values.to_numpy(), bins.values.to_numpy()
+            at = loosest(lengths, bins, size)
+            columns = [pa.array([block.as_py() // JOINED]), pa.array([block.as_py()]), *(pa.array([x], pa.list_(pa.int32())) for x in (at, lengths[at], bins[at]))]
+            yield pa.RecordBatch.from_arrays(columns, names=["group", "_block", "moved", "lengths", "bins"])
+
+    def solve(batch):
+        for group, rows in zip(batch.column("group").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+            lengths = [n for r in rows for n in r["lengths"]]
+            numbers: dict[tuple[int, int], int] = {}
+            old = [numbers.setdefault((r["_block"], b), len(numbers)) for r in rows for b in r["bins"]]
+            new = evolve(lengths, [old, _numbers(packed(lengths, sorted(range(len(lengths)), key=lambda i: -lengths[i]), size)).tolist()], group & 0xFFFFFFFF, size)[0]  # noqa: B023
+            if not lengths or len(new.bins) >= len(numbers):
+                continue
+            bins, fill, offsets = _numbers(new).tolist(), [0] * len(new.bins), []
+            for b, n in zip(bins, lengths, strict=True):
+                offsets.append(fill[b])
+                fill[b] += n
+            at = np.cumsum([0, *(len(r["moved"]) for r in rows)]).tolist()
+            cut = lambda x: [x[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]  # noqa: E731, B023
+            columns = [pa.array([r["_block"] for r in rows], pa.int64()), pa.array([r["moved"] for r in rows], pa.list_(pa.int32())), pa.array(cut(bins), pa.list_(pa.int32())), pa.array(cut(offsets), pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["_block", "moved", "bins", "offsets"])
+
+    one = map_arrow(best.select("_block", F.col("lengths").cast("array<int>").alias("lengths"), "best"), loose, "group long, _block long, moved array<int>, lengths array<int>, bins array<int>")
+    many = one.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("_block", "moved", "lengths", "bins"))).alias("rows"))
+    return map_arrow(many, solve, "_block long, moved array<int>, bins array<int>, offsets array<long>")
+
+
+def _placed(batch: pa.RecordBatch):
+    """_block, sequences, offsets of each block's pieces: where the last round has placed them, or else the block's own."""
+    for row in batch.to_pylist():
+        sequences, offsets = (row["_block"] << 24) | np.array(row["best"], np.int64), np.array(row["offsets"], np.int64)
+        if row["moved"] is not None:
+            sequences[row["moved"]] = (1 << 61) | ((row["_block"] // JOINED) << 24) | np.array(row["bins"], np.int64)
+            offsets[row["moved"]] = row["again"]
+        yield pa.RecordBatch.from_arrays([pa.array([row["_block"]]), pa.array([sequences], pa.list_(pa.int64())), pa.array([offsets], pa.list_(pa.int64()))], names=["_block", "sequences", "offsets"])
+
+
 def pack(items: DataFrame, size: int = SIZE) -> DataFrame:
     """All columns of a piece table (with `length`), and sequence_id and offset, which take the place of columns so named."""
     spark = items.sparkSession
@@ -285,7 +340,10 @@ def pack(items: DataFrame, size: int = SIZE) -> DataFrame:
         moved = done.select("_block", "island", "people").union(elites)
         moved = moved.groupBy("_block", "island").agg(F.flatten(F.collect_list("people")).alias("start"))
         state = moved.join(lengths, "_block")
-    best = done.groupBy("_block").agg(F.min_by(F.struct("best", "offsets"), F.struct("bins", "squares", "island")).alias("b"))
-    joined = grouped.join(best, "_block").select("_block", F.explode(F.arrays_zip("items", "b.best", "b.offsets")).alias("z"))
-    out = joined.select(*(F.col(f"z.items.`{c}`").alias(c) for c in columns), F.shiftleft(F.col("_block"), 24).bitwiseOR(F.col("z.best")).alias("sequence_id"), F.col("z.offsets").alias("offset"))
+    best = done.groupBy("_block").agg(F.min_by(F.struct("best", "offsets"), F.struct("bins", "squares", "island")).alias("b")).select("_block", "b.*")
+    best = scratch.table(best.join(lengths, "_block"), "best")
+    again = repack(best, size).withColumnRenamed("offsets", "again")
+    placed = map_arrow(best.drop("lengths").join(again, "_block", "left"), _placed, "_block long, sequences array<long>, offsets array<long>")
+    joined = grouped.join(placed, "_block").select(F.explode(F.arrays_zip("items", "sequences", "offsets")).alias("z"))
+    out = joined.select(*(F.col(f"z.items.`{c}`").alias(c) for c in columns), F.col("z.sequences").alias("sequence_id"), F.col("z.offsets").alias("offset"))
     return full.select(*(F.col(f"`{c}`") for c in columns), "sequence_id", "offset").union(out)

@@ -105,6 +105,29 @@ def test_pack(docs, rows):
     assert len(sequences) <= -(-sum(r.length for r in got) // 1024) + 2
 
 
+def test_emptiest_bins_of_all_blocks_are_packed_together(spark, monkeypatch):
+    """Blocks that each round up are one sequence above the bound together, at most."""
+    monkeypatch.setattr(packing, "BLOCK_ITEMS", 60)
+    rng = random.Random(12)
+    lengths = [rng.randrange(1, 300) for _ in range(900)]
+    items = spark.createDataFrame([(i, n) for i, n in enumerate(lengths)], "item long, length long").repartition(3)
+    bound = -(-sum(lengths) // 1024)
+    got = packing.pack(items).collect()
+    assert sorted((r["item"], r.length) for r in got) == list(enumerate(lengths))
+    parts = {}
+    for r in got:
+        parts.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for own in parts.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert len(parts) <= bound + 1
+    monkeypatch.setattr(packing, "repack", lambda best, size: spark.createDataFrame([], "_block long, moved array<int>, bins array<int>, offsets array<long>"))
+    assert packing.pack(items).select("sequence_id").distinct().count() > bound + 3
+
+
 def test_clashing_names(spark):
     rows = [(i, 300 + 40 * i, "kept", "goes", "goes", "a.b") for i in range(20)]
     items = spark.createDataFrame(rows, "_key int, length int, _block string, sequence_id string, Offset string, `x.y` string")
