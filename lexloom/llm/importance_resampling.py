@@ -109,7 +109,7 @@ class Block:
         )
 
 
-def in_blocks(docs: DataFrame, n: int) -> DataFrame:
+def in_blocks(docs: DataFrame, n: int, size: int = BLOCK) -> DataFrame:
     """A row of names and sums for each block's dictionary, and one of places and counts for each document."""
 
     def run(batches):
@@ -122,7 +122,7 @@ def in_blocks(docs: DataFrame, n: int) -> DataFrame:
             data, offsets = text_buffers(batch.column("text"))
             for at, to in blocks_by_bytes(offsets, PART):
                 block.add(ids.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], n)
-                if block.size >= BLOCK:
+                if block.size >= size:
                     yield from block.rows((part << 32) + number)
                     number, block = number + 1, Block()
         if block.docs:
@@ -168,11 +168,11 @@ def _weigh(key, docs: pa.Table, gains: pa.Table) -> pa.Table:
     return pa.table({"doc_id": docs.column("doc_id"), "n_words": docs.column("n_words"), "n_features": docs.column("n_features"), "total": pa.array(np.diff(ends), pa.int64())})
 
 
-def resample(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = 10_000, percent: int = 10, least_words: int = 20, seed: str = "2024") -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, n: int = 1, buckets: int = 10_000, percent: int = 10, least_words: int = 20, seed: str = "2024", block: int = BLOCK) -> DataFrame:
     """doc_id, n_features, weight, score, rank (null if not drawn) of every row of docs (doc_id, text), towards target (text)."""
     scratch = Scratch(docs.sparkSession, "resample")
-    raw = scratch.table(in_blocks(docs, n), "raw", many=True)
-    aim = scratch.table(in_blocks(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), n), "target", many=True)
+    raw = scratch.table(in_blocks(docs, n, block), "raw", many=True)
+    aim = scratch.table(in_blocks(target.select(F.lit(None).cast("long").alias("doc_id"), "text"), n, block), "target", many=True)
     words = scratch.table(dictionary(raw, aim, buckets), "words", many=True)
     gained = words.join(F.broadcast(bucket_gains(words, buckets)), "bucket").select("name", "gain")
     back = _named(raw).select("block", "place", "name").join(gained, "name").select(F.col("block").alias("of"), "place", "gain")
