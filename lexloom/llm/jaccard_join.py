@@ -395,11 +395,12 @@ def _labels(docs: DataFrame, rows: DataFrame, k: int, percent: int, scratch: Scr
     """node, component of the nodes that are linked with others."""
     sampled = rows.where("sample is not null").select("node", "n", F.col("sample").alias("tokens"))
     sets = _sets(docs, rows, hopeful(sampled, percent), k, scratch)
+    scratch.drop("rows", "wanted")  # what follows needs no sample
     prefixes = scratch.table(rare_prefixes(sets, percent), "prefixes")
     hubs = prefixes.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", "hub")
     met = prefixes.join(hubs, "token").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = scratch.table(components(met, scratch, "clusters").withColumnRenamed("component", "cluster"), "clusters")
-    scratch.drop("wanted", "prefixes")
+    scratch.drop("prefixes")
     total = sets.select("node", "n").join(clusters, "node").groupBy("cluster").agg(F.sum("n").alias("total"))
     blocks = total.select("cluster", F.ceil(F.col("total") / LIMIT).cast("int").alias("blocks"))
     dealt = sets.join(clusters, "node").join(blocks, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
@@ -412,8 +413,9 @@ def _labels(docs: DataFrame, rows: DataFrame, k: int, percent: int, scratch: Scr
 
 def _components(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """doc_id, text_key, n, component (a node, null without words), component_id of every row; docs has a text_key."""
-    rows = scratch.table(encode(docs, k, percent), "rows", many=True)
-    whole = _labels(docs, rows, k, percent, scratch)
+    sampled = scratch.table(encode(docs, k, percent), "rows", many=True)
+    rows = scratch.table(sampled.drop("sample"), "ids", many=True)
+    whole = _labels(docs, sampled, k, percent, scratch)
     # Least doc_ids of equal sets first: copies are folded before the shuffle.
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(whole, "node", "left")
     least = least.withColumn("component", F.coalesce("component", "node"))
