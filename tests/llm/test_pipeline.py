@@ -80,3 +80,28 @@ def test_packing_stage_takes_every_row(docs, rows, spark, sf_dir):
 def test_stages_on_an_empty_table(empty, spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_run_with_nulls_repeats_and_clashing_names(docs, rows, spark, tmp_path):
+    """The whole pipeline over a stored table gives what its stages give one after the other."""
+    docs.withColumn("n_chars", docs.n).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(r[0], i % 2) for i, r in enumerate(rows) if i % 3 == 0], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kinds = now.schema
+    for name, stage in corpus_pipeline.STAGES:
+        if name != "packing":
+            assert now.schema == kinds, name
+        now = stage(spark, now, str(tmp_path))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    told = lambda rs: Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rs)
+    assert told(got) == told(now.collect()) and 0 < len({r.doc_id for r in got}) < len({r[0] for r in rows})
+    fill = Counter()
+    for r in sorted(got, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == fill[r.sequence_id]
+        fill[r.sequence_id] += r.length
+
+
+def test_run_on_an_empty_table(empty, spark, tmp_path):
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
