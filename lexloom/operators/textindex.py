@@ -66,5 +66,6 @@ class TextIndex:
         held = F.lit(False)
         for c in self.texts.columns[1:]:
             held = held | F.contains(c, "phrase")
-        everywhere = asked.where("phrase = ''").limit(1).join(self.texts.select("doc_id"))
+        empty = F.broadcast(asked.where("phrase = ''").limit(1))  # a row at most
+        everywhere = self.texts.select(F.lit("").alias("phrase"), "doc_id").join(empty, "phrase", "left_semi")
         return self.texts.join(found, "doc_id").where(held).select("phrase", "doc_id").union(everywhere)
