@@ -213,9 +213,9 @@ def soundex_phrases(d: Data) -> DataFrame:
     return products.listing(*_sounding(d, d.phrases), last=SHOWN)
 
 
-def soundex_all_phrases(d: Data) -> DataFrame:
-    """Every phonetic suggestion of each phrase, with its number."""
-    return products.listing(*_sounding(d, d.phrases))
+def soundex_phrase_page(d: Data) -> DataFrame:
+    """The third page of fifty of each phrase's phonetic suggestions; earlier ones aren't made for it."""
+    return products.listing(*_sounding(d, d.phrases), first=2 * SHOWN + 1, last=3 * SHOWN)
 
 
 def soundex_phrase_search(d: Data) -> DataFrame:
@@ -396,7 +396,7 @@ CATALOGUE: dict[str, Callable[[Data], DataFrame]] = {
     "ngram_phrase_search": ngram_phrase_search,
     "hybrid_phrase_search": hybrid_phrase_search,
     "soundex_phrases": soundex_phrases,
-    "soundex_all_phrases": soundex_all_phrases,
+    "soundex_phrase_page": soundex_phrase_page,
     "soundex_phrase_search": soundex_phrase_search,
     "soundex_report": soundex_report,
     "sample_corrections": sample_corrections,

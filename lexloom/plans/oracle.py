@@ -161,7 +161,7 @@ ORACLE: dict[str, str] = {
     "hybrid_phrase_search": _recursive(SPOKEN, NGRAMS, HYBRID, CHOICE, DOCS, "ps as (select distinct p from (select string_agg(token, ' ' order by pos) as p from choice group by phrase_id))")
     + "select p as phrase, idx as doc_id from ps join docs on contains(lower(title), p) or contains(lower(abstract), p)",
     "soundex_phrases": _with(PHRASES, SOUND, PRODUCTS) + "select phrase_id, rank, suggestion from products",
-    "soundex_all_phrases": _with(PHRASES, SOUND, COMBINED) + "select phrase_id, rank, suggestion from combined",
+    "soundex_phrase_page": _with(PHRASES, SOUND, COMBINED) + "select phrase_id, rank, suggestion from combined where rank between 101 and 150",
     "soundex_phrase_search": _with(SPOKEN, SOUND, DOCS, SOUNDING) + f"select distinct p as phrase, idx as doc_id from told where {FIELDS}",
     "soundex_report": _with(PHRASES, SOUND, PRODUCTS, QUALITIES)
     + """select phrase_id, 'for ' || phrase || ', did you mean: [' || coalesce(list, '') || ']' as line from phrases left join (
