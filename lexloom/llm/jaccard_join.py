@@ -28,9 +28,10 @@ ignored, and kept by `keep_one`, whatever their names.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -82,40 +83,60 @@ def digest(own: np.ndarray) -> int:
     return int(W.mix(np.array([own.sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(W.mix(own + _DIGEST))], np.uint64)).view(np.int64)[0]) if len(own) else 0
 
 
+def share(percent: int) -> float:
+    """The part of its tokens, by hash, that is looked at to rule a node out."""
+    return min(1.0, 2 * (100 - percent) / 100)
+
+
+def _sample(own: np.ndarray, percent: int) -> np.ndarray:
+    return own[W.mix(own ^ _SAMPLE) <= W.U(int(share(percent) * (2**64 - 1)))]
+
+
 def encode(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, text_key, n, node (64-bit digest of the set), sample: tokens below a hash bound.
+    """doc_id, text_key, n, node (64-bit digest of the set), bare: no token of the set is in its sample."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n, nodes, bare = [], [], []
+            for _, own in shingle_sets(batch.column("text"), k):
+                n.append(len(own))
+                nodes.append(digest(own))
+                bare.append(len(own) > 0 and not len(_sample(own, percent)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bare)], names=["doc_id", "text_key", "n", "node", "bare"]
+            )
+        trim()
 
-    The sample is null for an empty set and for one that the task has met already.
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "text_key")
+    return rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, bare boolean")
+
+
+def samples(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """node, n, tokens: tokens below a hash bound.  A task gives a node once or seldom more, several tasks may give it.
+
+    A pass over the texts of its own: made again, samples needn't be stored beside the shuffle that they go through.
     """
-    bound = W.U(int(min(1.0, 2 * (100 - percent) / 100) * (2**64 - 1)))
 
     def run(batches):
         met: set[int] = set()
         for batch in batches:
-            if not batch.num_rows:
-                continue
             if len(met) > MET:
                 met.clear()
-            n, nodes, new, taken = [], [], [], []
+            found = {}
             for _, own in shingle_sets(batch.column("text"), k):
                 node = digest(own)
-                n.append(len(own))
-                nodes.append(node)
-                new.append(len(own) > 0 and node not in met)
-                if new[-1]:
+                if len(own) and node not in met:
                     met.add(node)
-                    taken.append(own[W.mix(own ^ _SAMPLE) <= bound])
-                else:
-                    taken.append(own[:0])
-            sample = list_array(np.concatenate(taken).view(np.int64), np.array([len(x) for x in taken]), pa.int64())
-            sample = pc.if_else(pa.array(new), sample, pa.scalar(None, pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), sample], names=["doc_id", "text_key", "n", "node", "sample"]
-            )
+                    found[node] = len(own), _sample(own, percent)
+            if found:
+                n, taken = zip(*found.values(), strict=True)
+                tokens = list_array(np.concatenate(taken).view(np.int64), np.array([len(x) for x in taken]), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(n, pa.int64()), tokens], names=["node", "n", "tokens"])
         trim()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "text_key")
-    return rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, sample array<long>")
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, n long, tokens array<long>")
 
 
 def _deal(sets: DataFrame, parts: int) -> DataFrame:
@@ -173,14 +194,12 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return by, np.flatnonzero(np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1])))
 
 
-def _parts(sets: DataFrame, column: str) -> int:
-    total = sets.agg(F.sum(F.size(column).cast("long"))).first()[0] or 0
-    return max(8, -(-total // PART))
-
+def hopeful(sampled: DataFrame, percent: int, total: int) -> DataFrame:
+    """node of the nodes (node, n, tokens: some of its tokens, by hash; may repeat) that aren't ruled out by unique tokens.
 
-def hopeful(sampled: DataFrame, percent: int) -> DataFrame:
-    """node of the nodes (node, n, tokens: some of its tokens, by hash; may repeat) that aren't ruled out by unique tokens."""
-    parts = _parts(sampled, "tokens")
+    total: about how many tokens there are.  Nodes without tokens aren't given back.
+    """
+    parts = max(8, -(-total // PART))
 
     def count(_, got):
         local, inverse = np.unique(got["nodes"], return_inverse=True)
@@ -198,13 +217,12 @@ def hopeful(sampled: DataFrame, percent: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(got["nodes"][by][starts][unique <= sizes - need(sizes, percent)])], names=["node"])
 
     counted = by_part(_deal(sampled, parts), count, "part int, nodes array<long>, sizes array<int>, unique array<int>")
-    none = sampled.where(F.size("tokens") == 0).select("node").distinct()
-    return by_part(counted, decide, "node long").union(none)
+    return by_part(counted, decide, "node long")
 
 
 def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
     """node, token: prefixes under order 1, without tokens that one node alone holds; sets: node, n, tokens."""
-    parts = _parts(sets, "tokens")
+    parts = max(8, -(-(sets.agg(F.sum("n")).first()[0] or 0) // PART))
 
     def count(part, got):
         sizes, nodes = np.repeat(got["sizes"], got["counts"]), np.repeat(got["nodes"], got["counts"])
@@ -231,7 +249,7 @@ def rare_prefixes(sets: DataFrame, percent: int) -> DataFrame:
 
 def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int, scratch: Scratch) -> DataFrame:
     """node, n, tokens of the wanted nodes, from one more pass over the texts, of which a filter leaves those that may be theirs."""
-    some = rows.where("sample is not null").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
+    some = rows.where("n > 0").join(wanted, "node", "left_semi").groupBy("node").agg(F.min("text_key").alias("text_key"))
     some = scratch.table(some, "wanted")
     texts = docs.select("text_key", F.col("text").cast("string").alias("text"))
     make = KeyFilter(some.select("text_key")).tester()
@@ -393,9 +411,10 @@ def _links(grouped: DataFrame, percent: int) -> DataFrame:
 
 def _labels(docs: DataFrame, rows: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """node, component of the nodes that are linked with others."""
-    sampled = rows.where("sample is not null").select("node", "n", F.col("sample").alias("tokens"))
-    sets = _sets(docs, rows, hopeful(sampled, percent), k, scratch)
-    scratch.drop("rows", "wanted")  # what follows needs no sample
+    total = math.ceil(share(percent) * (rows.agg(F.sum("n")).first()[0] or 0))
+    wanted = hopeful(samples(docs, k, percent), percent, total).union(rows.where("bare").select("node").distinct())
+    sets = _sets(docs, rows, wanted, k, scratch)
+    scratch.drop("wanted")
     prefixes = scratch.table(rare_prefixes(sets, percent), "prefixes")
     hubs = prefixes.groupBy("token").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("token", "hub")
     met = prefixes.join(hubs, "token").where("node != hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
@@ -413,9 +432,8 @@ def _labels(docs: DataFrame, rows: DataFrame, k: int, percent: int, scratch: Scr
 
 def _components(docs: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """doc_id, text_key, n, component (a node, null without words), component_id of every row; docs has a text_key."""
-    sampled = scratch.table(encode(docs, k, percent), "rows", many=True)
-    rows = scratch.table(sampled.drop("sample"), "ids", many=True)
-    whole = _labels(docs, sampled, k, percent, scratch)
+    rows = scratch.table(encode(docs, k, percent), "rows", many=True)
+    whole = _labels(docs, rows, k, percent, scratch)
     # Least doc_ids of equal sets first: copies are folded before the shuffle.
     least = rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(whole, "node", "left")
     least = least.withColumn("component", F.coalesce("component", "node"))
