@@ -7,16 +7,18 @@ their least value and step.  For a query q the inner product of the sign vector
 q comes from bit counts; divided by f it is an unbiased estimate of o.q, with a deviation of at most
 sqrt((1 - f^2) / f^2) / sqrt(d - 1) times a normal one.  A pair whose estimate and EPSILON deviations stay
 below the threshold is dropped; the others are estimated once more from all bits of both, whose deviation is some
-hundred times less, and dropped by the same rule.  Every pair that is left is recomputed exactly, in
-double precision, so no link is below the threshold.
+hundred times less, and dropped by the same rule.
 
 Codes, factors and levels are computed once and stored; buckets are of sign bits of further rotations:
 T tables of b bits, b by the logarithm of the number of vectors, T so that a pair just at the threshold
 meets in some table with probability RECALL or more.  Only codes go to the buckets.  There the bounds
 tell which pairs may be linked, and a task returns a spanning forest of these (a row a member at
-most; pairs that are connected already aren't looked at again, so a dense bucket costs little).  Vectors
-are then sent once, to the cluster (a component of those forests) that they belong to, where every pair is
-recomputed exactly: links are counted and joined there.  Equal vectors are one class with a multiplicity
+most; pairs that are connected already aren't looked at again, so a dense bucket costs little).  Classes
+are told apart in clusters (components of those forests) by a bound that holds for certain: a code also has the
+length `rest` of what rounding lost, and an inner product is off by rest + rest' + rest rest' at most.  Pairs whose
+interval lies above the threshold are links, those below it aren't, from codes alone.  Only the vectors of
+members that have a pair with the threshold within its interval are sent, once, and only such pairs are
+recomputed exactly, in double precision; so no link is below the threshold.  Equal vectors are one class with a multiplicity
 before anything else; a bucket or cluster of more than HOT classes is cut into blocks, each pair of
 which is a task's group.
 
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from lexloom.llm._common import Scratch, map_arrow
 from lexloom.llm.components import components
 
-EPSILON, RECALL, HOT, BLOCK, ROWS = 4.0, 0.995, 2000, 1000, 20_000
+EPSILON, RECALL, HOT, BLOCK, ROWS, PAIRS, SLACK = 4.0, 0.995, 2000, 1000, 20_000, 1 << 16, 1e-9
 KEY = ["d", "slot", "bucket", "block", "other"]  # of a group that a task has whole
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
@@ -64,7 +66,7 @@ def _words(bits: np.ndarray) -> np.ndarray:
 
 
 def codes(unit: np.ndarray):
-    """code, factor, levels (n, d), low, step, total of the rotated unit vectors (n, d)."""
+    """code, factor, levels (n, d), low, step, total, rest of the rotated unit vectors (n, d)."""
     d = unit.shape[1]
     turned = unit @ rotation(d, 1).T
     code = _words(turned > 0)
@@ -73,7 +75,8 @@ def codes(unit: np.ndarray):
     step = np.maximum((turned.max(axis=1) - low) / 255, 1e-12)
     noise = np.random.default_rng(3).random(d)  # unbiased rounding, the same for equal vectors
     levels = np.clip(np.floor((turned - low[:, None]) / step[:, None] + noise), 0, 255).astype(np.uint8)
-    return code, factor, levels, low, step, turned.sum(axis=1)
+    rest = np.linalg.norm(turned - (low[:, None] + step[:, None] * levels), axis=1)
+    return code, factor, levels, low, step, turned.sum(axis=1), rest
 
 
 def planes(levels: np.ndarray) -> np.ndarray:
@@ -95,13 +98,27 @@ def estimate(d: int, data, query, high: np.ndarray, i: np.ndarray, j: np.ndarray
 
 def refined(d: int, coded, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Estimates from all eight bits of both vectors, and one deviation: each level is off by a step's sixth in variance."""
-    _, _, levels, low, step, _ = coded
+    levels, low, step = coded[2:5]
     a, b = levels[i].astype(np.float32), levels[j].astype(np.float32)
     both = np.einsum("ij,ij->i", a, b).astype(np.float64)
     got = d * low[i] * low[j] + low[i] * step[j] * b.sum(axis=1) + low[j] * step[i] * a.sum(axis=1) + step[i] * step[j] * both
     return got, np.sqrt((step[i] ** 2 + step[j] ** 2) / 6) + 1e-6
 
 
+def intervals(d: int, coded, part: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Middles and half widths of intervals that hold the inner products of rows `part` with all rows, for certain.
+
+    Of a pair both orders, and any group it is in, give the same bits: products of levels are whole numbers below
+    2^53, and each of the sums has operands that may change places.
+    """
+    _, _, levels, low, step, _, rest = coded
+    whole = levels.astype(np.float64)
+    sums = step * whole.sum(axis=1)
+    middle = d * (low[part, None] * low) + (low[part, None] * sums + low * sums[part, None])
+    middle += (step[part, None] * step) * (whole[part] @ whole.T)
+    return middle, rest[part, None] + rest + rest[part, None] * rest + SLACK
+
+
 def tables(count: int, cosine: float) -> tuple[int, int]:
     """(bits, tables) of the buckets for so many vectors."""
     bits = max(4, int(math.log2(max(count, 1) / 4 + 1)))
@@ -122,32 +139,37 @@ def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 
 
 def _coded(classes: DataFrame, bits: int, count: int) -> DataFrame:
-    """d, node, code (sign words, factor, low, step, total and levels as bytes) and buckets (one a table) of each class."""
+    """d, node, many, code (sign words, factor, low, step, total, rest and levels as bytes) and buckets (one a table) of each class."""
 
     def each(batch):
         for d, (rows, vectors) in _matrix(batch.column("embedding")).items():
-            code, factor, levels, low, step, total = codes(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
-            packed = np.concatenate((code, *(x[:, None].view(np.uint64) for x in (factor, low, step, total))), axis=1).view(np.uint8)
+            code, factor, levels, *numbers = codes(vectors / np.linalg.norm(vectors, axis=1, keepdims=True))
+            packed = np.concatenate((code, *(x[:, None].view(np.uint64) for x in (factor, *numbers))), axis=1).view(np.uint8)
             packed = np.concatenate((packed, levels), axis=1)
             signs = vectors @ rotation(d, 1 + -(-bits * count // d))[d:].T > 0
             buckets = np.zeros((len(rows), count), np.int64)
             for b in range(bits):
                 buckets = buckets * 2 + signs[:, b : bits * count : bits]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(rows), d, np.int32)), batch.column("node").take(pa.array(rows)), pa.array([x.tobytes() for x in packed], pa.binary()), pa.array(list(buckets), pa.list_(pa.int64()))],
-                names=["d", "node", "code", "buckets"],
+                [
+                    pa.array(np.full(len(rows), d, np.int32)),
+                    *(batch.column(c).take(pa.array(rows)) for c in ("node", "many")),
+                    pa.array([x.tobytes() for x in packed], pa.binary()),
+                    pa.array(list(buckets), pa.list_(pa.int64())),
+                ],
+                names=["d", "node", "many", "code", "buckets"],
             )
 
-    return map_arrow(classes.select("node", "embedding"), each, "d int, node long, code binary, buckets array<long>")
+    return map_arrow(classes.select("node", "many", "embedding"), each, "d int, node long, many long, code binary, buckets array<long>")
 
 
 def _unpacked(d: int, column: pa.Array):
-    """code, factor, levels, low, step, total of packed codes."""
+    """code, factor, levels, low, step, total, rest of packed codes."""
     words = -(-d // 64)
-    whole = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 8 * words + 32 + d)
-    numbers = np.ascontiguousarray(whole[:, : 8 * words + 32]).view(np.uint64)
-    factor, low, step, total = (np.ascontiguousarray(numbers[:, words + i]).view(np.float64) for i in range(4))
-    return numbers[:, :words], factor, whole[:, 8 * words + 32 :], low, step, total
+    whole = np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), 8 * words + 40 + d)
+    numbers = np.ascontiguousarray(whole[:, : 8 * words + 40]).view(np.uint64)
+    factor, low, step, total, rest = (np.ascontiguousarray(numbers[:, words + i]).view(np.float64) for i in range(5))
+    return numbers[:, :words], factor, whole[:, 8 * words + 40 :], low, step, total, rest
 
 
 def _joined(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -207,34 +229,49 @@ def _candidates(rows: pa.Table, cosine: float) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(node[label[some]])], names=["a", "b"])
 
 
-def _exact(rows: pa.Table, cosine: float) -> pa.RecordBatch:
-    """node, links, root: links within whole groups counted on the vectors, and a spanning forest of them."""
+def _within(rows: pa.Table, cosine: float) -> pa.RecordBatch:
+    """node, links, root, unsure of members of whole groups: links and a spanning forest of them.
+
+    Without vectors links are what intervals tell for certain, and unsure are members with a pair that they leave
+    open; with vectors links are those of such pairs, recomputed.
+    """
     keys = np.stack([rows.column(c).to_numpy() for c in KEY], axis=1)
     edges = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1, [len(keys)]))
     node, many, own = (rows.column(c).to_numpy() for c in ("node", "many", "own"))
-    vectors = rows.column("embedding").combine_chunks()
-    links, label = np.zeros(len(node), np.int64), np.arange(len(node))
+    packed, exact = rows.column("code").combine_chunks(), "embedding" in rows.column_names
+    links, label, unsure = np.zeros(len(node), np.int64), np.arange(len(node)), np.zeros(len(node), bool)
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        across = keys[lo, 3] != keys[lo, 4]
-        for _, (at, values) in _matrix(vectors.slice(lo, hi - lo)).items():
-            norms, at = np.linalg.norm(values, axis=1), at + lo
-            for s in range(0, len(at), BLOCK):
-                part = slice(s, s + BLOCK)
-                met = (values[part] @ values.T) / norms[part, None] / norms[None, :]
-                close = np.argwhere(np.abs(met - cosine) < 1e-9)
-                if len(close):  # told by the plain sum, not by a product of matrices
-                    x, y = close[:, 0] + s, close[:, 1]
-                    met[close[:, 0], y] = np.einsum("ij,ij->i", values[x], values[y]) / (norms[x] * norms[y])
-                hit = met >= cosine
-                hit[np.arange(hit.shape[0]), np.arange(hit.shape[0]) + s] = False
-                if across:
-                    hit &= own[at[part], None] != own[None, at]
-                links[at[part]] += hit @ many[at]
-                a, b = np.nonzero(hit)
-                if len(a):
-                    label = _joined(label, at[a + s], at[b])
-    some = np.flatnonzero(links > 0)
-    return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[label[some]])], names=["node", "links", "root"])
+        d, across = int(keys[lo, 0]), keys[lo, 3] != keys[lo, 4]
+        coded = _unpacked(d, packed.slice(lo, hi - lo))
+        if exact:
+            ((_, values),) = _matrix(rows.column("embedding").slice(lo, hi - lo).combine_chunks()).values()
+            norms = np.linalg.norm(values, axis=1)
+        for s in range(0, hi - lo, BLOCK):
+            part = slice(s, min(s + BLOCK, hi - lo))
+            middle, half = intervals(d, coded, part)
+            later = np.arange(hi - lo) > np.arange(part.start, part.stop)[:, None]  # each pair once
+            if across:
+                later &= own[lo:hi][part, None] != own[lo:hi]
+            sure = middle - half >= cosine
+            x, y = np.nonzero(later & ~sure & (middle + half >= cosine))
+            x += s
+            if exact:
+                hits = []
+                for at in range(0, len(x), PAIRS):
+                    i, j = x[at : at + PAIRS], y[at : at + PAIRS]
+                    hits.append(np.einsum("ij,ij->i", values[i], values[j]) / (norms[i] * norms[j]) >= cosine)
+                hit = np.concatenate(hits) if hits else np.zeros(0, bool)
+                x, y = x[hit], y[hit]
+            else:
+                unsure[lo + x] = unsure[lo + y] = True
+                x, y = np.nonzero(later & sure)
+                x += s
+            if len(x):
+                np.add.at(links, lo + x, many[lo + y])
+                np.add.at(links, lo + y, many[lo + x])
+                label = _joined(label, lo + x, lo + y)
+    some = np.flatnonzero((links > 0) | unsure)
+    return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(links[some]), pa.array(node[label[some]]), pa.array(unsure[some])], names=["node", "links", "root", "unsure"])
 
 
 def _grouped(rows: DataFrame, each: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
@@ -287,9 +324,12 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.95) -> DataFrame:
     dealt = coded.select("d", "node", "code", F.posexplode("buckets").alias("slot", "bucket"))
     maybe = _grouped(_in_blocks(dealt, "d", "slot", "bucket"), lambda t: _candidates(t, cosine), "a long, b long")
     clusters = scratch.table(components(maybe, scratch, "maybe").withColumnRenamed("component", "bucket"), "clusters")
-    scratch.drop("coded")
-    together = classes.join(clusters, "node").select(F.size("embedding").alias("d"), F.lit(0).alias("slot"), "bucket", "node", "many", "embedding")
-    found = scratch.table(_grouped(_in_blocks(together, "d", "slot", "bucket"), lambda t: _exact(t, cosine), "node long, links long, root long"), "found")
+    members = clusters.join(coded, "node").select("d", F.lit(0).alias("slot"), "bucket", "node", "many", "code")
+    kind = "node long, links long, root long, unsure boolean"
+    told = scratch.table(_grouped(_in_blocks(members, "d", "slot", "bucket"), lambda t: _within(t, cosine), kind), "told")
+    unsure = members.join(told.where("unsure").select("node").distinct(), "node", "left_semi").join(classes.select("node", "embedding"), "node")
+    found = scratch.table(told.union(_grouped(_in_blocks(unsure, "d", "slot", "bucket"), lambda t: _within(t, cosine), kind)), "found")
+    scratch.drop("coded", "told")
     whole = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")), scratch)
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(whole, "node", "left").withColumn("component", F.coalesce("component", "node"))

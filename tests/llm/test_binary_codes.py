@@ -78,5 +78,38 @@ def test_estimate_is_unbiased():
     assert (np.abs(guess - exact) <= binary_codes.EPSILON * deviation).all() and deviation.max() < 0.003
 
 
+def test_intervals_hold_and_leave_little_open():
+    rng = np.random.default_rng(2)
+    centre = rng.standard_normal(64)
+    x = np.concatenate([centre + scale * rng.standard_normal((150, 64)) for scale in (0, 0.01, 0.1, 0.16, 0.3, 3)])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    coded = binary_codes.codes(x)
+    middle, half = binary_codes.intervals(64, coded, slice(0, len(x)))
+    assert (np.abs(middle - x @ x.T) <= half).all()
+    assert (middle == middle.T).all() and (half == half.T).all()
+    open_ = np.abs(middle - 0.95) <= half
+    assert 0 < open_.mean() < 0.2
+    # The same bits for a part, and for rows among others.
+    some = np.arange(7, len(x), 11)
+    part, width = binary_codes.intervals(64, [z[some] for z in coded], slice(3, 20))
+    assert (part == middle[np.ix_(some[3:20], some)]).all() and (width == half[np.ix_(some[3:20], some)]).all()
+
+
+def test_links_of_a_cluster_by_bounds_and_by_vectors(spark):
+    """A hot cluster on both sides of the threshold, in blocks: what bounds decide and what they leave is every pair, once."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal(64) + 0.2 * rng.standard_normal((2600, 64))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in binary_codes.near_duplicates(rows, 0.955).collect()}
+    norms = np.linalg.norm(x, axis=1)
+    near = x @ x.T / norms[:, None] / norms >= 0.955
+    np.fill_diagonal(near, False)
+    assert near.sum() > 100_000
+    label = np.arange(len(x))
+    for _ in range(20):
+        label = np.minimum(label, np.where(near, label[None, :], len(x)).min(axis=1))
+    assert got == {i: (int(near[i].sum()), int(label[i])) for i in range(len(x))}
+
+
 def test_empty(spark):
     assert binary_codes.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
