@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexloom.functions.similarity import blended, indel_distance, ngram_jaccard, ratcliff_ratio, soundex_variant
 from lexloom.functions.text import char_ngrams, letters
-from lexloom.operators.setjoin import best_by_jaccard
+from lexloom.operators.setjoin import best_by_jaccard, pairs_by_jaccard
 from lexloom.session import shared_dir
 
 
@@ -87,20 +87,9 @@ def edit_candidates(queries: DataFrame, dictionary: DataFrame, k: int = 2) -> Da
     return whole.withColumn("rank", F.row_number().over(order))
 
 
-def _pairs_by_key(queries: DataFrame, dictionary: DataFrame, n: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(q, w, jaccard) of pairs that share an n-gram, (q, query) and (w, word): words go by 64-bit keys while pairs are counted."""
-    asked = queries.select("query").distinct().select(F.xxhash64("query").alias("q"), "query", char_ngrams(F.lower("query"), n).alias("g"))
-    words = dictionary.select("word").distinct().select(F.xxhash64("word").alias("w"), "word", char_ngrams(F.col("word"), n).alias("g"))
-    a, b = asked.select("q", F.explode("g").alias("gram")), words.select("w", F.explode("g").alias("gram"))
-    met = a.join(b, "gram").groupBy("q", "w").agg(F.count("*").alias("both"))
-    met = met.join(asked.select("q", F.size("g").alias("na")), "q").join(words.select("w", F.size("g").alias("nb")), "w")
-    return met.select("q", "w", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard")), asked.select("q", "query"), words.select("w", "word")
-
-
 def ngram_pairs(queries: DataFrame, dictionary: DataFrame, n: int = 2) -> DataFrame:
     """query, word, jaccard of all pairs that share an n-gram (all others have 0)."""
-    pairs, asked, words = _pairs_by_key(queries, dictionary, n)
-    return pairs.join(asked, "q").join(words, "w").select("query", "word", "jaccard")
+    return pairs_by_jaccard(queries, dictionary, n)
 
 
 def ngram_best(queries: DataFrame, dictionary: DataFrame, n: int = 2) -> DataFrame:

@@ -125,6 +125,12 @@ def word_documents(docs: DataFrame) -> DataFrame:
     return words.where(F.length("word") > 2).distinct()
 
 
+def words(docs: DataFrame) -> DataFrame:
+    """word: the distinct words of more than two characters of all text, counted out within tasks before they are exchanged."""
+    each = docs.select(F.explode(F.array_distinct(word_characters(record_text()))).alias("word"))
+    return each.where(F.length("word") > 2).distinct()
+
+
 def ngram_words(dictionary: DataFrame, n: int = 2) -> DataFrame:
     """ngram, word."""
     return dictionary.select(F.explode(char_ngrams(F.col("word"), n)).alias("ngram"), "word")
