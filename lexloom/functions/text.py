@@ -26,7 +26,7 @@ def word_characters(text: Column) -> Column:
 
 def analyze(text: Column, stop_words=STOP_WORDS) -> Column:
     """Default analyzer: lower-cased alphabetic tokens that are no stop words."""
-    tokens = F.filter(word_characters(F.lower(text)), lambda t: t.rlike("^\\p{L}+$"))
+    tokens = F.regexp_extract_all(F.lower(text), F.lit("(?<![\\p{L}\\p{N}_])\\p{L}++(?![\\p{N}_])"), 0)  # word_characters() of letters alone
     return F.array_except(tokens, F.array(*map(F.lit, stop_words))) if stop_words else F.array_distinct(tokens)
 
 

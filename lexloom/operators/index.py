@@ -106,7 +106,34 @@ def members(places: np.ndarray | None, bits: bytes | None) -> np.ndarray:
 def store(post: DataFrame, path: str) -> None:
     """Writes an index once, to be read by many queries: posting segments in ranges of terms, and the universe's beside them."""
     segments(post, "term").repartitionByRange("term").sortWithinPartitions("term", "segment").write.mode("overwrite").parquet(f"{path}/postings")
-    segments(post).write.mode("overwrite").parquet(f"{path}/universe")
+    stored = post.sparkSession.read.parquet(f"{path}/postings")
+    segments(_documents(stored)).write.mode("overwrite").parquet(f"{path}/universe")
+
+
+def _documents(lists: DataFrame) -> DataFrame:
+    """doc_id of segments (segment, places, bits), each once for some terms: the terms' bits are put together within tasks."""
+
+    def run(batches):
+        flags = {}
+
+        def told():
+            for segment, held in flags.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.flatnonzero(held) + segment * SEGMENT, pa.int64())], names=["doc_id"])
+            flags.clear()
+
+        for batch in batches:
+            numbers, places, bits = batch.column("segment").to_pylist(), batch.column("places"), batch.column("bits")
+            of = np.repeat(np.array(numbers, np.int64), pc.fill_null(pc.list_value_length(places), 0).to_numpy())
+            flat = places.flatten().to_numpy()
+            for segment in np.unique(of).tolist():
+                flags.setdefault(segment, np.zeros(SEGMENT, bool))[flat[of == segment]] = True
+            for i in np.flatnonzero(bits.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                flags.setdefault(numbers[i], np.zeros(SEGMENT, bool))[:] |= members(None, bits[i].as_py())
+            if len(flags) > 256:
+                yield from told()
+        yield from told()
+
+    return lists.select("segment", "places", "bits").mapInArrow(run, "doc_id long")
 
 
 class StoredIndex:
