@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import join_tokens, split_words, word_characters
 
 PHRASE_BLOCK = 20_000
+#: A scan takes so many texts out of a batch at a time, and gives its finds away in batches of about so many.
+TEXTS, FOUND = 16, 20_000
 
 
 def phrase_tokens(phrases: DataFrame, words: bool = False) -> DataFrame:
@@ -122,16 +124,21 @@ def _scan(texts: DataFrame, block: Broadcast) -> DataFrame:
                 automaton.add_word(p, p)
         if len(automaton):
             automaton.make_automaton()
+        found_p, found_d = [], []
+        told = lambda: pa.RecordBatch.from_arrays([pa.array(found_p, pa.string()), pa.array(found_d, pa.int64())], names=["phrase", "doc_id"])
         for batch in batches:
-            found_p, found_d = [], []
-            for doc, *fields in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                hits = set(everywhere)
-                if len(automaton):
-                    for text in fields:
-                        hits.update(p for _, p in automaton.iter(text))
-                found_p += hits
-                found_d += [doc] * len(hits)
-            yield pa.RecordBatch.from_arrays([pa.array(found_p, pa.string()), pa.array(found_d, pa.int64())], names=["phrase", "doc_id"])
+            for first in range(0, batch.num_rows, TEXTS):  # neither a batch's texts nor its finds are held as Python objects at once
+                for doc, *fields in zip(*(c.to_pylist() for c in batch.slice(first, TEXTS).columns), strict=True):
+                    hits = set(everywhere)
+                    if len(automaton):
+                        for text in fields:
+                            hits.update(p for _, p in automaton.iter(text))
+                    found_p += hits
+                    found_d += [doc] * len(hits)
+                    if len(found_p) >= FOUND:
+                        yield told()
+                        found_p, found_d = [], []
+        yield told()
 
     return texts.mapInArrow(run, "phrase string, doc_id long")
 
