@@ -111,19 +111,39 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """mapInArrow with a function of one batch that yields batches."""
+def let_go(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All batches of a task, then memory back to the system.
 
-    owner = each.__module__
+    The writer holds the last batch until it has another: it gets an empty one, for workers stay idle beside
+    those of later steps, and what is freed after trim() would stay with them.
+    """
+    schema = None
+    for batch in found:
+        schema = batch.schema
+        yield batch
+        del batch
+    if schema is not None:
+        yield pa.RecordBatch.from_arrays([pa.nulls(0, f.type) for f in schema], schema=schema)
+    trim()
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """mapInArrow with a function of a task's batches, whose memory is let go at its end."""
+    return df.mapInArrow(lambda batches: let_go(run(batches)), schema)
+
+
+def map_arrow(df: DataFrame, each: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]], schema: str, held: bool = True) -> DataFrame:
+    """mapInArrow with a function of one batch that yields batches; held: it uses what its module holds in HELD."""
+
+    owner = each.__module__ if held else ""
 
     def run(batches):
         forget(owner)
         for batch in batches:
             if batch.num_rows:
                 yield from each(batch)
-        trim()
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def numbered(df: DataFrame, keys: list, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
@@ -186,9 +206,8 @@ def by_part(df: DataFrame, solve: Callable[[int, dict[str, np.ndarray]], pa.Reco
                 held.append(batch.slice(a, b - a))
         if held:
             yield flush()
-        trim()
 
-    return df.repartition(key).sortWithinPartitions(key).mapInArrow(run, schema)
+    return map_batches(df.repartition(key).sortWithinPartitions(key), run, schema)
 
 
 class KeyFilter:
@@ -228,7 +247,7 @@ class KeyFilter:
 
         schema = "part int, bits binary"
         whole = np.zeros(1 << (bits - 3), np.uint8)
-        for row in keys.mapInArrow(build, schema).repartition("part").mapInArrow(unite, schema).collect():
+        for row in map_batches(keys, build, schema).repartition("part").mapInArrow(unite, schema).collect():
             own = np.frombuffer(row["bits"], np.uint8)
             whole[row["part"] * len(own) :][: len(own)] |= own
         self.spread = keys.sparkSession.sparkContext.broadcast(whole)
@@ -261,4 +280,4 @@ class KeyFilter:
             for batch in batches:
                 yield batch.filter(pa.array(test(batch.column(at).to_numpy()) == inside))
 
-        return df.mapInArrow(run, df.schema)
+        return map_batches(df, run, df.schema)

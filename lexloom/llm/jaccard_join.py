@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import _words as W
-from lexloom.llm._common import KeyFilter, Scratch, blocks_by_bytes, by_part, fresh, list_array, text_buffers, trim
+from lexloom.llm._common import KeyFilter, Scratch, blocks_by_bytes, by_part, fresh, list_array, map_batches, text_buffers
 from lexloom.llm.components import components
 
 BLOCK = 1 << 20
@@ -107,10 +107,9 @@ def encode(docs: DataFrame, k: int, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bare)], names=["doc_id", "text_key", "n", "node", "bare"]
             )
-        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), "text_key")
-    return rows.mapInArrow(run, "doc_id long, text_key long, n long, node long, bare boolean")
+    return map_batches(rows, run, "doc_id long, text_key long, n long, node long, bare boolean")
 
 
 def samples(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -134,9 +133,8 @@ def samples(docs: DataFrame, k: int, percent: int) -> DataFrame:
                 n, taken = zip(*found.values(), strict=True)
                 tokens = list_array(np.concatenate(taken).view(np.int64), np.array([len(x) for x in taken]), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(n, pa.int64()), tokens], names=["node", "n", "tokens"])
-        trim()
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "node long, n long, tokens array<long>")
+    return map_batches(docs.select(F.col("text").cast("string").alias("text")), run, "node long, n long, tokens array<long>")
 
 
 def _deal(sets: DataFrame, parts: int) -> DataFrame:
@@ -173,7 +171,7 @@ def _deal(sets: DataFrame, parts: int) -> DataFrame:
                 names=["part", "nodes", "sizes", "counts", "keys"],
             )
 
-    return sets.select("node", "n", "tokens").mapInArrow(run, "part int, nodes array<long>, sizes array<int>, counts array<int>, keys array<int>")
+    return map_batches(sets.select("node", "n", "tokens"), run, "part int, nodes array<long>, sizes array<int>, counts array<int>, keys array<int>")
 
 
 def _to_nodes(parts: int, nodes: np.ndarray, sizes: np.ndarray, **values: np.ndarray) -> pa.RecordBatch:
@@ -271,9 +269,8 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, k: int, scratch:
                 lengths = np.array([len(x) for x in found.values()])
                 tokens = list_array(np.concatenate(list(found.values())).view(np.int64), lengths, pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(lengths, pa.int64()), tokens], names=["node", "n", "tokens"])
-        trim()
 
-    made = texts.mapInArrow(run, "node long, n long, tokens array<long>")
+    made = map_batches(texts, run, "node long, n long, tokens array<long>")
     return scratch.table(made.join(some.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
@@ -406,7 +403,7 @@ def _links(grouped: DataFrame, percent: int) -> DataFrame:
         if held and (made := solve(held)) is not None:
             yield made
 
-    return grouped.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long")
+    return map_batches(grouped.repartition(*key).sortWithinPartitions(*key), run, "a long, b long")
 
 
 def _labels(docs: DataFrame, rows: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:

@@ -37,7 +37,9 @@ from lexloom.llm.wordpiece_counts import byte_names
 SIZE, BLOCK_ITEMS, ISLANDS, EPOCHS, GENERATIONS, POPULATION = 1024, 4096, 3, 2, 6, 6
 #: Blocks whose emptiest bins are packed together in the end, and how many bins of each.
 JOINED, LOOSE = 64, 4
-CACHED = 600_000
+#: Words whose ids a worker keeps, and the bytes of these words and ids; an executor has several workers, idle ones among them.
+#: As many words are looked up at a time.
+CACHED, CACHED_BYTES, AT_ONCE = 100_000, 1 << 23, 4096
 
 
 #: Fixed value: the public word pattern of byte-level vocabularies of this kind.
@@ -50,7 +52,8 @@ class Encoder:
     Ids are the tokenizer's own (its merges are ranked by id, so a rank encoder gives them, several
     times as fast).  A text is first cut at the file's added tokens, which have ids of their own.  The
     pattern never matches across a space before a non-space, so ids of what stands between them are
-    those of its space-led words in turn; ids of words are kept in a bounded table.
+    those of its space-led words in turn; ids of words are kept in a table bounded in words and bytes,
+    which is emptied when full, within a long text too.
     """
 
     def __init__(self, path: str):
@@ -65,6 +68,7 @@ class Encoder:
         ranks = {bytes(byte_of[c] for c in token): rank for token, rank in vocabulary.items() if all(c in byte_of for c in token) and not token.startswith("<|")}
         self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.led: dict[str, bytes] = {}
+        self.led_bytes = 0
         self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
         longest = sorted(self.added, key=len, reverse=True)
         self.cuts = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
@@ -83,17 +87,22 @@ class Encoder:
         parts = text.split(" ")
         if "" in parts[1:]:
             parts = re.split(r" (?=\S)", text)
-        head, rest, led = parts[0], parts[1:], self.led
+        return self._raw(parts[0]) + b"".join(self._words(parts[at : at + AT_ONCE]) for at in range(1, len(parts), AT_ONCE))
+
+    def _words(self, words: list[str]) -> bytes:
+        """The ids of words that a space leads, in turn."""
+        led = self.led
         try:
-            body = b"".join(map(led.__getitem__, rest))
+            return b"".join(map(led.__getitem__, words))
         except KeyError:
-            if len(led) > CACHED:
+            if len(led) > CACHED or self.led_bytes > CACHED_BYTES:
                 led.clear()
-            for w in rest:
+                self.led_bytes = 0
+            for w in words:
                 if w not in led:
                     led[w] = self._raw(" " + w)
-            body = b"".join(map(led.__getitem__, rest))
-        return self._raw(head) + body
+                    self.led_bytes += len(w) + len(led[w])
+            return b"".join(map(led.__getitem__, words))
 
 
 _encoders: dict[str, Encoder] = HELD.setdefault(__name__, {})
@@ -280,9 +289,9 @@ def repack(best: DataFrame, size: int) -> DataFrame:
             columns = [pa.array([r["_block"] for r in rows], pa.int64()), pa.array([r["moved"] for r in rows], pa.list_(pa.int32())), pa.array(cut(bins), pa.list_(pa.int32())), pa.array(cut(offsets), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(columns, names=["_block", "moved", "bins", "offsets"])
 
-    one = map_arrow(best.select("_block", F.col("lengths").cast("array<int>").alias("lengths"), "best"), loose, "group long, _block long, moved array<int>, lengths array<int>, bins array<int>")
+    one = map_arrow(best.select("_block", F.col("lengths").cast("array<int>").alias("lengths"), "best"), loose, "group long, _block long, moved array<int>, lengths array<int>, bins array<int>", held=False)
     many = one.groupBy("group").agg(F.sort_array(F.collect_list(F.struct("_block", "moved", "lengths", "bins"))).alias("rows"))
-    return map_arrow(many, solve, "_block long, moved array<int>, bins array<int>, offsets array<long>")
+    return map_arrow(many, solve, "_block long, moved array<int>, bins array<int>, offsets array<long>", held=False)
 
 
 def _placed(batch: pa.RecordBatch):
@@ -333,7 +342,7 @@ def pack(items: DataFrame, size: int = SIZE) -> DataFrame:
     state = state.withColumn("start", F.array().cast("array<array<int>>"))
     for number in range(EPOCHS):
         ready = state.select("_block", "island", "lengths", "start").repartition(partitions(spark), "_block", "island")
-        done = scratch.table(map_arrow(ready, epoch(number), schema), f"epoch-{number}")
+        done = scratch.table(map_arrow(ready, epoch(number), schema, held=False), f"epoch-{number}")
         if number:
             scratch.drop(f"epoch-{number - 1}")
         elites = done.select("_block", ((F.col("island") + 1) % ISLANDS).cast("int").alias("island"), F.array("best").alias("people"))
@@ -343,7 +352,7 @@ def pack(items: DataFrame, size: int = SIZE) -> DataFrame:
     best = done.groupBy("_block").agg(F.min_by(F.struct("best", "offsets"), F.struct("bins", "squares", "island")).alias("b")).select("_block", "b.*")
     best = scratch.table(best.join(lengths, "_block"), "best")
     again = repack(best, size).withColumnRenamed("offsets", "again")
-    placed = map_arrow(best.drop("lengths").join(again, "_block", "left"), _placed, "_block long, sequences array<long>, offsets array<long>")
+    placed = map_arrow(best.drop("lengths").join(again, "_block", "left"), _placed, "_block long, sequences array<long>, offsets array<long>", held=False)
     joined = grouped.join(placed, "_block").select(F.explode(F.arrays_zip("items", "sequences", "offsets")).alias("z"))
     out = joined.select(*(F.col(f"z.items.`{c}`").alias(c) for c in columns), F.col("z.sequences").alias("sequence_id"), F.col("z.offsets").alias("offset"))
     return full.select(*(F.col(f"`{c}`") for c in columns), "sequence_id", "offset").union(out)

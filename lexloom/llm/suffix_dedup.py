@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import _words as W
-from lexloom.llm._common import KeyFilter, Scratch, by_part, fresh, list_array, map_arrow, text_buffers
+from lexloom.llm._common import KeyFilter, Scratch, by_part, fresh, list_array, map_arrow, map_batches, text_buffers
 from lexloom.llm.collection_bwt import repeated_starts
 
 K, CHUNK, FINE, COLLECTION, CORES, PART = 32, 1 << 20, 8, 1 << 18, 60_000, 1 << 18
@@ -406,4 +406,4 @@ def cut_texts(docs: DataFrame, length: int = 400) -> DataFrame:
             out[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays(out, names=columns)
 
-    return keys.keep(keyed, dk, False).drop(dk).union(joined.mapInArrow(run, docs.schema))
+    return keys.keep(keyed, dk, False).drop(dk).union(map_batches(joined, run, docs.schema))

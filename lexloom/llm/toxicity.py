@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm import _words as W
-from lexloom.llm._common import Scratch, blocks_by_bytes, list_array, map_arrow, text_buffers
+from lexloom.llm._common import Scratch, blocks_by_bytes, list_array, map_arrow, map_batches, text_buffers
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, FEATURES = 4000, 8000, 1024
 PREFIXES = (4, 5, 6, 7, 8)
@@ -218,4 +218,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
             keep = score_column(batch.column(place), held["model"])[:, 0] < 0.5
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
