@@ -39,7 +39,7 @@ from lexloom.llm import _words as W
 from lexloom.llm._common import KeyFilter, Scratch, blocks_by_bytes, by_part, fresh, list_array, map_batches, text_buffers
 from lexloom.llm.components import components
 
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _WORD = [W.U(x) for x in W.mix(np.arange(11, 11 + 64, dtype=np.uint64)) | W.U(1)]
 _SAMPLE, _DEAL, _DIGEST = W.U(0x51ED270B7A9F3C11), W.U(0xA24BAED4963EE407), W.U(0x9FB21C651E98DF25)
 _ORDERS = (W.U(0xD6E8FEB86659FD93), W.U(0xC2B2AE3D27D4EB4F))

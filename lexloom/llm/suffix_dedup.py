@@ -40,7 +40,7 @@ from lexloom.llm import _words as W
 from lexloom.llm._common import KeyFilter, Scratch, by_part, fresh, list_array, map_arrow, map_batches, text_buffers
 from lexloom.llm.collection_bwt import repeated_starts
 
-K, CHUNK, FINE, COLLECTION, CORES, PART = 32, 1 << 20, 8, 1 << 18, 60_000, 1 << 18
+K, CHUNK, FINE, COLLECTION, CORES, PART = 32, 1 << 18, 8, 1 << 18, 60_000, 1 << 18
 _LOW = W.U((1 << 22) - 1)
 
 

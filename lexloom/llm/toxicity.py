@@ -26,7 +26,7 @@ from lexloom.llm._common import Scratch, blocks_by_bytes, list_array, map_arrow,
 
 SAMPLE_TOXIC, SAMPLE_CLEAN, FEATURES = 4000, 8000, 1024
 PREFIXES = (4, 5, 6, 7, 8)
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 #: Features are told by 64-bit keys; a table of so many leading bits only spares most of them the search.
 NEAR = 20
 

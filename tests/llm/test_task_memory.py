@@ -1,11 +1,13 @@
 """What a worker keeps within and after a task."""
 
+import random
+import tracemalloc
 import weakref
 
 import pyarrow as pa
 import pytest
 
-from lexloom.llm import _common, packing
+from lexloom.llm import _common, jaccard_join, packing, suffix_dedup, toxicity
 from lexloom.llm.queries import tokenizer_path
 
 PATH = tokenizer_path("byte_bpe_50k.json")
@@ -74,3 +76,24 @@ def test_modules_hold_only_what_a_step_uses(held):
         assert [out.column(0)[0].as_py() for out in run(iter([batch])) if out.num_rows] == [int(held)]
     finally:
         _common.HELD.pop("another"), _common.HELD.pop(__name__)
+
+
+def test_working_memory_over_a_batch_of_texts():
+    """Texts of a batch are worked on in pieces; several workers of an executor do so at once."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(5000)]
+    texts = pa.array([" ".join(rng.choices(words, k=500)) for _ in range(1000)])
+    steps = {
+        "runs": lambda: suffix_dedup.runs(*_common.text_buffers(texts), (400, 200)),
+        "sets": lambda: jaccard_join.shingle_sets(texts, 5),
+        "features": lambda: toxicity._blocks(texts),
+    }
+    for name, step in steps.items():
+        tracemalloc.start()
+        try:
+            for _ in step():
+                pass
+            peak = tracemalloc.get_traced_memory()[1] / 1e6
+        finally:
+            tracemalloc.stop()
+        assert peak < 45, (name, peak)
