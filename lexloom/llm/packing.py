@@ -25,6 +25,7 @@ import random
 import re
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,10 +41,26 @@ JOINED, LOOSE = 64, 4
 #: Words whose ids a worker keeps, and the bytes of these words and ids; an executor has several workers, idle ones among them.
 #: As many words are looked up at a time.
 CACHED, CACHED_BYTES, AT_ONCE = 100_000, 1 << 23, 4096
+#: A word by itself takes some six times as long as within a text: where the table is full and more than one in NEW words
+#: isn't in it, texts are encoded whole, and the table is tried again after RESTS texts.
+NEW, RESTS = 8, 64
+#: Characters of a text encoded whole that go to the encoder at a time, as it gives out a list of numbers.
+STRETCH = 1 << 16
 
 
 #: Fixed value: the public word pattern of byte-level vocabularies of this kind.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Where a text can be cut: no match of the pattern goes across the beginning of such a space.
+GAP = re.compile(r"(?<=\S) (?=\S)")
+
+
+def stretches(text: str) -> Iterator[str]:
+    """A text in pieces that are encoded one by one, of STRETCH characters and what is left until a gap."""
+    at = 0
+    while len(text) - at > STRETCH and (gap := GAP.search(text, at + STRETCH)):
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
 
 
 class Encoder:
@@ -51,9 +68,10 @@ class Encoder:
 
     Ids are the tokenizer's own (its merges are ranked by id, so a rank encoder gives them, several
     times as fast).  A text is first cut at the file's added tokens, which have ids of their own.  The
-    pattern never matches across a space before a non-space, so ids of what stands between them are
-    those of its space-led words in turn; ids of words are kept in a table bounded in words and bytes,
-    which is emptied when full, within a long text too.
+    pattern never matches across a GAP, so ids of what stands between them are those of its space-led
+    words in turn; ids of the first words are kept in a table bounded in words and bytes, within a long
+    text too.  Where texts bring many words that a full table lacks, they are encoded in long stretches,
+    to the same ids.
     """
 
     def __init__(self, path: str):
@@ -69,6 +87,7 @@ class Encoder:
         self.encoding = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.led: dict[str, bytes] = {}
         self.led_bytes = 0
+        self.rests = 0
         self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in added}
         longest = sorted(self.added, key=len, reverse=True)
         self.cuts = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if added else None
@@ -84,9 +103,10 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """The ids of a text without added tokens, or with these read as plain text."""
-        parts = text.split(" ")
-        if "" in parts[1:]:
-            parts = re.split(r" (?=\S)", text)
+        if self.rests:
+            self.rests -= 1
+            return b"".join(map(self._raw, stretches(text)))
+        parts = GAP.split(text)
         return self._raw(parts[0]) + b"".join(self._words(parts[at : at + AT_ONCE]) for at in range(1, len(parts), AT_ONCE))
 
     def _words(self, words: list[str]) -> bytes:
@@ -95,14 +115,20 @@ class Encoder:
         try:
             return b"".join(map(led.__getitem__, words))
         except KeyError:
-            if len(led) > CACHED or self.led_bytes > CACHED_BYTES:
-                led.clear()
-                self.led_bytes = 0
-            for w in words:
-                if w not in led:
-                    led[w] = self._raw(" " + w)
-                    self.led_bytes += len(w) + len(led[w])
-            return b"".join(map(led.__getitem__, words))
+            new = set(words).difference(led)
+            full = len(led) > CACHED or self.led_bytes > CACHED_BYTES
+            if full and len(new) * NEW > len(words):
+                self.rests = RESTS
+                return self._raw(" " + " ".join(words))
+            for w in new:
+                led[w] = self._raw(" " + w)
+            ids = b"".join(map(led.__getitem__, words))
+            if full:
+                for w in new:
+                    del led[w]
+            else:
+                self.led_bytes += sum(len(w) + len(led[w]) for w in new)
+            return ids
 
 
 _encoders: dict[str, Encoder] = HELD.setdefault(__name__, {})

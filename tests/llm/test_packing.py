@@ -26,6 +26,40 @@ def test_encoder_with_a_small_table(monkeypatch):
         assert tool.encode(text) == whole.encode(text)
 
 
+def test_texts_of_new_words_are_encoded_whole(monkeypatch):
+    """Words that a full table lacks aren't encoded one by one."""
+    monkeypatch.setattr(packing, "CACHED", 500)
+    rng = random.Random(7)
+    texts = [" ".join(f"the {rng.randrange(10**6)}" for _ in range(100)) for _ in range(300)]
+    tool, calls = packing.Encoder(PATH), []
+    raw = tool._raw
+    monkeypatch.setattr(tool, "_raw", lambda text: calls.append(1) or raw(text))
+    assert [tool.encode(text) for text in texts] == list(map(raw, texts))
+    assert len(calls) < 2000  # 30,000 words are new
+    # Where texts repeat their words, the table is used again after a while.
+    known = " ".join(["", *list(tool.led)[:400]])
+    for _ in range(packing.RESTS):
+        tool.encode(known)
+    calls.clear()
+    assert tool.encode(known) == raw(known)
+    assert len(calls) == 1
+
+
+def test_stretches(monkeypatch):
+    """Long texts encoded whole are cut only where the tokenizer's pattern never matches across."""
+    whole = Tokenizer.from_file(PATH)
+    whole.encode_special_tokens = True
+    monkeypatch.setattr(packing, "STRETCH", 3)
+    rng, tool, most = random.Random(5), packing.Encoder(PATH), 0
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "B", "'s", "1", ".", " ", " ", "\n", "\t", "\x1c", "\x85", "\u3000", "é", "漢"]) for _ in range(rng.randrange(40)))
+        tool.rests = 1
+        assert tool.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
+        most = max(most, len(list(packing.stretches(text))))
+    assert most > 3
+    assert list(packing.stretches("ab cd ef gh")) == ["ab cd", " ef", " gh"]
+
+
 def test_added_tokens(spark):
     whole = Tokenizer.from_file(PATH)
     texts = ["a <|endoftext|> x", "<|endoftext|>", "<|endoftext|><|endoftext|>  b", "a  <|endoftext|>\n<|endoftext|", " <|endoftext|> it's", "no token"]
