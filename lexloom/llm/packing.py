@@ -41,7 +41,7 @@ JOINED, LOOSE = 64, 4
 #: Words whose ids a worker keeps, and the bytes of these words and ids; an executor has several workers, idle ones among them.
 #: As many words are looked up at a time.
 CACHED, CACHED_BYTES, AT_ONCE = 100_000, 1 << 23, 4096
-#: A word by itself takes some six times as long as within a text: where the table is full and more than one in NEW words
+#: A word by itself takes some three times as long as within a text: where the table is full and more than one in NEW words
 #: isn't in it, texts are encoded whole, and the table is tried again after RESTS texts.
 NEW, RESTS = 8, 64
 #: Characters of a text encoded whole that go to the encoder at a time, as it gives out a list of numbers.
